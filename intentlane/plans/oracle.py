@@ -59,5 +59,127 @@ FROM hi_q q JOIN hi_fires f ON q.user_id = f.user_id AND q.rk = f.rk"""
 ORACLE["high_intent"] = _high_intent_sql()
 
 
+_J = [("j", "SELECT event_id, CASE WHEN json_valid(value) AND json_type(value) = 'OBJECT' THEN value END AS v FROM v_behavior_json")]
+
+
+def _first_nonempty(*paths: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(json_extract_string(v, '{p}'), '')" for p in paths) + ")"
+
+
+def _ts_us(num: str) -> str:
+    return f"CAST(CASE WHEN {num} < 1e11 THEN round({num} * 1e6) ELSE round({num} * 1e3) END AS BIGINT)"
+
+
+ORACLE["normalize_behavior"] = with_views(["v_behavior_json"], _J + [
+    ("n", f"""SELECT event_id, v, {_first_nonempty('$.user_id', '$.userId')} AS user_id,
+  TRY_CAST(json_extract(v, '$.timestamp') AS DOUBLE) AS ts_num FROM j""")],
+    f"""SELECT event_id, user_id,
+  coalesce(json_extract_string(v, '$.action'), json_extract_string(v, '$.eventType')) AS action,
+  coalesce(json_extract_string(v, '$.sku_id'), json_extract_string(v, '$.skuId')) AS sku_id,
+  TRY_CAST(json_extract(v, '$.price') AS DOUBLE) AS price,
+  CAST({_ts_us('ts_num')} AS DOUBLE) AS event_time_us,
+  CASE WHEN v IS NULL THEN 'invalid_json' WHEN user_id IS NULL THEN 'missing_user'
+       WHEN ts_num IS NULL THEN 'missing_time' ELSE 'ok' END AS status
+FROM n""")
+
+
+def _truthy(path: str) -> str:
+    t = f"json_type(v, '{path}')"
+    s = f"json_extract_string(v, '{path}')"
+    return (f"CASE WHEN {t} = 'VARCHAR' THEN nullif({s}, '') "
+            f"WHEN {t} IN ('BIGINT', 'UBIGINT') THEN CASE WHEN TRY_CAST({s} AS DOUBLE) <> 0 THEN {s} END "
+            f"WHEN {t} = 'BOOLEAN' THEN CASE WHEN {s} = 'true' THEN 'True' END END")
+
+
+ORACLE["decode_intents"] = with_views(["v_behavior_json"], _J + [
+    ("d", f"""SELECT event_id, v, coalesce({_truthy('$.userId')}, {_truthy('$.user_id')}) AS user_id,
+  coalesce({_truthy('$.eventType')},
+           CASE WHEN json_exists(v, '$.event_type') THEN json_extract_string(v, '$.event_type')
+                ELSE '{P.DEFAULT_INTENT_TYPE}' END) AS et,
+  CASE WHEN coalesce(TRY_CAST(json_extract(v, '$.timestamp') AS DOUBLE), 0) <> 0
+       THEN TRY_CAST(json_extract(v, '$.timestamp') AS DOUBLE)
+       ELSE TRY_CAST(json_extract(v, '$.eventTimestamp') AS DOUBLE) END AS ts FROM j""")],
+    """SELECT event_id, user_id,
+  CASE WHEN user_id IS NOT NULL THEN et END AS event_type,
+  CASE WHEN user_id IS NOT NULL THEN ts END AS timestamp_num,
+  CASE WHEN v IS NULL THEN 'invalid_json' WHEN user_id IS NULL THEN 'missing_user' ELSE 'ok' END AS status
+FROM d""")
+
+
+def _tags(col: str) -> str:
+    return (f"CASE WHEN json_valid({col}) THEN CASE WHEN json_type({col}) = 'ARRAY' "
+            f"THEN CAST(CAST({col} AS JSON) AS VARCHAR[]) END ELSE CAST([] AS VARCHAR[]) END")
+
+
+def _uid(col: str) -> str:
+    piece = f"split_part({col}, '-', 2)"
+    return (f"CASE WHEN regexp_full_match({col}, '[+-]?[0-9]+') THEN TRY_CAST({col} AS BIGINT) "
+            f"WHEN {col} LIKE '%-%' AND regexp_full_match({piece}, '[+-]?[0-9]+') "
+            f"THEN TRY_CAST({piece} AS BIGINT) END")
+
+
+_ACT_FROM = "TIMESTAMP '2024-01-24 00:00:00'"   # as_of 2024-01-31 minus 7 days
+_ACT = ("act", f"""SELECT CAST(user_id AS BIGINT) AS uid, count(*) AS total_clicks_30d,
+  count(DISTINCT sku_id) AS unique_products_viewed_30d
+FROM v_behavior WHERE event_time >= {_ACT_FROM} GROUP BY 1""")
+_PROF = ("prof", f"""SELECT id, name, spending_tier, coalesce({_tags('identity_tags')}, CAST([] AS VARCHAR[])) AS tags FROM v_users""")
+
+ORACLE["activity_30d"] = with_views(["v_users", "v_behavior"], [_ACT], """
+SELECT u.id AS user_id, coalesce(a.total_clicks_30d, 0) AS total_clicks_30d,
+  coalesce(a.unique_products_viewed_30d, 0) AS unique_products_viewed_30d
+FROM v_users u LEFT JOIN act a ON a.uid = u.id""")
+
+_PERS = ("pers", f"""SELECT r.request_id, p.id, p.name, p.spending_tier, p.tags,
+  CASE WHEN p.id IS NOT NULL THEN coalesce(a.total_clicks_30d, 0) END AS total_clicks_30d,
+  CASE WHEN p.id IS NOT NULL THEN coalesce(a.unique_products_viewed_30d, 0) END AS unique_products_viewed_30d,
+  p.id IS NOT NULL AS has_profile
+FROM v_profile_requests r LEFT JOIN prof p ON p.id = {_uid('r.request_id')}
+LEFT JOIN act a ON a.uid = p.id""")
+
+ORACLE["user_profile"] = with_views(["v_users", "v_behavior", "v_profile_requests"],
+                                    [_ACT, _PROF, _PERS], """
+SELECT request_id, CAST(id AS DOUBLE) AS id, name, spending_tier,
+  CASE WHEN has_profile THEN array_to_string(tags, ',') END AS identity_tags,
+  CAST(total_clicks_30d AS DOUBLE) AS total_clicks_30d,
+  CAST(unique_products_viewed_30d AS DOUBLE) AS unique_products_viewed_30d, has_profile
+FROM pers""")
+
+ORACLE["profile_snapshot"] = with_views(["v_users"], [_PROF], """
+SELECT CAST(id AS VARCHAR) AS key, id, name, spending_tier, array_to_string(tags, ',') AS identity_tags
+FROM prof""")
+
+_SNAP = ("snap", """SELECT CAST(id AS VARCHAR) AS key, to_json(struct_pack(id := id, name := name,
+  spending_tier := spending_tier, identity_tags := tags)) AS doc, tags, spending_tier
+FROM prof WHERE id % 2 = 0""")
+_CTX = ("ctx", """SELECT p.*, s.doc, s.tags AS s_tags, s.spending_tier AS s_tier, s.key IS NOT NULL AS has_cached,
+  s.key IS NOT NULL AND p.has_profile AS both_
+FROM pers p LEFT JOIN snap s ON s.key = p.request_id""")
+
+ORACLE["user_context"] = with_views(["v_users", "v_behavior", "v_profile_requests"],
+                                    [_ACT, _PROF, _PERS, _SNAP, _CTX], """
+SELECT request_id, has_cached, has_profile AS has_persistent, both_ AS has_combined,
+  CAST(CASE WHEN both_ THEN id END AS DOUBLE) AS c_id,
+  CASE WHEN both_ THEN name END AS c_name,
+  CASE WHEN both_ THEN spending_tier END AS c_spending_tier,
+  CASE WHEN both_ THEN array_to_string(tags, ',') END AS c_tags,
+  CAST(CASE WHEN both_ THEN total_clicks_30d END AS DOUBLE) AS c_total_clicks_30d,
+  CAST(CASE WHEN both_ THEN unique_products_viewed_30d END AS DOUBLE) AS c_unique_products_viewed_30d,
+  CASE WHEN both_ THEN array_to_string(s_tags, ',') END AS cached_tags,
+  CASE WHEN both_ THEN s_tier END AS cached_spending_tier
+FROM ctx""")
+
+_L = P.CONTEXT_TEXT_LABELS
+ORACLE["context_text"] = with_views(["v_users", "v_behavior", "v_profile_requests"],
+                                    [_ACT, _PROF, _PERS, _SNAP, _CTX], f"""
+SELECT request_id, CASE WHEN has_profile THEN
+  chr(10) || '{_L[0]}' || coalesce(CAST(id AS VARCHAR), 'None') ||
+  chr(10) || '{_L[1]}' || coalesce(name, 'None') ||
+  chr(10) || '{_L[2]}' || coalesce(spending_tier, 'None') ||
+  chr(10) || '{_L[3]}' || array_to_string(tags, ', ') ||
+  chr(10) || '{_L[4]}' || coalesce(CAST(doc AS VARCHAR), 'None') || chr(10)
+  ELSE '未找到用户 ' || request_id || ' 的信息' END AS text
+FROM ctx""")
+
+
 def all_oracles() -> dict[str, str]:
     return dict(ORACLE)

@@ -51,6 +51,11 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, ts FROM events WHERE event
     "v_results": """
 SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % 5 AS INTEGER) AS attempt,
        event_type <> 'error' AS success, CASE WHEN event_type = 'error' THEN 'boom' END AS error, ts
+FROM events""",
+    "v_profile_requests": """
+SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN CAST(user_id AS VARCHAR)
+  WHEN 1 THEN 'user-' || CAST(user_id AS VARCHAR) WHEN 2 THEN 'u-' || CAST(user_id AS VARCHAR) || '-x'
+  ELSE ' ' || CAST(user_id AS VARCHAR) END AS request_id
 FROM events""",
 }
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from intentlane import params as P
 from intentlane.operators import intent as intent_ops
+from intentlane.operators import normalize as nrm
+from intentlane.operators import context as ctx_ops
+from pyspark.sql import functions as F
 from intentlane.plans.registry import register
 from intentlane.sources import views as V
 
@@ -27,3 +30,75 @@ def q_sliding_count_by_action(spark: SparkSession, sf: str) -> DataFrame:
 def q_high_intent(spark: SparkSession, sf: str) -> DataFrame:
     return intent_ops.flatten_intents(
         intent_ops.detect_high_intent(V.v_behavior(spark, sf), P.TEST_INTENT))
+
+
+@register("normalize_behavior")
+def q_normalize_behavior(spark: SparkSession, sf: str) -> DataFrame:
+    df = nrm.normalize_behavior(V.v_behavior_json(spark, sf))
+    # rejects carry NULL times: compare as double so NULL survives every client
+    return df.withColumn("event_time_us", df["event_time_us"].cast("double"))
+
+
+@register("decode_intents")
+def q_decode_intents(spark: SparkSession, sf: str) -> DataFrame:
+    return nrm.decode_intents(V.v_behavior_json(spark, sf))
+
+
+def _joined(col: str, sep: str = ",") -> F.Column:
+    return F.array_join(F.col(col), sep)
+
+
+@register("activity_30d")
+def q_activity_30d(spark: SparkSession, sf: str) -> DataFrame:
+    return ctx_ops.users_activity(V.v_users(spark, sf), V.v_behavior(spark, sf),
+                                  P.TEST_AS_OF_US, P.TEST_ACTIVITY_LOOKBACK_US)
+
+
+@register("user_profile")
+def q_user_profile(spark: SparkSession, sf: str) -> DataFrame:
+    df = ctx_ops.persistent_profiles(V.v_profile_requests(spark, sf), V.v_users(spark, sf),
+                                     V.v_behavior(spark, sf), P.TEST_AS_OF_US,
+                                     P.TEST_ACTIVITY_LOOKBACK_US)
+    return df.select("request_id", F.col("id").cast("double").alias("id"), "name",
+                     "spending_tier", _joined("identity_tags").alias("identity_tags"),
+                     F.col("total_clicks_30d").cast("double").alias("total_clicks_30d"),
+                     F.col("unique_products_viewed_30d").cast("double")
+                     .alias("unique_products_viewed_30d"), "has_profile")
+
+
+@register("profile_snapshot")
+def q_profile_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    snap = ctx_ops.profile_snapshot(V.v_users(spark, sf))
+    back = snap.select("key", F.from_json("doc", ctx_ops.SNAPSHOT_SCHEMA).alias("p"))
+    return back.select("key", F.col("p.id").alias("id"), F.col("p.name").alias("name"),
+                       F.col("p.spending_tier").alias("spending_tier"),
+                       F.array_join("p.identity_tags", ",").alias("identity_tags"))
+
+
+def _user_context(spark: SparkSession, sf: str) -> DataFrame:
+    users = V.v_users(spark, sf)
+    snapshot = ctx_ops.profile_snapshot(users.filter(F.col("id") % 2 == 0))
+    return ctx_ops.user_context(V.v_profile_requests(spark, sf), users, snapshot,
+                                V.v_behavior(spark, sf), P.TEST_AS_OF_US,
+                                P.TEST_ACTIVITY_LOOKBACK_US)
+
+
+@register("user_context")
+def q_user_context(spark: SparkSession, sf: str) -> DataFrame:
+    c = _user_context(spark, sf)
+    both = F.col("has_combined")
+    return c.select(
+        "request_id", "has_cached", "has_persistent", "has_combined",
+        F.when(both, F.col("id")).cast("double").alias("c_id"),
+        F.when(both, F.col("name")).alias("c_name"),
+        F.when(both, F.col("spending_tier")).alias("c_spending_tier"),
+        F.when(both, _joined("identity_tags")).alias("c_tags"),
+        F.when(both, F.col("total_clicks_30d")).cast("double").alias("c_total_clicks_30d"),
+        F.when(both, F.col("unique_products_viewed_30d")).cast("double")
+        .alias("c_unique_products_viewed_30d"),
+        _joined("cached_tags").alias("cached_tags"), "cached_spending_tier")
+
+
+@register("context_text")
+def q_context_text(spark: SparkSession, sf: str) -> DataFrame:
+    return ctx_ops.context_text(_user_context(spark, sf))

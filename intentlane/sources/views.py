@@ -148,3 +148,15 @@ def v_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("boom")).alias("error"),
         "ts",
     )
+
+
+def v_profile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile requests in several id spellings (plain, ``user-<n>``,
+    ``u-<n>-x``, leading blank), one per event, de-duplicated."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "user_id")
+    uid = _s("user_id")
+    k = F.col("event_id") % 4
+    rid = (F.when(k == 0, uid).when(k == 1, F.concat(F.lit("user-"), uid))
+           .when(k == 2, F.concat(F.lit("u-"), uid, F.lit("-x")))
+           .otherwise(F.concat(F.lit(" "), uid)))
+    return ev.select(rid.alias("request_id")).distinct()

@@ -84,7 +84,7 @@ if __name__ == "__main__":
         except Exception as e:  # report and continue
             r = {"key": k, "error": repr(e)[:2000]}
         r["sec"] = round(time.time() - t0, 2)
-        ok = r.get("hash_match") or (r.get("oracle") is None and "error" not in r)
+        ok = bool(r.get("hash_match")) or ("oracle" in r and r["oracle"] is None and "error" not in r)
         bad += 0 if ok else 1
         print(("OK  " if ok else "FAIL"), r, flush=True)
     print("failures:", bad)
