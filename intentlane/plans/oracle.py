@@ -182,4 +182,7 @@ FROM ctx""")
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(ORACLE)
+    from intentlane.plans import oracle_catalog
+    out = dict(ORACLE)
+    out.update(oracle_catalog.ORACLE)
+    return out
