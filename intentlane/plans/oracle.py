@@ -42,18 +42,22 @@ def _greedy_ctes(src: str, cooldown_us: int, prefix: str) -> list[tuple[str, str
     ]
 
 
-def _high_intent_sql() -> str:
+def high_intent_ctes() -> list[tuple[str, str]]:
+    """CTEs ending in ``hi`` (the high_intent result); needs v_behavior."""
     p = P.TEST_INTENT
-    ctes = _time_ctes() + [
+    return _time_ctes() + [
         ("c", f"SELECT *, {_count_expr('user_id')} AS n FROM b"),
         ("cand", f"SELECT * FROM c WHERE n >= {p.threshold}"),
-    ] + _greedy_ctes("cand", p.cooldown_us, "hi")
-    body = f"""SELECT q.user_id, q.event_id, '{p.event_type}' AS event_type, '{p.reason}' AS reason,
+    ] + _greedy_ctes("cand", p.cooldown_us, "hi") + [
+        ("hi", f"""SELECT q.user_id, q.event_id, '{p.event_type}' AS event_type, '{p.reason}' AS reason,
   q.t_us AS event_time_us, coalesce(q.action, '{P.CONTEXT_DEFAULT_ACTION}') AS last_action,
   coalesce(q.sku_id, '{P.CONTEXT_DEFAULT_SKU}') AS sku_id,
   coalesce(CAST(q.price AS DOUBLE), {P.CONTEXT_DEFAULT_PRICE}) AS price, q.n AS recent_clicks
-FROM hi_q q JOIN hi_fires f ON q.user_id = f.user_id AND q.rk = f.rk"""
-    return with_views(["v_behavior"], ctes, body, recursive=True)
+FROM hi_q q JOIN hi_fires f ON q.user_id = f.user_id AND q.rk = f.rk""")]
+
+
+def _high_intent_sql() -> str:
+    return with_views(["v_behavior"], high_intent_ctes(), "SELECT * FROM hi", recursive=True)
 
 
 ORACLE["high_intent"] = _high_intent_sql()
@@ -182,7 +186,8 @@ FROM ctx""")
 
 
 def all_oracles() -> dict[str, str]:
-    from intentlane.plans import oracle_catalog
+    from intentlane.plans import oracle_catalog, oracle_gov
     out = dict(ORACLE)
     out.update(oracle_catalog.ORACLE)
+    out.update(oracle_gov.ORACLE)
     return out

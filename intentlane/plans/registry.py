@@ -24,5 +24,5 @@ def register(key: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # importing the modules fills QUERIES
-    from intentlane.plans import queries_catalog, queries_core  # noqa: F401
+    from intentlane.plans import queries_catalog, queries_core, queries_gov  # noqa: F401
     return dict(QUERIES)
