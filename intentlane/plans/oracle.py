@@ -61,6 +61,7 @@ def _high_intent_sql() -> str:
 
 
 ORACLE["high_intent"] = _high_intent_sql()
+ORACLE["high_intent_stream"] = _high_intent_sql()
 
 
 _J = [("j", "SELECT event_id, CASE WHEN json_valid(value) AND json_type(value) = 'OBJECT' THEN value END AS v FROM v_behavior_json")]

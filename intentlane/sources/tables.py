@@ -18,3 +18,16 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def read_table_stream(spark: SparkSession, path: str, *columns: str,
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """SRC-1 replay path: a file stream over parquet with the table's declared
+    schema (taken from the footers, no inference). Kafka goes through
+    ``intentlane.sources.streams.kafka_behavior`` instead."""
+    schema = spark.read.parquet(path).schema   # footers only
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    df = reader.parquet(path)
+    return df.select(*columns) if columns else df

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentlane.sources.tables import read_table
+from intentlane.sources.tables import read_table, read_table_stream, table_path
 
 
 def _s(c: str | Column) -> Column:
@@ -16,10 +16,16 @@ def _s(c: str | Column) -> Column:
     return c.cast("string")
 
 
-def v_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Behaviour history: event_id, user_id, action, sku_id, price, event_time."""
-    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props",
-                    "value", "ts")
+def v_behavior(spark: SparkSession, sf_dir: str, stream_path: str | None = None,
+               max_files_per_trigger: int | None = None) -> DataFrame:
+    """Behaviour history: event_id, user_id, action, sku_id, price, event_time.
+    With ``stream_path`` the same projection runs over a file stream."""
+    cols = ("event_id", "user_id", "event_type", "props", "value", "ts")
+    if stream_path is not None:
+        ev = read_table_stream(spark, stream_path, *cols,
+                               max_files_per_trigger=max_files_per_trigger)
+    else:
+        ev = read_table(spark, sf_dir, "events", *cols)
     action = (F.when(F.col("event_type") == "click", "view_item")
               .when(F.col("event_type") == "view", "search")
               .when(F.col("event_type") == "signup", "add_to_cart")
