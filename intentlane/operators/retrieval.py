@@ -15,7 +15,7 @@ per side, whatever the data size, and no side is broadcast.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,7 +63,7 @@ def pandas_encoder(model_factory: Callable[[], Callable[[list[str]], np.ndarray]
     (rows, dim) array; vectors are L2-normalised. Arrow batches, never rows."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _embed(batches):
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _MODEL_CACHE.get(cache_key)
         if model is None:
             model = _MODEL_CACHE[cache_key] = model_factory()
