@@ -1,31 +1,49 @@
 """Time columns as epoch microseconds (LongType), independent of the session
-time zone: the driver's tables carry ``timestamp_ntz`` values."""
+time zone: the driver's tables carry ``timestamp_ntz`` values, read as UTC
+wall time."""
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
+US_PER_DAY = 86_400_000_000
+
+
+def ntz_epoch_us(c: Column) -> Column:
+    """Epoch microseconds of a ``timestamp_ntz`` taken as UTC wall time, from
+    its date and time fields (no cast through the session time zone, which
+    would shift values across daylight-saving changes)."""
+    secs = F.date_part(F.lit("SECOND"), c)          # decimal seconds with micros
+    return (F.unix_date(F.to_date(c)).cast("long") * F.lit(US_PER_DAY)
+            + F.hour(c).cast("long") * F.lit(3_600_000_000)
+            + F.minute(c).cast("long") * F.lit(60_000_000)
+            + (secs * F.lit(1_000_000)).cast("long"))
 
-def epoch_us(col: Column | str, dtype=None) -> Column:
-    """Epoch microseconds of a timestamp or timestamp_ntz column.
 
-    ``timestamp_ntz`` is read as UTC wall time via ``timestampdiff`` so the
-    result does not depend on ``spark.sql.session.timeZone``."""
+def epoch_us(col: Column | str, dtype=None) -> Column:
+    """Epoch microseconds of a timestamp (instant) or timestamp_ntz column."""
     c = F.col(col) if isinstance(col, str) else col
     if isinstance(dtype, TimestampType):
         return F.unix_micros(c)
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(TimestampNTZType()), c)
+    return ntz_epoch_us(c)
 
 
 def epoch_us_of(df, name: str) -> Column:
     """``epoch_us`` dispatching on the column's declared type."""
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, TimestampType):
-        return F.unix_micros(F.col(name))
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(TimestampNTZType()),
-                           F.col(name))
+    return epoch_us(F.col(name), df.schema[name].dataType)
+
+
+def time_literal(us: int, dtype) -> Column:
+    """A literal of the column's own type for ``us`` (so comparisons with the
+    raw column reach the parquet scan as pushed filters)."""
+    if isinstance(dtype, TimestampNTZType):
+        text = datetime.fromtimestamp(us / 1e6, tz=timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+        return F.lit(text).cast("timestamp_ntz")
+    return F.timestamp_micros(F.lit(us))
 
 
 def epoch_number_to_us(num: Column) -> Column:

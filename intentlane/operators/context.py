@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from intentlane import params as P
 from intentlane.functions.text import parse_tags, parse_user_id
-from intentlane.functions.time import epoch_us_of
+from intentlane.functions.time import time_literal
 
 SNAPSHOT_SCHEMA = "id bigint, name string, spending_tier string, identity_tags array<string>"
 
@@ -21,9 +21,7 @@ SNAPSHOT_SCHEMA = "id bigint, name string, spending_tier string, identity_tags a
 def _time_at_least(df: DataFrame, col: str, min_us: int):
     """Filter ``col >= min_us`` written against the raw column so that the
     predicate reaches the parquet scan."""
-    from datetime import datetime, timezone
-    lit = F.lit(datetime.fromtimestamp(min_us / 1e6, tz=timezone.utc).replace(tzinfo=None))
-    return F.col(col) >= lit.cast(df.schema[col].dataType)
+    return F.col(col) >= time_literal(min_us, df.schema[col].dataType)
 
 
 def activity(behavior: DataFrame, as_of_us: int, lookback_us: int = P.ACTIVITY_LOOKBACK_US,

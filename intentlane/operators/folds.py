@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,31 +113,33 @@ SCAN_MAX_ROWS_PER_KEY = 2_000_000
 
 def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
                     cooldown_us: int, strategy: str = "auto",
-                    scan_max_rows_per_key: int = SCAN_MAX_ROWS_PER_KEY) -> DataFrame:
+                    scan_max_rows_per_key: int = SCAN_MAX_ROWS_PER_KEY,
+                    max_rows_per_key: int | None = None) -> DataFrame:
     """Rows of ``cand`` that fire under the greedy cooldown. ``tie_col`` must
     be unique within a key.
 
-    ``auto`` measures the largest key first: the one-pass scan when every key
-    fits a task comfortably, pointer doubling (no key bound) beyond that."""
+    ``auto`` checks the largest key first (``max_rows_per_key`` when the
+    caller knows an upper bound, e.g. from the raw input, else one aggregate
+    over ``cand``): the one-pass scan when every key fits a task
+    comfortably, pointer doubling (no bound on a key) beyond that."""
     if cooldown_us <= 0:
         raise ValueError("cooldown_us must be positive")
     if strategy not in ("auto", "scan", "doubling"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "auto":
+        if max_rows_per_key is None:
+            max_rows_per_key = (cand.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+        strategy = "scan" if max_rows_per_key <= scan_max_rows_per_key else "doubling"
+    if strategy == "scan":
+        return _cooldown_scan(cand, keys, t_col, tie_col, cooldown_us)
     # the candidates feed several jobs below: materialise them once
     cand = _checkpoint(cand)
     # fires are >= C apart, so a key fires at most once per bucket of width C:
     # the longest chain is bounded by the key's count of non-empty buckets
-    stats = (cand.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("rows"),
-                  F.count_distinct(F.floor(F.col(t_col) / F.lit(cooldown_us))).alias("buckets"))
-             .agg(F.max("rows").alias("rows"), F.max("buckets").alias("buckets")).first())
-    max_rows, max_chain = (stats["rows"] or 0), (stats["buckets"] or 0)
-    if max_rows == 0:
+    max_chain = (cand.select(*keys, F.floor(F.col(t_col) / F.lit(cooldown_us)).alias("_b"))
+                 .distinct().groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+    if max_chain == 0:
         return cand
-    if strategy == "auto":
-        strategy = "scan" if max_rows <= scan_max_rows_per_key else "doubling"
-    if strategy == "scan":
-        return _cooldown_scan(cand, keys, t_col, tie_col, cooldown_us)
     nxt = next_at_or_after(cand, keys, t_col, tie_col, cooldown_us)
     fired = _chain_from_first(cand, nxt, keys, t_col, tie_col, max_chain)
     return cand.join(fired, on=[*keys, tie_col], how="left_semi")
@@ -144,26 +147,38 @@ def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
 
 def _cooldown_scan(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
                    cooldown_us: int) -> DataFrame:
+    """Hash-partition by key, sort by (key, t, tie), and jump from fire to
+    fire with a binary search inside each key's run of rows; only the last
+    fire time is carried across Arrow batches."""
     schema = cand.schema
 
     def fold(batches):
         last_key = None
         last_fire = None
         for pdf in batches:
-            if pdf.empty:
+            n = len(pdf)
+            if n == 0:
                 continue
-            key_vals = list(zip(*[pdf[k].tolist() for k in keys]))
-            times = pdf[t_col].tolist()
-            keep = []
-            for kv, tv in zip(key_vals, times):
-                if kv != last_key:
-                    last_key, last_fire = kv, None
-                if last_fire is None or tv >= last_fire + cooldown_us:
-                    last_fire = tv
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield pdf[pd.Series(keep, index=pdf.index)]
+            t = pdf[t_col].to_numpy(dtype=np.int64)
+            kcols = [pdf[k].to_numpy() for k in keys]
+            change = np.zeros(n, dtype=bool)
+            change[0] = True
+            for kc in kcols:
+                change[1:] |= kc[1:] != kc[:-1]
+            starts = np.flatnonzero(change)
+            ends = np.append(starts[1:], n)
+            keep = np.zeros(n, dtype=bool)
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                kv = tuple(kc[s] for kc in kcols)
+                lf = last_fire if kv == last_key else None
+                seg = t[s:e]
+                i = 0 if lf is None else int(np.searchsorted(seg, lf + cooldown_us, "left"))
+                while i < len(seg):
+                    keep[s + i] = True
+                    lf = int(seg[i])
+                    i = int(np.searchsorted(seg, lf + cooldown_us, "left"))
+                last_key, last_fire = kv, lf
+            yield pdf[keep]
 
     n = cand.sparkSession.sparkContext.defaultParallelism
     return (cand.repartition(n, *keys).sortWithinPartitions(*keys, t_col, tie_col)

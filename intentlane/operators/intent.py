@@ -36,8 +36,13 @@ def detect_high_intent(behavior: DataFrame, p: P.IntentParams = P.IntentParams()
     context (last_action, sku_id, price), recent_clicks."""
     counted = sliding_click_count(behavior, p.window_us)
     qualifying = counted.filter(F.col("n") >= p.threshold)
+    hint = None
+    if strategy == "auto":
+        # events per user bound the candidates per user: one cheap aggregate
+        # over the raw input decides between the scan and pointer doubling
+        hint = behavior.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
     fired = greedy_cooldown(qualifying, ["user_id"], "t_us", "event_id", p.cooldown_us,
-                            strategy=strategy)
+                            strategy=strategy, max_rows_per_key=hint)
     return promotion_projection(fired, p)
 
 

@@ -165,36 +165,67 @@ def tokens(col: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
+def token_overlap(query_tokens: Column, doc_tokens: Column) -> Column:
+    """Default pair score on pre-tokenised texts: shared distinct tokens;
+    NULL when either side is missing (the reference's scorer fails on a
+    missing document)."""
+    return F.when(query_tokens.isNotNull() & doc_tokens.isNotNull(),
+                  F.size(F.array_intersect(query_tokens, doc_tokens)).cast("double"))
+
+
 def token_overlap_scorer(query_text: Column, doc_text: Column) -> Column:
-    """Default pair scorer: shared distinct tokens; NULL when either text is
-    NULL (the reference's scorer fails on a missing document)."""
-    return F.when(query_text.isNotNull() & doc_text.isNotNull(),
-                  F.size(F.array_intersect(tokens(query_text), tokens(doc_text))).cast("double"))
-
-
-def rerank(cands: DataFrame, query_text_col: str = "query_text", doc_col: str = "content",
-           scorer: Callable[[Column, Column], Column] = token_overlap_scorer,
-           recall_rank_col: str = "rank") -> DataFrame:
-    """RET-6: score each (query, candidate) pair, order by score descending
-    with recall order breaking ties (a stable sort); when any candidate of a
-    query has no score, that query keeps its recall order. Adds ``score``,
-    ``recall_rank`` and a new ``rank``."""
-    scored = cands.withColumn("score", scorer(F.col(query_text_col), F.col(doc_col)))
+    """Token overlap straight from texts (tokenises per pair; prefer
+    tokenising each text once and calling ``token_overlap``)."""
+    return token_overlap(F.when(query_text.isNotNull(), tokens(query_text)),
+                         F.when(doc_text.isNotNull(), tokens(doc_text)))
+
+
+def pandas_pair_scorer(model_factory: Callable[[], Callable[[list[str], list[str]], np.ndarray]],
+                       cache_key: str) -> Callable[[Column, Column], Column]:
+    """Plug-in path for a cross-encoder: the model is built once per Python
+    worker and scores Arrow batches of (query, document) pairs; a batch with
+    a missing text or a failing model yields NULL scores, so those queries
+    keep recall order."""
+
+    @F.pandas_udf(T.DoubleType())
+    def _score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = _MODEL_CACHE.get(cache_key)
+        if model is None:
+            model = _MODEL_CACHE[cache_key] = model_factory()
+        for q, d in batches:
+            out = pd.Series([None] * len(q), dtype="float64")
+            ok = q.notna() & d.notna()
+            try:
+                if ok.any():
+                    out[ok] = np.asarray(model(q[ok].tolist(), d[ok].tolist()), dtype=np.float64)
+            except Exception:   # degrade like the reference: recall order
+                out[:] = np.nan
+            yield out
+
+    return lambda q, d: _score(q, d)
+
+
+def rerank(cands: DataFrame, score_col: str = "score", recall_rank_col: str = "rank") -> DataFrame:
+    """RET-6 ordering: score descending with recall order breaking ties (a
+    stable sort); when any candidate of a query has no score, that query
+    keeps its recall order. Renames the recall rank to ``recall_rank`` and
+    adds a new ``rank``. Groups are one query's candidates (k * recall)."""
     wq = Window.partitionBy("query_id")
-    all_scored = F.min(F.col("score").isNotNull().cast("int")).over(wq) == 1
-    scored = scored.withColumn("_ok", all_scored).withColumnRenamed(recall_rank_col, "recall_rank")
+    all_scored = F.min(F.col(score_col).isNotNull().cast("int")).over(wq) == 1
+    scored = cands.withColumn("_ok", all_scored).withColumnRenamed(recall_rank_col, "recall_rank")
     order = Window.partitionBy("query_id").orderBy(
-        F.when(F.col("_ok"), -F.col("score")).otherwise(F.lit(0.0)), F.col("recall_rank"))
+        F.when(F.col("_ok"), -F.col(score_col)).otherwise(F.lit(0.0)), F.col("recall_rank"))
     return scored.withColumn("rank", F.row_number().over(order)).drop("_ok")
 
 
 # ------------------------------------------------------------------ RET-4/5
 def shape_product_hits(hits: DataFrame, catalog: DataFrame,
-                       hit_key: Column | None = None) -> DataFrame:
+                       hit_key: Column | None = None, extra: list[str] | None = None) -> DataFrame:
     """RET-4: product_id, name, category, content, price (string -> double,
     unparsable -> 0.0), selling_points[], distance. ``catalog`` holds the
     indexed documents: (id, document, metadata)."""
-    cat = catalog.select(F.col("id").alias("_cid"), "document", "metadata")
+    extra = list(extra or [])
+    cat = catalog.select(F.col("id").alias("_cid"), "document", "metadata", *extra)
     key = hit_key if hit_key is not None else F.col("id").cast("string")
     return (hits.join(cat, key == F.col("_cid"), "left")
             .select("query_id", "id", "rank", "distance",
@@ -203,7 +234,8 @@ def shape_product_hits(hits: DataFrame, catalog: DataFrame,
                     F.col("metadata.category").alias("category"),
                     F.col("document").alias("content"),
                     F.coalesce(F.col("metadata.price").try_cast("double"), F.lit(0.0)).alias("price"),
-                    split_selling_points(F.col("metadata.selling_points_str")).alias("selling_points")))
+                    split_selling_points(F.col("metadata.selling_points_str")).alias("selling_points"),
+                    *extra))
 
 
 def shape_script_hits(hits: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -218,16 +250,27 @@ def shape_script_hits(hits: DataFrame, scripts: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ RET-7/8
 def product_search(queries: DataFrame, index: DataFrame, catalog: DataFrame, k: int = P.SEARCH_K,
                    recall_factor: int = P.RECALL_FACTOR,
-                   scorer: Callable[[Column, Column], Column] = token_overlap_scorer,
+                   scorer: Callable[[Column, Column], Column] | None = None,
                    hit_key: Column | None = None) -> DataFrame:
-    """RET-7 for a table of queries (query_id, query_text, embedding):
-    blank query text -> no results; recall k * recall_factor by cosine,
-    shape, re-rank, keep the first k."""
+    """RET-7 for a table of queries (id, query_text, embedding): blank query
+    text -> no results; recall k * recall_factor by cosine, shape, re-rank,
+    keep the first k. The default scorer tokenises each query text and each
+    catalogue document once, before the candidate join."""
     live = queries.filter(~is_blank(F.col("query_text")))
     hits = knn(live.select("id", "embedding"), index, k * recall_factor)
-    shaped = shape_product_hits(hits, catalog, hit_key)
-    with_q = shaped.join(live.select(F.col("id").alias("query_id"), "query_text"), "query_id")
-    return rerank(with_q, scorer=scorer).filter(F.col("rank") <= k)
+    if scorer is None:
+        cat_tok = catalog.withColumn("_dtok", tokens(F.col("document")))
+        shaped = shape_product_hits(hits, cat_tok, hit_key, extra=["_dtok"])
+        q = live.select(F.col("id").alias("query_id"), "query_text",
+                        tokens(F.col("query_text")).alias("_qtok"))
+        with_q = shaped.join(q, "query_id")
+        scored = with_q.withColumn("score", token_overlap(F.col("_qtok"), F.col("_dtok")))
+        scored = scored.drop("_qtok", "_dtok")
+    else:
+        shaped = shape_product_hits(hits, catalog, hit_key)
+        with_q = shaped.join(live.select(F.col("id").alias("query_id"), "query_text"), "query_id")
+        scored = with_q.withColumn("score", scorer(F.col("query_text"), F.col("content")))
+    return rerank(scored).filter(F.col("rank") <= k)
 
 
 def script_search(queries: DataFrame, index: DataFrame, k: int = P.SEARCH_K,

@@ -27,12 +27,14 @@ def sliding_count(df: DataFrame, keys: list[str], t_col: str, tie_col: str,
         raise ValueError("window_us must be positive")
     bucket_us = window_us * max(1, int(bucket_factor))
     t = F.col(t_col)
-    b = F.floor(t / F.lit(bucket_us)).cast("long")
-    real = df.withColumn("_b", b).withColumn("_ctx", F.lit(False))
-    # rows needed by the next bucket: t > (b + 1) * B - W
-    ctx = (real.filter(t > (F.col("_b") + 1) * F.lit(bucket_us) - F.lit(window_us))
-           .withColumn("_b", F.col("_b") + 1).withColumn("_ctx", F.lit(True)))
-    both = real.unionByName(ctx)
+    home = F.floor(t / F.lit(bucket_us)).cast("long")
+    # one scan: a row near the end of its bucket (t > (b + 1) * B - W) is also
+    # emitted into the next bucket as a context row
+    edge = t > (home + 1) * F.lit(bucket_us) - F.lit(window_us)
+    both = (df.withColumn("_home", home)
+            .withColumn("_b", F.explode(F.when(edge, F.array(home, home + 1))
+                                        .otherwise(F.array(home))))
+            .withColumn("_ctx", F.col("_b") != F.col("_home")).drop("_home"))
     w_range = (Window.partitionBy(*keys, "_b").orderBy(t)
                .rangeBetween(-(window_us - 1), 0))
     w_peer = Window.partitionBy(*keys, "_b", t_col)

@@ -125,10 +125,13 @@ def q_rerank(spark: SparkSession, sf: str) -> DataFrame:
     q = query_table(spark, sf)
     hits = ret.knn(q.select("id", "embedding"), V.v_index(spark, sf), KNN_K)
     docs = read_table(spark, sf, "documents", "doc_id", "text")
-    cands = (hits.join(q.select(F.col("id").alias("query_id"), "query_text"), "query_id")
-             .join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")),
-                   "id", "left"))
-    out = ret.rerank(cands)
+    # tokenise every text once, then join the token arrays to the candidates
+    qtok = q.select(F.col("id").alias("query_id"),
+                    F.when(F.col("query_text").isNotNull(), ret.tokens(F.col("query_text"))).alias("_qtok"))
+    dtok = docs.select(F.col("doc_id").alias("id"),
+                       F.when(F.col("text").isNotNull(), ret.tokens(F.col("text"))).alias("_dtok"))
+    cands = hits.join(qtok, "query_id").join(dtok, "id", "left")
+    out = ret.rerank(cands.withColumn("score", ret.token_overlap(F.col("_qtok"), F.col("_dtok"))))
     return out.select("query_id", "rank", "id", "recall_rank", "score",
                       ret.rounded("distance").alias("distance"))
 

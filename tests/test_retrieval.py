@@ -50,7 +50,8 @@ def test_rerank_orders_by_score_and_falls_back(spark):
             (1, 3, 12, "red shoe", "red car"),
             (2, 1, 20, "a b", "a b"), (2, 2, 21, "a b", None)]
     df = spark.createDataFrame(rows, "query_id long, rank int, id long, query_text string, content string")
-    got = {(r.query_id, r.id): r.rank for r in ret.rerank(df).collect()}
+    scored = df.withColumn("score", ret.token_overlap_scorer(F.col("query_text"), F.col("content")))
+    got = {(r.query_id, r.id): r.rank for r in ret.rerank(scored).collect()}
     assert (got[(1, 11)], got[(1, 12)], got[(1, 10)]) == (1, 2, 3)
     assert (got[(2, 20)], got[(2, 21)]) == (1, 2)      # a missing document keeps recall order
 
@@ -62,3 +63,13 @@ def test_script_search_filters_on_scenario(spark):
     got = ret.script_search(df, df, k=3).collect()
     assert all(r.scenario == "s" + str(r.query_id % 2) for r in got)
     assert len(got) == 40 * 3
+
+
+def test_pandas_pair_scorer_plugin_and_failure(spark):
+    rows = [(1, 1, 10, "q", "aa"), (1, 2, 11, "q", "aaaa"), (2, 1, 20, "q", "x"), (2, 2, 21, "q", None)]
+    df = spark.createDataFrame(rows, "query_id long, rank int, id long, query_text string, content string")
+    scorer = ret.pandas_pair_scorer(lambda: (lambda qs, ds: [len(d) for d in ds]), "len-pairs")
+    got = {(r.query_id, r.id): r.rank for r in ret.rerank(
+        df.withColumn("score", scorer(F.col("query_text"), F.col("content")))).collect()}
+    assert (got[(1, 11)], got[(1, 10)]) == (1, 2)
+    assert (got[(2, 20)], got[(2, 21)]) == (1, 2)
