@@ -174,3 +174,6 @@ ORACLE["promotion_eligibility"] = with_views(["v_users"], [
     ("tagged", f"SELECT id FROM v_users WHERE list_contains(coalesce({_tags('identity_tags')}, CAST([] AS VARCHAR[])), 'price_sensitive')")], """
 SELECT s.user_id, round(s.spend, 2) AS spend, CAST(r.rule_id AS INTEGER) AS rule_id, CAST(r.min_spend AS DOUBLE) AS min_spend
 FROM tagged t JOIN spend s ON s.user_id = t.id JOIN rules r ON s.spend >= r.min_spend""")
+
+ORACLE["send_gate_stream"] = ORACLE["send_gate"]
+ORACLE["retry_routing_stream"] = ORACLE["retry_routing"]

@@ -166,3 +166,47 @@ def q_promotion_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     rules = aud.promotion_rules(spark, aud.rules_json(PROMOTION_THRESHOLDS))
     e = aud.promotion_eligibility(V.v_users(spark, sf), spend, rules)
     return e.select("user_id", F.round("spend", 2).alias("spend"), "rule_id", "min_spend")
+
+
+def _events_glob(sf: str) -> str:
+    from intentlane.sources.tables import table_path
+    return table_path(sf, "events").replace("/events.parquet", "/[e]vents.parquet")
+
+
+@register("send_gate_stream")
+def q_send_gate_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """GOV-3 on the click events replayed as a file stream (available-now)."""
+    from intentlane.session import scratch_path
+    from intentlane.sources.tables import read_table_stream
+    from intentlane.streaming.gate_stream import send_gate_stream
+    ev = read_table_stream(spark, _events_glob(sf), "event_id", "user_id", "event_type", "ts")
+    req = (ev.filter(F.col("event_type") == "click")
+           .select("event_id", F.col("user_id").cast("string").alias("user_id"), "ts"))
+    req = _t(req).select("event_id", "user_id", "t_us")
+    out = send_gate_stream(req, P.TEST_MESSAGE_LIMIT_US, watermark="30 days")
+    base = scratch_path(spark, "send-gate-stream")
+    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@register("retry_routing_stream")
+def q_retry_routing_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """RTY routing in foreachBatch over the results replayed as a stream;
+    the four route outputs are read back together."""
+    from intentlane.session import scratch_path
+    from intentlane.sources.tables import read_table_stream
+    from intentlane.streaming.retry_stream import start_retry_router
+    ev = read_table_stream(spark, _events_glob(sf), "event_id", "user_id", "event_type")
+    results = ev.select(
+        "event_id", F.col("user_id").cast("string").alias("user_id"),
+        (F.col("event_id") % 5).cast("int").alias("attempt"),
+        (F.col("event_type") != "error").alias("success"),
+        F.when(F.col("event_type") == "error", F.lit("boom")).alias("error"))
+    base = scratch_path(spark, "retry-router")
+    start_retry_router(results, f"{base}/out", f"{base}/checkpoint", P.TEST_NOW_MS).awaitTermination()
+    r = spark.read.parquet(f"{base}/out/*/batch=*")
+    return r.select("event_id", "user_id", "route", "attempt",
+                    F.col("next_retry_at_ms").cast("double").alias("next_retry_at_ms"),
+                    F.col("failed_at_ms").cast("double").alias("failed_at_ms"), "last_error", "source")

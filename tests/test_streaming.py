@@ -46,3 +46,37 @@ def test_stream_equals_batch_and_restarts(spark, tmp_dir):
     got = _rows(spark.read.parquet(f"{base}/out"))
     want = _rows(flatten_intents(detect_high_intent(V.v_behavior(spark, SF), p)))
     assert got == want
+
+
+def test_gate_stream_equals_batch(spark, tmp_dir):
+    from intentlane.operators.governance import send_gate
+    from intentlane.streaming.gate_stream import send_gate_stream
+    from intentlane.sources.tables import read_table_stream
+    src_dir = os.path.join(tmp_dir, "src")
+    _split_by_day(spark, src_dir, range(1, 32))
+    ev = read_table_stream(spark, f"{src_dir}/*/*.parquet", "event_id", "user_id", "event_type", "ts",
+                           max_files_per_trigger=3)
+    req = (ev.filter(F.col("event_type") == "click")
+           .select("event_id", F.col("user_id").cast("string").alias("user_id"), "ts"))
+    req = with_time_us(req, "ts").select("event_id", "user_id", "t_us")
+    out = send_gate_stream(req, P.TEST_MESSAGE_LIMIT_US, watermark="30 days")
+    base = os.path.join(tmp_dir, "gate")
+    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r.event_id, r.allowed) for r in spark.read.parquet(f"{base}/out").collect())
+    breq = with_time_us(V.v_requests(spark, SF), "ts").select("event_id", "user_id", "t_us")
+    want = sorted((r.event_id, r.allowed) for r in send_gate(breq, P.TEST_MESSAGE_LIMIT_US).collect())
+    assert got == want
+
+
+def test_retry_router_replay_is_idempotent(spark, tmp_dir):
+    from intentlane.streaming.retry_stream import route_batch
+    res = spark.createDataFrame(
+        [(1, "u", 0, False, "boom"), (2, "u", 3, False, "x"), (3, "u", 1, True, None)],
+        "event_id long, user_id string, attempt int, success boolean, error string")
+    run = route_batch(tmp_dir, now_ms=1000)
+    run(res, 7)
+    run(res, 7)          # the same batch delivered again
+    got = sorted((r.event_id, r.route) for r in spark.read.parquet(f"{tmp_dir}/*/batch=*").collect())
+    assert got == [(1, "retry"), (2, "dead_letter"), (3, "done")]
