@@ -52,3 +52,17 @@ def epoch_number_to_us(num: Column) -> Column:
     is 1973)."""
     return (F.when(num < F.lit(1e11), F.round(num * F.lit(1e6)))
             .otherwise(F.round(num * F.lit(1e3)))).cast("long")
+
+
+def raw_time_range(df, col: str, lo_us: int | None = None, hi_us: int | None = None,
+                   hi_inclusive: bool = False) -> Column:
+    """``lo_us <= col < hi_us`` (or ``<=``) on the raw time column, with
+    literals of its own type so the predicate is pushed to the scan."""
+    dtype = df.schema[col].dataType
+    cond = F.lit(True)
+    if lo_us is not None:
+        cond = cond & (F.col(col) >= time_literal(lo_us, dtype))
+    if hi_us is not None:
+        hi = time_literal(hi_us, dtype)
+        cond = cond & ((F.col(col) <= hi) if hi_inclusive else (F.col(col) < hi))
+    return cond

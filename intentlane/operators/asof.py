@@ -18,23 +18,26 @@ from pyspark.sql import functions as F
 def _bucketed(left: DataFrame, right: DataFrame, keys: list[str], t_col: str, horizon_us: int,
               bucket_factor: int, forward: bool) -> tuple[DataFrame, int]:
     width = horizon_us * max(1, bucket_factor)
-    b = F.floor(F.col(t_col) / F.lit(width)).cast("long")
-    lft = left.withColumn("_b", b).withColumn("_k", F.lit(1)).withColumn("_rt", F.lit(None).cast("long"))
-    rgt = right.select(*keys, t_col).withColumn("_b", b).withColumn("_k", F.lit(0)) \
-        .withColumn("_rt", F.col(t_col))
+    t = F.col(t_col)
+    home = F.floor(t / F.lit(width)).cast("long")
+    lft = left.withColumn("_b", home).withColumn("_k", F.lit(1)) \
+        .withColumn("_rt", F.lit(None).cast("long"))
     if forward:
-        # right rows within the horizon after a bucket start serve the previous bucket
-        edge = rgt.filter(F.col(t_col) <= F.col("_b") * F.lit(width) + F.lit(horizon_us)) \
-            .withColumn("_b", F.col("_b") - 1)
+        # right rows within the horizon after a bucket start also serve the previous bucket
+        edge = t <= home * F.lit(width) + F.lit(horizon_us)
+        other = home - 1
     else:
-        edge = rgt.filter(F.col(t_col) > (F.col("_b") + 1) * F.lit(width) - F.lit(horizon_us)) \
-            .withColumn("_b", F.col("_b") + 1)
+        # right rows within the horizon before a bucket end also serve the next bucket
+        edge = t > (home + 1) * F.lit(width) - F.lit(horizon_us)
+        other = home + 1
+    rgt = (right.select(*keys, t_col)
+           .withColumn("_b", F.explode(F.when(edge, F.array(home, other)).otherwise(F.array(home))))
+           .withColumn("_k", F.lit(0)).withColumn("_rt", F.col(t_col)))
     cols = lft.columns
-    rgt_full = rgt.unionByName(edge)
     for c in cols:
-        if c not in rgt_full.columns:
-            rgt_full = rgt_full.withColumn(c, F.lit(None).cast(lft.schema[c].dataType))
-    return lft.unionByName(rgt_full.select(*cols)), width
+        if c not in rgt.columns:
+            rgt = rgt.withColumn(c, F.lit(None).cast(lft.schema[c].dataType))
+    return lft.unionByName(rgt.select(*cols)), width
 
 
 def prev_within(left: DataFrame, right: DataFrame, keys: list[str], t_col: str, horizon_us: int,

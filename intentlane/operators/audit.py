@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intentlane.functions.text import parse_tags
+from intentlane.functions.time import raw_time_range
 from intentlane.operators.asof import next_within
 
 
@@ -30,8 +31,11 @@ def cart_abandon(behavior_t: DataFrame, timeout_us: int, as_of_us: int,
                  cart_action: str = "add_to_cart", buy_action: str = "purchase") -> DataFrame:
     """DOC-2: add-to-cart rows with no purchase of the same user in
     (t, t + timeout], reported once the timeout has passed by ``as_of``."""
-    carts = behavior_t.filter((F.col("action") == cart_action)
-                              & (F.col("t_us") + F.lit(timeout_us) <= F.lit(as_of_us)))
+    due = F.col("t_us") + F.lit(timeout_us) <= F.lit(as_of_us)
+    if "event_time" in behavior_t.columns:     # same bound on the raw column: pushed to the scan
+        due = due & raw_time_range(behavior_t, "event_time", hi_us=as_of_us - timeout_us,
+                                   hi_inclusive=True)
+    carts = behavior_t.filter((F.col("action") == cart_action) & due)
     buys = behavior_t.filter(F.col("action") == buy_action).select("user_id", "t_us")
     checked = next_within(carts, buys, ["user_id"], "t_us", timeout_us, out_col="_next_buy")
     return (checked.filter(F.col("_next_buy").isNull())
@@ -45,8 +49,10 @@ def realtime_profile(behavior_t: DataFrame, as_of_us: int, horizon_us: int,
     realtime_interest = most frequent SKU (ties: smallest), event count, and
     price_sensitive = mean price below ``cheap_price``. Pre-aggregated per
     (user, sku) before the per-user step."""
-    recent = behavior_t.filter((F.col("t_us") >= F.lit(as_of_us - horizon_us))
-                               & (F.col("t_us") < F.lit(as_of_us)))
+    in_range = (F.col("t_us") >= F.lit(as_of_us - horizon_us)) & (F.col("t_us") < F.lit(as_of_us))
+    if "event_time" in behavior_t.columns:     # same bounds on the raw column: pushed to the scan
+        in_range = in_range & raw_time_range(behavior_t, "event_time", as_of_us - horizon_us, as_of_us)
+    recent = behavior_t.filter(in_range)
     per_sku = recent.groupBy("user_id", "sku_id").agg(F.count(F.lit(1)).alias("c"))
     top = per_sku.groupBy("user_id").agg(
         F.min_by("sku_id", F.struct((-F.col("c")).alias("nc"), F.col("sku_id"))).alias("realtime_interest"))
@@ -69,19 +75,29 @@ def promotion_rules(spark: SparkSession, rules: list[tuple[int, str, str]]) -> D
     return df.withColumn("min_spend", F.from_json("condition_json", "min_spend double")["min_spend"])
 
 
+MAX_RULES = 10_000
+
+
 def promotion_eligibility(users: DataFrame, spend: DataFrame, rules: DataFrame,
                           only_tag: str = "price_sensitive") -> DataFrame:
     """DOC-5: for users carrying ``only_tag``, every rule whose min_spend their
-    spend reaches. The rules table is a handful of configuration rows
-    (checked below), so it is broadcast for the non-equi join."""
-    n_rules = rules.count()
-    if n_rules > 10_000:
-        raise ValueError("promotion rules are configuration; too many rows to broadcast")
+    spend reaches. The rules are configuration rows (their count is checked
+    against ``MAX_RULES``), so they become an array literal and each user row
+    keeps the matching ones with ``filter`` + ``explode``: a theta match with
+    no join at all."""
+    picked = rules.select("rule_id", "min_spend").limit(MAX_RULES + 1).collect()
+    if len(picked) > MAX_RULES:
+        raise ValueError("promotion rules are configuration; too many rows to inline")
+    lit_rules = F.array(*[F.struct(F.lit(r["rule_id"]).cast("int").alias("rule_id"),
+                                   F.lit(r["min_spend"]).cast("double").alias("min_spend"))
+                          for r in picked]) if picked else \
+        F.array().cast("array<struct<rule_id:int,min_spend:double>>")
     tagged = users.filter(F.array_contains(parse_tags(F.col("identity_tags")), only_tag)) \
         .select(F.col("id").alias("user_id"))
     s = tagged.join(spend, "user_id")
-    r = F.broadcast(rules.select("rule_id", "min_spend"))
-    return s.join(r, s["spend"] >= r["min_spend"], "inner")
+    hit = F.explode(F.filter(lit_rules, lambda r: r["min_spend"] <= F.col("spend")))
+    return s.select("user_id", "spend", hit.alias("_r")).select(
+        "user_id", "spend", F.col("_r.rule_id").alias("rule_id"), F.col("_r.min_spend").alias("min_spend"))
 
 
 def rules_json(thresholds: list[float]) -> list[tuple[int, str, str]]:
