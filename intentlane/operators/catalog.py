@@ -123,3 +123,18 @@ def script_documents(scripts: DataFrame) -> DataFrame:
     text = F.format_string(P.SCRIPT_DOC_TEMPLATE, scenario, F.col("content"))
     return kept.select(F.sha2(text, 256).alias("id"), scenario.alias("scenario"),
                        tags.alias("tags"), text.alias("text"))
+
+
+def ingest_product_knowledge(existing: DataFrame, batch: DataFrame, now_us: int,
+                             encoder=None) -> tuple[DataFrame, DataFrame]:
+    """CAT-7: CAT-1 upsert of the batch into the table, then CAT-5 documents
+    and RET-1 vectors of the same batch for the index (SNK-4). Returns (new
+    table version, vectors to upsert); the reference reports the table count
+    only, which is ``new_table.count()`` at the caller."""
+    from intentlane.operators.retrieval import embed
+    table = product_upsert(existing, batch, now_us)
+    key = F.coalesce(F.col("id").cast("string"), F.col("sku_id")) if "id" in batch.columns \
+        else F.col("sku_id")
+    keyed = batch.withColumn("sku_id", key).filter(F.col("sku_id").isNotNull())
+    docs = catalog_documents(keyed)
+    return table, embed(docs, "document", encoder=encoder)

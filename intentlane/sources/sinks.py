@@ -42,3 +42,19 @@ def write_stream_sink(df: DataFrame, fmt: str, checkpoint: str, **options):
     for k, v in options.items():
         w = w.option(k, v)
     return w
+
+
+def retry_envelopes(routed: DataFrame, events: DataFrame, key: str = "event_id") -> DataFrame:
+    """SNK-2 payloads: ``routed`` (output of ``route_results``) joined back to
+    the original ``events`` rows, as JSON envelopes per route: retry ->
+    {event, attempt, next_retry_at, last_error[, source]}; dead letter ->
+    {event, attempt, failed_at, last_error, source}. Columns: route, key,
+    value."""
+    ev = events.select(key, F.struct(*[c for c in events.columns]).alias("event"))
+    j = routed.filter(F.col("route").isin("retry", "dead_letter")).join(ev, key)
+    retry = F.to_json(F.struct("event", "attempt", F.col("next_retry_at_ms").alias("next_retry_at"),
+                               "last_error", "source"))
+    dead = F.to_json(F.struct("event", "attempt", F.col("failed_at_ms").alias("failed_at"),
+                              "last_error", "source"))
+    return j.select("route", F.col("user_id").cast("string").alias("key"),
+                    F.when(F.col("route") == "retry", retry).otherwise(dead).alias("value"))

@@ -31,3 +31,45 @@ def read_table_stream(spark: SparkSession, path: str, *columns: str,
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = reader.parquet(path)
     return df.select(*columns) if columns else df
+
+
+SCRIPT_SCHEMA = "scenario string, content string, tags string"
+
+
+def read_scripts_json(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-6: a UTF-8 JSON array of {scenario, content, tags} objects, with a
+    declared schema (no inference)."""
+    return spark.read.option("multiLine", True).option("encoding", "UTF-8") \
+        .schema(SCRIPT_SCHEMA).json(path)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
+              lower: int | None = None, upper: int | None = None, num_partitions: int = 64,
+              **props: str) -> DataFrame:
+    """SRC-4 / SRC-5 from the operational database: a partitioned JDBC scan
+    (``partition_column`` between ``lower`` and ``upper`` split into
+    ``num_partitions`` range queries) so no single task reads the table.
+    Needs the database's JDBC driver on the classpath."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    if partition_column is not None:
+        reader = (reader.option("partitionColumn", partition_column)
+                  .option("lowerBound", str(lower)).option("upperBound", str(upper))
+                  .option("numPartitions", str(num_partitions)))
+    for k, v in props.items():
+        reader = reader.option(k, v)
+    return reader.load()
+
+
+def write_behavior_history(behavior: DataFrame, path: str, time_col: str = "event_time") -> str:
+    """SRC-7 storage: behaviour history as parquet partitioned by event date,
+    so the activity horizon filter prunes whole partitions."""
+    from pyspark.sql import functions as F
+    (behavior.withColumn("event_date", F.to_date(F.col(time_col)))
+     .repartition("event_date").write.mode("errorifexists").partitionBy("event_date").parquet(path))
+    return path
+
+
+def read_behavior_history(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-7: the partitioned history; filter on ``event_date`` (and on the
+    time column) to prune partitions and row groups."""
+    return spark.read.parquet(path)
