@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,42 +39,78 @@ STATE_SCHEMA = T.StructType([
 ])
 
 
+def _fold_sorted(times_prev: np.ndarray, t: np.ndarray, last_fire, p: P.IntentParams):
+    """Counts and fires for new rows ``t`` (sorted, all >= the retained
+    window times ``times_prev``): window counts by binary search over the
+    concatenated times, then fire-to-fire jumps over the qualifying rows."""
+    all_t = np.concatenate([times_prev, t])
+    idx = np.arange(len(times_prev), len(all_t))
+    n = idx + 1 - np.searchsorted(all_t, t - p.window_us, side="right")
+    q = np.flatnonzero(n >= p.threshold)
+    fires = []
+    if len(q):
+        qt = t[q]
+        i = 0 if last_fire is None else int(np.searchsorted(qt, last_fire + p.cooldown_us, "left"))
+        while i < len(qt):
+            fires.append(int(q[i]))
+            last_fire = int(qt[i])
+            i = int(np.searchsorted(qt, last_fire + p.cooldown_us, "left"))
+    keep_from = int(np.searchsorted(all_t, all_t[-1] - p.window_us, side="right"))
+    return n, fires, last_fire, all_t[keep_from:]
+
+
+def _fold_rows(times: list, t: np.ndarray, last_fire, p: P.IntentParams):
+    """Row-by-row fold, used when rows arrive older than the retained window."""
+    times = list(times)
+    n_out, fires = [], []
+    for i, tv in enumerate(t.tolist()):
+        times.append(tv)
+        times = [x for x in times if x > tv - p.window_us]
+        n = len(times)
+        n_out.append(n)
+        if n >= p.threshold and (last_fire is None or tv >= last_fire + p.cooldown_us):
+            last_fire = tv
+            fires.append(i)
+    return np.asarray(n_out), fires, last_fire, np.asarray(times, dtype=np.int64)
+
+
 def _processor(p: P.IntentParams):
+    cols = [f.name for f in OUT_SCHEMA.fields]
+
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         if state.exists:
-            times, last_fire = state.get
-            times = list(times or [])
+            prev, last_fire = state.get
+            prev = np.asarray(prev or [], dtype=np.int64)
         else:
-            times, last_fire = [], None
+            prev, last_fire = np.zeros(0, dtype=np.int64), None
         pdf = pd.concat(list(batches), ignore_index=True)
         if pdf.empty:
             return
-        pdf = pdf.sort_values(["t_us", "event_id"], kind="mergesort")
-        out = []
-        start = 0
-        for row in pdf.itertuples(index=False):
-            t = int(row.t_us)
-            times.append(t)
-            while start < len(times) and times[start] <= t - p.window_us:
-                start += 1
-            n = len(times) - start
-            if n >= p.threshold and (last_fire is None or t >= last_fire + p.cooldown_us):
-                last_fire = t
-                out.append((key[0], int(row.event_id), p.event_type, p.reason, t,
-                            row.action if isinstance(row.action, str) else P.CONTEXT_DEFAULT_ACTION,
-                            row.sku_id if isinstance(row.sku_id, str) else P.CONTEXT_DEFAULT_SKU,
-                            float(row.price) if pd.notna(row.price) else P.CONTEXT_DEFAULT_PRICE,
-                            n))
-        times = times[start:]
-        state.update((times, last_fire))
-        horizon_us = max(times[-1] + p.window_us,
+        pdf = pdf.sort_values(["t_us", "event_id"], kind="mergesort").reset_index(drop=True)
+        t = pdf["t_us"].to_numpy(dtype=np.int64)
+        if len(prev) and t[0] < prev[-1]:
+            n, fires, last_fire, kept = _fold_rows(prev.tolist(), t, last_fire, p)
+        else:
+            n, fires, last_fire, kept = _fold_sorted(prev, t, last_fire, p)
+        state.update((kept.tolist(), last_fire))
+        horizon_us = max(int(kept[-1]) + p.window_us if len(kept) else 0,
                          (last_fire + p.cooldown_us) if last_fire is not None else 0)
         state.setTimeoutTimestamp(horizon_us // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in OUT_SCHEMA.fields])
+        if fires:
+            f = pdf.iloc[fires]
+            yield pd.DataFrame({
+                "user_id": [key[0]] * len(f),
+                "event_id": f["event_id"].astype("int64").to_numpy(),
+                "event_type": p.event_type, "reason": p.reason,
+                "event_time_us": f["t_us"].astype("int64").to_numpy(),
+                "last_action": f["action"].fillna(P.CONTEXT_DEFAULT_ACTION).to_numpy(),
+                "sku_id": f["sku_id"].fillna(P.CONTEXT_DEFAULT_SKU).to_numpy(),
+                "price": f["price"].astype("float64").fillna(P.CONTEXT_DEFAULT_PRICE).to_numpy(),
+                "recent_clicks": n[fires].astype("int64"),
+            }, columns=cols)
     return fold
 
 
