@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intentlane.session import ensure_checkpoint_dir
+from intentlane.session import ensure_checkpoint_dir, ship_package
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -150,6 +150,7 @@ def _cooldown_scan(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
     """Hash-partition by key, sort by (key, t, tie), and jump from fire to
     fire with a binary search inside each key's run of rows; only the last
     fire time is carried across Arrow batches."""
+    ship_package(cand.sparkSession)
     schema = cand.schema
 
     def fold(batches):
@@ -191,6 +192,7 @@ def compound_cap(req: DataFrame, keys: list[str], t_col: str, tie_col: str,
     """Add ``allowed``: a request becomes a send unless a send happened in
     (t - gap, t] or the sends in (t - window, t] are more than
     ``max_in_window`` (or at least, when ``strict_more_than`` is False)."""
+    ship_package(req.sparkSession)
     out_schema = T.StructType(req.schema.fields + [T.StructField("allowed", T.BooleanType())])
     limit = max_in_window if strict_more_than else max_in_window - 1
 

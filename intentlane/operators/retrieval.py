@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intentlane import params as P
+from intentlane.session import ship_package
 from intentlane.functions.text import is_blank, split_selling_points
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
@@ -74,6 +75,7 @@ def pandas_encoder(model_factory: Callable[[], Callable[[list[str]], np.ndarray]
             yield pd.Series(list(mat.astype(np.float32)))
 
     def encode(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+        ship_package(df.sparkSession)
         return df.withColumn(out_col, _embed(F.col(text_col)))
 
     return encode
@@ -123,6 +125,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i_id: st
     those values, i.e. an equality metadata pre-filter applied before
     ranking). Returns query_id, id, distance (1 - cosine), rank (1..k) by
     (distance, id)."""
+    ship_package(queries.sparkSession)
     pcols = list(partition_cols or [])
     n_q = queries.count()
     n_i = index.count()

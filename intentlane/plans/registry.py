@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
+from intentlane.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
@@ -17,7 +21,13 @@ def register(key: str):
     def deco(fn: QueryFn) -> QueryFn:
         if key in QUERIES:
             raise KeyError(f"duplicate query key {key}")
-        QUERIES[key] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         return fn
     return deco
 

@@ -55,3 +55,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     checkpoints and materialised intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``intentlane`` importable in Python workers (functions pickled by
+    reference into ``mapInPandas`` / state functions import it there): zip
+    the package once per SparkContext and distribute it with ``addPyFile``,
+    the same as ``--py-files`` on a cluster."""
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="intentlane-pyfiles-")
+    zpath = os.path.join(out_dir, "intentlane.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)

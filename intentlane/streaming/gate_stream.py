@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from intentlane import params as P
+from intentlane.session import ship_package
 
 STATE = T.StructType([T.StructField("last_send", T.LongType())])
 
@@ -23,6 +24,7 @@ STATE = T.StructType([T.StructField("last_send", T.LongType())])
 def send_gate_stream(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US,
                      watermark: str = "1 hour") -> DataFrame:
     """requests: (event_id, user_id, t_us) -> same + allowed."""
+    ship_package(requests.sparkSession)
     out_schema = T.StructType([T.StructField("event_id", T.LongType()),
                                T.StructField("user_id", T.StringType()),
                                T.StructField("t_us", T.LongType()),

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from intentlane import params as P
+from intentlane.session import ship_package
 
 OUT_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()),
@@ -119,6 +120,7 @@ def detect_high_intent_stream(events: DataFrame, p: P.IntentParams = P.IntentPar
     """Streaming promotions from a stream of (user_id, event_id, t_us,
     action, sku_id, price). The watermark bounds how late a user's rows may
     arrive; older rows are not folded."""
+    ship_package(events.sparkSession)
     src = (events.select("user_id", "event_id", "t_us", "action", "sku_id",
                          F.col("price").cast("double").alias("price"))
            .withColumn("event_ts", F.timestamp_micros("t_us"))
