@@ -48,3 +48,27 @@ def due(pending: DataFrame, now_ms: int, next_col: str = "next_retry_at_ms") ->
     """RTY-3: NULL next_retry_at counts as 0; due when <= now. Rows not yet
     due stay pending (head-of-line blocking is not reproduced)."""
     return pending.withColumn("due", F.coalesce(F.col(next_col), F.lit(0)) <= F.lit(now_ms))
+
+
+def decode_envelopes(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """RTY-5: retry-topic envelopes from JSON text. ``status`` is 'ok', or
+    'invalid' (unparsable JSON, or ``event`` missing / not an object): such
+    messages are dropped and counted as consumed. Columns: event (JSON text
+    of the event object), user_id, attempt (NULL -> 0), next_retry_at_ms
+    (NULL -> 0), last_error, source, status."""
+    v = F.try_parse_json(F.col(value_col))
+    ev = F.try_variant_get(v, "$.event", "variant")
+    is_obj = F.coalesce(F.schema_of_variant(ev).startswith("OBJECT"), F.lit(False))
+    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & is_obj
+    others = [c for c in raw.columns if c != value_col]
+    return raw.select(
+        *others,
+        F.when(ok, F.to_json(ev)).alias("event"),
+        F.when(ok, F.coalesce(F.try_variant_get(ev, "$.user_id", "string"),
+                              F.try_variant_get(ev, "$.userId", "string"))).alias("user_id"),
+        F.when(ok, F.coalesce(F.try_variant_get(v, "$.attempt", "int"), F.lit(0))).alias("attempt"),
+        F.when(ok, F.coalesce(F.try_variant_get(v, "$.next_retry_at", "long"), F.lit(0)))
+        .alias("next_retry_at_ms"),
+        F.when(ok, F.try_variant_get(v, "$.last_error", "string")).alias("last_error"),
+        F.when(ok, F.try_variant_get(v, "$.source", "string")).alias("source"),
+        F.when(ok, F.lit("ok")).otherwise(F.lit("invalid")).alias("status"))

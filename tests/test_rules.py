@@ -149,3 +149,16 @@ def test_product_upsert_semantics(spark):
             got["a"].created_at_us, got["a"].updated_at_us) == ("new2", "z", 5.0, 3, 10, 99)
     assert (got["b"].name, got["b"].updated_at_us) == ("keep", 10)
     assert (got["c"].name, got["c"].created_at_us) == ("fresh", 99)
+
+
+def test_retry_envelope_decoding(spark):
+    msgs = ['{"event":{"user_id":"u1","event_type":"X"},"attempt":2,"next_retry_at":5,"last_error":"e"}',
+            '{"event":"not an object","attempt":1}', 'garbage', '{"attempt":1}',
+            '{"event":{"userId":"u2"}}']
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(msgs)], "i int, value string")
+    got = {r.i: r for r in rty.decode_envelopes(df).collect()}
+    assert (got[0].status, got[0].user_id, got[0].attempt, got[0].next_retry_at_ms) == ("ok", "u1", 2, 5)
+    assert [got[i].status for i in (1, 2, 3)] == ["invalid"] * 3
+    assert (got[4].user_id, got[4].attempt, got[4].next_retry_at_ms) == ("u2", 0, 0)
+    due = rty.due(rty.decode_envelopes(df).filter("status = 'ok'"), now_ms=4)
+    assert {r.i: r.due for r in due.collect()} == {0: False, 4: True}
