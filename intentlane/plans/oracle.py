@@ -174,6 +174,13 @@ SELECT request_id, has_cached, has_profile AS has_persistent, both_ AS has_combi
 FROM ctx""")
 
 _L = P.CONTEXT_TEXT_LABELS
+
+
+def _fill(template: str, *args: str) -> str:
+    from intentlane.plans.oracle_catalog import fill_template
+    return fill_template(template, *args)
+
+
 ORACLE["context_text"] = with_views(["v_users", "v_behavior", "v_profile_requests"],
                                     [_ACT, _PROF, _PERS, _SNAP, _CTX], f"""
 SELECT request_id, CASE WHEN has_profile THEN
@@ -182,7 +189,7 @@ SELECT request_id, CASE WHEN has_profile THEN
   chr(10) || '{_L[2]}' || coalesce(spending_tier, 'None') ||
   chr(10) || '{_L[3]}' || array_to_string(tags, ', ') ||
   chr(10) || '{_L[4]}' || coalesce(CAST(doc AS VARCHAR), 'None') || chr(10)
-  ELSE '未找到用户 ' || request_id || ' 的信息' END AS text
+  ELSE {_fill(P.CONTEXT_TEXT_MISSING, 'request_id')} END AS text
 FROM ctx""")
 
 

@@ -59,11 +59,26 @@ def flags(desc: str) -> str:
             f"THEN '{P.FLAG_SALE}' ELSE '' END)")
 
 
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fill_template(template: str, *args: str) -> str:
+    """SQL concatenation filling the ``%s`` slots of a fixed template."""
+    parts = template.split("%s")
+    assert len(parts) == len(args) + 1
+    out = [_sql_text(parts[0])]
+    for a, lit in zip(args, parts[1:]):
+        out += [a, _sql_text(lit)]
+    return " || ".join(x for x in out if x != "''")
+
+
 def docs_sql(src: str, points: str) -> str:
     """CAT-5 over ``src`` with ``points`` = SQL for the joined selling points."""
-    return f"""SELECT sku_id AS id,
-  '分类: ' || coalesce(category, '') || '. 商品: ' || coalesce(name, 'null') || '. 价格等级: ' || {tier('price')} ||
-  '. 特点: ' || {points} || {flags('description')} || '. 描述: ' || coalesce(description, '') AS document,
+    doc = fill_template(P.PRODUCT_DOC_TEMPLATE, "coalesce(category, '')", "coalesce(name, 'null')",
+                        tier("price"), f"{points} || {flags('description')}",
+                        "coalesce(description, '')")
+    return f"""SELECT sku_id AS id, {doc} AS document,
   sku_id AS m_product_id, name AS m_name, coalesce(category, '') AS m_category,
   CAST(coalesce(CAST(price AS DOUBLE), 0.0) AS VARCHAR) AS m_price, {points} AS m_selling_points_str
 FROM {src}"""
@@ -79,7 +94,7 @@ SELECT CASE WHEN count(*) > 0 THEN 'success' ELSE 'skipped' END AS status, count
 
 ORACLE["script_documents"] = with_views(["v_scripts"], [
     ("s", f"""SELECT coalesce(scenario, '{P.DEFAULT_SCRIPT_SCENARIO}') AS scenario, coalesce(tags, '') AS tags,
-  '场景: ' || coalesce(scenario, '{P.DEFAULT_SCRIPT_SCENARIO}') || '. 内容: ' || content AS text
+  {fill_template(P.SCRIPT_DOC_TEMPLATE, f"coalesce(scenario, '{P.DEFAULT_SCRIPT_SCENARIO}')", "content")} AS text
 FROM v_scripts WHERE content IS NOT NULL AND NOT regexp_full_match(content, '\\s*')""")],
     "SELECT sha256(text) AS id, scenario, tags, text FROM s")
 
@@ -148,6 +163,7 @@ ORACLE["search_text"] = with_views(["v_queries", "v_index", "v_products"], _PS_C
     ("blocks", f"""SELECT query_id, string_agg(chr(10) || '{_SL[0]}' || CAST(new_rank AS VARCHAR) || ':' ||
   chr(10) || '{_SL[1]}' || coalesce(name, 'None') || chr(10) || '{_SL[2]}' || coalesce(category, 'None') ||
   chr(10) || '{_SL[3]}' || CAST(price AS VARCHAR) || chr(10) || '{_SL[4]}' || array_to_string(points, '; ') || chr(10),
-  chr(10) ORDER BY new_rank) AS text FROM ps GROUP BY query_id""")], """
-SELECT q.id AS query_id, coalesce(b.text, '未找到与 ''' || coalesce(q.query_text, 'None') || ''' 相关的商品') AS text
+  chr(10) ORDER BY new_rank) AS text FROM ps GROUP BY query_id""")], f"""
+SELECT q.id AS query_id,
+  coalesce(b.text, {fill_template(P.SEARCH_TEXT_MISSING, "coalesce(q.query_text, 'None')")}) AS text
 FROM qt q LEFT JOIN blocks b ON b.query_id = q.id""")
