@@ -109,7 +109,7 @@ def q_high_intent_stream(spark: SparkSession, sf: str) -> DataFrame:
     """INT-5: the events table replayed as a file stream (available-now),
     folded with per-user state, written to a parquet sink under the shared
     checkpoint folder and read back."""
-    from intentlane.session import scratch_path
+    from intentlane.session import scratch_path, state_partitions
     from intentlane.sources.tables import table_path
     from intentlane.streaming.intent_stream import detect_high_intent_stream
     # a glob: the file stream source takes a directory or a pattern, not a file
@@ -117,8 +117,9 @@ def q_high_intent_stream(spark: SparkSession, sf: str) -> DataFrame:
     src = intent_ops.with_time_us(V.v_behavior(spark, sf, stream_path=glob))
     out = detect_high_intent_stream(src, P.TEST_INTENT, watermark="30 days")
     base = scratch_path(spark, "high-intent-stream")
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
-         .trigger(availableNow=True).start())
+    with state_partitions(spark):
+        q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")

@@ -176,7 +176,7 @@ def _events_glob(sf: str) -> str:
 @register("send_gate_stream")
 def q_send_gate_stream(spark: SparkSession, sf: str) -> DataFrame:
     """GOV-3 on the click events replayed as a file stream (available-now)."""
-    from intentlane.session import scratch_path
+    from intentlane.session import scratch_path, state_partitions
     from intentlane.sources.tables import read_table_stream
     from intentlane.streaming.gate_stream import send_gate_stream
     ev = read_table_stream(spark, _events_glob(sf), "event_id", "user_id", "event_type", "ts")
@@ -185,8 +185,9 @@ def q_send_gate_stream(spark: SparkSession, sf: str) -> DataFrame:
     req = _t(req).select("event_id", "user_id", "t_us")
     out = send_gate_stream(req, P.TEST_MESSAGE_LIMIT_US, watermark="30 days")
     base = scratch_path(spark, "send-gate-stream")
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    with state_partitions(spark):
+        q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 

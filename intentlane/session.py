@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -81,3 +82,19 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
     _SHIPPED.add(app)
+
+
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """Start a stateful stream with ``n`` state partitions (default: the
+    cluster's parallelism) without changing the caller's session for good.
+    The stream copies the session configuration when it starts and records
+    the partition count in its checkpoint, so the previous value is restored
+    right after ``start()``."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
