@@ -177,3 +177,10 @@ FROM tagged t JOIN spend s ON s.user_id = t.id JOIN rules r ON s.spend >= r.min_
 
 ORACLE["send_gate_stream"] = ORACLE["send_gate"]
 ORACLE["retry_routing_stream"] = ORACLE["retry_routing"]
+
+ORACLE["cart_abandon_stream"] = with_views(["v_behavior"], [
+    BT, ("mx", "SELECT CAST(floor(max(t_us) / 1000.0) AS BIGINT) * 1000 AS as_of FROM bt")], f"""
+SELECT c.event_id, c.user_id, c.t_us, c.t_us + {TMO} AS deadline_us FROM bt c JOIN mx ON c.t_us + {TMO} <= mx.as_of
+WHERE c.action = 'add_to_cart'
+  AND NOT EXISTS (SELECT 1 FROM bt p WHERE p.action = 'purchase' AND p.user_id = c.user_id
+                  AND p.t_us > c.t_us AND p.t_us <= c.t_us + {TMO})""")

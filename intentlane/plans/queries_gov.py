@@ -211,3 +211,20 @@ def q_retry_routing_stream(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("event_id", "user_id", "route", "attempt",
                     F.col("next_retry_at_ms").cast("double").alias("next_retry_at_ms"),
                     F.col("failed_at_ms").cast("double").alias("failed_at_ms"), "last_error", "source")
+
+
+@register("cart_abandon_stream")
+def q_cart_abandon_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """DOC-2 on the events replayed as a stream: carts are emitted by
+    event-time timers once the watermark (zero delay: the latest event time in
+    whole milliseconds) passes their deadline."""
+    from intentlane.session import scratch_path, state_partitions
+    from intentlane.streaming.cart_stream import cart_abandon_stream
+    src = intent_ops.with_time_us(V.v_behavior(spark, sf, stream_path=_events_glob(sf)))
+    out = cart_abandon_stream(src, P.TEST_CART_TIMEOUT_US)
+    base = scratch_path(spark, "cart-abandon-stream")
+    with state_partitions(spark):
+        q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")

@@ -80,3 +80,24 @@ def test_retry_router_replay_is_idempotent(spark, tmp_dir):
     run(res, 7)          # the same batch delivered again
     got = sorted((r.event_id, r.route) for r in spark.read.parquet(f"{tmp_dir}/*/batch=*").collect())
     assert got == [(1, "retry"), (2, "dead_letter"), (3, "done")]
+
+
+def test_cart_abandon_stream_equals_batch(spark, tmp_dir):
+    from intentlane.operators.audit import cart_abandon
+    from intentlane.streaming.cart_stream import cart_abandon_stream
+    src_dir = os.path.join(tmp_dir, "src")
+    _split_by_day(spark, src_dir, range(1, 32))
+    timeout = 2 * P.US_PER_DAY
+    src = with_time_us(V.v_behavior(spark, SF, stream_path=f"{src_dir}/*/*.parquet",
+                                    max_files_per_trigger=4))
+    out = cart_abandon_stream(src, timeout)
+    base = os.path.join(tmp_dir, "cart")
+    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 4
+    got = sorted(r.event_id for r in spark.read.parquet(f"{base}/out").collect())
+    b = with_time_us(V.v_behavior(spark, SF))
+    wm_us = (b.agg(F.max("t_us")).first()[0] // 1000) * 1000
+    want = sorted(r.event_id for r in cart_abandon(b, timeout, wm_us).collect())
+    assert got == want and len(got) > 0
