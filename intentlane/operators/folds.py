@@ -114,14 +114,17 @@ SCAN_MAX_ROWS_PER_KEY = 2_000_000
 def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
                     cooldown_us: int, strategy: str = "auto",
                     scan_max_rows_per_key: int = SCAN_MAX_ROWS_PER_KEY,
-                    max_rows_per_key: int | None = None) -> DataFrame:
+                    max_rows_per_key: int | None = None, presorted: bool = False) -> DataFrame:
     """Rows of ``cand`` that fire under the greedy cooldown. ``tie_col`` must
     be unique within a key.
 
     ``auto`` checks the largest key first (``max_rows_per_key`` when the
     caller knows an upper bound, e.g. from the raw input, else one aggregate
     over ``cand``): the one-pass scan when every key fits a task
-    comfortably, pointer doubling (no bound on a key) beyond that."""
+    comfortably, pointer doubling (no bound on a key) beyond that.
+    ``presorted``: the caller guarantees rows are hash-partitioned by ``keys``
+    and each key's rows are contiguous and in (t, tie) order within a
+    partition, so the scan needs no shuffle or sort of its own."""
     if cooldown_us <= 0:
         raise ValueError("cooldown_us must be positive")
     if strategy not in ("auto", "scan", "doubling"):
@@ -131,7 +134,7 @@ def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
             max_rows_per_key = (cand.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
         strategy = "scan" if max_rows_per_key <= scan_max_rows_per_key else "doubling"
     if strategy == "scan":
-        return _cooldown_scan(cand, keys, t_col, tie_col, cooldown_us)
+        return _cooldown_scan(cand, keys, t_col, tie_col, cooldown_us, presorted)
     # the candidates feed several jobs below: materialise them once
     cand = _checkpoint(cand)
     # fires are >= C apart, so a key fires at most once per bucket of width C:
@@ -146,7 +149,7 @@ def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
 
 
 def _cooldown_scan(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
-                   cooldown_us: int) -> DataFrame:
+                   cooldown_us: int, presorted: bool = False) -> DataFrame:
     """Hash-partition by key, sort by (key, t, tie), and jump from fire to
     fire with a binary search inside each key's run of rows; only the last
     fire time is carried across Arrow batches."""
@@ -181,8 +184,9 @@ def _cooldown_scan(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
                 last_key, last_fire = kv, lf
             yield pdf[keep]
 
-    n = cand.sparkSession.sparkContext.defaultParallelism
-    return (cand.repartition(n, *keys).sortWithinPartitions(*keys, t_col, tie_col)
+    if presorted:
+        return cand.mapInPandas(fold, schema=schema)
+    return (cand.repartition(*keys).sortWithinPartitions(*keys, t_col, tie_col)
             .mapInPandas(fold, schema=schema))
 
 
@@ -217,6 +221,5 @@ def compound_cap(req: DataFrame, keys: list[str], t_col: str, tie_col: str,
                 allowed.append(ok)
             yield pdf.assign(allowed=allowed)
 
-    n = req.sparkSession.sparkContext.defaultParallelism
-    return (req.repartition(n, *keys).sortWithinPartitions(*keys, t_col, tie_col)
+    return (req.repartition(*keys).sortWithinPartitions(*keys, t_col, tie_col)
             .mapInPandas(fold, schema=out_schema))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from intentlane import params as P
 from intentlane.functions.time import epoch_us_of
-from intentlane.operators.folds import greedy_cooldown
+from intentlane.operators.folds import SCAN_MAX_ROWS_PER_KEY, greedy_cooldown
 from intentlane.operators.sliding import sliding_count
 
 
@@ -17,7 +17,8 @@ def with_time_us(behavior: DataFrame, time_col: str = "event_time", out: str = "
 
 
 def sliding_click_count(behavior: DataFrame, window_us: int = P.WINDOW_US,
-                        by_action: bool = False, actions: list[str] | None = None) -> DataFrame:
+                        by_action: bool = False, actions: list[str] | None = None,
+                        partition_by: list[str] | None = None) -> DataFrame:
     """INT-1 (every action counted, as the reference does) or DOC-1
     (``by_action``: one window per user and action). ``actions`` optionally
     restricts the counted actions."""
@@ -25,7 +26,8 @@ def sliding_click_count(behavior: DataFrame, window_us: int = P.WINDOW_US,
     if actions is not None:
         b = b.filter(F.col("action").isin(actions))
     keys = ["user_id", "action"] if by_action else ["user_id"]
-    return sliding_count(b, keys, "t_us", "event_id", window_us, out_col="n")
+    return sliding_count(b, keys, "t_us", "event_id", window_us, out_col="n",
+                         partition_by=partition_by)
 
 
 def detect_high_intent(behavior: DataFrame, p: P.IntentParams = P.IntentParams(),
@@ -34,15 +36,23 @@ def detect_high_intent(behavior: DataFrame, p: P.IntentParams = P.IntentParams()
 
     Columns: user_id, event_id, event_type, reason, event_time_us,
     context (last_action, sku_id, price), recent_clicks."""
-    counted = sliding_click_count(behavior, p.window_us)
-    qualifying = counted.filter(F.col("n") >= p.threshold)
-    hint = None
     if strategy == "auto":
         # events per user bound the candidates per user: one cheap aggregate
         # over the raw input decides between the scan and pointer doubling
-        hint = behavior.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    fired = greedy_cooldown(qualifying, ["user_id"], "t_us", "event_id", p.cooldown_us,
-                            strategy=strategy, max_rows_per_key=hint)
+        biggest = behavior.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+        strategy = "scan" if biggest <= SCAN_MAX_ROWS_PER_KEY else "doubling"
+    if strategy == "scan":
+        # no hot user: partition by user once; the sliding windows and the
+        # fold both run on that layout (one shuffle, one sort for the job)
+        counted = sliding_click_count(behavior, p.window_us, partition_by=["user_id"])
+        qualifying = counted.filter(F.col("n") >= p.threshold)
+        fired = greedy_cooldown(qualifying, ["user_id"], "t_us", "event_id", p.cooldown_us,
+                                strategy="scan", presorted=True)
+    else:
+        counted = sliding_click_count(behavior, p.window_us)
+        qualifying = counted.filter(F.col("n") >= p.threshold)
+        fired = greedy_cooldown(qualifying, ["user_id"], "t_us", "event_id", p.cooldown_us,
+                                strategy=strategy)
     return promotion_projection(fired, p)
 
 

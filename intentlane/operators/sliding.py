@@ -18,11 +18,16 @@ from pyspark.sql import functions as F
 
 
 def sliding_count(df: DataFrame, keys: list[str], t_col: str, tie_col: str,
-                  window_us: int, out_col: str = "n", bucket_factor: int = 8) -> DataFrame:
+                  window_us: int, out_col: str = "n", bucket_factor: int = 8,
+                  partition_by: list[str] | None = None) -> DataFrame:
     """Add ``out_col`` = count of same-key rows in (t - window_us, t].
 
     ``t_col`` is epoch microseconds (long); ``tie_col`` orders equal times
-    (arrival order)."""
+    (arrival order). Rows are hash-partitioned by (keys, bucket) -- or by
+    ``partition_by`` (a subset of ``keys``) when the caller wants a coarser
+    layout it can reuse -- and sorted once by (keys, bucket, t, tie), which
+    every window of the operator accepts; the output keeps that layout (rows
+    of a key contiguous and in time order within each partition)."""
     if window_us <= 0:
         raise ValueError("window_us must be positive")
     bucket_us = window_us * max(1, int(bucket_factor))
@@ -35,13 +40,15 @@ def sliding_count(df: DataFrame, keys: list[str], t_col: str, tie_col: str,
             .withColumn("_b", F.explode(F.when(edge, F.array(home, home + 1))
                                         .otherwise(F.array(home))))
             .withColumn("_ctx", F.col("_b") != F.col("_home")).drop("_home"))
+    # one shuffle and one sort serve all three windows below
+    laid_out = (both.repartition(*(partition_by or [*keys, "_b"]))
+                .sortWithinPartitions(*keys, "_b", t_col, tie_col))
     w_range = (Window.partitionBy(*keys, "_b").orderBy(t)
                .rangeBetween(-(window_us - 1), 0))
     w_peer = Window.partitionBy(*keys, "_b", t_col)
     w_peer_order = w_peer.orderBy(F.col(tie_col))
-    counted = both.withColumn(
+    counted = laid_out.withColumn(
         out_col,
         F.count(F.lit(1)).over(w_range)
-        - (F.count(F.lit(1)).over(w_peer) - F.row_number().over(w_peer_order)),
-    )
+        - (F.count(F.lit(1)).over(w_peer) - F.row_number().over(w_peer_order)))
     return counted.filter(~F.col("_ctx")).drop("_b", "_ctx")
