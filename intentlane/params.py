@@ -60,6 +60,14 @@ SEARCH_TEXT_LABELS = ("商品 ", "- 名称: ", "- 分类: ", "- 价格: ", "- 
 SEARCH_TEXT_MISSING = "未找到与 '%s' 相关的商品"
 ACTION_SMS = "SMS_SENT"
 ACTION_SKIP = "SKIP_MARKETING"
+TOPIC_BEHAVIOR = "behavior-normal"
+TOPIC_INTENT = "intent-high"
+TOPIC_RETRY = "intent-high-retry"
+TOPIC_DEAD_LETTER = "intent-high-dlq"
+PRODUCER_ACKS = "all"
+PRODUCER_RETRIES = 3
+PRODUCER_LINGER_MS = 10
+PRODUCER_BATCH_BYTES = 16384
 # ---------------------------------------------------------------------------
 
 

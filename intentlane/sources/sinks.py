@@ -58,3 +58,20 @@ def retry_envelopes(routed: DataFrame, events: DataFrame, key: str = "event_id")
                               "last_error", "source"))
     return j.select("route", F.col("user_id").cast("string").alias("key"),
                     F.when(F.col("route") == "retry", retry).otherwise(dead).alias("value"))
+
+
+def kafka_intent_sink(intents: DataFrame, servers: str, checkpoint: str,
+                      topic: str | None = None):
+    """SNK-1: promotions keyed by user id (per-user order within a partition)
+    to the intent topic with the producer settings of the reference (acks
+    all, 3 retries, 10 ms linger, 16 KiB batches). The query checkpoint
+    commits offsets and state together; delivery is at least once, so
+    consumers de-duplicate on (user_id, event time). Needs the Kafka
+    connector on the classpath."""
+    from intentlane import params as P
+    return write_stream_sink(
+        intents_to_wire(intents), "kafka", checkpoint,
+        **{"kafka.bootstrap.servers": servers, "topic": topic or P.TOPIC_INTENT,
+           "kafka.acks": P.PRODUCER_ACKS, "kafka.retries": str(P.PRODUCER_RETRIES),
+           "kafka.linger.ms": str(P.PRODUCER_LINGER_MS),
+           "kafka.batch.size": str(P.PRODUCER_BATCH_BYTES)})

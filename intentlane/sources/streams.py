@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intentlane import params as P
 from intentlane.operators.normalize import decode_intents, normalize_behavior
 
 
@@ -24,16 +25,16 @@ def kafka_source(spark: SparkSession, servers: str, topic: str,
                     "partition", "offset", "timestamp"))
 
 
-def kafka_behavior(spark: SparkSession, servers: str, topic: str = "behavior-normal") -> DataFrame:
+def kafka_behavior(spark: SparkSession, servers: str, topic: str = P.TOPIC_BEHAVIOR) -> DataFrame:
     """SRC-1 + NRM-1: behaviour stream from the earliest offset, normalised."""
     return normalize_behavior(kafka_source(spark, servers, topic, "earliest"))
 
 
-def kafka_intents(spark: SparkSession, servers: str, topic: str = "intent-high") -> DataFrame:
+def kafka_intents(spark: SparkSession, servers: str, topic: str = P.TOPIC_INTENT) -> DataFrame:
     """SRC-2 + NRM-2: intent stream from the latest offset, decoded."""
     return decode_intents(kafka_source(spark, servers, topic, "latest"))
 
 
-def kafka_retries(spark: SparkSession, servers: str, topic: str = "intent-high-retry") -> DataFrame:
+def kafka_retries(spark: SparkSession, servers: str, topic: str = P.TOPIC_RETRY) -> DataFrame:
     """SRC-3: the retry topic; its own query, hence its own checkpoint."""
     return kafka_source(spark, servers, topic, "earliest")
