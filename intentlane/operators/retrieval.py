@@ -89,6 +89,11 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding",
 
 # --------------------------------------------------------------------- RET-2
 def _local_topk(k: int, q_id: str, i_id: str, sub_rows: int = 1024):
+    """Per (query block, index block): float64 cosine distances by one matrix
+    product per slice of ``sub_rows`` queries, then each query's k nearest by
+    (distance rounded to 1e-9, id) -- the key the final window uses. One
+    ``argpartition`` and one ``lexsort`` over the whole slice; only rows with
+    ties at the k-th distance take an exact per-row pass."""
     def run(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
         if q.empty or ix.empty:
             return pd.DataFrame({"_qid": [], "_iid": [], "_dist": []})
@@ -97,24 +102,31 @@ def _local_topk(k: int, q_id: str, i_id: str, sub_rows: int = 1024):
         qn = np.sqrt((qm * qm).sum(axis=1))
         inn = np.sqrt((im * im).sum(axis=1))
         iids = ix["_iid"].to_numpy()
-        kk = min(k, len(ix))
+        qids = q["_qid"].to_numpy()
+        n_i = len(iids)
+        kk = min(k, n_i)
         out_q, out_i, out_d = [], [], []
         for s in range(0, len(qm), sub_rows):
-            dots = qm[s:s + sub_rows] @ im.T
-            dist = 1.0 - dots / np.outer(qn[s:s + sub_rows], inn)
-            # order by (distance at 1e-9, id) -- the same key the final window uses
+            dist = 1.0 - (qm[s:s + sub_rows] @ im.T) / np.outer(qn[s:s + sub_rows], inn)
             key = np.round(dist, 9)
-            for r in range(dist.shape[0]):
-                cand = np.argpartition(key[r], kk - 1)[:kk] if kk < len(iids) else np.arange(len(iids))
-                # keep every id tied with the k-th key so the id tie-break stays exact
-                kth = key[r][cand].max()
-                cand = np.nonzero(key[r] <= kth)[0]
-                order = np.lexsort((iids[cand], key[r][cand]))[:kk]
-                sel = cand[order]
-                out_q.extend([q["_qid"].iat[s + r]] * len(sel))
-                out_i.extend(iids[sel].tolist())
-                out_d.extend(dist[r][sel].tolist())
-        return pd.DataFrame({"_qid": out_q, "_iid": out_i, "_dist": out_d})
+            rows = np.arange(dist.shape[0])[:, None]
+            sel = (np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < n_i
+                   else np.tile(np.arange(n_i), (dist.shape[0], 1)))
+            sel_key = key[rows, sel]
+            order = np.lexsort((iids[sel], sel_key), axis=1)
+            sel = np.take_along_axis(sel, order, axis=1)
+            if kk < n_i:
+                # ties at the k-th key: the partition may have kept the wrong ids
+                kth = sel_key.max(axis=1)
+                tied = np.flatnonzero((key <= kth[:, None]).sum(axis=1) > kk)
+                for r in tied.tolist():
+                    cand = np.flatnonzero(key[r] <= kth[r])
+                    sel[r] = cand[np.lexsort((iids[cand], key[r][cand]))[:kk]]
+            out_q.append(np.repeat(qids[s:s + sub_rows], kk))
+            out_i.append(iids[sel].ravel())
+            out_d.append(dist[rows, sel].ravel())
+        return pd.DataFrame({"_qid": np.concatenate(out_q), "_iid": np.concatenate(out_i),
+                             "_dist": np.concatenate(out_d)})
     return run
 
 

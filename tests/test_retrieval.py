@@ -73,3 +73,21 @@ def test_pandas_pair_scorer_plugin_and_failure(spark):
         df.withColumn("score", scorer(F.col("query_text"), F.col("content")))).collect()}
     assert (got[(1, 11)], got[(1, 10)]) == (1, 2)
     assert (got[(2, 20)], got[(2, 21)]) == (1, 2)
+
+
+def test_knn_ties_break_by_id(spark):
+    base = _vectors(6, 4, 9)
+    ix = np.concatenate([base] * 5)                     # every vector five times
+    order = np.random.default_rng(3).permutation(len(ix))
+    ix = ix[order]
+    idf = spark.createDataFrame([(int(i), ix[i].tolist()) for i in range(len(ix))],
+                                "id long, embedding array<float>")
+    qdf = spark.createDataFrame([(100 + i, base[i].tolist()) for i in range(6)],
+                                "id long, embedding array<float>")
+    got = ret.knn(qdf, idf, 7, block_rows=8).collect()
+    ii, qq = ix.astype(np.float64), base.astype(np.float64)
+    dist = 1 - (qq @ ii.T) / np.outer(np.linalg.norm(qq, axis=1), np.linalg.norm(ii, axis=1))
+    for i in range(6):
+        want = [int(j) for j in np.lexsort((np.arange(len(ix)), np.round(dist[i], 9)))[:7]]
+        have = [r.id for r in sorted((r for r in got if r.query_id == 100 + i), key=lambda r: r.rank)]
+        assert have == want
