@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +38,14 @@ def send_gate_stream(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US,
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t_us", "event_id"],
                                                                       kind="mergesort")
-        allowed = []
-        for t in pdf["t_us"].tolist():
-            ok = last is None or t >= last + period_us
-            if ok:
-                last = int(t)
-            allowed.append(ok)
+        t = pdf["t_us"].to_numpy(dtype=np.int64)
+        allowed = np.zeros(len(t), dtype=bool)
+        # jump from send to send with a binary search (the greedy cooldown)
+        i = 0 if last is None else int(np.searchsorted(t, last + period_us, "left"))
+        while i < len(t):
+            allowed[i] = True
+            last = int(t[i])
+            i = int(np.searchsorted(t, last + period_us, "left"))
         if last is not None:
             state.update((last,))
             state.setTimeoutTimestamp((last + period_us) // 1000 + 1)
