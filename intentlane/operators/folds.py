@@ -114,7 +114,8 @@ SCAN_MAX_ROWS_PER_KEY = 2_000_000
 def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
                     cooldown_us: int, strategy: str = "auto",
                     scan_max_rows_per_key: int = SCAN_MAX_ROWS_PER_KEY,
-                    max_rows_per_key: int | None = None, presorted: bool = False) -> DataFrame:
+                    max_rows_per_key: int | None = None, presorted: bool = False,
+                    mark_col: str | None = None) -> DataFrame:
     """Rows of ``cand`` that fire under the greedy cooldown. ``tie_col`` must
     be unique within a key.
 
@@ -124,7 +125,9 @@ def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
     comfortably, pointer doubling (no bound on a key) beyond that.
     ``presorted``: the caller guarantees rows are hash-partitioned by ``keys``
     and each key's rows are contiguous and in (t, tie) order within a
-    partition, so the scan needs no shuffle or sort of its own."""
+    partition, so the scan needs no shuffle or sort of its own.
+    ``mark_col``: keep every row and flag the fires in this boolean column
+    (instead of returning the fires only)."""
     if cooldown_us <= 0:
         raise ValueError("cooldown_us must be positive")
     if strategy not in ("auto", "scan", "doubling"):
@@ -134,7 +137,7 @@ def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
             max_rows_per_key = (cand.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
         strategy = "scan" if max_rows_per_key <= scan_max_rows_per_key else "doubling"
     if strategy == "scan":
-        return _cooldown_scan(cand, keys, t_col, tie_col, cooldown_us, presorted)
+        return _cooldown_scan(cand, keys, t_col, tie_col, cooldown_us, presorted, mark_col)
     # the candidates feed several jobs below: materialise them once
     cand = _checkpoint(cand)
     # fires are >= C apart, so a key fires at most once per bucket of width C:
@@ -145,16 +148,22 @@ def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
         return cand
     nxt = next_at_or_after(cand, keys, t_col, tie_col, cooldown_us)
     fired = _chain_from_first(cand, nxt, keys, t_col, tie_col, max_chain)
-    return cand.join(fired, on=[*keys, tie_col], how="left_semi")
+    if mark_col is None:
+        return cand.join(fired, on=[*keys, tie_col], how="left_semi")
+    flag = fired.withColumn(mark_col, F.lit(True))
+    return (cand.join(flag, on=[*keys, tie_col], how="left")
+            .withColumn(mark_col, F.coalesce(F.col(mark_col), F.lit(False))))
 
 
 def _cooldown_scan(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
-                   cooldown_us: int, presorted: bool = False) -> DataFrame:
+                   cooldown_us: int, presorted: bool = False,
+                   mark_col: str | None = None) -> DataFrame:
     """Hash-partition by key, sort by (key, t, tie), and jump from fire to
     fire with a binary search inside each key's run of rows; only the last
     fire time is carried across Arrow batches."""
     ship_package(cand.sparkSession)
-    schema = cand.schema
+    schema = cand.schema if mark_col is None else T.StructType(
+        cand.schema.fields + [T.StructField(mark_col, T.BooleanType())])
 
     def fold(batches):
         last_key = None
@@ -182,7 +191,7 @@ def _cooldown_scan(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
                     lf = int(seg[i])
                     i = int(np.searchsorted(seg, lf + cooldown_us, "left"))
                 last_key, last_fire = kv, lf
-            yield pdf[keep]
+            yield pdf[keep] if mark_col is None else pdf.assign(**{mark_col: keep})
 
     if presorted:
         return cand.mapInPandas(fold, schema=schema)

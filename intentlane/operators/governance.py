@@ -49,10 +49,8 @@ def send_gate(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US, t_col: s
               tie_col: str = "event_id", strategy: str = "auto") -> DataFrame:
     """GOV-3: check-then-record over a stream of attempts: an allowed attempt
     becomes a send and blocks the period after it (the greedy cooldown)."""
-    fired = greedy_cooldown(requests, ["user_id"], t_col, tie_col, period_us, strategy=strategy)
-    flag = fired.select("user_id", tie_col, F.lit(True).alias("_fired"))
-    return (requests.join(flag, ["user_id", tie_col], "left")
-            .withColumn("allowed", F.coalesce("_fired", F.lit(False))).drop("_fired"))
+    return greedy_cooldown(requests, ["user_id"], t_col, tie_col, period_us, strategy=strategy,
+                           mark_col="allowed")
 
 
 def compound_gate(requests: DataFrame, gap_us: int = P.COMPOUND_GAP_US,

@@ -117,3 +117,14 @@ def test_property_matches_sorted_set(spark, evs):
     out = detect_high_intent(_behavior(spark, rows), p, strategy="doubling")
     counts, fired = sorted_set_detector(rows, p.window_us, p.threshold, p.cooldown_us)
     assert {r.event_id for r in out.collect()} == fired
+
+
+def test_mark_col_both_strategies(spark):
+    rows = [("u", i * 1_000_000, i) for i in range(50)] + [("v", i * 7_000_000, 100 + i) for i in range(20)]
+    df = _events(spark, rows)
+    _, want = sorted_set_detector(rows, 1, 1, 10_000_000)
+    for strategy in ("scan", "doubling"):
+        out = greedy_cooldown(df, ["user_id"], "t_us", "event_id", 10_000_000, strategy=strategy,
+                              mark_col="fired").collect()
+        assert len(out) == len(rows)
+        assert {r.event_id for r in out if r.fired} == want, strategy
