@@ -57,10 +57,10 @@ def persistent_profiles(requests: DataFrame, users: DataFrame, behavior: DataFra
     req = requests.withColumn("_uid", parse_user_id(F.col(request_col)))
     prof = users.select(
         F.col("id").alias("_uid"), "name", "spending_tier",
-        parse_tags(F.col("identity_tags")).alias("identity_tags"))
+        parse_tags(F.col("identity_tags")).alias("identity_tags"), F.lit(True).alias("_found"))
     act = activity(behavior, as_of_us, lookback_us).withColumnRenamed("user_id", "_uid")
     joined = req.join(prof, "_uid", "left").join(act, "_uid", "left")
-    found = F.col("name").isNotNull() | F.col("spending_tier").isNotNull()
+    found = F.coalesce(F.col("_found"), F.lit(False))
     return joined.select(
         *requests.columns,
         F.when(found, F.col("_uid")).alias("id"),

@@ -78,7 +78,8 @@ def campaign_decision(intents: DataFrame, users: DataFrame, scripts: DataFrame,
     purchase; for cart the first usable script of cart_abandon, else
     price_drop (a one-row choice, broadcast)."""
     prof = users.select(F.col("id").alias("_uid"), "spending_tier",
-                        parse_tags(F.col("identity_tags")).alias("_tags"))
+                        parse_tags(F.col("identity_tags")).alias("_tags"),
+                        F.lit(True).alias("_found"))
     x = (intents.withColumn("_uid", parse_user_id(F.col("user_id")))
          .join(prof, "_uid", "left")
          .withColumn("scenario", route(F.col("last_action")))
@@ -98,7 +99,7 @@ def campaign_decision(intents: DataFrame, users: DataFrame, scripts: DataFrame,
     content = (F.when(product_like, F.concat(F.lit("sku:"), F.col("sku_id")))
                .when(F.col("scenario") == "cart",
                      F.concat(F.lit("script:"), F.col("_script").cast("string"))))
-    reason = (F.when(F.col("spending_tier").isNull(), F.lit("no_profile"))
+    reason = (F.when(F.col("_found").isNull(), F.lit("no_profile"))
               .when(F.col("scenario") == "unrouted", F.lit("unrouted_event"))
               .when(governed & F.col("_last_send").isNotNull(), F.lit("limit_reached"))
               .when((F.col("spending_tier") == "HIGH") & product_like
