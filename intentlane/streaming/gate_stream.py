@@ -36,9 +36,11 @@ def send_gate_stream(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US,
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t_us", "event_id"],
-                                                                      kind="mergesort")
-        t = pdf["t_us"].to_numpy(dtype=np.int64)
+        parts = list(batches)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        eid = pdf["event_id"].to_numpy(dtype=np.int64)
+        order = np.lexsort((eid, pdf["t_us"].to_numpy(dtype=np.int64)))
+        t = pdf["t_us"].to_numpy(dtype=np.int64)[order]
         allowed = np.zeros(len(t), dtype=bool)
         # jump from send to send with a binary search (the greedy cooldown)
         i = 0 if last is None else int(np.searchsorted(t, last + period_us, "left"))
@@ -49,9 +51,9 @@ def send_gate_stream(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US,
         if last is not None:
             state.update((last,))
             state.setTimeoutTimestamp((last + period_us) // 1000 + 1)
-        yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64"),
-                            "user_id": pdf["user_id"], "t_us": pdf["t_us"].astype("int64"),
-                            "allowed": allowed})
+        yield pd.DataFrame({"event_id": eid[order],
+                            "user_id": np.full(len(t), key[0], dtype=object),
+                            "t_us": t, "allowed": allowed})
 
     src = (requests.select("event_id", "user_id", "t_us")
            .withColumn("event_ts", F.timestamp_micros("t_us")).withWatermark("event_ts", watermark))

@@ -76,8 +76,6 @@ def _fold_rows(times: list, t: np.ndarray, last_fire, p: P.IntentParams):
 
 
 def _processor(p: P.IntentParams):
-    cols = [f.name for f in OUT_SCHEMA.fields]
-
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -87,11 +85,14 @@ def _processor(p: P.IntentParams):
             prev = np.asarray(prev or [], dtype=np.int64)
         else:
             prev, last_fire = np.zeros(0, dtype=np.int64), None
-        pdf = pd.concat(list(batches), ignore_index=True)
+        parts = list(batches)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         if pdf.empty:
             return
-        pdf = pdf.sort_values(["t_us", "event_id"], kind="mergesort").reset_index(drop=True)
-        t = pdf["t_us"].to_numpy(dtype=np.int64)
+        # numpy first: per-key pandas sorting and frame building dominate otherwise
+        t_raw = pdf["t_us"].to_numpy(dtype=np.int64)
+        order = np.lexsort((pdf["event_id"].to_numpy(dtype=np.int64), t_raw))
+        t = t_raw[order]
         if len(prev) and t[0] < prev[-1]:
             n, fires, last_fire, kept = _fold_rows(prev.tolist(), t, last_fire, p)
         else:
@@ -101,17 +102,23 @@ def _processor(p: P.IntentParams):
                          (last_fire + p.cooldown_us) if last_fire is not None else 0)
         state.setTimeoutTimestamp(horizon_us // 1000 + 1)
         if fires:
-            f = pdf.iloc[fires]
+            rows = order[np.asarray(fires)]
+            act = pdf["action"].to_numpy(dtype=object)[rows]
+            sku = pdf["sku_id"].to_numpy(dtype=object)[rows]
+            price = pdf["price"].to_numpy(dtype=np.float64)[rows]
             yield pd.DataFrame({
-                "user_id": [key[0]] * len(f),
-                "event_id": f["event_id"].astype("int64").to_numpy(),
-                "event_type": p.event_type, "reason": p.reason,
-                "event_time_us": f["t_us"].astype("int64").to_numpy(),
-                "last_action": f["action"].fillna(P.CONTEXT_DEFAULT_ACTION).to_numpy(),
-                "sku_id": f["sku_id"].fillna(P.CONTEXT_DEFAULT_SKU).to_numpy(),
-                "price": f["price"].astype("float64").fillna(P.CONTEXT_DEFAULT_PRICE).to_numpy(),
-                "recent_clicks": n[fires].astype("int64"),
-            }, columns=cols)
+                "user_id": np.full(len(rows), key[0], dtype=object),
+                "event_id": pdf["event_id"].to_numpy(dtype=np.int64)[rows],
+                "event_type": np.full(len(rows), p.event_type, dtype=object),
+                "reason": np.full(len(rows), p.reason, dtype=object),
+                "event_time_us": t_raw[rows],
+                "last_action": np.array([a if isinstance(a, str) else P.CONTEXT_DEFAULT_ACTION
+                                         for a in act], dtype=object),
+                "sku_id": np.array([x if isinstance(x, str) else P.CONTEXT_DEFAULT_SKU
+                                    for x in sku], dtype=object),
+                "price": np.where(np.isnan(price), P.CONTEXT_DEFAULT_PRICE, price),
+                "recent_clicks": np.asarray(n)[np.asarray(fires)].astype(np.int64),
+            })
     return fold
 
 
