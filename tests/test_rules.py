@@ -162,3 +162,18 @@ def test_retry_envelope_decoding(spark):
     assert (got[4].user_id, got[4].attempt, got[4].next_retry_at_ms) == ("u2", 0, 0)
     due = rty.due(rty.decode_envelopes(df).filter("status = 'ok'"), now_ms=4)
     assert {r.i: r.due for r in due.collect()} == {0: False, 4: True}
+
+
+def test_compound_cap_boundaries(spark):
+    h = 3_600_000_000
+    m = 60_000_000
+    # gap rule: 59 min after a send is blocked, 60 min is allowed
+    # count rule: sends at 0,1,2,3 h pass (3 earlier sends <= 3), the 4 h one sees 4 -> blocked;
+    # at exactly 24 h the 0 h send has left the window (t - 24 h, t] -> allowed
+    rows = [("g", 0, 1), ("g", 59 * m, 2), ("g", 60 * m, 3),
+            ("c", 0, 10), ("c", 1 * h, 11), ("c", 2 * h, 12), ("c", 3 * h, 13), ("c", 4 * h, 14),
+            ("c", 24 * h - 1, 15), ("c", 24 * h, 16)]
+    df = spark.createDataFrame(rows, "user_id string, t_us long, event_id long")
+    got = {r.event_id: r.allowed for r in gov.compound_gate(df).collect()}
+    assert got == {1: True, 2: False, 3: True, 10: True, 11: True, 12: True, 13: True, 14: False,
+                   15: False, 16: True}
