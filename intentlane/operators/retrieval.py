@@ -88,7 +88,7 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding",
 
 
 # --------------------------------------------------------------------- RET-2
-def _local_topk(k: int, q_id: str, i_id: str, sub_rows: int = 1024):
+def _local_topk(k: int, q_id: str, i_id: str, sub_rows: int = 256):
     """Per (query block, index block): float64 cosine distances by one matrix
     product per slice of ``sub_rows`` queries, then each query's k nearest by
     (distance rounded to 1e-9, id) -- the key the final window uses. One
