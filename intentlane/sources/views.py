@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentlane.sources.tables import read_table, read_table_stream, table_path
+from intentlane.sources.tables import read_table, read_table_stream
 
 
 def _s(c: str | Column) -> Column:
