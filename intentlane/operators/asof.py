@@ -20,8 +20,8 @@ def _bucketed(left: DataFrame, right: DataFrame, keys: list[str], t_col: str, ho
     width = horizon_us * max(1, bucket_factor)
     t = F.col(t_col)
     home = F.floor(t / F.lit(width)).cast("long")
-    lft = left.withColumn("_b", home).withColumn("_k", F.lit(1)) \
-        .withColumn("_rt", F.lit(None).cast("long"))
+    lft = left.select("*", home.alias("_b"), F.lit(1).alias("_k"),
+                      F.lit(None).cast("long").alias("_rt"))
     if forward:
         # right rows within the horizon after a bucket start also serve the previous bucket
         edge = t <= home * F.lit(width) + F.lit(horizon_us)
@@ -30,14 +30,16 @@ def _bucketed(left: DataFrame, right: DataFrame, keys: list[str], t_col: str, ho
         # right rows within the horizon before a bucket end also serve the next bucket
         edge = t > (home + 1) * F.lit(width) - F.lit(horizon_us)
         other = home + 1
-    rgt = (right.select(*keys, t_col)
-           .withColumn("_b", F.explode(F.when(edge, F.array(home, other)).otherwise(F.array(home))))
-           .withColumn("_k", F.lit(0)).withColumn("_rt", F.col(t_col)))
-    cols = lft.columns
-    for c in cols:
-        if c not in rgt.columns:
-            rgt = rgt.withColumn(c, F.lit(None).cast(lft.schema[c].dataType))
-    return lft.unionByName(rgt.select(*cols)), width
+    # one projection builds the right side in the left side's column order
+    fixed = {"_b": F.explode(F.when(edge, F.array(home, other)).otherwise(F.array(home))),
+             "_k": F.lit(0), "_rt": F.col(t_col)}
+    own = set(keys) | {t_col}
+    rgt = right.select(*[
+        fixed[f.name].alias(f.name) if f.name in fixed
+        else F.col(f.name) if f.name in own
+        else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in lft.schema.fields])
+    return lft.unionByName(rgt), width
 
 
 def prev_within(left: DataFrame, right: DataFrame, keys: list[str], t_col: str, horizon_us: int,

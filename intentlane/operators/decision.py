@@ -90,11 +90,10 @@ def campaign_decision(intents: DataFrame, users: DataFrame, scripts: DataFrame,
     x = prev_within(x, sends, ["user_id"], "t_us", limit_us, out_col="_last_send")
     usable = scripts.filter(F.col("scenario").isin(*P.CART_SCRIPT_SCENARIOS)
                             & ~is_blank(F.col("content")))
-    # a single scalar (the chosen script id) is resolved before planning
+    # the chosen script id is a scalar subquery: planned lazily, run once
     pick = usable.agg(F.min_by("id", F.struct(
         (F.col("scenario") != P.CART_SCRIPT_SCENARIOS[0]).alias("_p"), F.col("id"))).alias("_script"))
-    chosen = pick.first()["_script"]
-    x = x.withColumn("_script", F.lit(chosen).cast(scripts.schema["id"].dataType))
+    x = x.withColumn("_script", pick.scalar())
     product_like = F.col("scenario").isin([s for s, (r, _) in SCENARIO_PLAN.items() if r == "product"])
     content = (F.when(product_like, F.concat(F.lit("sku:"), F.col("sku_id")))
                .when(F.col("scenario") == "cart",

@@ -15,8 +15,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
+def table_schema(spark: SparkSession, path: str):
+    """The table's schema, inferred from the parquet footers once per path
+    and then declared on every later read (inference costs a footer pass per
+    read; the views read some tables several times per job)."""
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        schema = _SCHEMAS[path] = spark.read.parquet(path).schema
+    return schema
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    df = spark.read.schema(table_schema(spark, path)).parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -25,7 +39,7 @@ def read_table_stream(spark: SparkSession, path: str, *columns: str,
     """SRC-1 replay path: a file stream over parquet with the table's declared
     schema (taken from the footers, no inference). Kafka goes through
     ``intentlane.sources.streams.kafka_behavior`` instead."""
-    schema = spark.read.parquet(path).schema   # footers only
+    schema = table_schema(spark, path)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
