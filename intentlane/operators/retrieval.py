@@ -14,7 +14,6 @@ per side, whatever the data size, and no side is broadcast.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -139,22 +138,19 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i_id: st
     (distance, id)."""
     ship_package(queries.sparkSession)
     pcols = list(partition_cols or [])
-    n_q = queries.count()
-    n_i = index.count()
-    if n_q == 0 or n_i == 0:
-        schema = T.StructType([T.StructField("query_id", queries.schema[q_id].dataType),
-                               T.StructField("id", index.schema[i_id].dataType),
-                               T.StructField("distance", T.DoubleType()),
-                               T.StructField("rank", T.IntegerType())])
-        return queries.sparkSession.createDataFrame([], schema)
-    qb_n = max(1, math.ceil(n_q / block_rows))
-    ib_n = max(1, math.ceil(n_i / block_rows))
+    # block counts as scalar subqueries: sized from the data inside the job,
+    # no eager count before planning
+    def n_blocks(df: DataFrame) -> Column:
+        return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)))
+                      .cast("long")).scalar()
+    qb_n = n_blocks(queries)
+    ib_n = n_blocks(index)
     q = queries.select(*pcols, F.col(q_id).alias("_qid"), F.col(q_vec).alias("_qv"),
-                       F.pmod(F.xxhash64(F.col(q_id)), F.lit(qb_n)).alias("_qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(ib_n - 1))).alias("_ib"))
+                       F.pmod(F.xxhash64(F.col(q_id)), qb_n).alias("_qb"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), ib_n - 1)).alias("_ib"))
     ix = index.select(*pcols, F.col(i_id).alias("_iid"), F.col(i_vec).alias("_iv"),
-                      F.pmod(F.xxhash64(F.col(i_id)), F.lit(ib_n)).alias("_ib"),
-                      F.explode(F.sequence(F.lit(0), F.lit(qb_n - 1))).alias("_qb"))
+                      F.pmod(F.xxhash64(F.col(i_id)), ib_n).alias("_ib"),
+                      F.explode(F.sequence(F.lit(0).cast("long"), qb_n - 1)).alias("_qb"))
     out_schema = T.StructType([
         T.StructField("_qid", queries.schema[q_id].dataType),
         T.StructField("_iid", index.schema[i_id].dataType),
