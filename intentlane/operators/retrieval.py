@@ -4,7 +4,8 @@ rendering, for whole tables of queries.
 
 k-NN plan (RET-2). Exact top-k must score every (query, candidate) pair,
 but pairs are never materialised as rows: queries and index rows are cut
-into blocks whose size is fixed from the table counts (``block_rows``), each
+into blocks of about ``block_rows`` rows (the block counts are scalar
+subqueries over the table sizes, evaluated inside the job), each
 (query block, index block) pair meets in one cogroup task, a NumPy matrix
 product scores it in float64 and only each query's local top-k leaves the
 task; one window per query keeps the global top-k of at most
