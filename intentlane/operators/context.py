@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentlane import params as P
+from intentlane.functions import jsonx
 from intentlane.functions.text import parse_tags, parse_user_id
 from intentlane.functions.time import time_literal
 
@@ -87,8 +88,10 @@ def snapshot_lookup(requests: DataFrame, snapshot: DataFrame,
     """CTX-4: exact key match on the raw request text; missing, blank or
     malformed documents -> NULL ``cached``."""
     snap = snapshot.select(F.col("key").alias(request_col), "doc")
-    parsed = F.when(F.trim(F.coalesce("doc", F.lit(""))) != "",
-                    F.from_json("doc", SNAPSHOT_SCHEMA))
+    # from_json turns malformed text into an all-NULL struct, not NULL:
+    # require a JSON object first (a variant parse returns NULL on bad text)
+    is_obj = jsonx.is_object(jsonx.parse(F.col("doc")))
+    parsed = F.when(is_obj, F.from_json("doc", SNAPSHOT_SCHEMA))
     return (requests.join(snap, request_col, "left")
             .withColumn("cached", parsed))
 

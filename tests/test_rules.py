@@ -177,3 +177,14 @@ def test_compound_cap_boundaries(spark):
     got = {r.event_id: r.allowed for r in gov.compound_gate(df).collect()}
     assert got == {1: True, 2: False, 3: True, 10: True, 11: True, 12: True, 13: True, 14: False,
                    15: False, 16: True}
+
+
+def test_snapshot_lookup_malformed_is_null(spark):
+    from intentlane.operators.context import snapshot_lookup
+    snap = spark.createDataFrame(
+        [("1", '{"id":1,"name":"a","spending_tier":"HIGH","identity_tags":["x"]}'), ("2", "oops"),
+         ("3", "  "), ("4", "[1,2]"), ("5", None)], "key string, doc string")
+    req = spark.createDataFrame([(k,) for k in "123456"], "request_id string")
+    got = {r.request_id: r.cached for r in snapshot_lookup(req, snap).collect()}
+    assert got["1"].spending_tier == "HIGH" and got["1"].identity_tags == ["x"]
+    assert all(got[k] is None for k in "23456")
