@@ -128,3 +128,18 @@ def test_mark_col_both_strategies(spark):
                               mark_col="fired").collect()
         assert len(out) == len(rows)
         assert {r.event_id for r in out if r.fired} == want, strategy
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 30)), min_size=1, max_size=60),
+       st.integers(1, 3), st.integers(1, 7))
+def test_sliding_count_property(spark, evs, factor, window):
+    rows = [(u, t, i) for i, (u, t) in enumerate(evs)]          # many equal times -> ties
+    df = _events(spark, rows)
+    got = _counts(sliding_count(df, ["user_id"], "t_us", "event_id", window, bucket_factor=factor))
+    want = {}
+    for u, t, i in rows:
+        # same key, time in (t - window, t], equal times only up to this row's arrival order
+        want[i] = sum(1 for u2, t2, i2 in rows
+                      if u2 == u and t - window < t2 <= t and (t2 < t or i2 <= i))
+    assert got == want
