@@ -38,3 +38,16 @@ def kafka_intents(spark: SparkSession, servers: str, topic: str = P.TOPIC_INTENT
 def kafka_retries(spark: SparkSession, servers: str, topic: str = P.TOPIC_RETRY) -> DataFrame:
     """SRC-3: the retry topic; its own query, hence its own checkpoint."""
     return kafka_source(spark, servers, topic, "earliest")
+
+
+def dedupe_intents(intents: DataFrame, watermark: str = "1 hour",
+                   keys: tuple[str, ...] = ("user_id", "event_time_us")) -> DataFrame:
+    """Consumer side of the at-least-once intent topic: drop replayed
+    promotions by (user, event time). On a stream the de-duplication state is
+    bounded by the watermark (``dropDuplicatesWithinWatermark``); on a batch
+    it is a plain ``dropDuplicates`` (one shuffle on the keys)."""
+    if intents.isStreaming:
+        return (intents.withColumn("_ts", F.timestamp_micros(F.col("event_time_us")))
+                .withWatermark("_ts", watermark)
+                .dropDuplicatesWithinWatermark(list(keys)).drop("_ts"))
+    return intents.dropDuplicates(list(keys))

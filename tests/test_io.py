@@ -88,3 +88,17 @@ def test_ingest_both(spark):
     v = {r.id: r for r in vectors.collect()}
     assert set(v) == {"a", "b"} and len(v["a"].embedding) == 64
     assert v["a"].metadata.selling_points_str == "x"
+
+
+def test_dedupe_replayed_intents(spark, tmp_dir):
+    from intentlane.sources.streams import dedupe_intents
+    rows = [("u", 1, 100), ("u", 1, 100), ("u", 2, 200), ("v", 3, 100)]
+    df = spark.createDataFrame(rows, "user_id string, event_id long, event_time_us long")
+    assert dedupe_intents(df).count() == 3
+    path = os.path.join(tmp_dir, "intents")
+    df.write.parquet(path)
+    s = spark.readStream.schema(df.schema).parquet(path)
+    q = (dedupe_intents(s).writeStream.format("parquet").option("path", f"{path}-out")
+         .option("checkpointLocation", f"{path}-ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert spark.read.parquet(f"{path}-out").count() == 3
