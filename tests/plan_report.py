@@ -34,7 +34,9 @@ def main(sf_dir: str = "/root/testdata/sf0.01", out: str = "PLANS.md") -> None:
     lines = ["# PLANS — physical plan summary per query key", "",
              f"Generated by `python tests/plan_report.py` on `{sf_dir}` (initial adaptive plans: "
              "AQE may still turn shuffle joins into broadcasts and coalesce partitions at run time). "
-             "Streaming keys and the index sync write output and are listed without plans.", "",
+             "Streaming keys and the index sync write output and are listed without plans. "
+             "Shuffle counts include the plans of scalar subqueries (the k-NN block counts are "
+             "single-partition count aggregations over zero-column scans).", "",
              "| key | shuffles | broadcasts | Python stages | nested loop | scans: read schema / pushed filters |",
              "| --- | --- | --- | --- | --- | --- |"]
     for k, fn in E.queries().items():
