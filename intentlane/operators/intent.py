@@ -31,11 +31,14 @@ def sliding_click_count(behavior: DataFrame, window_us: int = P.WINDOW_US,
 
 
 def detect_high_intent(behavior: DataFrame, p: P.IntentParams = P.IntentParams(),
-                       strategy: str = "auto") -> DataFrame:
+                       strategy: str = "auto", actions: list[str] | None = None) -> DataFrame:
     """Promotions: one row per firing event.
 
     Columns: user_id, event_id, event_type, reason, event_time_us,
-    context (last_action, sku_id, price), recent_clicks."""
+    context (last_action, sku_id, price), recent_clicks. Every action counts
+    unless ``actions`` restricts the counted (and promotable) events."""
+    if actions is not None:
+        behavior = behavior.filter(F.col("action").isin(actions))
     if strategy == "auto":
         # events per user bound the candidates per user: one cheap aggregate
         # over the raw input decides between the scan and pointer doubling

@@ -143,3 +143,15 @@ def test_sliding_count_property(spark, evs, factor, window):
         want[i] = sum(1 for u2, t2, i2 in rows
                       if u2 == u and t - window < t2 <= t and (t2 < t or i2 <= i))
     assert got == want
+
+
+def test_optional_action_filter(spark):
+    t0 = 1_700_000_000_000_000
+    rows = [("u", t0 + i * 1_000_000, i) for i in range(12)]
+    df = spark.createDataFrame(rows, "user_id string, t_us long, event_id long").select(
+        "event_id", "user_id",
+        F.when(F.col("event_id") % 2 == 0, "view_item").otherwise("search").alias("action"),
+        F.lit("s").alias("sku_id"), F.lit(1.0).alias("price"),
+        F.timestamp_micros("t_us").alias("event_time"))
+    assert detect_high_intent(df, P.IntentParams()).count() == 1          # all 12 count
+    assert detect_high_intent(df, P.IntentParams(), actions=["view_item"]).count() == 0   # only 6
