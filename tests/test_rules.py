@@ -188,3 +188,15 @@ def test_snapshot_lookup_malformed_is_null(spark):
     got = {r.request_id: r.cached for r in snapshot_lookup(req, snap).collect()}
     assert got["1"].spending_tier == "HIGH" and got["1"].identity_tags == ["x"]
     assert all(got[k] is None for k in "23456")
+
+
+def test_activity_approximate_distinct_option(spark):
+    as_of = 1_706_659_200_000_000
+    rows = [("1", f"s{i % 7}", as_of - i * 1_000_000) for i in range(50)] + [("2", None, as_of - 5)]
+    df = spark.createDataFrame(rows, "user_id string, sku_id string, t long") \
+        .withColumn("event_time", F.timestamp_micros("t"))
+    exact = {r.user_id: (r.total_clicks_30d, r.unique_products_viewed_30d)
+             for r in activity(df, as_of, P.ACTIVITY_LOOKBACK_US).collect()}
+    approx = {r.user_id: (r.total_clicks_30d, r.unique_products_viewed_30d)
+              for r in activity(df, as_of, P.ACTIVITY_LOOKBACK_US, exact_distinct=False).collect()}
+    assert exact == approx == {1: (50, 7), 2: (1, 0)}
