@@ -40,9 +40,15 @@ def last_message_sent(sends: DataFrame, period_us: int = P.MESSAGE_LIMIT_US,
     ok = sends.filter(~is_blank(F.col("user_id")))
     agg = ok.groupBy("user_id").agg(F.max(t_col).alias("last_sent_us"),
                                     F.count(F.lit(1)).alias("n_sends"))
-    return agg.select("user_id", "last_sent_us",
+    good = agg.select("user_id", "last_sent_us",
                       (F.col("last_sent_us") + F.lit(period_us)).alias("expires_at_us"),
                       "n_sends", F.lit("success").alias("status"))
+    # a send record without a user is rejected, one error row per record
+    bad = sends.filter(is_blank(F.col("user_id"))).select(
+        "user_id", F.lit(None).cast("long").alias("last_sent_us"),
+        F.lit(None).cast("long").alias("expires_at_us"), F.lit(None).cast("long").alias("n_sends"),
+        F.lit("error").alias("status"))
+    return good.unionByName(bad)
 
 
 def send_gate(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US, t_col: str = "t_us",

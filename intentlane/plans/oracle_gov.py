@@ -27,7 +27,9 @@ FROM lim""")
 
 ORACLE["last_message_sent"] = with_views(["v_sends"], [SND], f"""
 SELECT user_id, max(t_us) AS last_sent_us, max(t_us) + {LIM} AS expires_at_us, count(*) AS n_sends,
-  'success' AS status FROM s GROUP BY user_id""")
+  'success' AS status FROM s WHERE user_id IS NOT NULL AND trim(user_id) <> '' GROUP BY user_id
+UNION ALL
+SELECT user_id, NULL, NULL, NULL, 'error' FROM s WHERE user_id IS NULL OR trim(user_id) = ''""")
 
 ORACLE["send_gate"] = with_views(["v_requests"], [REQ] + _greedy_ctes("r", LIM, "g"), """
 SELECT q.event_id, q.user_id, q.t_us, f.rk IS NOT NULL AS allowed

@@ -200,3 +200,9 @@ def test_activity_approximate_distinct_option(spark):
     approx = {r.user_id: (r.total_clicks_30d, r.unique_products_viewed_30d)
               for r in activity(df, as_of, P.ACTIVITY_LOOKBACK_US, exact_distinct=False).collect()}
     assert exact == approx == {1: (50, 7), 2: (1, 0)}
+
+
+def test_last_message_sent_rejects_blank_users(spark):
+    sends = spark.createDataFrame([("u", 5), ("u", 9), (" ", 7), (None, 8)], "user_id string, t_us long")
+    got = sorted((r.user_id or "", r.status, r.last_sent_us) for r in gov.last_message_sent(sends, 10).collect())
+    assert got == [("", "error", None), (" ", "error", None), ("u", "success", 9)]
