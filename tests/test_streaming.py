@@ -101,3 +101,22 @@ def test_cart_abandon_stream_equals_batch(spark, tmp_dir):
     wm_us = (b.agg(F.max("t_us")).first()[0] // 1000) * 1000
     want = sorted(r.event_id for r in cart_abandon(b, timeout, wm_us).collect())
     assert got == want and len(got) > 0
+
+
+def test_stream_fold_paths_agree_and_late_rows_fold_in_arrival_order():
+    import numpy as np
+    from intentlane.streaming.intent_stream import _fold_rows, _fold_sorted
+    p = P.IntentParams(window_us=10, threshold=3, cooldown_us=20)
+    first = np.array([0, 2, 4, 6, 8, 30, 31, 32], dtype=np.int64)
+    second = np.array([33, 40, 41, 55, 56, 57], dtype=np.int64)
+    n1, f1, lf1, kept1 = _fold_sorted(np.zeros(0, dtype=np.int64), first, None, p)
+    n2, f2, lf2, kept2 = _fold_rows([], first, None, p)
+    assert list(n1) == list(n2) and f1 == f2 and lf1 == lf2 and list(kept1) == list(kept2)
+    a = _fold_sorted(kept1, second, lf1, p)
+    b = _fold_rows(list(kept1), second, lf1, p)
+    assert list(a[0]) == list(b[0]) and a[1] == b[1] and a[2] == b[2]
+    # a late batch (older than the retained window) is folded row by row in arrival order
+    late = np.array([31, 58], dtype=np.int64)
+    n3, f3, lf3, _ = _fold_rows(list(a[3]), late, a[2], p)
+    window = [x for x in list(a[3]) + [31] if x > 31 - 10]
+    assert n3[0] == len(window)
