@@ -76,7 +76,7 @@ def campaign_decision(intents: DataFrame, users: DataFrame, scripts: DataFrame,
     purchase only, against the send log), below_tier_floor (HIGH tier and a
     product under 100), no_content. Content: the product for browse /
     purchase; for cart the first usable script of cart_abandon, else
-    price_drop (a one-row choice, broadcast)."""
+    price_drop (a scalar subquery, evaluated once inside the job)."""
     prof = users.select(F.col("id").alias("_uid"), "spending_tier",
                         parse_tags(F.col("identity_tags")).alias("_tags"),
                         F.lit(True).alias("_found"))
