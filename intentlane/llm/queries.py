@@ -7,8 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from intentlane.llm.langid_crf import op1_language_id
 from intentlane.llm.mixing import op5_mix_sources
+from intentlane.llm.quality_gbt import op4_quality
 from intentlane.llm.simhash import op2_simhash_dedup
+from intentlane.llm.toxicity import op8_toxicity
 from intentlane.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -57,8 +60,11 @@ FROM sized d JOIN missing m USING (skey) JOIN upto u ON u.skey = d.skey AND u.h
 """
 
 _QUERIES: dict[str, QueryFn] = {
+    "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
+    "op8_toxicity": op8_toxicity,
 }
 
 _ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
