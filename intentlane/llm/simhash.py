@@ -113,13 +113,13 @@ def block_pairs(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
     """Rows of keys that hold two items or more, each copied to the block pairs
     (left, right) of its key that it takes part in; ``own`` is its block. A key
     of up to ``block`` items has the one pair (0, 0)."""
-    sizes = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "posting-sizes")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    sizes = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "posting-sizes")
+    blocks = F.ceil(F.col("held") / F.lit(block)).cast("int")
     held = (rows.join(sizes, key).withColumn("blocks", blocks)
             .withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")))
     return (held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
-            .drop("other", "blocks", "n"))
+            .drop("other", "blocks", "held"))
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
