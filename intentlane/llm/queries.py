@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from intentlane.llm.decontaminate import op10_decontaminate
+from intentlane.llm.embedding_dedup import op9_embedding_dedup
 from intentlane.llm.langid_crf import op1_language_id
+from intentlane.llm.lm_bloom import op6_lm_scores
 from intentlane.llm.mixing import op5_mix_sources
 from intentlane.llm.quality_gbt import op4_quality
 from intentlane.llm.simhash import op2_simhash_dedup
+from intentlane.llm.token_counts import op7_token_counts
 from intentlane.llm.toxicity import op8_toxicity
 from intentlane.session import ship_package
 
@@ -64,7 +68,11 @@ _QUERIES: dict[str, QueryFn] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
+    "op6_lm_scores": op6_lm_scores,
+    "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 _ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
