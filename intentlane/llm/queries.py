@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from intentlane.llm.decontaminate import op10_decontaminate
 from intentlane.llm.embedding_dedup import op9_embedding_dedup
+from intentlane.llm.html_wrapper import op3_html_text
 from intentlane.llm.langid_crf import op1_language_id
 from intentlane.llm.lm_bloom import op6_lm_scores
 from intentlane.llm.mixing import op5_mix_sources
@@ -66,6 +67,7 @@ FROM sized d JOIN missing m USING (skey) JOIN upto u ON u.skey = d.skey AND u.h
 _QUERIES: dict[str, QueryFn] = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
     "op6_lm_scores": op6_lm_scores,
