@@ -288,8 +288,11 @@ class Model:
         before = block.contexts()
         both = np.flatnonzero((level[before] > 0) & (level[block.ids] > 0))
         pair = np.zeros(len(block.ids))
-        a, b = before[both], block.ids[both]
-        pair[both] = np.minimum(self.pairs.counts(pair_hashes(h[a], h[b])) / np.maximum(counts[a], 1e-9), 1.0)
+        # each distinct pair of the block is probed once
+        kinds, which = np.unique(before[both] * len(h) + block.ids[both], return_inverse=True)
+        a, b = kinds // max(1, len(h)), kinds % max(1, len(h))
+        share = np.minimum(self.pairs.counts(pair_hashes(h[a], h[b])) / np.maximum(counts[a], 1e-9), 1.0)
+        pair[both] = share[which]
         return single[block.ids], pair, level[before]
 
     def log10(self, block: Block) -> np.ndarray:
