@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from intentlane import params as P
 
-_SIGNED_LONG = r"^[+-]?[0-9]+$"
+_SIGNED_LONG = r"^[+-]?[0-9]+\z"
+# what Java strips (everything up to U+0020) and what it calls white space
+_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+\z"
+_BLANK = r"^[\t-\r\x1C-\x20\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]*\z"
 
 
 def parse_user_id(col: Column) -> Column:
@@ -25,22 +28,28 @@ def parse_tags(col: Column) -> Column:
     return F.coalesce(parsed, F.array().cast("array<string>"))
 
 
+def trim(col: Column) -> Column:
+    """Strip white space and control characters from both ends."""
+    return F.regexp_replace(col, _EDGES, "")
+
+
 def split_selling_points(col: Column) -> Column:
     """CAT-2 split: full-width and ASCII separators, trimmed, blanks dropped;
     NULL -> empty array."""
     parts = F.split(F.translate(col, "；,", ";;"), ";")
-    trimmed = F.transform(parts, lambda x: F.trim(x))
+    trimmed = F.transform(parts, trim)
     kept = F.filter(trimmed, lambda x: x != "")
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def price_tier(price: Column) -> Column:
-    """CAT-3 tiers; NULL price counts as 0.0."""
-    p = F.coalesce(price.cast("double"), F.lit(0.0))
-    return (F.when(p < 100, F.lit(P.PRICE_TIER_AFFORDABLE))
-            .when((p >= 100) & (p <= 300), F.lit(P.PRICE_TIER_STANDARD))
-            .when(p > 500, F.lit(P.PRICE_TIER_EXPENSIVE))
-            .otherwise(F.lit(P.PRICE_TIER_MODERATE)))
+    """CAT-3 tiers by upper bound; a NULL or unreadable price counts as 0.0."""
+    p = F.coalesce(price.try_cast("double"), F.lit(0.0))
+    tier = F.lit(P.PRICE_TIER_EXPENSIVE)
+    for inside, name in ((p <= 500, P.PRICE_TIER_MODERATE), (p <= 300, P.PRICE_TIER_STANDARD),
+                         (p < 100, P.PRICE_TIER_AFFORDABLE)):
+        tier = F.when(inside, F.lit(name)).otherwise(tier)
+    return tier
 
 
 def merchandising_flags(desc: Column) -> Column:
@@ -56,9 +65,9 @@ def merchandising_flags(desc: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return col.isNull() | (F.trim(col) == "")
+    return col.isNull() | col.rlike(_BLANK)
 
 
 def java_double_str(col: Column) -> Column:
     """String.valueOf(double) for ordinary magnitudes ("10.0", "99.99")."""
-    return col.cast("double").cast("string")
+    return col.try_cast("double").cast("string")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentlane.functions.text import parse_tags
+from intentlane.functions.text import parse_tags, parse_user_id
 from intentlane.functions.time import raw_time_range
 from intentlane.operators.asof import next_within
 
@@ -15,9 +15,9 @@ from intentlane.operators.asof import next_within
 def promotion_audit(users: DataFrame, intents: DataFrame, behavior_t: DataFrame) -> DataFrame:
     """AUD-1: per user, was a promotion emitted, how many, the first one's
     time, and the latency from the user's first behaviour event to it."""
-    per = intents.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(
+    per = intents.groupBy(parse_user_id(F.col("user_id").cast("string")).alias("user_id")).agg(
         F.count(F.lit(1)).alias("n_intents"), F.min("event_time_us").alias("first_intent_us"))
-    first_seen = behavior_t.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(
+    first_seen = behavior_t.groupBy(parse_user_id(F.col("user_id").cast("string")).alias("user_id")).agg(
         F.min("t_us").alias("first_event_us"))
     return (users.select(F.col("id").alias("user_id"))
             .join(per, "user_id", "left").join(first_seen, "user_id", "left")

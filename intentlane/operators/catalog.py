@@ -42,8 +42,8 @@ def product_upsert(existing: DataFrame, batch: DataFrame, now_us: int,
         F.struct(
             F.col("name").cast("string").alias("name"),
             _points_text(batch, "selling_points").alias("selling_points"),
-            F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("price"),
-            F.coalesce(F.col("stock").cast("int"), F.lit(0)).alias("stock"),
+            F.coalesce(F.col("price").try_cast("double"), F.lit(0.0)).alias("price"),
+            F.coalesce(F.col("stock").try_cast("int"), F.lit(0)).alias("stock"),
         ).alias("_v")).filter(F.col("sku_id").isNotNull())
     latest = staged.groupBy("sku_id").agg(F.max_by("_v", "_seq").alias("_v"))
     e = existing.alias("e")
@@ -56,9 +56,9 @@ def product_upsert(existing: DataFrame, batch: DataFrame, now_us: int,
                 F.when(hit, F.col("n._v.name")).otherwise(F.col("e.name")).alias("name"),
                 F.when(hit, F.col("n._v.selling_points")).otherwise(F.col("e.selling_points"))
                 .alias("selling_points"),
-                F.when(hit, F.col("n._v.price")).otherwise(F.col("e.price").cast("double"))
+                F.when(hit, F.col("n._v.price")).otherwise(F.col("e.price").try_cast("double"))
                 .alias("price"),
-                F.when(hit, F.col("n._v.stock")).otherwise(F.col("e.stock").cast("int"))
+                F.when(hit, F.col("n._v.stock")).otherwise(F.col("e.stock").try_cast("int"))
                 .alias("stock"),
                 F.coalesce(F.col("e.created_at_us"), now).alias("created_at_us"),
                 F.when(hit, now).otherwise(F.col("e.updated_at_us")).alias("updated_at_us")))
@@ -72,7 +72,7 @@ def product_details(skus: DataFrame, products: DataFrame, sku_col: str = "sku_id
     return (skus.select(sku_col).join(prod, sku_col, "inner")
             .select(F.col(sku_col).alias("product_id"), "name",
                     F.lit(None).cast("string").alias("category"),
-                    F.col("price").cast("double").alias("price"),
+                    F.col("price").try_cast("double").alias("price"),
                     split_selling_points(F.col("selling_points")).alias("selling_points")))
 
 
@@ -96,7 +96,7 @@ def catalog_documents(products: DataFrame, points_col: str = "selling_points") -
         else F.lit("")
     desc = F.coalesce(F.col("description"), F.lit("")) if "description" in products.columns \
         else F.lit("")
-    price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
+    price = F.coalesce(F.col("price").try_cast("double"), F.lit(0.0))
     name = F.col("name").cast("string")
     doc = F.format_string(P.PRODUCT_DOC_TEMPLATE, category, F.coalesce(name, F.lit("null")),
                           price_tier(price), F.concat(points, merchandising_flags(desc)), desc)

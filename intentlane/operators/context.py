@@ -33,7 +33,7 @@ def activity(behavior: DataFrame, as_of_us: int, lookback_us: int = P.ACTIVITY_L
     recent = behavior.filter(_time_at_least(behavior, "event_time", as_of_us - lookback_us))
     distinct = (F.count_distinct("sku_id") if exact_distinct
                 else F.approx_count_distinct("sku_id"))
-    return (recent.groupBy(F.col("user_id").cast("bigint").alias("user_id"))
+    return (recent.groupBy(parse_user_id(F.col("user_id").cast("string")).alias("user_id"))
             .agg(F.count(F.lit(1)).alias("total_clicks_30d"),
                  distinct.alias("unique_products_viewed_30d")))
 

@@ -55,7 +55,7 @@ def eligible_offers(users: DataFrame, products: DataFrame) -> DataFrame:
     excludes prices below 100 and prefers prices above 500. Tiers come from
     a closed set, so products are fanned out over it (no cross join) and
     semi-joined with the tiers that occur."""
-    tiers = users.select("spending_tier").distinct()
+    tiers = users.select("spending_tier").filter(F.col("spending_tier").isin("HIGH", "MEDIUM", "LOW")).distinct()
     fan = products.select("sku_id", F.col("price").cast("double").alias("price"),
                           F.explode(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW")))
                           .alias("spending_tier"))

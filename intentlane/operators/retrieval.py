@@ -95,6 +95,8 @@ def _local_topk(k: int, q_id: str, i_id: str, sub_rows: int = 256):
     ``argpartition`` and one ``lexsort`` over the whole slice; only rows with
     ties at the k-th distance take an exact per-row pass."""
     def run(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
+        # a missing or zero vector has no direction: it is neither found nor finds anything
+        q, ix = (x[x[v].map(lambda a: a is not None and bool(np.any(a))).astype(bool)] for x, v in ((q, "_qv"), (ix, "_iv")))
         if q.empty or ix.empty:
             return pd.DataFrame({"_qid": [], "_iid": [], "_dist": []})
         qm = np.stack(q["_qv"].to_numpy()).astype(np.float64)
@@ -195,9 +197,9 @@ def token_overlap_scorer(query_text: Column, doc_text: Column) -> Column:
 def pandas_pair_scorer(model_factory: Callable[[], Callable[[list[str], list[str]], np.ndarray]],
                        cache_key: str) -> Callable[[Column, Column], Column]:
     """Plug-in path for a cross-encoder: the model is built once per Python
-    worker and scores Arrow batches of (query, document) pairs; a batch with
-    a missing text or a failing model yields NULL scores, so those queries
-    keep recall order."""
+    worker and scores Arrow batches of (query, document) pairs; a pair with
+    a missing text and the pairs of a query that the model fails on get NULL
+    scores, so those queries keep recall order."""
 
     @F.pandas_udf(T.DoubleType())
     def _score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -210,8 +212,12 @@ def pandas_pair_scorer(model_factory: Callable[[], Callable[[list[str], list[str
             try:
                 if ok.any():
                     out[ok] = np.asarray(model(q[ok].tolist(), d[ok].tolist()), dtype=np.float64)
-            except Exception:   # degrade like the reference: recall order
-                out[:] = np.nan
+            except Exception:   # only the queries that fail by themselves fall back to recall order
+                for rows in q[ok].groupby(q[ok]).groups.values():
+                    try:
+                        out[rows] = np.asarray(model(q[rows].tolist(), d[rows].tolist()), dtype=np.float64)
+                    except Exception:
+                        out[rows] = np.nan
             yield out
 
     return lambda q, d: _score(q, d)

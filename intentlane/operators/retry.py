@@ -20,7 +20,8 @@ def route_results(results: DataFrame, now_ms: int, max_retries: int = P.MAX_RETR
                   base: float = P.RETRY_BASE_SECONDS, cap: float = P.RETRY_MAX_SECONDS) -> DataFrame:
     """RTY-1 / RTY-4 / RTY-5: one route per result row.
 
-    results: user_id (the event), attempt (0 = main topic), success, error.
+    results: user_id (the event), attempt (0 = main topic), success, error and,
+    optionally, last_error of the envelope, kept when the new error is empty.
     Routes: invalid (no event: dropped, counted as consumed), done, retry
     (attempt + 1, next_retry_at = now + backoff, source 'main' on the first
     retry), dead_letter (attempt + 1 > max_retries; failed_at = now, source
@@ -29,7 +30,9 @@ def route_results(results: DataFrame, now_ms: int, max_retries: int = P.MAX_RETR
     new_attempt = attempt + 1
     invalid = F.col("user_id").isNull()
     done = F.coalesce(F.col("success"), F.lit(False))
-    dead = new_attempt > max_retries
+    dead = (new_attempt > max_retries) & (attempt > 0)     # a main-topic failure is always retried once
+    before = F.col("last_error") if "last_error" in results.columns else F.lit(None).cast("string")
+    text = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.nullif(before, F.lit("")), F.lit("unknown"))
     route = (F.when(invalid, F.lit("invalid")).when(done, F.lit("done"))
              .when(dead, F.lit("dead_letter")).otherwise(F.lit("retry")))
     delay_ms = (backoff_seconds(new_attempt, base, cap) * 1000).cast("long")
@@ -38,8 +41,7 @@ def route_results(results: DataFrame, now_ms: int, max_retries: int = P.MAX_RETR
         F.when(invalid | done, attempt).otherwise(new_attempt).alias("attempt"),
         F.when(route == "retry", F.lit(now_ms) + delay_ms).alias("next_retry_at_ms"),
         F.when(route == "dead_letter", F.lit(now_ms)).alias("failed_at_ms"),
-        F.when(route.isin("retry", "dead_letter"), F.coalesce(F.col("error"), F.lit("unknown")))
-        .alias("last_error"),
+        F.when(route.isin("retry", "dead_letter"), text).alias("last_error"),
         F.when(route == "dead_letter", F.lit("retry"))
         .when((route == "retry") & (attempt == 0), F.lit("main")).alias("source"))
 

@@ -155,7 +155,7 @@ FROM prof""")
 
 _SNAP = ("snap", """SELECT CAST(id AS VARCHAR) AS key, to_json(struct_pack(id := id, name := name,
   spending_tier := spending_tier, identity_tags := tags)) AS doc, tags, spending_tier
-FROM prof WHERE id % 2 = 0""")
+FROM prof""")
 _CTX = ("ctx", """SELECT p.*, s.doc, s.tags AS s_tags, s.spending_tier AS s_tier, s.key IS NOT NULL AS has_cached,
   s.key IS NOT NULL AND p.has_profile AS both_
 FROM pers p LEFT JOIN snap s ON s.key = p.request_id""")

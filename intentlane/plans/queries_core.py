@@ -77,7 +77,7 @@ def q_profile_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 def _user_context(spark: SparkSession, sf: str) -> DataFrame:
     users = V.v_users(spark, sf)
-    snapshot = ctx_ops.profile_snapshot(users.filter(F.col("id") % 2 == 0))
+    snapshot = ctx_ops.profile_snapshot(users)
     return ctx_ops.user_context(V.v_profile_requests(spark, sf), users, snapshot,
                                 V.v_behavior(spark, sf), P.TEST_AS_OF_US,
                                 P.TEST_ACTIVITY_LOOKBACK_US)

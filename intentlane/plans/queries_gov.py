@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentlane import params as P
+from intentlane.functions.text import parse_user_id
 from intentlane.functions.time import epoch_us_of
 from intentlane.operators import audit as aud
 from intentlane.operators import decision as dec
@@ -58,7 +59,7 @@ def action_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Send / skip actions derived from behaviour, with some blank fields."""
     b = _behavior_t(spark, sf).filter(F.col("action").isin("purchase", "add_to_cart", "search"))
     u = V.v_users(spark, sf).select("id", "name")
-    j = b.join(u, b["user_id"].cast("bigint") == u["id"], "left")
+    j = b.join(u, parse_user_id(b["user_id"].cast("string")) == u["id"], "left")
     return j.select(
         "event_id", "user_id", "t_us",
         F.when(F.col("action") == "search", F.lit("skip")).otherwise(F.lit("sms")).alias("kind"),
