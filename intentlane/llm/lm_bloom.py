@@ -46,7 +46,7 @@ TUNING_DOCS = 2_000    # documents that the interpolation weights are fitted on
 END = b""              # the end token; no word is empty
 _SHARD_BITS = 22       # bits of one part of a filter, 512 KB
 _FLUSH = 4_000_000     # pairs counted before a task hands them on
-_TEXTS = 1 << 21       # bytes of text scored at once
+_TEXTS = 1 << 20       # bytes of text scored at once
 _GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
 
@@ -224,7 +224,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch["text"]:
                 seen.update(tokens(text.as_py()))
-                if len(seen) > 600_000:
+                if len(seen) > 400_000:
                     yield from out()
         yield from out()
 
