@@ -87,7 +87,7 @@ def test_quality_and_toxicity_jobs(spark):
         text = [rnd.choice(words) for _ in range(rnd.choice([8, 60]))]
         if toxic:
             text[rnd.randrange(len(text))] = rnd.choice(["zorpel", "z0rpel", "Zоrpel"])   # plain, digit, Cyrillic letter
-        elif rnd.random() < 0.2:
+        elif rnd.random() < 0.05:
             text += ["zorpel", "harvest"]                                               # harmless phrase
         rows.append((i, " ".join(w + "###" if bad else w for w in text), None, None, None))
         labels.append((i, int(not bad), int(toxic), None))
