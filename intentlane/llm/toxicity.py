@@ -252,7 +252,7 @@ def _learn_curve(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, flo
         for batch in batches:
             found = [measure(automaton, t.as_py()) for t in batch["_text"]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in found]), pa.array([y for _, y in found]), batch["label"].cast(pa.int32())],
+                [pa.array([x for x, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64()), batch["label"].cast(pa.int32())],
                 names=["w", "d", "label"])
 
     # equal feature values are summed before they come: at most one row per sampled document
