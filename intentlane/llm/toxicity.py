@@ -4,6 +4,9 @@ Folding lower-cases, strips accents and maps look-alike letters, digits and
 symbols to Latin letters. The lexicon (words and word beginnings with log-odds
 weights) and the exception phrases are learned from a bounded sample of labelled
 documents; a lexicon hit that lies inside an exception phrase does not count.
+A word is judged by the documents it stands in. A word beginning also begins
+ordinary words now and then, so it is judged by the documents in which it is
+frequent, and weighs only what its mere presence says.
 The weights found are summed, normalised by the document's length, and a
 two-feature logistic curve turns both into a score.
 
@@ -32,6 +35,7 @@ THRESHOLD = 0.3
 MAX_TRAINING_ROWS = 20_000   # labelled documents sampled for the lexicon
 MAX_ENTRIES = 5_000          # candidates that reach the driver, the best by likelihood ratio
 STEMS = range(4, 9)          # lengths of word beginnings tried as entries
+FREQUENT = 0.8               # occurrences per hundred words (of 20 more than there are) of a frequent beginning
 
 # fixed values: letters that look like a Latin letter (Cyrillic, Greek, Latin variants)
 HOMOGLYPHS = {
@@ -80,32 +84,35 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         made = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            word = entry.rstrip("*")
-            if entry.endswith("*") or word not in made:
-                made.add_word(word, (len(word), "stem" if entry.endswith("*") else "word", weight))
+            if entry.endswith("*"):
+                word, kind = entry.rstrip("*"), "stem"
+            else:
+                word, kind = entry, "word"
+            made.add_word(word, (*made.get(word, ()), (len(word), kind, weight)))
         for phrase in self.exceptions:
-            made.add_word(phrase, (len(phrase), "exception", 0.0))
+            made.add_word(phrase, (*made.get(phrase, ()), (len(phrase), "exception", 0.0)))
         if len(made):
             made.make_automaton()
         return made
 
 
 def hits(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of lexicon entries that begin a word (and, if no
-    stem, end one) outside exception phrases."""
+    """(start, end, weight) of lexicon entries that are a word, or begin a
+    longer one (stems), outside exception phrases."""
     if not len(automaton):
         return []
     found, skip = [], []
-    for last, (length, kind, weight) in automaton.iter(folded):
-        a, b = last + 1 - length, last + 1
-        if a and folded[a - 1].isalpha():
-            continue
-        if kind != "stem" and b < len(folded) and folded[b].isalpha():
-            continue
-        if kind == "exception":
-            skip.append((a, b))
-        else:
-            found.append((a, b, weight))
+    for last, entries in automaton.iter(folded):
+        b = last + 1
+        goes_on = b < len(folded) and folded[b].isalpha()
+        for length, kind, weight in entries:
+            a = b - length
+            if (a and folded[a - 1].isalpha()) or goes_on != (kind == "stem"):
+                continue
+            if kind == "exception":
+                skip.append((a, b))
+            else:
+                found.append((a, b, weight))
     return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b in skip)] if skip else found
 
 
@@ -124,39 +131,49 @@ def scores(lexicon: Lexicon, features: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------- learning
 
-def _entries(text: str) -> set[str]:
-    words = set(words_of(fold(text)))
-    out = set(words)
-    for word in words:
-        for n in STEMS:
-            if len(word) > n:
-                out.add(word[:n] + "*")
-    return out
-
+def _entries(text: str) -> dict[str, bool]:
+    """The words and word beginnings of a text; whether they count as evidence
+    (a word always, a beginning where it is frequent)."""
+    words = words_of(fold(text))
+    stems = Counter()
+    for word, n in Counter(words).items():
+        for k in STEMS:
+            if len(word) > k:
+                stems[word[:k] + "*"] += n
+    enough = FREQUENT * (20 + len(words)) / 100.0
+    return dict.fromkeys(words, True) | {stem: n >= enough for stem, n in stems.items()}
+
+
+def _count(rows: DataFrame, things, flush: int = 300_000) -> DataFrame:
+    """(thing, pos, neg, any_pos, any_neg): labelled documents for which each
+    thing is evidence, and in which it stands at all, combined per task before
+    the shuffle."""
+    names = ["neg", "pos", "any_neg", "any_pos"]
 
-def _count(rows: DataFrame, things, flush: int = 400_000) -> DataFrame:
-    """(thing, pos, neg): labelled documents with each thing, combined per task before the shuffle."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = (Counter(), Counter())
+        sums = {name: Counter() for name in names}
 
         def out() -> pa.RecordBatch:
-            keys = list(sums[0].keys() | sums[1].keys())
+            keys = list(sums["any_neg"].keys() | sums["any_pos"].keys())
             batch = pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([sums[1][k] for k in keys], pa.int64()),
-                 pa.array([sums[0][k] for k in keys], pa.int64())], names=["thing", "pos", "neg"])
-            sums[0].clear()
-            sums[1].clear()
+                [pa.array(keys, pa.string()), *(pa.array([sums[n][k] for k in keys], pa.int64()) for n in names)],
+                names=["thing", *names])
+            for counter in sums.values():
+                counter.clear()
             return batch
 
         for batch in batches:
             for text, label in zip(batch["_text"], batch["label"]):
-                sums[int(label.as_py() == 1)].update(things(text.as_py()))
-                if len(sums[0]) + len(sums[1]) > flush:
+                side = "pos" if label.as_py() == 1 else "neg"
+                found = things(text.as_py())
+                sums["any_" + side].update(found.keys())
+                sums[side].update(k for k, evidence in found.items() if evidence)
+                if len(sums["any_neg"]) + len(sums["any_pos"]) > flush:
                     yield out()
         yield out()
 
-    return (rows.select("_text", "label").mapInArrow(count, "thing string, pos bigint, neg bigint")
-            .groupBy("thing").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    return (rows.select("_text", "label").mapInArrow(count, "thing string, " + ", ".join(f"{n} bigint" for n in names))
+            .groupBy("thing").agg(*(F.sum(n).alias(n) for n in names)))
 
 
 def _ratio(pos: float, neg: float, npos: int, nneg: int) -> float:
@@ -189,24 +206,24 @@ def _find_entries(rows: DataFrame, max_entries: int, precision: float) -> dict[s
     counted = materialise(_count(rows, _entries).where("pos >= 3"), "toxic-entries")
     tried = counted.count()
     rate = npos / (npos + nneg)
-    share = F.when(F.col("thing").endswith("*"), F.lit(max(precision, 0.97))).otherwise(F.lit(precision))
-    found = (counted.where(F.col("pos") >= share * (F.col("pos") + F.col("neg")))
+    found = (counted.where(F.col("pos") >= F.lit(precision) * (F.col("pos") + F.col("neg")))
              .orderBy(F.desc(F.col("pos") - F.col("neg")), "thing").limit(max_entries).collect())
     ratio = {r["thing"]: _ratio(r["pos"], r["neg"], npos, nneg) for r in found
              if r["pos"] > rate * (r["pos"] + r["neg"])}
     # a chance find among so many candidates is unlikely above the first bound; the
     # second leaves weaker entries to the next round, which sees only texts without a hit
     least = max([2 * math.log(max(tried, 1)) + 6, 0.2 * max(ratio.values(), default=0.0)])
-    kept = {r["thing"]: (r["pos"], r["neg"]) for r in found if ratio.get(r["thing"], 0.0) >= least}
+    kept = {r["thing"]: r for r in found if ratio.get(r["thing"], 0.0) >= least}
     dropped = set()
-    for entry, (pos, _) in kept.items():  # of a chain of beginnings: the longest that still has the chain's documents
+    for entry, row in kept.items():  # of a chain of beginnings: the longest that still has the chain's documents
         word = entry.rstrip("*")
         for n in STEMS:
             stem = word[:n] + "*"
             if stem != entry and n <= len(word) and stem in kept:
-                dropped.add(stem if pos >= 0.97 * kept[stem][0] else entry)
-    return {entry: math.log((pos + 0.5) / (npos + 1)) - math.log((neg + 0.5) / (nneg + 1))
-            for entry, (pos, neg) in kept.items() if entry not in dropped}
+                dropped.add(stem if row["pos"] >= 0.97 * kept[stem]["pos"] else entry)
+    weights = {entry: math.log((row["any_pos"] + 0.5) / (npos + 1)) - math.log((row["any_neg"] + 0.5) / (nneg + 1))
+               for entry, row in kept.items() if entry not in dropped}
+    return {entry: weight for entry, weight in weights.items() if weight > 0}
 
 
 def learn_lexicon(sample: DataFrame, max_entries: int = MAX_ENTRIES, precision: float = 0.85,
@@ -230,15 +247,15 @@ def _learn_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
     """Two-word phrases around an entry that hardly ever stand in toxic documents."""
     automaton = lexicon.automaton()
 
-    def phrases(text: str) -> set[str]:
+    def phrases(text: str) -> dict[str, bool]:
         folded = fold(text)
-        out = set()
+        out = {}
         for a, b, _ in hits(automaton, folded):
             left, right = folded[max(0, a - 40):a].split(" "), folded[a:b + 40].split(" ")
             if len(left) > 1 and left[-2].isalpha():
-                out.add(f"{left[-2]} {right[0]}")
+                out[f"{left[-2]} {right[0]}"] = True
             if len(right) > 1 and right[1].isalpha() and right[0].isalpha():
-                out.add(f"{right[0]} {right[1]}")
+                out[f"{right[0]} {right[1]}"] = True
         return out
 
     rows = (_count(sample, phrases).where("neg >= 3 and pos * 9 <= neg")

@@ -108,3 +108,24 @@ def test_quality_and_toxicity_jobs(spark):
     assert sum((scores[d] >= 0.3) == (t == 1) for d, _, t, _ in held) >= 0.9 * len(held)
     empty = X.learn_toxicity(docs.limit(0), marks.limit(0))
     assert docs.select(F.max(X.toxicity_score(F.col("text"), empty))).first()[0] < 1e-6
+
+
+def test_beginnings_are_judged_by_frequency(spark):
+    """A beginning that clean texts hold now and then is still learned from the texts in which it is frequent."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("aeiklmnoprst") for _ in range(rnd.randint(3, 8)))
+    rows = []
+    for i in range(600):
+        toxic = i % 6 == 0
+        words = [word() for _ in range(120)]
+        for _ in range(6 if toxic else int(i % 5 == 0)):
+            words[rnd.randrange(120)] = "grülf" + word()
+        rows.append((" ".join(words), int(toxic)))
+    ship_package(spark)
+    sample = spark.createDataFrame(rows, "_text string, label int")
+    lexicon = X.learn_lexicon(sample)
+    assert any(e.startswith("grul") and e.endswith("*") for e in lexicon.weights), lexicon
+    automaton = lexicon.automaton()
+    flagged = X.scores(lexicon, np.array([X.measure(automaton, t) for t, _ in rows])) >= X.THRESHOLD
+    assert (flagged == np.array([y == 1 for _, y in rows])).mean() >= 0.98
+    assert X.hits(automaton, X.fold("grülf gru")) == []      # a beginning alone is no longer word
