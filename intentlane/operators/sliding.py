@@ -4,6 +4,10 @@ For each row at time t, count the key's rows with time in (t - W, t], the
 row itself included; rows of equal time count in arrival order (a later
 peer is not counted), as a sorted set with unique members would.
 
+The count is a running sum: every row adds 1 at t and takes it back at
+t + W, and what expires goes before what arrives at the same time. One pass
+over the sorted rows, however many of them share a window.
+
 Scale: instead of one window over a whole key (a hot user would sit in one
 task), rows are partitioned by (key, time bucket) with bucket width
 B >= W. Everything a row needs lies in its own bucket or the last W of the
@@ -25,9 +29,9 @@ def sliding_count(df: DataFrame, keys: list[str], t_col: str, tie_col: str,
     ``t_col`` is epoch microseconds (long); ``tie_col`` orders equal times
     (arrival order). Rows are hash-partitioned by (keys, bucket) -- or by
     ``partition_by`` (a subset of ``keys``) when the caller wants a coarser
-    layout it can reuse -- and sorted once by (keys, bucket, t, tie), which
-    every window of the operator accepts; the output keeps that layout (rows
-    of a key contiguous and in time order within each partition)."""
+    layout it can reuse -- and sorted once by (keys, bucket, t, tie); the
+    output keeps that layout (rows of a key contiguous and in time order
+    within each partition). A row's expiry is added after the shuffle."""
     if window_us <= 0:
         raise ValueError("window_us must be positive")
     bucket_us = window_us * max(1, int(bucket_factor))
@@ -40,15 +44,13 @@ def sliding_count(df: DataFrame, keys: list[str], t_col: str, tie_col: str,
             .withColumn("_b", F.explode(F.when(edge, F.array(home, home + 1))
                                         .otherwise(F.array(home))))
             .withColumn("_ctx", F.col("_b") != F.col("_home")).drop("_home"))
-    # one shuffle and one sort serve all three windows below
+    change = F.array(F.struct(t.alias("at"), F.lit(1).alias("by")),
+                     F.struct((t + F.lit(window_us)).alias("at"), F.lit(-1).alias("by")))
     laid_out = (both.repartition(*(partition_by or [*keys, "_b"]))
-                .sortWithinPartitions(*keys, "_b", t_col, tie_col))
-    w_range = (Window.partitionBy(*keys, "_b").orderBy(t)
-               .rangeBetween(-(window_us - 1), 0))
-    w_peer = Window.partitionBy(*keys, "_b", t_col)
-    w_peer_order = w_peer.orderBy(F.col(tie_col))
-    counted = laid_out.withColumn(
-        out_col,
-        F.count(F.lit(1)).over(w_range)
-        - (F.count(F.lit(1)).over(w_peer) - F.row_number().over(w_peer_order)))
-    return counted.filter(~F.col("_ctx")).drop("_b", "_ctx")
+                .withColumn("_change", F.explode(change))
+                .withColumn("_at", F.col("_change.at")).withColumn("_by", F.col("_change.by")).drop("_change")
+                .sortWithinPartitions(*keys, "_b", "_at", "_by", tie_col))
+    so_far = (Window.partitionBy(*keys, "_b").orderBy("_at", "_by", tie_col)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = laid_out.withColumn(out_col, F.sum("_by").over(so_far))
+    return counted.filter((F.col("_by") == 1) & ~F.col("_ctx")).drop("_b", "_ctx", "_at", "_by")
