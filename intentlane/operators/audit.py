@@ -75,29 +75,32 @@ def promotion_rules(spark: SparkSession, rules: list[tuple[int, str, str]]) -> D
     return df.withColumn("min_spend", F.from_json("condition_json", "min_spend double")["min_spend"])
 
 
-MAX_RULES = 10_000
+#: parts that each spend bucket's users are dealt to (the rules are copied to every part)
+RULE_PARTS = 32
 
 
 def promotion_eligibility(users: DataFrame, spend: DataFrame, rules: DataFrame,
-                          only_tag: str = "price_sensitive") -> DataFrame:
+                          only_tag: str = "price_sensitive", parts: int = RULE_PARTS) -> DataFrame:
     """DOC-5: for users carrying ``only_tag``, every rule whose min_spend their
-    spend reaches. The rules are configuration rows (their count is checked
-    against ``MAX_RULES``), so they become an array literal and each user row
-    keeps the matching ones with ``filter`` + ``explode``: a theta match with
-    no join at all."""
-    picked = rules.select("rule_id", "min_spend").limit(MAX_RULES + 1).collect()
-    if len(picked) > MAX_RULES:
-        raise ValueError("promotion rules are configuration; too many rows to inline")
-    lit_rules = F.array(*[F.struct(F.lit(r["rule_id"]).cast("int").alias("rule_id"),
-                                   F.lit(r["min_spend"]).cast("double").alias("min_spend"))
-                          for r in picked]) if picked else \
-        F.array().cast("array<struct<rule_id:int,min_spend:double>>")
+    spend reaches. An equi-join on the binary order of magnitude: a rule stands
+    in the bucket of its min_spend, a user in all buckets up to that of the
+    spend (below 1: the first), and only the last of them needs the
+    comparison. A bucket's users are dealt to ``parts``, so none is hot. Rules
+    without min_spend and users without spend match nothing."""
+    def bucket(amount):
+        return F.when(amount >= 1, F.least(F.floor(F.log2(amount)), F.lit(1023))).otherwise(F.lit(0)).cast("int")
+
+    dealt = (rules.filter(F.col("min_spend").isNotNull())
+             .select(F.col("rule_id").cast("int").alias("rule_id"), F.col("min_spend").cast("double").alias("min_spend"))
+             .withColumn("_bucket", bucket(F.col("min_spend")))
+             .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
     tagged = users.filter(F.array_contains(parse_tags(F.col("identity_tags")), only_tag)) \
         .select(F.col("id").alias("user_id"))
-    s = tagged.join(spend, "user_id")
-    hit = F.explode(F.filter(lit_rules, lambda r: r["min_spend"] <= F.col("spend")))
-    return s.select("user_id", "spend", hit.alias("_r")).select(
-        "user_id", "spend", F.col("_r.rule_id").alias("rule_id"), F.col("_r.min_spend").alias("min_spend"))
+    reached = (tagged.join(spend, "user_id").filter(F.col("spend").isNotNull())
+               .withColumn("_bucket", F.explode(F.sequence(F.lit(0), bucket(F.col("spend")))))
+               .withColumn("_part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")))
+    return (reached.join(dealt, ["_bucket", "_part"]).filter(F.col("min_spend") <= F.col("spend"))
+            .select("user_id", "spend", "rule_id", "min_spend"))
 
 
 def rules_json(thresholds: list[float]) -> list[tuple[int, str, str]]:

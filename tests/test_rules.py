@@ -206,3 +206,17 @@ def test_last_message_sent_rejects_blank_users(spark):
     sends = spark.createDataFrame([("u", 5), ("u", 9), (" ", 7), (None, 8)], "user_id string, t_us long")
     got = sorted((r.user_id or "", r.status, r.last_sent_us) for r in gov.last_message_sent(sends, 10).collect())
     assert got == [("", "error", None), (" ", "error", None), ("u", "success", 9)]
+
+
+def test_promotion_eligibility_matches_brute_force(spark):
+    from intentlane.operators.audit import promotion_eligibility
+    spends = [None, -5.0, 0.0, 0.5, 1.0, 63.99, 64.0, 1e6, float("inf")]
+    mins = [None, -10.0, -5.0, 0.0, 0.5, 1.0, 2.0, 63.0, 64.0, 64.01, 1e6, 1e300]
+    mins += [10.0 + i / 1000 for i in range(12_000)]          # more rules than any list in a plan should hold
+    users = spark.createDataFrame([(i, '["price_sensitive"]') for i in range(len(spends))] + [(99, '["vip"]'), (100, None)],
+                                  "id long, identity_tags string")
+    spend = spark.createDataFrame([*enumerate(spends), (99, 1e6), (100, 1e6)], "user_id long, spend double")
+    rules = spark.createDataFrame(list(enumerate(mins)), "rule_id int, min_spend double")
+    got = {(r.user_id, r.rule_id) for r in promotion_eligibility(users, spend, rules, parts=4).collect()}
+    assert got == {(u, r) for u, s in enumerate(spends) for r, m in enumerate(mins)
+                   if s is not None and m is not None and m <= s}
