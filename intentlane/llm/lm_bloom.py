@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -46,7 +47,7 @@ TUNING_DOCS = 2_000    # documents that the interpolation weights are fitted on
 END = b""              # the end token; no word is empty
 _SHARD_BITS = 22       # bits of one part of a filter, 512 KB
 _FLUSH = 4_000_000     # pairs counted before a task hands them on
-_TEXTS = 1 << 20       # bytes of text scored at once
+_TEXTS = 1 << 21       # bytes of text scored at once
 _GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
 
@@ -103,13 +104,14 @@ class Block:
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Block]]:
     """Slices of the batches, of about _TEXTS bytes of text."""
     for batch in batches:
-        texts = batch[column].to_pylist()
-        at, size = 0, 0
-        for n, text in enumerate(texts, 1):
-            size += len(text or "") + 50
-            if size >= _TEXTS or n == len(texts):
-                yield batch.slice(at, n - at), Block.of(texts[at:n])
-                at, size = n, 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy().astype(np.int64) + 50)
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            n = max(at + 1, int(np.searchsorted(ends, before + _TEXTS, "right")))
+            part = batch.slice(at, n - at)
+            yield part, Block.of(part[column].to_pylist())
+            at = n
 
 
 # ---------------------------------------------------------------------- filter
@@ -228,7 +230,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return (texts.mapInArrow(count, "w binary, h bigint, c bigint")
+    return (texts.mapInArrow(count, "w binary, h bigint, c bigint").repartition("w", "h")
             .groupBy("w", "h").agg(F.sum("c").alias("c")))
 
 
@@ -241,11 +243,14 @@ def pair_counts(texts: DataFrame, words: Filter) -> DataFrame:
         held: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0))
+            pairs = np.concatenate(held) if held else np.zeros(0, np.uint64)
             held.clear()
-            for at in range(0, len(pairs), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[at:at + 200_000].view(np.int64)),
-                                                  pa.array(n[at:at + 200_000].astype(np.int64))], names=["h", "c"])
+            pairs.sort()
+            first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(pairs)))
+            for at in range(0, len(first), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[first[at:at + 200_000]].view(np.int64)),
+                                                  pa.array(n[at:at + 200_000])], names=["h", "c"])
 
         for _, block in blocks(batches):
             h = block.hashes()
@@ -257,7 +262,8 @@ def pair_counts(texts: DataFrame, words: Filter) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return texts.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    # the tasks' pairs are combined already: dealt out first, they are not hashed once more before the shuffle
+    return texts.mapInArrow(count, "h bigint, c bigint").repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 # --------------------------------------------------------------------- scoring
