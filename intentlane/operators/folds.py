@@ -4,199 +4,252 @@ Greedy cooldown: per key, in (time, tie) order, the first candidate fires
 and opens a lock of length C; candidates inside the lock are dropped and do
 not extend it; the next fire is the first candidate at t >= last_fire + C.
 
-Two strategies:
-
-* ``doubling`` (default, skew-safe). ``nxt(x)`` = first candidate at or
-  after x.t + C. The fires are the chain start -> nxt -> nxt ..., where
-  start is the key's first candidate. ``nxt`` is computed with windows
-  partitioned by (key, bucket of width C) plus a per-bucket summary, and the
-  chain is followed by pointer doubling: O(log L) equi-joins on (key, node),
-  L = longest chain. No task ever holds a whole key, so a key with a third of
-  all rows is spread like any other; intermediate levels are checkpointed to
-  the shared checkpoint folder to cut lineage.
-* ``scan``: hash-partition by key, sort, and carry only the last fire time
-  through ``mapInPandas`` (O(1) state, streamed). One key runs in one task.
-
-Compound cap (GOV-4) carries the recent sends (at most ``max_in_window``+1
-values) through a sorted ``mapInPandas`` scan: its next send depends on the
-fourth-last send as well as the last, so the single-pointer chain of the
-cooldown does not apply.
+One path for every size of key. A key's candidates are cut into chunks of
+``chunk_cooldowns`` * C and every (key, chunk) is laid out on its own:
+
+1. A chunk depends on the past only through the end of the lock it inherits,
+   and whatever that is, its first fire is one of the rows in the chunk's
+   first C, or the first row after them. For each of those entries the last
+   fire of the chunk is followed forward; neighbouring entries with the same
+   last fire are one step. The result is a short step function per chunk
+   (chains of different entries merge after a few jumps).
+2. The step functions of a key, in chunk order, give each chunk its inherited
+   lock: only these steps meet in one task per key, streamed with one value
+   of state.
+3. Each chunk fires from its inherited lock on its own.
+
+No task reads all rows of a key, nothing runs while the plan is built, and
+the two passes over the candidates read the same shuffle.
+
+Compound cap (GOV-4): the next send depends on the last ``max + 1`` sends, so
+no short step function exists. A key is cut where it pauses for the longer of
+the two periods, since no state survives such a pause; the stretches between
+pauses fold in parallel, from send to send by binary search.
 """
 
 from __future__ import annotations
 
-import math
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from intentlane.session import ship_package
+
+#: width of a chunk in cooldowns: one step function per key and chunk
+CHUNK_COOLDOWNS = 16
+
+
+def _numpy(batch: pa.RecordBatch, col: str) -> np.ndarray:
+    return batch.column(col).to_numpy(zero_copy_only=False)
+
+
+def _runs(batch: pa.RecordBatch, cols: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(values, start, end) of each run of equal ``cols`` in an ordered batch."""
+    n = batch.num_rows
+    if n == 0:
+        return
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for c in cols:
+        v = _numpy(batch, c)
+        # nulls form one key: an unequal pair of nulls is no change
+        change[1:] |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
+    starts = np.flatnonzero(change)
+    heads = [batch.column(c).take(pa.array(starts)).to_pylist() for c in cols]
+    yield from zip(zip(*heads), starts.tolist(), [*starts[1:].tolist(), n])
+
+
+class _Chunks:
+    """The runs of one ordered batch of candidates on a common time line: run
+    i, counted from its chunk's start, begins at i * span, and span leaves a
+    cooldown free behind every chunk, so a jump never lands in a later run."""
+
+    def __init__(self, batch: pa.RecordBatch, group: list[str], t_col: str, width_us: int,
+                 cooldown_us: int):
+        runs = list(_runs(batch, group))
+        self.groups = [values for values, _, _ in runs]
+        self.first = np.array([s for _, s, _ in runs], dtype=np.int64)
+        sizes = np.array([e - s for _, s, e in runs], dtype=np.int64)
+        self.span, self.cooldown_us = width_us + cooldown_us, cooldown_us
+        if len(runs) * self.span >= 2**62:
+            raise ValueError("chunks too wide for a batch: lower chunk_cooldowns or the batch size")
+        self.start = np.array([values[-1] * width_us for values in self.groups], dtype=np.int64)
+        self.run = np.repeat(np.arange(len(runs)), sizes)
+        self.line = self.at(self.run, _numpy(batch, t_col))
+
+    def at(self, run, t):
+        """Times ``t`` within their chunks, on the line."""
+        return t - self.start[run] + run * self.span
+
+    def next(self, run, fires):
+        """(row, found): the first row of ``run`` a cooldown or more after ``fires``."""
+        return self.first_from(run, fires + self.cooldown_us)
+
+    def first_from(self, run, line):
+        row = np.searchsorted(self.line, line, "left")
+        found = row < len(self.line)
+        found[found] = self.run[row[found]] == run[found]
+        return row, found
 
-from intentlane.session import ensure_checkpoint_dir, ship_package
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def next_at_or_after(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
-                     offset_us: int) -> DataFrame:
-    """For each candidate x: the tie id of the first candidate y (same key,
-    (t, tie) order) with y.t >= x.t + offset. Returns (keys, tie, _nxt).
-
-    Buckets have width = offset, so the probe x.t + offset lies in bucket
-    b(x) + 1: look there first (window per (key, bucket)); otherwise take the
-    first candidate of the first non-empty bucket >= b(x) + 2 (lead over the
-    per-(key, bucket) summary, at most span/offset rows per key)."""
-    t = F.col(t_col)
-    node = cand.select(*keys, t_col, tie_col,
-                       F.floor(t / F.lit(offset_us)).cast("long").alias("_b"))
-    reals = node.select(*keys, t_col, tie_col, "_b", F.lit(1).alias("_k"),
-                        F.lit(None).cast(cand.schema[tie_col].dataType).alias("_src"))
-    probes = node.select(*keys, (t + F.lit(offset_us)).alias(t_col),
-                         F.lit(None).cast(cand.schema[tie_col].dataType).alias(tie_col),
-                         (F.col("_b") + 1).alias("_b"), F.lit(0).alias("_k"),
-                         F.col(tie_col).alias("_src"))
-    # descending running frame == "from here to the end" in ascending order,
-    # evaluated in O(n) (an unbounded-following frame would be quadratic)
-    w_desc = (Window.partitionBy(*keys, "_b")
-              .orderBy(F.col(t_col).desc(), F.col("_k").desc(), F.col(tie_col).desc_nulls_last())
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = reals.unionByName(probes)
-    found = (both.withColumn("_in_next", F.last(F.when(F.col("_k") == 1, F.col(tie_col)),
-                                                ignorenulls=True).over(w_desc))
-             .filter(F.col("_k") == 0)
-             .select(*keys, F.col("_src").alias(tie_col), (F.col("_b") - 1).alias("_b"),
-                     "_in_next"))
-    summary = node.groupBy(*keys, "_b").agg(
-        F.min(F.struct(t_col, tie_col)).getField(tie_col).alias("_first"))
-    w_b = Window.partitionBy(*keys).orderBy("_b")
-    fallback = summary.select(
-        *keys, "_b",
-        F.when(F.lead("_b", 1).over(w_b) == F.col("_b") + 1, F.lead("_first", 2).over(w_b))
-        .otherwise(F.lead("_first", 1).over(w_b)).alias("_after"))
-    return (found.join(fallback, on=[*keys, "_b"], how="left")
-            .select(*keys, tie_col, F.coalesce("_in_next", "_after").alias("_nxt")))
-
-
-def _chain_from_first(cand: DataFrame, nxt: DataFrame, keys: list[str], t_col: str,
-                      tie_col: str, max_chain: int) -> DataFrame:
-    """Nodes reachable from each key's first candidate by following _nxt."""
-    levels = max(0, math.ceil(math.log2(max(1, max_chain))))
-    jumps = [_checkpoint(nxt)]
-    for _ in range(1, levels):
-        j = jumps[-1]
-        a = j.alias("a")
-        b = j.alias("b")
-        nxt2 = (a.join(b, on=[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-                       + [F.col("a._nxt") == F.col(f"b.{tie_col}")], how="left")
-                .select(*[F.col(f"a.{k}").alias(k) for k in keys],
-                        F.col(f"a.{tie_col}").alias(tie_col), F.col("b._nxt").alias("_nxt")))
-        jumps.append(_checkpoint(nxt2))
-    start = (cand.groupBy(*keys)
-             .agg(F.min(F.struct(t_col, tie_col)).getField(tie_col).alias(tie_col)))
-    path = _checkpoint(start)
-    for j in reversed(jumps[:levels]):
-        step = (path.join(j, on=[*keys, tie_col], how="inner")
-                .filter(F.col("_nxt").isNotNull())
-                .select(*keys, F.col("_nxt").alias(tie_col)))
-        path = _checkpoint(path.unionByName(step))
-    return path
-
-
-# Largest key (in candidate rows) the single-task scan is allowed to take;
-# above it the skew-safe doubling runs instead.
-SCAN_MAX_ROWS_PER_KEY = 2_000_000
+    def last_fires(self, run, fires):
+        out, live = fires.copy(), np.arange(len(fires))
+        while len(live):
+            row, found = self.next(run[live], out[live])
+            live = live[found]
+            out[live] = self.line[row[found]]
+        return out
+
+
+def _chunk_steps(laid: DataFrame, keys: list[str], t_col: str, cooldown_us: int,
+                 width_us: int) -> DataFrame:
+    """(keys, _chunk, _entry, _exit): a lock that ends after the previous
+    _entry and at or before this one makes _exit the chunk's last fire."""
+    group = [*keys, "_chunk"]
+    schema = T.StructType([laid.schema[k] for k in keys] + [
+        T.StructField(c, T.LongType()) for c in ("_chunk", "_entry", "_exit")])
+    arrow = to_arrow_schema(schema)
+
+    def rows(groups, run, entry, last):
+        heads = [pa.array([g[i] for g in groups], type=arrow.field(i).type).take(pa.array(run))
+                 for i in range(len(group))]
+        return pa.RecordBatch.from_arrays([*heads, pa.array(entry), pa.array(last)], schema=arrow)
+
+    def steps(batches):
+        none = np.empty(0, dtype=np.int64)
+        open_group, entry, last, past_head = None, none, none, False    # of the last run, still open
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            c = _Chunks(batch, group, t_col, width_us, cooldown_us)
+            same = c.groups[0] == open_group
+            if open_group is not None and not same:
+                yield rows([open_group], np.zeros(len(entry), dtype=np.int64), entry, last)
+            if not same:
+                entry, last, past_head = none, none, False
+            head = c.line - c.run * c.span < cooldown_us
+            # the first row behind the head of each run is an entry as well
+            tail_run, tail_row = np.unique(c.run[~head], return_index=True)
+            tail_row = np.flatnonzero(~head)[tail_row]
+            open_past = past_head
+            past_head = (past_head and len(c.groups) == 1) or bool((tail_run == len(c.groups) - 1).any())
+            take = head.copy()
+            take[tail_row[1 if open_past and len(tail_run) and tail_run[0] == 0 else 0:]] = True
+            run = np.concatenate([np.zeros(len(entry), dtype=np.int64), c.run[take]])
+            new = c.line[take]
+            fires = np.concatenate([c.at(np.zeros(len(last), dtype=np.int64), last), new])
+            back = c.start[run] - run * c.span
+            entry = np.concatenate([entry, new + back[len(entry):]])
+            last = c.last_fires(run, fires) + back
+            keep = np.append((run[1:] != run[:-1]) | (last[1:] != last[:-1]), True)
+            run, entry, last = run[keep], entry[keep], last[keep]
+            done = run < len(c.groups) - 1
+            yield rows(c.groups, run[done], entry[done], last[done])
+            open_group, entry, last = c.groups[-1], entry[~done], last[~done]
+        if open_group is not None:
+            yield rows([open_group], np.zeros(len(entry), dtype=np.int64), entry, last)
+
+    return laid.mapInArrow(steps, schema=schema)
+
+
+def _inherited_locks(steps: DataFrame, keys: list[str], cooldown_us: int) -> DataFrame:
+    """(keys, _chunk, _from): the time from which each chunk may fire; chunks
+    wholly inside a lock are left out."""
+    schema = T.StructType([steps.schema[k] for k in keys] + [
+        T.StructField(c, T.LongType()) for c in ("_chunk", "_from")])
+    arrow = to_arrow_schema(schema)
+    never = np.iinfo(np.int64).min
+
+    def chain(batches):
+        key, chunk, lock_end, fired = None, None, never, False
+        for batch in batches:
+            out = []
+            for *row, entry, exit_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:-1] != key:
+                    key, chunk, lock_end = row[:-1], None, never
+                if row[-1] != chunk:
+                    chunk, fired = row[-1], False
+                if not fired and entry >= lock_end:
+                    out.append((*row, lock_end))
+                    lock_end, fired = exit_ + cooldown_us, True
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(
+                zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
+
+    return (steps.repartition(*keys).sortWithinPartitions(*keys, "_chunk", "_entry")
+            .mapInArrow(chain, schema=schema))
 
 
 def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
-                    cooldown_us: int, strategy: str = "auto",
-                    scan_max_rows_per_key: int = SCAN_MAX_ROWS_PER_KEY,
-                    max_rows_per_key: int | None = None, presorted: bool = False,
-                    mark_col: str | None = None) -> DataFrame:
+                    cooldown_us: int, mark_col: str | None = None,
+                    chunk_cooldowns: int = CHUNK_COOLDOWNS) -> DataFrame:
     """Rows of ``cand`` that fire under the greedy cooldown. ``tie_col`` must
-    be unique within a key.
-
-    ``auto`` checks the largest key first (``max_rows_per_key`` when the
-    caller knows an upper bound, e.g. from the raw input, else one aggregate
-    over ``cand``): the one-pass scan when every key fits a task
-    comfortably, pointer doubling (no bound on a key) beyond that.
-    ``presorted``: the caller guarantees rows are hash-partitioned by ``keys``
-    and each key's rows are contiguous and in (t, tie) order within a
-    partition, so the scan needs no shuffle or sort of its own.
-    ``mark_col``: keep every row and flag the fires in this boolean column
-    (instead of returning the fires only)."""
+    be unique within a key. ``mark_col``: keep every row and flag the fires in
+    this boolean column (instead of returning the fires only)."""
     if cooldown_us <= 0:
         raise ValueError("cooldown_us must be positive")
-    if strategy not in ("auto", "scan", "doubling"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "auto":
-        if max_rows_per_key is None:
-            max_rows_per_key = (cand.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
-        strategy = "scan" if max_rows_per_key <= scan_max_rows_per_key else "doubling"
-    if strategy == "scan":
-        return _cooldown_scan(cand, keys, t_col, tie_col, cooldown_us, presorted, mark_col)
-    # the candidates feed several jobs below: materialise them once
-    cand = _checkpoint(cand)
-    # fires are >= C apart, so a key fires at most once per bucket of width C:
-    # the longest chain is bounded by the key's count of non-empty buckets
-    max_chain = (cand.select(*keys, F.floor(F.col(t_col) / F.lit(cooldown_us)).alias("_b"))
-                 .distinct().groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
-    if max_chain == 0:
-        return cand
-    nxt = next_at_or_after(cand, keys, t_col, tie_col, cooldown_us)
-    fired = _chain_from_first(cand, nxt, keys, t_col, tie_col, max_chain)
-    if mark_col is None:
-        return cand.join(fired, on=[*keys, tie_col], how="left_semi")
-    flag = fired.withColumn(mark_col, F.lit(True))
-    return (cand.join(flag, on=[*keys, tie_col], how="left")
-            .withColumn(mark_col, F.coalesce(F.col(mark_col), F.lit(False))))
-
-
-def _cooldown_scan(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
-                   cooldown_us: int, presorted: bool = False,
-                   mark_col: str | None = None) -> DataFrame:
-    """Hash-partition by key, sort by (key, t, tie), and jump from fire to
-    fire with a binary search inside each key's run of rows; only the last
-    fire time is carried across Arrow batches."""
+    if chunk_cooldowns < 1:
+        raise ValueError("chunk_cooldowns must be at least 1")
     ship_package(cand.sparkSession)
-    schema = cand.schema if mark_col is None else T.StructType(
-        cand.schema.fields + [T.StructField(mark_col, T.BooleanType())])
+    width_us = chunk_cooldowns * cooldown_us
+    group = [*keys, "_chunk"]
+    # both passes use every column, so that they share this one shuffle
+    laid = (cand.withColumn("_chunk", F.floor(F.col(t_col) / F.lit(width_us)).cast("long"))
+            .repartition(*group))
+    steps = _chunk_steps(laid.sortWithinPartitions(*group, t_col, tie_col), keys, t_col,
+                         cooldown_us, width_us)
+    locks = _inherited_locks(steps, keys, cooldown_us)
+    # a chunk's lock travels to it as one more row, ahead of its candidates
+    told = locks.withColumn(t_col, F.col("_from"))
+    together = (laid.withColumn("_from", F.lit(None).cast("long"))
+                .unionByName(told, allowMissingColumns=True))
+    schema = T.StructType(cand.schema.fields + ([] if mark_col is None else
+                                                [T.StructField(mark_col, T.BooleanType())]))
 
-    def fold(batches):
-        last_key = None
-        last_fire = None
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
+    def fire(batches):
+        open_group, open_from = None, None      # of the last run, which the next batch may go on with
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            t = pdf[t_col].to_numpy(dtype=np.int64)
-            kcols = [pdf[k].to_numpy() for k in keys]
-            change = np.zeros(n, dtype=bool)
-            change[0] = True
-            for kc in kcols:
-                change[1:] |= kc[1:] != kc[:-1]
-            starts = np.flatnonzero(change)
-            ends = np.append(starts[1:], n)
-            keep = np.zeros(n, dtype=bool)
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                kv = tuple(kc[s] for kc in kcols)
-                lf = last_fire if kv == last_key else None
-                seg = t[s:e]
-                i = 0 if lf is None else int(np.searchsorted(seg, lf + cooldown_us, "left"))
-                while i < len(seg):
-                    keep[s + i] = True
-                    lf = int(seg[i])
-                    i = int(np.searchsorted(seg, lf + cooldown_us, "left"))
-                last_key, last_fire = kv, lf
-            yield pdf[keep] if mark_col is None else pdf.assign(**{mark_col: keep})
-
-    if presorted:
-        return cand.mapInPandas(fold, schema=schema)
-    return (cand.repartition(*keys).sortWithinPartitions(*keys, t_col, tie_col)
-            .mapInPandas(fold, schema=schema))
+            is_lock = batch.column("_from").is_valid().to_numpy(zero_copy_only=False)
+            lock = batch.column("_from").fill_null(0).to_numpy()
+            c = _Chunks(batch.set_column(batch.schema.get_field_index(t_col), t_col, pa.array(
+                # a lock row takes the place of its chunk's start on the line
+                np.where(is_lock, _numpy(batch, "_chunk") * width_us, _numpy(batch, t_col)))),
+                group, t_col, width_us, cooldown_us)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            known = is_lock[c.first]
+            start = lock[c.first]
+            if c.groups[0] == open_group and open_from is not None and not known[0]:
+                known[0], start[0] = True, open_from
+            run = np.flatnonzero(known)
+            free = np.clip(start[run], c.start[run], c.start[run] + width_us + cooldown_us - 1)
+            row, found = c.first_from(run, c.at(run, free))
+            # the lock row itself is no candidate
+            row = np.where(found & is_lock[np.minimum(row, len(keep) - 1)], row + 1, row)
+            found = found & (row < len(keep))
+            found[found] = c.run[row[found]] == run[found]
+            end = start.copy()
+            while found.any():
+                run, row = run[found], row[found]
+                keep[row] = True
+                end[run] = c.line[row] - run * c.span + c.start[run] + cooldown_us
+                row, found = c.next(run, c.line[row])
+            open_group, open_from = c.groups[-1], int(end[-1]) if known[-1] else None
+            if mark_col is None:
+                yield batch.filter(pa.array(keep)).select(schema.names)
+            else:
+                marked = batch.filter(pa.array(~is_lock)).select(schema.names[:-1])
+                yield marked.append_column(mark_col, pa.array(keep[~is_lock]))
+
+    return (together.repartition(*group)
+            .sortWithinPartitions(*group, F.col("_from").isNull(), t_col, tie_col)
+            .mapInArrow(fire, schema=schema))
 
 
 def compound_cap(req: DataFrame, keys: list[str], t_col: str, tie_col: str,
@@ -208,27 +261,44 @@ def compound_cap(req: DataFrame, keys: list[str], t_col: str, tie_col: str,
     ship_package(req.sparkSession)
     out_schema = T.StructType(req.schema.fields + [T.StructField("allowed", T.BooleanType())])
     limit = max_in_window if strict_more_than else max_in_window - 1
+    pause_us = max(gap_us, window_us)
+
+    # a pause of that length always crosses the edge of a bucket as wide, so
+    # the buckets' first and last times are enough to find every one of them
+    bucketed = req.withColumn("_bucket", F.floor(F.col(t_col) / F.lit(pause_us)).cast("long"))
+    order = Window.partitionBy(*keys).orderBy("_bucket")
+    before = F.lag("_last").over(order)
+    spans = (bucketed.groupBy(*keys, "_bucket").agg(F.min(t_col).alias("_first"), F.max(t_col).alias("_last"))
+             .withColumn("_cut", (F.col("_first") - before >= F.lit(pause_us)).cast("long"))
+             .withColumn("_stretch", F.sum(F.coalesce("_cut", F.lit(0))).over(order)))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_bucket"]]
+    group = [*keys, "_stretch"]
+    stretched = (bucketed.alias("r").join(spans.alias("s"), on)
+                 .select("r.*", F.col("s._stretch").alias("_stretch")))
 
     def fold(batches):
-        last_key = None
-        last_send = None
-        recent: list[int] = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            key_vals = list(zip(*[pdf[k].tolist() for k in keys]))
-            times = pdf[t_col].tolist()
-            allowed = []
-            for kv, tv in zip(key_vals, times):
-                if kv != last_key:
-                    last_key, last_send, recent = kv, None, []
-                recent = [s for s in recent if s > tv - window_us]
-                ok = (last_send is None or last_send <= tv - gap_us) and len(recent) <= limit
-                if ok:
-                    recent.append(tv)
-                    last_send = tv
-                allowed.append(ok)
-            yield pdf.assign(allowed=allowed)
-
-    return (req.repartition(*keys).sortWithinPartitions(*keys, t_col, tie_col)
-            .mapInPandas(fold, schema=out_schema))
+        current, free_at = None, None
+        sends: deque[int] = deque(maxlen=max(limit + 1, 1))
+        for batch in batches:
+            t = _numpy(batch, t_col)
+            allowed = np.zeros(len(t), dtype=bool)
+            for values, s, e in _runs(batch, group):
+                if values != current:
+                    current, free_at = values, np.iinfo(np.int64).min
+                    sends.clear()
+                if limit < 0:
+                    continue
+                times = t[s:e]
+                i = int(np.searchsorted(times, free_at, "left"))
+                while i < len(times):
+                    allowed[s + i] = True
+                    sends.append(int(times[i]))
+                    free_at = sends[-1] + gap_us
+                    if len(sends) > limit:
+                        free_at = max(free_at, sends[0] + window_us)
+                    # a send at the same instant is never free of its own row
+                    i = max(i + 1, int(np.searchsorted(times, free_at, "left")))
+            yield batch.select(out_schema.names[:-1]).append_column("allowed", pa.array(allowed))
+
+    return (stretched.repartition(*group).sortWithinPartitions(*group, t_col, tie_col)
+            .mapInArrow(fold, schema=out_schema))

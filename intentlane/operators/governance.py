@@ -52,11 +52,10 @@ def last_message_sent(sends: DataFrame, period_us: int = P.MESSAGE_LIMIT_US,
 
 
 def send_gate(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US, t_col: str = "t_us",
-              tie_col: str = "event_id", strategy: str = "auto") -> DataFrame:
+              tie_col: str = "event_id") -> DataFrame:
     """GOV-3: check-then-record over a stream of attempts: an allowed attempt
     becomes a send and blocks the period after it (the greedy cooldown)."""
-    return greedy_cooldown(requests, ["user_id"], t_col, tie_col, period_us, strategy=strategy,
-                           mark_col="allowed")
+    return greedy_cooldown(requests, ["user_id"], t_col, tie_col, period_us, mark_col="allowed")
 
 
 def compound_gate(requests: DataFrame, gap_us: int = P.COMPOUND_GAP_US,

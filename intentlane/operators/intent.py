@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from intentlane import params as P
 from intentlane.functions.time import epoch_us_of
-from intentlane.operators.folds import SCAN_MAX_ROWS_PER_KEY, greedy_cooldown
+from intentlane.operators.folds import CHUNK_COOLDOWNS, greedy_cooldown
 from intentlane.operators.sliding import sliding_count
 
 
@@ -31,7 +31,8 @@ def sliding_click_count(behavior: DataFrame, window_us: int = P.WINDOW_US,
 
 
 def detect_high_intent(behavior: DataFrame, p: P.IntentParams = P.IntentParams(),
-                       strategy: str = "auto", actions: list[str] | None = None) -> DataFrame:
+                       chunk_cooldowns: int = CHUNK_COOLDOWNS,
+                       actions: list[str] | None = None) -> DataFrame:
     """Promotions: one row per firing event.
 
     Columns: user_id, event_id, event_type, reason, event_time_us,
@@ -39,23 +40,10 @@ def detect_high_intent(behavior: DataFrame, p: P.IntentParams = P.IntentParams()
     unless ``actions`` restricts the counted (and promotable) events."""
     if actions is not None:
         behavior = behavior.filter(F.col("action").isin(actions))
-    if strategy == "auto":
-        # events per user bound the candidates per user: one cheap aggregate
-        # over the raw input decides between the scan and pointer doubling
-        biggest = behavior.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-        strategy = "scan" if biggest <= SCAN_MAX_ROWS_PER_KEY else "doubling"
-    if strategy == "scan":
-        # no hot user: partition by user once; the sliding windows and the
-        # fold both run on that layout (one shuffle, one sort for the job)
-        counted = sliding_click_count(behavior, p.window_us, partition_by=["user_id"])
-        qualifying = counted.filter(F.col("n") >= p.threshold)
-        fired = greedy_cooldown(qualifying, ["user_id"], "t_us", "event_id", p.cooldown_us,
-                                strategy="scan", presorted=True)
-    else:
-        counted = sliding_click_count(behavior, p.window_us)
-        qualifying = counted.filter(F.col("n") >= p.threshold)
-        fired = greedy_cooldown(qualifying, ["user_id"], "t_us", "event_id", p.cooldown_us,
-                                strategy=strategy)
+    counted = sliding_click_count(behavior, p.window_us)
+    qualifying = counted.filter(F.col("n") >= p.threshold)
+    fired = greedy_cooldown(qualifying, ["user_id"], "t_us", "event_id", p.cooldown_us,
+                            chunk_cooldowns=chunk_cooldowns)
     return promotion_projection(fired, p)
 
 

@@ -71,10 +71,10 @@ def test_cooldown_not_extended_and_expires_exactly(spark):
     at_expiry = [fire + P.COOLDOWN_US + i for i in range(10)]
     times = sorted(burst + inside + at_expiry)
     rows = [("u", t, i) for i, t in enumerate(times)]
-    out = detect_high_intent(_behavior(spark, rows), P.IntentParams(), strategy="doubling")
+    out = detect_high_intent(_behavior(spark, rows), P.IntentParams(), chunk_cooldowns=1)
     got = sorted(r.event_time_us for r in out.collect())
     assert got == [fire, fire + P.COOLDOWN_US]
-    out2 = detect_high_intent(_behavior(spark, rows), P.IntentParams(), strategy="scan")
+    out2 = detect_high_intent(_behavior(spark, rows), P.IntentParams())
     assert sorted(r.event_time_us for r in out2.collect()) == got
 
 
@@ -86,7 +86,7 @@ def test_projection_defaults(spark):
     assert r.event_type == "high_interest_detected"
 
 
-def test_doubling_equals_scan_with_hot_key(spark):
+def test_chunk_width_does_not_matter_with_hot_key(spark):
     import random
     rnd = random.Random(7)
     rows = []
@@ -100,13 +100,27 @@ def test_doubling_equals_scan_with_hot_key(spark):
             eid += 1
     df = _events(spark, rows)
     a = {r.event_id for r in greedy_cooldown(df, ["user_id"], "t_us", "event_id", 3_600_000_000,
-                                             strategy="doubling").collect()}
-    b = {r.event_id for r in greedy_cooldown(df, ["user_id"], "t_us", "event_id", 3_600_000_000,
-                                             strategy="scan").collect()}
+                                             chunk_cooldowns=1).collect()}
+    b = {r.event_id for r in greedy_cooldown(df, ["user_id"], "t_us", "event_id", 3_600_000_000).collect()}
     _, want = sorted_set_detector(rows, 1, 1, 3_600_000_000)
     assert a == b == want
 
 
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", None, "b"]), st.integers(-20, 120)), min_size=1, max_size=120),
+       st.integers(1, 9), st.integers(1, 4))
+def test_greedy_cooldown_property(spark, evs, cooldown, width):
+    rows = [(u, t, 2**60 + i) for i, (u, t) in enumerate(evs)]    # ties, null keys, ids beyond a double
+    _, want = sorted_set_detector(rows, 1, 1, cooldown)
+    df = _events(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")     # chunks run over batch ends
+    try:
+        got = greedy_cooldown(df, ["user_id"], "t_us", "event_id", cooldown, chunk_cooldowns=width).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.event_id for r in got} == want and len(got) == len(want)
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 40)), min_size=1,
                 max_size=80))
@@ -114,20 +128,20 @@ def test_property_matches_sorted_set(spark, evs):
     unit = 60_000_000
     rows = [(u, t * unit, i) for i, (u, t) in enumerate(evs)]
     p = P.IntentParams(window_us=5 * unit, threshold=3, cooldown_us=7 * unit)
-    out = detect_high_intent(_behavior(spark, rows), p, strategy="doubling")
+    out = detect_high_intent(_behavior(spark, rows), p, chunk_cooldowns=2)
     counts, fired = sorted_set_detector(rows, p.window_us, p.threshold, p.cooldown_us)
     assert {r.event_id for r in out.collect()} == fired
 
 
-def test_mark_col_both_strategies(spark):
+def test_mark_col_any_chunk_width(spark):
     rows = [("u", i * 1_000_000, i) for i in range(50)] + [("v", i * 7_000_000, 100 + i) for i in range(20)]
     df = _events(spark, rows)
     _, want = sorted_set_detector(rows, 1, 1, 10_000_000)
-    for strategy in ("scan", "doubling"):
-        out = greedy_cooldown(df, ["user_id"], "t_us", "event_id", 10_000_000, strategy=strategy,
-                              mark_col="fired").collect()
+    for width in (1, 3, 16):
+        out = greedy_cooldown(df, ["user_id"], "t_us", "event_id", 10_000_000, mark_col="fired",
+                              chunk_cooldowns=width).collect()
         assert len(out) == len(rows)
-        assert {r.event_id for r in out if r.fired} == want, strategy
+        assert {r.event_id for r in out if r.fired} == want, width
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
