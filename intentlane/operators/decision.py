@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from intentlane import params as P
 from intentlane.functions.text import is_blank, parse_tags, parse_user_id
-from intentlane.operators.asof import prev_within
+from intentlane.operators.folds import send_rules
+from intentlane.operators.retrieval import product_search, script_search
 
 # Our fixed priority of offer segments (the reference states no order).
 SEGMENT_RULES = (("premium", "tier", "HIGH"), ("value", "tag", "price_sensitive"),
@@ -62,51 +63,121 @@ def eligible_offers(users: DataFrame, products: DataFrame) -> DataFrame:
     present = fan.join(F.broadcast(tiers), "spending_tier", "left_semi")
     high = F.col("spending_tier") == "HIGH"
     price = F.coalesce(F.col("price"), F.lit(0.0))
-    return (present.filter(~high | (price >= HIGH_TIER_MIN_PRICE))
+    return (present.filter(_eligible(F.col("spending_tier"), price))
             .withColumn("preferred", high & (price > HIGH_TIER_PREFERRED_PRICE)))
 
 
-def campaign_decision(intents: DataFrame, users: DataFrame, scripts: DataFrame,
-                      sends: DataFrame, limit_us: int = P.MESSAGE_LIMIT_US) -> DataFrame:
-    """DEC-5: one action row per promotion; no profile lookups per row, just
-    equi-joins on the user id and one horizon-bounded as-of join.
-
-    intents: user_id, event_id, event_time_us, last_action, sku_id, price.
-    Checks in order: no_profile, unrouted_event, limit_reached (cart and
-    purchase only, against the send log), below_tier_floor (HIGH tier and a
-    product under 100), no_content. Content: the product for browse /
-    purchase; for cart the first usable script of cart_abandon, else
-    price_drop (a scalar subquery, evaluated once inside the job)."""
+def _eligible(tier: Column, price: Column) -> Column:
+    return (tier.isNull() | (tier != "HIGH")) | (price >= HIGH_TIER_MIN_PRICE)
+
+
+def route_intent(event_type: Column, last_action: Column) -> Column:
+    """DEC-1 for an intent: its last action refines the event type's scenario."""
+    by_action = route(last_action)
+    return F.when(by_action != "unrouted", by_action).otherwise(route(event_type))
+
+
+def trigger_offers(triggers: DataFrame, products: DataFrame, vectors: DataFrame, catalog: DataFrame,
+                   k: int = P.SEARCH_K, recall_factor: int = P.RECALL_FACTOR) -> DataFrame:
+    """(sku_id, offers): RET-7 around every triggering product, searched once
+    per product with its own vector and document. ``offers`` holds at most k
+    structs (rank, sku_id, price) that are in stock and another product.
+
+    vectors: id, sku_id, embedding. catalog: CAT-4 documents."""
+    docs = catalog.select(F.col("id").alias("sku_id"), F.col("document").alias("query_text"))
+    queries = (triggers.select("sku_id").distinct().join(vectors, "sku_id").join(docs, "sku_id")
+               .select("id", "query_text", "embedding"))
+    names = vectors.select(F.col("id").alias("_vid"), "sku_id")
+    hits = product_search(queries, vectors.select("id", "embedding"), catalog, k, recall_factor,
+                          hit_key=F.concat(F.lit("sku_"), F.col("id").cast("string")))
+    stocked = (products.filter(F.col("stock") > 0)
+               .select(F.col("sku_id").alias("product_id"),
+                       F.coalesce(F.col("price").try_cast("double"), F.lit(0.0)).alias("offer_price")))
+    return (hits.select("query_id", "rank", "product_id").join(stocked, "product_id")
+            .join(names, F.col("query_id") == F.col("_vid"))
+            .filter(F.col("product_id") != F.col("sku_id"))
+            .groupBy("sku_id")
+            .agg(F.sort_array(F.collect_list(F.struct(
+                F.col("rank"), F.col("product_id").alias("sku_id"),
+                F.col("offer_price").alias("price")))).alias("offers")))
+
+
+def trigger_scripts(triggers: DataFrame, scripts: DataFrame, script_vectors: DataFrame,
+                    vectors: DataFrame, max_chars: int) -> DataFrame:
+    """(sku_id, script_id): RET-8 with the triggering product's vector, over
+    the cart scenarios in their order; only non-blank texts that keep GOV-7."""
+    usable = (scripts.filter(F.col("scenario").isin(*P.CART_SCRIPT_SCENARIOS) & ~is_blank(F.col("content"))
+                             & (F.char_length("content") <= max_chars)))
+    index = usable.select("id", "scenario").join(script_vectors, "id")
+    n = len(P.CART_SCRIPT_SCENARIOS)
+    asked = (triggers.select("sku_id").distinct().join(vectors, "sku_id")
+             .select("id", "sku_id", "embedding",
+                     F.posexplode(F.array(*[F.lit(s) for s in P.CART_SCRIPT_SCENARIOS]))
+                     .alias("_pos", "scenario"))
+             .withColumn("id", F.col("id") * n + F.col("_pos")))
+    hits = script_search(asked.select("id", "embedding", "scenario"), index, k=1)
+    return (hits.join(asked.select(F.col("id").alias("query_id"), "sku_id", "_pos"), "query_id")
+            .groupBy("sku_id").agg(F.min_by(hits["id"], F.col("_pos")).alias("script_id")))
+
+
+def campaign_decision(intents: DataFrame, users: DataFrame, products: DataFrame, catalog: DataFrame,
+                      vectors: DataFrame, scripts: DataFrame, script_vectors: DataFrame,
+                      sends: DataFrame, limit_us: int = P.MESSAGE_LIMIT_US,
+                      gap_us: int = P.COMPOUND_GAP_US, window_us: int = P.COMPOUND_WINDOW_US,
+                      max_in_window: int = P.COMPOUND_MAX_IN_WINDOW,
+                      max_chars: int = P.MESSAGE_MAX_CHARS) -> DataFrame:
+    """DEC-5: one action row per intent.
+
+    1. scenario from the event type, refined by the last action (DEC-1);
+       profile, tier and tags by the user id.
+    2. content: for browse and purchase the best offer near the triggering
+       product (RET-7) that is in stock, another product and allowed for the
+       tier (DEC-3; preferred prices first); for cart the closest usable script
+       (RET-8) of cart_abandon, else price_drop. Retrieval runs once per
+       triggering product, not per intent.
+    3. check-then-record: sends of the log and of this job count for the
+       message limit (cart and purchase) and the compound cap (all).
+
+    Reasons in order: no_profile, unrouted_event, limit_reached, no_content,
+    frequency_cap."""
     prof = users.select(F.col("id").alias("_uid"), "spending_tier",
-                        parse_tags(F.col("identity_tags")).alias("_tags"),
-                        F.lit(True).alias("_found"))
-    x = (intents.withColumn("_uid", parse_user_id(F.col("user_id")))
-         .join(prof, "_uid", "left")
-         .withColumn("scenario", route(F.col("last_action")))
+                        parse_tags(F.col("identity_tags")).alias("_tags"), F.lit(True).alias("_found"))
+    x = (intents.withColumn("scenario", route_intent(F.col("event_type"), F.col("last_action")))
+         .withColumn("_uid", parse_user_id(F.col("user_id"))).join(prof, "_uid", "left")
          .withColumn("segment", F.coalesce(F.get(segments(F.col("spending_tier"), F.col("_tags")), 0),
                                            F.lit(DEFAULT_SEGMENT))))
+    by_product = [s for s, (r, _) in SCENARIO_PLAN.items() if r == "product"]
+    by_script = [s for s, (r, _) in SCENARIO_PLAN.items() if r == "script"]
+    offers = trigger_offers(x.filter(F.col("scenario").isin(by_product)), products, vectors, catalog)
+    chosen = trigger_scripts(x.filter(F.col("scenario").isin(by_script)), scripts, script_vectors,
+                             vectors, max_chars)
+    high = F.coalesce(F.col("spending_tier") == "HIGH", F.lit(False))
+    ordered = F.transform(
+        F.filter("offers", lambda o: _eligible(F.col("spending_tier"), o["price"])),
+        lambda o: F.struct((~(high & (o["price"] > HIGH_TIER_PREFERRED_PRICE))).alias("later"),
+                           o["rank"].alias("rank"), o["sku_id"].alias("sku_id")))
+    x = (x.join(offers, "sku_id", "left").join(chosen, "sku_id", "left")
+         .withColumn("content", F.when(F.col("scenario").isin(by_product),
+                                       F.concat(F.lit("sku:"), F.array_min(ordered)["sku_id"]))
+                     .when(F.col("scenario").isin(by_script),
+                           F.concat(F.lit("script:"), F.col("script_id").cast("string")))))
+    early = (F.when(F.col("_found").isNull(), F.lit("no_profile"))
+             .when(F.col("scenario") == "unrouted", F.lit("unrouted_event")))
     governed = F.col("scenario").isin([s for s, (_, g) in SCENARIO_PLAN.items() if g])
-    x = x.withColumn("t_us", F.col("event_time_us"))
-    x = prev_within(x, sends, ["user_id"], "t_us", limit_us, out_col="_last_send")
-    usable = scripts.filter(F.col("scenario").isin(*P.CART_SCRIPT_SCENARIOS)
-                            & ~is_blank(F.col("content")))
-    # the chosen script id is a scalar subquery: planned lazily, run once
-    pick = usable.agg(F.min_by("id", F.struct(
-        (F.col("scenario") != P.CART_SCRIPT_SCENARIOS[0]).alias("_p"), F.col("id"))).alias("_script"))
-    x = x.withColumn("_script", pick.scalar())
-    product_like = F.col("scenario").isin([s for s, (r, _) in SCENARIO_PLAN.items() if r == "product"])
-    content = (F.when(product_like, F.concat(F.lit("sku:"), F.col("sku_id")))
-               .when(F.col("scenario") == "cart",
-                     F.concat(F.lit("script:"), F.col("_script").cast("string"))))
-    reason = (F.when(F.col("_found").isNull(), F.lit("no_profile"))
-              .when(F.col("scenario") == "unrouted", F.lit("unrouted_event"))
-              .when(governed & F.col("_last_send").isNotNull(), F.lit("limit_reached"))
-              .when((F.col("spending_tier") == "HIGH") & product_like
-                    & (F.coalesce(F.col("price"), F.lit(0.0)) < HIGH_TIER_MIN_PRICE),
-                    F.lit("below_tier_floor"))
-              .when(content.isNull(), F.lit("no_content")))
-    return x.select("event_id", "user_id", "scenario", "segment",
-                    F.when(reason.isNull(), F.lit("SEND")).otherwise(F.lit("SKIP")).alias("action"),
-                    reason.alias("reason"),
-                    F.when(reason.isNull(), content).alias("content"),
-                    F.lit(True).alias("success"))
+    items = x.select(
+        "event_id", "user_id", F.col("event_time_us").alias("t_us"), "scenario", "segment", "content",
+        early.alias("_early"), F.lit(False).alias("is_log"), (governed & early.isNull()).alias("governed"),
+        (early.isNull() & F.col("content").isNotNull()).alias("can_send"))
+    # only users with an intent need their part of the log
+    log = (sends.join(intents.select("user_id").distinct(), "user_id", "left_semi")
+           .select("user_id", "t_us", F.lit(True).alias("is_log"), F.lit(True).alias("governed"),
+                   F.lit(True).alias("can_send")))
+    judged = send_rules(items.unionByName(log, allowMissingColumns=True), ["user_id"], "t_us", "event_id",
+                        limit_us, gap_us, window_us, max_in_window)
+    sent = F.col("verdict") == "sent"
+    reason = F.coalesce(F.col("_early"), F.when(F.col("verdict") == "held", F.lit("no_content"))
+                        .when(~sent, F.col("verdict")))
+    return judged.select("event_id", "user_id", "scenario", "segment",
+                         F.when(sent, F.lit("SEND")).otherwise(F.lit("SKIP")).alias("action"),
+                         reason.alias("reason"), F.when(sent, F.col("content")).alias("content"),
+                         F.lit(True).alias("success"))

@@ -252,6 +252,22 @@ def greedy_cooldown(cand: DataFrame, keys: list[str], t_col: str, tie_col: str,
             .mapInArrow(fire, schema=schema))
 
 
+def _stretches(req: DataFrame, keys: list[str], t_col: str, pause_us: int) -> DataFrame:
+    """Add ``_stretch``: rows of a key between two pauses of ``pause_us`` share it.
+
+    A pause of that length always crosses the edge of a bucket as wide, so the
+    buckets' first and last times are enough to find every one of them."""
+    bucketed = req.withColumn("_bucket", F.floor(F.col(t_col) / F.lit(pause_us)).cast("long"))
+    order = Window.partitionBy(*keys).orderBy("_bucket")
+    before = F.lag("_last").over(order)
+    spans = (bucketed.groupBy(*keys, "_bucket").agg(F.min(t_col).alias("_first"), F.max(t_col).alias("_last"))
+             .withColumn("_cut", (F.col("_first") - before >= F.lit(pause_us)).cast("long"))
+             .withColumn("_stretch", F.sum(F.coalesce("_cut", F.lit(0))).over(order)))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_bucket"]]
+    return (bucketed.alias("r").join(spans.alias("s"), on)
+            .select("r.*", F.col("s._stretch").alias("_stretch")).drop("_bucket"))
+
+
 def compound_cap(req: DataFrame, keys: list[str], t_col: str, tie_col: str,
                  gap_us: int, window_us: int, max_in_window: int,
                  strict_more_than: bool = True) -> DataFrame:
@@ -261,20 +277,8 @@ def compound_cap(req: DataFrame, keys: list[str], t_col: str, tie_col: str,
     ship_package(req.sparkSession)
     out_schema = T.StructType(req.schema.fields + [T.StructField("allowed", T.BooleanType())])
     limit = max_in_window if strict_more_than else max_in_window - 1
-    pause_us = max(gap_us, window_us)
-
-    # a pause of that length always crosses the edge of a bucket as wide, so
-    # the buckets' first and last times are enough to find every one of them
-    bucketed = req.withColumn("_bucket", F.floor(F.col(t_col) / F.lit(pause_us)).cast("long"))
-    order = Window.partitionBy(*keys).orderBy("_bucket")
-    before = F.lag("_last").over(order)
-    spans = (bucketed.groupBy(*keys, "_bucket").agg(F.min(t_col).alias("_first"), F.max(t_col).alias("_last"))
-             .withColumn("_cut", (F.col("_first") - before >= F.lit(pause_us)).cast("long"))
-             .withColumn("_stretch", F.sum(F.coalesce("_cut", F.lit(0))).over(order)))
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_bucket"]]
     group = [*keys, "_stretch"]
-    stretched = (bucketed.alias("r").join(spans.alias("s"), on)
-                 .select("r.*", F.col("s._stretch").alias("_stretch")))
+    stretched = _stretches(req, keys, t_col, max(gap_us, window_us))
 
     def fold(batches):
         current, free_at = None, None
@@ -302,3 +306,54 @@ def compound_cap(req: DataFrame, keys: list[str], t_col: str, tie_col: str,
 
     return (stretched.repartition(*group).sortWithinPartitions(*group, t_col, tie_col)
             .mapInArrow(fold, schema=out_schema))
+
+
+def send_rules(items: DataFrame, keys: list[str], t_col: str, tie_col: str, limit_us: int,
+               gap_us: int, window_us: int, max_in_window: int) -> DataFrame:
+    """Add ``verdict`` to send attempts that two rules govern together, each
+    checked against what was really sent before: ``limit_reached`` (a governed
+    attempt within ``limit_us`` of the last governed send), ``frequency_cap``
+    (a send in (t - gap, t], or more than ``max_in_window`` in (t - window, t]),
+    ``sent``, or ``held`` for an attempt that may not send.
+
+    items: ``is_log`` (a send of the log: recorded as it is, before attempts of
+    the same time, and left out of the result), ``governed``, ``can_send``. An
+    attempt is recorded only when it is sent."""
+    ship_package(items.sparkSession)
+    out_schema = T.StructType(items.schema.fields + [T.StructField("verdict", T.StringType())])
+    group = [*keys, "_stretch"]
+
+    def fold(batches):
+        current, governed_until, gap_until = None, None, None
+        sends: deque[int] = deque(maxlen=max_in_window + 1)
+        floor = np.iinfo(np.int64).min
+        for batch in batches:
+            is_log = _numpy(batch, "is_log")
+            flags = list(zip(_numpy(batch, t_col).tolist(), is_log, _numpy(batch, "governed"),
+                             _numpy(batch, "can_send")))
+            verdict: list[str] = []
+            for values, s, e in _runs(batch, group):
+                if values != current:
+                    current, governed_until, gap_until = values, floor, floor
+                    sends.clear()
+                for t, logged, governed, can_send in flags[s:e]:
+                    capped = t < gap_until or (len(sends) > max_in_window and sends[0] > t - window_us)
+                    if logged:
+                        verdict.append("sent")
+                    elif governed and t < governed_until:
+                        verdict.append("limit_reached")
+                    elif not can_send:
+                        verdict.append("held")
+                    else:
+                        verdict.append("frequency_cap" if capped else "sent")
+                    if verdict[-1] == "sent":
+                        sends.append(t)
+                        gap_until = t + gap_us
+                        governed_until = t + limit_us if governed else governed_until
+            out = batch.select(out_schema.names[:-1]).append_column("verdict", pa.array(verdict, pa.string()))
+            yield out.filter(pa.array(~is_log.astype(bool)))
+
+    stretched = _stretches(items, keys, t_col, max(limit_us, gap_us, window_us))
+    return (stretched.repartition(*group)
+            .sortWithinPartitions(*group, t_col, ~F.col("is_log"), tie_col)
+            .mapInArrow(fold, schema=out_schema))

@@ -89,6 +89,7 @@ TEST_ACTIVITY_LOOKBACK_US = 7 * US_PER_DAY
 TEST_MESSAGE_LIMIT_US = 12 * US_PER_HOUR
 TEST_COMPOUND_GAP_US = 4 * US_PER_HOUR
 TEST_COMPOUND_WINDOW_US = 4 * US_PER_DAY
+TEST_MESSAGE_MAX_CHARS = 200             # the fixture's shortest script has 95
 TEST_CART_TIMEOUT_US = 2 * US_PER_DAY
 TEST_REALTIME_HORIZON_US = 1 * US_PER_DAY
 TEST_NOW_MS = 1705276800000              # 2024-01-15 00:00:00 UTC, for retry jobs

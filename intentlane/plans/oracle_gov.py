@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from intentlane import params as P
 from intentlane.plans.oracle import _greedy_ctes, _tags, _uid, high_intent_ctes
+from intentlane.plans.oracle_catalog import CATALOG_CTE, RERANK, knn_ctes, score
 from intentlane.plans.oracle_views import with_views
 
 ORACLE: dict[str, str] = {}
@@ -97,26 +98,62 @@ SELECT t.spending_tier, p.sku_id, CAST(p.price AS DOUBLE) AS price,
   t.spending_tier = 'HIGH' AND coalesce(p.price, 0.0) > 500 AS preferred
 FROM v_products p JOIN tiers t ON t.spending_tier <> 'HIGH' OR coalesce(p.price, 0.0) >= 100""")
 
-ORACLE["campaign_decision"] = with_views(["v_behavior", "v_users", "v_scripts", "v_sends"], high_intent_ctes() + [
-    SND, UT,
-    ("pick", """SELECT arg_min(id, (scenario <> 'cart_abandon', id)) AS sid FROM v_scripts
-WHERE scenario IN ('cart_abandon', 'price_drop') AND content IS NOT NULL AND trim(content) <> ''"""),
-    ("x", f"""SELECT h.event_id, h.user_id, h.event_time_us AS t_us, h.sku_id, h.price, u.spending_tier,
-  {route_sql('h.last_action')} AS scenario, coalesce({seg_list('u.spending_tier', 'u.tags')}[1], 'standard') AS segment
+_BY_PRODUCT = "scenario IN ('browse', 'purchase')"
+ORACLE["campaign_decision"] = with_views(
+    ["v_behavior", "v_users", "v_products", "v_scripts", "v_sends", "v_index"], high_intent_ctes() + [
+        SND, UT, CATALOG_CTE,
+        ("x", f"""SELECT h.event_id, h.user_id, h.event_time_us AS t_us, h.sku_id, u.spending_tier,
+  CASE WHEN {route_sql('h.last_action')} <> 'unrouted' THEN {route_sql('h.last_action')}
+       ELSE {route_sql('h.event_type')} END AS scenario,
+  coalesce({seg_list('u.spending_tier', 'u.tags')}[1], 'standard') AS segment
 FROM hi h LEFT JOIN ut u ON u.id = {_uid('h.user_id')}"""),
-] + _limit_ctes("x") + [
-    ("y", """SELECT l.*, CASE WHEN scenario IN ('browse', 'purchase') THEN 'sku:' || sku_id
-      WHEN scenario = 'cart' THEN 'script:' || CAST((SELECT sid FROM pick) AS VARCHAR) END AS content,
-  CASE WHEN spending_tier IS NULL THEN 'no_profile' WHEN scenario = 'unrouted' THEN 'unrouted_event'
-       WHEN scenario IN ('cart', 'purchase') AND last_send IS NOT NULL THEN 'limit_reached'
-       WHEN spending_tier = 'HIGH' AND scenario IN ('browse', 'purchase') AND coalesce(price, 0.0) < 100 THEN 'below_tier_floor'
-  END AS r0 FROM lim l""")], """
-SELECT event_id, user_id, scenario, segment,
-  CASE WHEN coalesce(r0, CASE WHEN content IS NULL THEN 'no_content' END) IS NULL THEN 'SEND' ELSE 'SKIP' END AS action,
-  coalesce(r0, CASE WHEN content IS NULL THEN 'no_content' END) AS reason,
-  CASE WHEN coalesce(r0, CASE WHEN content IS NULL THEN 'no_content' END) IS NULL THEN content END AS content,
-  true AS success
-FROM y""", recursive=True)
+        ("live", f"""SELECT i.id, i.embedding, c.document AS query_text FROM v_index i
+JOIN cat c ON c.id = 'sku_' || CAST(i.id AS VARCHAR)
+WHERE 'sku_' || CAST(i.id AS VARCHAR) IN (SELECT sku_id FROM x WHERE {_BY_PRODUCT})""")]
+    + knn_ctes("live", "v_index", P.SEARCH_K * P.RECALL_FACTOR) + [
+        ("scored", f"""SELECT h.query_id, h.id, h.rank AS recall_rank, c.m_product_id AS product_id,
+  {score('q.query_text', 'c.document')} AS score
+FROM hits h JOIN live q ON q.id = h.query_id LEFT JOIN cat c ON c.id = 'sku_' || CAST(h.id AS VARCHAR)"""),
+        RERANK,
+        ("offer", f"""SELECT 'sku_' || CAST(r.query_id AS VARCHAR) AS sku_id, r.new_rank, r.product_id,
+  coalesce(p.price, 0.0) AS price FROM rr r JOIN v_products p ON p.sku_id = r.product_id
+WHERE r.new_rank <= {P.SEARCH_K} AND p.stock > 0 AND r.product_id <> 'sku_' || CAST(r.query_id AS VARCHAR)"""),
+        ("best", """SELECT x.event_id, arg_min(o.product_id,
+    (CASE WHEN x.spending_tier = 'HIGH' AND o.price > 500 THEN 0 ELSE 1 END, o.new_rank)) AS product_id
+FROM x JOIN offer o ON o.sku_id = x.sku_id AND (x.spending_tier IS NULL OR x.spending_tier <> 'HIGH' OR o.price >= 100)
+GROUP BY x.event_id"""),
+        ("script", f"""SELECT sku_id, arg_min(sid, (pos, d, sid)) AS script_id FROM (
+  SELECT 'sku_' || CAST(q.id AS VARCHAR) AS sku_id, sc.id AS sid,
+    CASE sc.scenario WHEN 'cart_abandon' THEN 0 ELSE 1 END AS pos,
+    round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS d
+  FROM v_scripts sc JOIN v_index v ON v.id = sc.id
+  JOIN v_index q ON 'sku_' || CAST(q.id AS VARCHAR) IN (SELECT sku_id FROM x WHERE scenario = 'cart')
+  WHERE sc.scenario IN ('cart_abandon', 'price_drop') AND sc.content IS NOT NULL AND trim(sc.content) <> ''
+    AND length(sc.content) <= {P.TEST_MESSAGE_MAX_CHARS}) GROUP BY sku_id"""),
+        ("y", f"""SELECT x.*, CASE WHEN {_BY_PRODUCT} THEN 'sku:' || b.product_id
+      WHEN scenario = 'cart' THEN 'script:' || CAST(s.script_id AS VARCHAR) END AS content,
+  CASE WHEN spending_tier IS NULL THEN 'no_profile' WHEN scenario = 'unrouted' THEN 'unrouted_event' END AS early
+FROM x LEFT JOIN best b ON b.event_id = x.event_id LEFT JOIN script s ON s.sku_id = x.sku_id"""),
+        ("items", """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t_us, NOT logged, event_id) AS rk FROM (
+  SELECT event_id, user_id, t_us, false AS logged, early IS NULL AND scenario IN ('cart', 'purchase') AS governed,
+    early IS NULL AND content IS NOT NULL AS can_send FROM y
+  UNION ALL SELECT NULL, user_id, t_us, true, true, true FROM s WHERE user_id IN (SELECT user_id FROM y))"""),
+        ("walk", f"""SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rk, CAST(NULL AS BIGINT) AS event_id, '' AS verdict,
+    CAST([] AS BIGINT[]) AS sends, CAST(NULL AS BIGINT) AS last_gov FROM items
+  UNION ALL
+  SELECT user_id, rk, event_id, verdict, CASE WHEN verdict = 'sent' THEN list_append(sends, t_us) ELSE sends END,
+    CASE WHEN verdict = 'sent' AND governed THEN t_us ELSE last_gov END
+  FROM (SELECT q.*, w.sends, w.last_gov, CASE WHEN q.logged THEN 'sent'
+      WHEN q.governed AND w.last_gov > q.t_us - {LIM} THEN 'limit_reached'
+      WHEN NOT q.can_send THEN 'held'
+      WHEN len(list_filter(w.sends, lambda z: z > q.t_us - {GAP})) > 0
+        OR len(list_filter(w.sends, lambda z: z > q.t_us - {WIN})) > {CAP} THEN 'frequency_cap'
+      ELSE 'sent' END AS verdict
+    FROM walk w JOIN items q ON q.user_id = w.user_id AND q.rk = w.rk + 1)""")], """
+SELECT y.event_id, y.user_id, y.scenario, y.segment, CASE WHEN w.verdict = 'sent' THEN 'SEND' ELSE 'SKIP' END AS action,
+  coalesce(y.early, CASE w.verdict WHEN 'held' THEN 'no_content' WHEN 'sent' THEN NULL ELSE w.verdict END) AS reason,
+  CASE WHEN w.verdict = 'sent' THEN y.content END AS content, true AS success
+FROM y JOIN walk w ON w.event_id = y.event_id""", recursive=True)
 
 
 def backoff(att: str) -> str:

@@ -9,6 +9,7 @@ from intentlane import params as P
 from intentlane.functions.text import parse_user_id
 from intentlane.functions.time import epoch_us_of
 from intentlane.operators import audit as aud
+from intentlane.operators import catalog as cat
 from intentlane.operators import decision as dec
 from intentlane.operators import governance as gov
 from intentlane.operators import intent as intent_ops
@@ -106,8 +107,13 @@ def _intents(spark: SparkSession, sf: str) -> DataFrame:
 @register("campaign_decision")
 def q_campaign_decision(spark: SparkSession, sf: str) -> DataFrame:
     sends = _t(V.v_sends(spark, sf)).select("user_id", "t_us")
-    return dec.campaign_decision(_intents(spark, sf), V.v_users(spark, sf), V.v_scripts(spark, sf),
-                                 sends, P.TEST_MESSAGE_LIMIT_US)
+    products = V.v_products(spark, sf)
+    index = V.v_index(spark, sf).select("id", "embedding")
+    vectors = index.withColumn("sku_id", F.concat(F.lit("sku_"), F.col("id").cast("string")))
+    return dec.campaign_decision(
+        _intents(spark, sf), V.v_users(spark, sf), products, cat.catalog_for_index(products), vectors,
+        V.v_scripts(spark, sf), index, sends, P.TEST_MESSAGE_LIMIT_US, P.TEST_COMPOUND_GAP_US,
+        P.TEST_COMPOUND_WINDOW_US, P.COMPOUND_MAX_IN_WINDOW, P.TEST_MESSAGE_MAX_CHARS)
 
 
 @register("retry_routing")
