@@ -15,6 +15,7 @@ from intentlane.operators import governance as gov
 from intentlane.operators import intent as intent_ops
 from intentlane.operators import retry as rty
 from intentlane.plans.registry import register
+from intentlane.session import ensure_checkpoint_dir
 from intentlane.sources import views as V
 from intentlane.sources.tables import read_table
 
@@ -110,8 +111,12 @@ def q_campaign_decision(spark: SparkSession, sf: str) -> DataFrame:
     products = V.v_products(spark, sf)
     index = V.v_index(spark, sf).select("id", "embedding")
     vectors = index.withColumn("sku_id", F.concat(F.lit("sku_"), F.col("id").cast("string")))
+    # the decision reads the intents several times: they are a table of their
+    # own (a topic, where the detector runs as a stream), computed once
+    ensure_checkpoint_dir(spark)
+    intents = _intents(spark, sf).checkpoint()
     return dec.campaign_decision(
-        _intents(spark, sf), V.v_users(spark, sf), products, cat.catalog_for_index(products), vectors,
+        intents, V.v_users(spark, sf), products, cat.catalog_for_index(products), vectors,
         V.v_scripts(spark, sf), index, sends, P.TEST_MESSAGE_LIMIT_US, P.TEST_COMPOUND_GAP_US,
         P.TEST_COMPOUND_WINDOW_US, P.COMPOUND_MAX_IN_WINDOW, P.TEST_MESSAGE_MAX_CHARS)
 
