@@ -1,21 +1,22 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Word and word-pair counts of all training documents are quantised on a
-logarithmic scale. An n-gram of level l is stored under the keys (n-gram, 1) ..
-(n-gram, l), so its level is read back by probing the filter with growing
-numbers until a probe fails; a codebook turns levels into mean counts. The
-filters go to the workers, which score whole texts from such probes alone:
-pair counts interpolated with word counts, the weights fitted by the context's
-frequency on a bounded sample.
-
-Size of the filters: the scale starts at the relative frequency LEAST_SHARE.
-At most 1 / (LEAST_SHARE * STEP**(l-1)) n-grams reach level l, so an order has at
-most STEP / ((STEP - 1) * LEAST_SHARE) keys of BITS_PER_KEY bits (90 MB), however
-large the corpus is; rarer n-grams share the probability mass that their counts
-leave. All n-grams of the corpus are counted to find this out.
+logarithmic scale that starts at one occurrence, whatever the corpus size. An
+n-gram of level l is stored under the keys (n-gram, 1) .. (n-gram, l), so its
+level is read back by probing the filter with growing numbers until a probe
+fails; a codebook turns levels into mean counts.
+
+The filters hold all n-grams of the corpus and grow with it, so no worker holds
+one whole: they are cut by the n-gram's hash into parts of 512 KB, which lie in
+the shared folder. The texts are numbered once, in blocks of about _TEXTS bytes.
+A block's distinct pairs and rarer words go to their parts by a shuffle, and
+their levels come back to the block by another. Each token's probability depends
+on three levels alone (context, word and pair), so a document is kept as the
+counts of its level triples: pair counts are interpolated with word counts, and
+the weights fitted on a bounded sample, by the context's frequency.
 
 The exact base score needs exact word counts. Words with a share of HEAD_SHARE
-or more (at most 1 / HEAD_SHARE) go to the workers too; the other words of each
+or more (at most 1 / HEAD_SHARE) go to the workers; the other words of each
 document are joined with the counts table.
 
 Nulls: a null text has the end token only; a null doc_id is a training document.
@@ -24,7 +25,9 @@ counts are zero. An empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import gc
 import math
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +41,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from intentlane.llm.common import hash_share, is_rest, materialise, table
 from intentlane.llm.simhash import by_group
 
-LEAST_SHARE = 5e-8     # relative frequency at which the scale starts
 STEP = 1.5             # ratio of neighbouring levels
 BITS_PER_KEY = 12
 PROBES = 6
@@ -48,6 +50,10 @@ END = b""              # the end token; no word is empty
 _SHARD_BITS = 22       # bits of one part of a filter, 512 KB
 _FLUSH = 4_000_000     # pairs counted before a task hands them on
 _TEXTS = 1 << 21       # bytes of text scored at once
+_LEVELS = 128          # more than the scale has: STEP ** 127 occurrences
+_CODES = _LEVELS ** 3
+_DOCS = 500            # documents whose level triples are read at once
+_SIZING = 64           # share of the pairs that the number of parts is computed from
 _GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
 
@@ -60,7 +66,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return _mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
+    """48 bits, in the upper bytes: two of 10**10 pairs share a hash far more seldom than a probe is false."""
+    return _mix(left * np.uint64(0x9E3779B97F4A7C15) + right) & ~np.uint64(0xFFFF)
+
+
+_CODEC = pa.Codec("zstd", 1)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The numbers byte by byte (all first bytes, all second ones ...), compressed."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    raw = _CODEC.decompress(blob[8:], n * size, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+
+
+def packed_hashes(h: np.ndarray) -> bytes:
+    """Hashes in rising order, as differences."""
+    return packed(np.diff(h, prepend=np.uint64(0)))
+
+
+def unpacked_hashes(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -127,33 +158,31 @@ class Filter:
         out = np.zeros(len(h), np.int64)
         on = np.arange(len(h))
         for level in range(1, len(self.codebook)):
-            on = on[self._holds(key_of(h[on], level))]
+            on = on[self._holds(key_of(h[on], level), shard_of(h[on], self.shards))]
             if not len(on):
                 break
             out[on] = level
         return out
 
-    def _holds(self, key: np.ndarray) -> np.ndarray:
+    def _holds(self, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
         if not self.shards:
             return np.zeros(len(key), bool)
         ok = np.arange(len(key))
         for i in range(PROBES):
-            at = places(key[ok], i) + (shard_of(key[ok], self.shards) << _SHARD_BITS)
+            at = places(key[ok], i) + (shard[ok] << _SHARD_BITS)
             ok = ok[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
         out = np.zeros(len(key), bool)
         out[ok] = True
         return out
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        return self.codebook[self.levels(h)]
-
 
 def key_of(h: np.ndarray, level: int | np.ndarray) -> np.ndarray:
     return _mix(h + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return ((key >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """The part of the filter that holds all levels of an n-gram."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def places(key: np.ndarray, probe: int) -> np.ndarray:
@@ -161,42 +190,56 @@ def places(key: np.ndarray, probe: int) -> np.ndarray:
     return ((low + np.uint64(probe) * high) & np.uint64((1 << _SHARD_BITS) - 1)).astype(np.int64)
 
 
-def build_filter(grams: DataFrame) -> Filter:
-    """From (h, level, c): the bits are set in parts, one part a group of about
-    2**_SHARD_BITS / BITS_PER_KEY keys, which come to the driver to be shared."""
-    stats = grams.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()  # a few dozen
-    keys = sum(r["n"] * r["level"] for r in stats)
+def codebook_of(stats: list) -> np.ndarray:
+    """Mean count of each level, from (level, n, c)."""
     codebook = np.zeros(max((r["level"] for r in stats), default=0) + 1)
     for r in stats:
         codebook[r["level"]] = r["c"] / r["n"]
     for level in range(1, len(codebook)):  # a level nobody has, reached by a false probe
         codebook[level] = codebook[level] or codebook[level - 1] * STEP
+    return codebook
+
+
+def bits_of(h: np.ndarray, top: np.ndarray) -> bytes:
+    """The part of a filter with these n-grams of these levels."""
+    on = np.zeros(1 << _SHARD_BITS, bool)
+    for level in range(1, int(top.max()) + 1):
+        key = key_of(h[top >= level], level)
+        for i in range(PROBES):
+            on[places(key, i)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def filter_parts(grams: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
+    """(shard, bits), the number of parts and the codebook, from (h, level, c):
+    the bits are set in parts, one part a group of about 2**_SHARD_BITS / BITS_PER_KEY keys."""
+    stats = grams.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()  # a few dozen
+    keys = sum(r["n"] * r["level"] for r in stats)
+    codebook = codebook_of(stats)
     shards = math.ceil(keys * BITS_PER_KEY / (1 << _SHARD_BITS))
-    bits = np.zeros(shards << (_SHARD_BITS - 3), np.uint8)
-    if not shards:
-        return Filter(bits, 0, np.zeros(1))
 
-    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = key_of(batch["h"].to_numpy().view(np.uint64), batch["at"].to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(key, shards).astype(np.int32)), pa.array(key.view(np.int64))],
-                                             names=["shard", "key"])
+            shard = shard_of(batch["h"].to_numpy().view(np.uint64), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch["h"], batch["level"].cast(pa.int8())],
+                                             names=["shard", "h", "level"])
 
     def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, ["shard"]):
-            key = group["key"].to_numpy().view(np.uint64)
-            on = np.zeros(1 << _SHARD_BITS, bool)
-            for i in range(PROBES):
-                on[places(key, i)] = True
-            yield pa.RecordBatch.from_arrays(
-                [group["shard"][:1].combine_chunks(), pa.array([np.packbits(on, bitorder="little").tobytes()])],
-                names=["shard", "bits"])
+            h, top = group["h"].to_numpy().view(np.uint64), group["level"].to_numpy()
+            yield pa.RecordBatch.from_arrays([group["shard"][:1].combine_chunks(), pa.array([bits_of(h, top)])], names=["shard", "bits"])
+
+    made = (grams.select("h", "level").mapInArrow(to_shards, "shard int, h bigint, level tinyint")
+            .repartition("shard").sortWithinPartitions("shard").mapInArrow(to_bits, "shard int, bits binary"))
+    return made, shards, codebook
 
-    made = (grams.select("h", F.explode(F.sequence(F.lit(1), "level")).alias("at"))
-            .mapInArrow(to_keys, "shard int, key bigint").repartition("shard").sortWithinPartitions("shard")
-            .mapInArrow(to_bits, "shard int, bits binary"))
+
+def build_filter(grams: DataFrame) -> Filter:
+    """A whole filter in one place, for few n-grams."""
+    parts, shards, codebook = filter_parts(grams)
     size = 1 << (_SHARD_BITS - 3)
-    for row in made.toLocalIterator():
+    bits = np.zeros(shards * size, np.uint8)
+    for row in parts.toLocalIterator():
         bits[row["shard"] * size:(row["shard"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return Filter(bits, shards, codebook)
 
@@ -207,6 +250,20 @@ def with_levels(counted: DataFrame, unit: float) -> DataFrame:
     return counted.where(F.col("c") >= F.lit(unit)).withColumn("level", level.cast("int"))
 
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """The levels of exact counts on the scale from one; 0 for no occurrence."""
+    return np.where(counts > 0, np.floor(np.log(np.maximum(counts, 1)) / math.log(STEP) + 1e-9) + 1, 0).astype(np.int64)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Materialised; the shuffles behind it go once the driver has collected what refers to them."""
+    out = materialise(df, name)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 # -------------------------------------------------------------------- counting
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -234,36 +291,228 @@ def word_counts(texts: DataFrame) -> DataFrame:
             .groupBy("w", "h").agg(F.sum("c").alias("c")))
 
 
-def pair_counts(texts: DataFrame, words: Filter) -> DataFrame:
-    """(h, c) of the pairs whose two words both reach the scale, as a pair is
-    no more frequent than either of its words."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+_BLOCK = ("block bigint, id array<{0}>, th array<bigint>, train array<boolean>, sizes binary, ids binary, "
+          "end_id bigint, hashes binary, known binary, n_head binary, base binary, tail array<binary>")
+
+
+def number_texts(rows: DataFrame, head: dict[bytes, int], divisor: float) -> DataFrame:
+    """A row for each block of (id, th, train, text): its documents, its tokens
+    as numbers, its words' hashes, the levels of the head's words (-1 for other
+    words, which are listed in ``tail``) and the documents' sums over the head."""
+    kind = rows.schema["id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(head)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch, block in blocks(batches):
+            exact = np.fromiter((known.get(w, 0) for w in block.words), np.float64, len(block.words))
+            level = np.where(exact > 0, levels_of(exact), -1).astype(np.int8)
+            doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+            of_head = exact[block.ids] > 0
+            base = np.log10((exact + 0.1) / divisor)
+            base = np.bincount(doc[of_head], base[block.ids[of_head]], minlength=len(block.sizes))
+            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch[c]) for c in ("id", "th", "train")]
+            blobs = [pa.array([x], pa.binary()) for x in (block.sizes.tobytes(), packed(block.ids.astype(np.uint32)))]
+            more = [pa.array([x.tobytes()], pa.binary()) for x in (
+                block.hashes(), level, np.bincount(doc[of_head], minlength=len(block.sizes)), base)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists, *blobs,
+                 pa.array([block.words.index(END)], pa.int64()), *more,
+                 pa.array([[block.words[i] for i in np.flatnonzero(level < 0)]], pa.list_(pa.binary()))],
+                names=["block", "id", "th", "train", "sizes", "ids", "end_id", "hashes", "known", "n_head", "base", "tail"])
+
+    return rows.mapInArrow(number, _BLOCK.format(kind))
+
+
+@dataclass
+class Numbered:
+    """The numbers of a stored block."""
+    ids: np.ndarray
+    sizes: np.ndarray
+    end: int
+    hashes: np.ndarray
+
+    @staticmethod
+    def of(table_: pa.RecordBatch | pa.Table, i: int) -> "Numbered":
+        return Numbered(unpacked(table_["ids"][i].as_py(), np.uint32).astype(np.int64), np.frombuffer(table_["sizes"][i].as_py(), np.int64),
+                        table_["end_id"][i].as_py(), np.frombuffer(table_["hashes"][i].as_py(), np.uint64))
+
+    def contexts(self) -> np.ndarray:
+        out = np.empty_like(self.ids)
+        out[1:] = self.ids[:-1]
+        out[np.cumsum(self.sizes) - self.sizes] = self.end
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs (context and word), and the pair of each token."""
+        kinds, which = np.unique(self.contexts() * len(self.hashes) + self.ids, return_inverse=True)
+        return kinds // len(self.hashes), kinds % len(self.hashes), which
+
+
+def training_pairs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for i in range(batch.num_rows):
+        block = Numbered.of(batch, i)
+        on = np.repeat(np.array(batch["train"][i].as_py(), bool), block.sizes)
+        yield pair_hashes(block.hashes[block.contexts()[on]], block.hashes[block.ids[on]])
+
+
+def _summed(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in rising order, and their counts; sorts ``h`` in place."""
+    if not len(h):
+        return h, np.zeros(0, np.int64)
+    if c is None:
+        h.sort()
+    else:
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return h[first], np.diff(np.append(first, len(h))) if c is None else np.add.reduceat(c, first)
+
+
+def pair_filter(blocks_: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
+    """As ``filter_parts``, of all pairs of the training documents. Tasks sum
+    their pairs and deal them out by part; a part's counts are summed and its
+    bits set in one go. The number of parts comes from the pairs whose hash is
+    in the lowest 1 / _SIZING; it decides on nothing but the parts' size."""
+    source = blocks_.select("train", "sizes", "ids", "end_id", "hashes")
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pairs in training_pairs(batch):
+                h, c = _summed(pairs[pairs < np.uint64(2**64 // _SIZING)])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+    few = with_levels(source.mapInArrow(lowest, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), 1.0)
+    keys = (few.agg(F.sum("level").alias("n")).first()["n"] or 0) * _SIZING
+    shards = max(1, math.ceil(1.02 * keys * BITS_PER_KEY / (1 << _SHARD_BITS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            pairs = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            h, c = _summed(np.concatenate(held) if held else np.zeros(0, np.uint64))
             held.clear()
-            pairs.sort()
-            first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(pairs)))
-            for at in range(0, len(first), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[first[at:at + 200_000]].view(np.int64)),
-                                                  pa.array(n[at:at + 200_000])], names=["h", "c"])
-
-        for _, block in blocks(batches):
-            h = block.hashes()
-            known = shared.value.levels(h) > 0
-            before = block.contexts()
-            both = known[before] & known[block.ids]
-            held.append(pair_hashes(h[before[both]], h[block.ids[both]]))
-            if sum(map(len, held)) > _FLUSH:
-                yield from out()
+            at = 0
+            while at < len(h):
+                shard = int(shard_of(h[at:at + 1], shards)[0])
+                past = int(np.searchsorted(h, np.uint64(-(-(shard + 1 << 32) // shards) << 32))) if shard + 1 < shards else len(h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard], pa.int32()), pa.array([packed_hashes(h[at:past])], pa.binary()),
+                     pa.array([packed(c[at:past])], pa.binary())], names=["shard", "h", "c"])
+                at = past
+
+        for batch in batches:
+            for pairs in training_pairs(batch):
+                held.append(pairs)
+                if sum(map(len, held)) > _FLUSH:
+                    yield from out()
         yield from out()
 
-    # the tasks' pairs are combined already: dealt out first, they are not hashed once more before the shuffle
-    return texts.mapInArrow(count, "h bigint, c bigint").repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
+    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches, ["shard"]):
+            h, c = _summed(np.concatenate([unpacked_hashes(x) for x in group["h"].to_pylist()]),
+                           np.concatenate([unpacked(x, np.int64) for x in group["c"].to_pylist()]))
+            top = levels_of(c)
+            stats = [np.bincount(top), np.bincount(top, c).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [group["shard"][:1].combine_chunks(), pa.array([bits_of(h, top)]), *[pa.array([x], pa.list_(pa.int64())) for x in stats]],
+                names=["shard", "bits", "n", "c"])
+
+    parts = stored(source.mapInArrow(count, "shard int, h binary, c binary").repartition("shard").sortWithinPartitions("shard")
+                   .mapInArrow(to_bits, "shard int, bits binary, n array<bigint>, c array<bigint>"), "lm-pairs")
+    stats = (parts.select(F.posexplode(F.arrays_zip("n", "c")).alias("level", "x")).groupBy("level")
+             .agg(F.sum("x.n").alias("n"), F.sum("x.c").alias("c")).where("n > 0").collect())  # a few dozen
+    return parts.select("shard", "bits"), shards, codebook_of(stats)
+
+
+# ---------------------------------------------------------------------- levels
+
+def _asked(block: Numbered, known: np.ndarray, a: np.ndarray, b: np.ndarray, shards: tuple[int, int]):
+    """(hashes, shards, order by hash and so by shard) of a block's tail words
+    and of its pairs; the pairs' shards are numbered after the words'."""
+    for h, n, before in ((block.hashes[known < 0], shards[0], 0), (pair_hashes(block.hashes[a], block.hashes[b]), shards[1], shards[0])):
+        yield h, shard_of(h, n) + before, np.argsort(h, kind="stable")
+
+
+def find_levels(blocks_: DataFrame, words: tuple[DataFrame, int, np.ndarray], pairs: tuple[DataFrame, int, np.ndarray]) -> DataFrame:
+    """(block, shard, levels): each block's tail words and pairs, read in the parts of the filters that hold them."""
+    shards, tops = (words[1], pairs[1]), (words[2], pairs[2])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Numbered.of(batch, i)
+                a, b, _ = block.pairs()
+                for (h, shard, order), n in zip(_asked(block, np.frombuffer(batch["known"][i].as_py(), np.int8), a, b, shards), shards):
+                    if not n or not len(h):
+                        continue
+                    h, shard = h[order], shard[order]
+                    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(first), batch["block"][i].as_py())), pa.array(shard[first].astype(np.int32)),
+                         pa.array([packed_hashes(x) for x in np.split(h, first[1:])], pa.binary())], names=["block", "shard", "asked"])
+
+    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+        found: list[bytes] = []
+        if asked.num_rows:
+            all_ = [unpacked_hashes(x) for x in asked["asked"].to_pylist()]
+            order = int(asked["shard"][0].as_py() >= shards[0])
+            bits = np.frombuffer(part["bits"][0].as_py(), np.uint8) if part.num_rows else np.zeros(1 << (_SHARD_BITS - 3), np.uint8)
+            level = Filter(bits, 1, tops[order]).levels(np.concatenate(all_)).astype(np.int8)
+            found = [packed(x) for x in np.split(level, np.cumsum([len(x) for x in all_])[:-1])]
+        return pa.table({"block": asked["block"].cast(pa.int64()), "shard": asked["shard"].cast(pa.int32()),
+                         "levels": pa.array(found, pa.binary())})
+
+    parts = words[0].unionAll(pairs[0].withColumn("shard", (F.col("shard") + F.lit(words[1])).cast("int")))
+    asked = (blocks_.select("block", "sizes", "ids", "end_id", "hashes", "known")
+             .mapInArrow(ask, "block bigint, shard int, asked binary"))
+    return asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "block bigint, shard int, levels binary")
+
+
+def level_triples(blocks_: DataFrame, answers: DataFrame, shards: tuple[int, int]) -> DataFrame:
+    """(id, th, train, codes, times): for each document, how often each triple
+    of levels (context, word, pair; see ``code_of``) occurs."""
+    kind = blocks_.schema["id"].dataType.elementType.simpleString()
+
+    def join(part: pa.Table, found: pa.Table) -> pa.Table:
+        block = Numbered.of(part, 0)
+        a, b, which = block.pairs()
+        known = np.frombuffer(part["known"][0].as_py(), np.int8)
+        found = found.sort_by("shard")
+        of_pair = found["shard"].to_numpy() >= shards[0]
+        blobs = found["levels"].to_pylist()
+        got = []
+        for (h, _, order), mine in zip(_asked(block, known, a, b, shards), (~of_pair, of_pair)):
+            level = np.zeros(len(h), np.int64)
+            answered = [unpacked(x, np.int8) for x, m in zip(blobs, mine) if m]
+            if answered:
+                level[order] = np.concatenate(answered)
+            got.append(level)
+        word = known.astype(np.int64)
+        word[known < 0] = got[0]
+        # a pair with a word that never occurs was reached by a false probe
+        code = code_of(word[a], word[b], np.where((word[a] > 0) & (word[b] > 0), got[1], 0))
+        doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        each, times = np.unique(doc * _CODES + code[which], return_counts=True)
+        cuts = np.searchsorted(each // _CODES, np.arange(1, len(block.sizes)))
+        lists = [part[c].combine_chunks().flatten() for c in ("id", "th", "train")]
+        codes = [packed(np.diff(x, prepend=np.int32(0))) for x in np.split((each % _CODES).astype(np.int32), cuts)]
+        return pa.table([*lists, pa.array(codes, pa.binary()), pa.array([packed(x) for x in np.split(times.astype(np.int32), cuts)], pa.binary())],
+                        names=["id", "th", "train", "codes", "times"])
+
+    return (blocks_.select("block", "id", "th", "train", "sizes", "ids", "end_id", "hashes", "known")
+            .groupBy("block").cogroup(answers.groupBy("block"))
+            .applyInArrow(join, f"id {kind}, th bigint, train boolean, codes binary, times binary"))
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    """Codes of each document, and all their numbers."""
+    codes = [np.cumsum(unpacked(x, np.int32), dtype=np.int64) for x in batch["codes"].to_pylist()]
+    return codes, np.concatenate([unpacked(x, np.int32) for x in batch["times"].to_pylist()])
+
+
+def code_of(context: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return (context * _LEVELS + word) * _LEVELS + pair
 
 
 # --------------------------------------------------------------------- scoring
@@ -272,136 +521,121 @@ def pair_counts(texts: DataFrame, words: Filter) -> DataFrame:
 class Model:
     total: int             # N, all training tokens
     kinds: int             # V, distinct training tokens
-    rest_total: int        # tokens of the words below the scale, and their kinds
-    rest_kinds: int
-    words: Filter
-    pairs: Filter
+    words: np.ndarray      # codebooks
+    pairs: np.ndarray
     weights: np.ndarray    # of the pair estimate, by level of the context word
 
-    def word_probability(self, counts: np.ndarray) -> np.ndarray:
-        """From read-back counts; words not on the scale share what is left, with one more kind for the unseen."""
-        kinds = self.rest_kinds + 1
-        left = self.rest_total + 0.1 * kinds
-        all_ = self.total + 0.1 * kinds
-        return np.where(counts > 0, counts, left / kinds) / all_
-
-    def estimates(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: word estimate, pair estimate, level of the context."""
-        h = block.hashes()
-        level = self.words.levels(h)
-        counts = self.words.codebook[level]
-        single = self.word_probability(counts)
-        before = block.contexts()
-        both = np.flatnonzero((level[before] > 0) & (level[block.ids] > 0))
-        pair = np.zeros(len(block.ids))
-        # each distinct pair of the block is probed once
-        kinds, which = np.unique(before[both] * len(h) + block.ids[both], return_inverse=True)
-        a, b = kinds // max(1, len(h)), kinds % max(1, len(h))
-        share = np.minimum(self.pairs.counts(pair_hashes(h[a], h[b])) / np.maximum(counts[a], 1e-9), 1.0)
-        pair[both] = share[which]
-        return single[block.ids], pair, level[before]
-
-    def log10(self, block: Block) -> np.ndarray:
-        single, pair, level = self.estimates(block)
+    def estimates(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per level triple: word estimate, pair estimate, level of the context."""
+        level, word, pair = code // _LEVELS**2, code // _LEVELS % _LEVELS, code % _LEVELS
+        single = np.where(word > 0, self.words[word], 0.1) / (self.total + 0.1)  # one more kind for the unseen
+        return single, np.minimum(self.pairs[pair] / np.maximum(self.words[level], 1e-9), 1.0), level
+
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        single, pair, level = self.estimates(code)
         weight = self.weights[np.minimum(level, len(self.weights) - 1)]
         return np.log10(weight * pair + (1 - weight) * single)
 
 
-def fit_weights(texts: DataFrame, model: Model) -> np.ndarray:
+def fit_weights(triples: DataFrame, model: Model) -> np.ndarray:
     """For each level of the context the weight of the grid with the largest
-    likelihood on the sampled texts; the text itself is counted, so one
-    occurrence of each pair is left out."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    levels = len(model.words.codebook)
-
+    likelihood on the texts; the text itself is counted, so one occurrence of
+    each pair is left out."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = shared.value
-        total = np.zeros((levels, len(_GRID)))
-        for _, block in blocks(batches):
-            single, pair, level = lm.estimates(block)
-            one = 1.0 / np.maximum(lm.words.codebook[level], 1.0)
-            pair = np.maximum(pair - one, 0.0)
-            for g, weight in enumerate(_GRID):
-                total[:, g] += np.bincount(level, np.log(weight * pair + (1 - weight) * single), minlength=levels)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(levels), len(_GRID))),
-                                          pa.array(np.tile(np.arange(len(_GRID)), levels)), pa.array(total.reshape(-1))],
-                                         names=["level", "g", "likelihood"])
-
-    rows = (texts.mapInArrow(measure, "level bigint, g bigint, likelihood double")
-            .groupBy("level", "g").agg(F.sum("likelihood").alias("likelihood")).collect())
-    best = np.zeros((levels, len(_GRID)))
-    for r in rows:
-        best[r["level"], r["g"]] = r["likelihood"]
+        total = np.zeros(_CODES, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _DOCS):
+                codes, times = _codes(batch.slice(at, _DOCS))
+                total += np.bincount(np.concatenate(codes), times, minlength=_CODES).astype(np.int64)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
+
+    rows = (triples.select("codes", "times").mapInArrow(measure, "code bigint, n bigint")
+            .groupBy("code").agg(F.sum("n").alias("n")).collect())  # triples of a few dozen levels
+    code, n = np.array([r["code"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+    single, pair, level = model.estimates(code)
+    pair = np.maximum(pair - 1.0 / np.maximum(model.words[level], 1.0), 0.0)
+    best = np.stack([np.bincount(level, n * np.log(w * pair + (1 - w) * single), minlength=len(model.words)) for w in _GRID], 1)
     weights = _GRID[best.argmax(1)]
     weights[0] = 0.0
     return weights
 
 
-def train(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the exact word counts (w, h, c)."""
-    texts = docs.where(training).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = materialise(word_counts(texts.select("text")), "lm-words")
-    totals = counted.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = totals["n"] or 0, totals["v"]
-    unit = max(1.0, LEAST_SHARE * n)
-    rest = counted.where(F.col("c") < F.lit(unit)).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    words = build_filter(with_levels(counted, unit).select("h", "level", "c"))
-    pairs = materialise(with_levels(pair_counts(texts.select("text"), words), unit), "lm-pairs")
-    model = Model(n, v, rest["n"] or 0, rest["v"], words, build_filter(pairs), np.zeros(1))
-    if n:
-        number = texts.count()
-        sample = texts.where(hash_share("lm", F.col("id")) < F.lit(TUNING_DOCS / max(1, number))).limit(2 * TUNING_DOCS)
-        model.weights = fit_weights(sample.select("text"), model)
-    return model, counted
-
-
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score), one row per input row."""
-    model, counted = train(docs, training, id_col, text_col)
-    head_rows = counted.where(F.col("c") >= F.lit(max(1.0, HEAD_SHARE * model.total))).select("w", "c").toLocalIterator()
-    head = {bytes(r["w"]): r["c"] for r in head_rows}  # at most 1 / HEAD_SHARE words
-    shared = docs.sparkSession.sparkContext.broadcast((model, head))
-    divisor = model.total + 0.1 * (model.kinds + 1)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
+                       F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    counted = stored(word_counts(rows.where("train").select("text")), "lm-words")
+    totals = counted.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, kinds = totals["n"] or 0, totals["v"]
+    divisor = total + 0.1 * (kinds + 1)
+    head_rows = counted.where(F.col("c") >= F.lit(max(1.0, HEAD_SHARE * total))).select("w", "c").toLocalIterator()
+    head = {bytes(r["w"]): r["c"] for r in head_rows}  # at most 1 / HEAD_SHARE words
+    blocks_ = stored(number_texts(rows, head, divisor), "lm-blocks")
+
+    words, pairs = filter_parts(with_levels(counted, 1.0)), pair_filter(blocks_)
+    triples = stored(level_triples(blocks_, find_levels(blocks_, words, pairs), (words[1], pairs[1])), "lm-triples")
+    model = Model(total, kinds, words[2], pairs[2], np.zeros(1))
+    if total:
+        known = triples.where("train")
+        number = known.count()
+        sample = known.where(hash_share("lm", F.col("id")) < F.lit(TUNING_DOCS / max(1, number))).limit(2 * TUNING_DOCS)
+        model.weights = fit_weights(sample, model)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Numbered.of(batch, i)
+                blob = lambda c, t: np.frombuffer(batch[c][i].as_py(), t)  # noqa: E731, B023
+                docs_ = len(block.sizes)
+                doc = np.repeat(np.arange(docs_), block.sizes)
+                place = np.cumsum(blob("known", np.int8) < 0) - 1  # of a word in the list of the tail
+                of_tail = blob("known", np.int8)[block.ids] < 0
+                # the documents' other words, with their numbers
+                tail = batch["tail"][i].values
+                keys, n = np.unique(doc[of_tail] * max(1, len(tail)) + place[block.ids[of_tail]], return_counts=True)
+                tail_doc, tail_word = keys // max(1, len(tail)), keys % max(1, len(tail))
+                take = pa.array(np.concatenate([np.arange(docs_), tail_doc]))
+                th = batch["th"][i].values
+                # a document's own row carries a key with a blank, which is no word, so that the join leaves it alone
+                own = pa.array([b" %d %d" % (t if t is not None else 0, k) for k, t in enumerate(th.to_pylist())], pa.binary())
+                empty, none = np.zeros(len(keys)), np.zeros(docs_)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"][i].values.take(take), th.take(take), pa.concat_arrays([own, tail.take(pa.array(tail_word))]),
+                     pa.array(np.concatenate([none, n]).astype(np.int64)),
+                     pa.array(np.concatenate([np.ones(docs_), empty]).astype(np.int64)),
+                     pa.array(np.concatenate([block.sizes, empty]).astype(np.int64)),
+                     pa.array(np.concatenate([blob("n_head", np.int64), empty]).astype(np.int64)),
+                     pa.array(np.concatenate([blob("base", np.float64), empty]))],
+                    names=["id", "th", "w", "times", "copies", "n_tokens", "n_head", "base"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, known = shared.value
-        for batch, block in blocks(batches):
-            exact = np.fromiter((known.get(w, 0) for w in block.words), np.float64, len(block.words))
-            doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
-            of_head = exact[block.ids] > 0
-            base = np.where(of_head, np.log10((exact[block.ids] + 0.1) / divisor), 0.0)
-            sums = [np.bincount(doc, x, minlength=len(block.sizes)) for x in (of_head, base, lm.log10(block))]
-            # the documents' other words, with their numbers
-            keys, n = np.unique(doc[~of_head] * max(1, len(block.words)) + block.ids[~of_head], return_counts=True)
-            tail_doc, tail_word = keys // max(1, len(block.words)), keys % max(1, len(block.words))
-            docs_ = len(block.sizes)
-            take = pa.array(np.concatenate([np.arange(docs_), tail_doc]))
-            # a document's own row carries a key with a blank, which is no word, so that the join leaves it alone
-            own = [b" %d %d" % (t if t is not None else 0, i) for i, t in enumerate(batch["th"].to_pylist())]
-            words = own + [block.words[w] for w in tail_word]
-            empty, none = np.zeros(len(keys)), np.zeros(docs_)
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(take), batch["th"].take(take), pa.array(words, pa.binary()),
-                 pa.array(np.concatenate([none, n]).astype(np.int64)),
-                 pa.array(np.concatenate([np.ones(docs_), empty]).astype(np.int64)),
-                 pa.array(np.concatenate([block.sizes, empty]).astype(np.int64)),
-                 pa.array(np.concatenate([sums[0], empty]).astype(np.int64)),
-                 pa.array(np.concatenate([sums[1], empty])), pa.array(np.concatenate([sums[2], empty]))],
-                names=["id", "th", "w", "times", "copies", "n_tokens", "n_head", "base", "score"])
-
-    parts = rows.mapInArrow(score, f"id {kind}, th bigint, w binary, times bigint, copies bigint, n_tokens bigint, "
-                                   "n_head bigint, base double, score double")
+        for batch in batches:
+            for at in range(0, batch.num_rows, _DOCS):
+                some = batch.slice(at, _DOCS)
+                each, times = _codes(some)
+                doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                codes, which = np.unique(np.concatenate(each), return_inverse=True)
+                sums = np.bincount(doc, times * model.log10(codes)[which], minlength=len(each))
+                yield pa.RecordBatch.from_arrays([some["id"], some["th"], pa.array(sums)], names=["id", "th", "score"])
+
+    parts = (blocks_.select("id", "th", "sizes", "ids", "end_id", "hashes", "known", "n_head", "base", "tail")
+             .mapInArrow(split, f"id {kind}, th bigint, w binary, times bigint, copies bigint, n_tokens bigint, n_head bigint, base double"))
     c = F.coalesce(F.col("c"), F.lit(0))
     parts = (parts.join(counted.select("w", "c"), "w", "left")
              .withColumn("base", F.col("base") + F.col("times") * F.log10((c + F.lit(0.1)) / F.lit(divisor)))
-             .withColumn("n_known", F.col("n_head") + F.when(c > 0, F.col("times")).otherwise(0)))
-    summed = parts.groupBy("id", "th").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", "score")])
+             .withColumn("n_known", F.col("n_head") + F.when(c > 0, F.col("times")).otherwise(0))
+             .select("id", "th", "copies", "n_tokens", "n_known", "base", F.lit(0.0).alias("score")))
+    none = F.lit(0).cast("bigint")
+    scored = (triples.select("id", "th", "codes", "times").mapInArrow(score, f"id {kind}, th bigint, score double")
+              .select("id", "th", none.alias("copies"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), "score"))
+    summed = parts.unionAll(scored).groupBy("id", "th").agg(
+        *[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", "score")])
     each = lambda x: (F.col(x) / F.col("copies"))  # noqa: E731  rows that repeat id and text were summed
     return (summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
             .select(F.col("id").alias(id_col), each("n_tokens").cast("bigint").alias("n_tokens"),
-                    each("n_known").cast("bigint").alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
+                    each("n_known").cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
                     each("base").alias("base_score"), each("score").alias("score")))
 
 

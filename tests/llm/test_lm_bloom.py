@@ -70,3 +70,14 @@ def test_empty_table(spark):
     assert score_documents(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     got = score_documents(spark.createDataFrame([(1, "a b", None, None)], SCHEMA), F.lit(False)).collect()
     assert (got[0]["n_tokens"], got[0]["n_known"], got[0]["train_tokens"], got[0]["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_rare_pairs_count_in_a_large_corpus(spark):
+    ship_package(spark)
+    filler = spark.range(1500).select((F.col("id") + 10_000).alias("doc_id"), F.expr("repeat('a ', 30000)").alias("text"))  # 45 million tokens
+    phrase = "rare words that two documents have in this order"
+    turned = " ".join(reversed(phrase.split()))
+    rows = spark.createDataFrame([(1, phrase), (2, phrase), (3, phrase), (4, turned)], "doc_id bigint, text string")
+    got = score_documents(filler.unionAll(rows), ~F.col("doc_id").isin(3, 4)).where("doc_id < 10").collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert score[3] > score[4] + 8
