@@ -11,12 +11,12 @@ alignment, in two steps, so that no task holds more of a host than wrappers.
 
 With the host's wrapper a page is read again: menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are left out by element
-and by class; where the host's wrapper has an article (or main) element, only
-that is read, else everything but the template's own texts and lists of links.
+and by class, and so are the template's own texts; where the host's wrapper has
+an article (or main) element, only that is read, else all but lists of links.
 
 Nulls: a null html is an empty text, a null url is a host of its own. A page
-whose host is not read otherwise (no article on this page) is read by the rules
-without a wrapper. Elements nested deeper than MAX_DEPTH are read as parts of
+without the article that its host has elsewhere is read by what it has itself,
+without the template's texts. Elements nested deeper than MAX_DEPTH are read as parts of
 the element at that depth. Repeated rows get the same text; an empty table gives
 an empty result; other columns are ignored."""
 
@@ -306,9 +306,8 @@ def main_kind(wrapper: list) -> str:
     return next((k for k in ("article", "main", "class") if k in found), "")
 
 
-def read_page(page: Element, wrapper: list | None) -> list[str]:
+def read_page(page: Element, wrapper: list | None, kind: str) -> list[str]:
     """The blocks of a page, in order."""
-    kind = main_kind(wrapper) if wrapper else _page_kind(page)
     out: list[str] = []
 
     def walk(item, node: list | None) -> None:
@@ -320,9 +319,9 @@ def read_page(page: Element, wrapper: list | None) -> list[str]:
             for x in items:
                 if isinstance(x, tuple):
                     inside = place[-1]
-                    if kind and not _within(inside.main, kind):
+                    if _template(part) or (kind and not _within(inside.main, kind)):
                         continue
-                    if not kind and (_template(part) or (x[1] and inside.tag in ("li", "ul", "ol", "td", "div", "html"))):
+                    if not kind and x[1] and inside.tag in ("li", "ul", "ol", "td", "div", "html"):
                         continue
                     out.append(x[0])
                 elif isinstance(x, list):
@@ -353,9 +352,11 @@ def _page_kind(page: Element) -> str:
 
 def main_text(page: str | None, wrapper: list | None) -> str:
     tree = parse(page)
-    blocks = read_page(tree, wrapper)
-    if not blocks and wrapper is not None and main_kind(wrapper):  # this page lacks what its host's pages have
-        blocks = read_page(tree, None)
+    own = _page_kind(tree)
+    kind = main_kind(wrapper) if wrapper else own
+    blocks = read_page(tree, wrapper, kind)
+    if not blocks and kind != own:  # this page lacks what its host's pages have
+        blocks = read_page(tree, wrapper, own)
     return "\n".join(blocks)
 
 

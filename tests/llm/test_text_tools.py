@@ -85,3 +85,17 @@ def test_pages_job(spark):
     assert text[7] == "Title 7 & more\nFirst 7\nSecond." and text[100] == text[101] == ""
     assert len(text[102]) == 249999 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert H.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def _learned(*pages):
+    wrapper = H.new_wrapper()
+    for page in pages:
+        H.learn_page(wrapper, H.parse(page))
+    return wrapper
+
+
+def test_template_texts_in_the_article_are_left_out():
+    page = "<body><div>Site name</div><article><h1>Title {0}</h1><p>Body {0}</p><div>Pass it on</div><ul><li>By {0}</ul></article></body>"
+    wrapper = _learned(*(page.format(n) for n in range(5)))
+    assert H.main_text(page.format(9), wrapper) == "Title 9\nBody 9\nBy 9"
+    assert H.main_text("<body><div>Site name</div><p>No article here</p></body>", wrapper) == "No article here"
