@@ -5,7 +5,8 @@ one after another, level by level of the element tree, with the wrapper built so
 far: equal elements match, neighbours that repeat become repeated groups (single
 elements or runs of two or three), elements found on some pages only become
 optional groups, and texts that differ become text slots, while texts that stay
-the same are part of the template. Tasks build a wrapper per host from their
+the same are part of the template if the pages' other texts differ: copies of a
+page, also with other scripts or adverts, count once. Tasks build a wrapper per host from their
 pages (and so combine before the shuffle); wrappers are merged by the same
 alignment, in two steps, so that no task holds more of a host than wrappers.
 
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from intentlane.llm.common import materialise, table
 
 MAX_DEPTH = 100
-TEMPLATE_PAGES = 3     # a text is the template's if it is the same on all of at least so many pages
+TEMPLATE_PAGES = 3     # a text is the template's if it is the same on all of at least so many pages of different texts
 HOSTS_PER_FLUSH = 500
 _SALTS = 64
 
@@ -211,14 +213,32 @@ def _groups_of(item) -> list[Group]:
 
 
 # -------------------------------------------------------------------- wrappers
-# A wrapper node is [key, repeated, optional, pages, text, main, parts]: text is the
-# template's text of a text slot, or None where texts differ; main as in Element.
+# A wrapper node is [key, repeated, optional, pages, text, main, parts, digests]: text is
+# the template's text of a text slot, or None where texts differ; main as in Element;
+# digests are the lowest TEMPLATE_PAGES digests of the pages with this text slot.
 
-KEY, REPEATED, OPTIONAL, PAGES, TEXT, MAIN, PARTS = range(7)
+KEY, REPEATED, OPTIONAL, PAGES, TEXT, MAIN, PARTS, DIGESTS = range(8)
 
 
-def new_wrapper() -> list:
-    return ["html", False, False, 0, None, "", []]
+def new_wrapper(key: str = "html") -> list:
+    return [key, False, False, 0, None, "", [], []]
+
+
+def digest(page: Element) -> int:
+    """Of the texts that are not left out: copies of a page have the same."""
+    h = xxhash.xxh64()
+    todo: list = [page]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            h.update(x[0].encode("utf-8", "surrogatepass") + b"\n")
+        elif not x.skipped:
+            todo += reversed(x.kids)
+    return h.intdigest()
+
+
+def _lowest(digests: list[int], others: list[int]) -> list[int]:
+    return sorted({*digests, *others})[:TEMPLATE_PAGES]
 
 
 def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -263,8 +283,9 @@ def _weave(parts: list, others: list, pairs: list[tuple[int, int]], make, join,
     return out
 
 
-def learn_page(wrapper: list, item) -> None:
+def learn_page(wrapper: list, item, of_page: int | None = None) -> None:
     """Align one element (or run) of a page with its wrapper node, in place."""
+    of_page = digest(item) if of_page is None else of_page
     groups = _groups_of(item)
     seen = wrapper[PAGES] > 0
     wrapper[PAGES] += 1
@@ -275,14 +296,16 @@ def learn_page(wrapper: list, item) -> None:
             if isinstance(x, tuple):
                 part[TEXT] = x[0] if part[PAGES] == 0 or part[TEXT] == x[0] else None
                 part[PAGES] += 1
+                if of_page not in part[DIGESTS]:
+                    part[DIGESTS] = _lowest(part[DIGESTS], [of_page])
             else:
                 if not isinstance(x, list) and not x.skipped and x.main:
                     part[MAIN] = x.main
-                learn_page(part, x)
+                learn_page(part, x, of_page)
         return part
 
     wrapper[PARTS] = _weave(wrapper[PARTS], groups, matched([p[KEY] for p in wrapper[PARTS]], [g[0] for g in groups]),
-                            lambda g: join([g[0], False, False, 0, None, "", []], g), join, seen)
+                            lambda g: join(new_wrapper(g[0]), g), join, seen)
 
 
 def merge(a: list, b: list) -> list:
@@ -290,7 +313,7 @@ def merge(a: list, b: list) -> list:
     if not a[PAGES] or not b[PAGES]:
         return a if a[PAGES] else b
     out = [a[KEY], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], a[PAGES] + b[PAGES],
-           a[TEXT] if a[TEXT] == b[TEXT] else None, a[MAIN] or b[MAIN], []]
+           a[TEXT] if a[TEXT] == b[TEXT] else None, a[MAIN] or b[MAIN], [], _lowest(a[DIGESTS], b[DIGESTS])]
     out[PARTS] = _weave(a[PARTS], b[PARTS], matched([p[KEY] for p in a[PARTS]], [p[KEY] for p in b[PARTS]]),
                         lambda x: x, merge, True)
     return out
@@ -341,7 +364,7 @@ def _within(main: str, kind: str) -> bool:
 
 
 def _template(part: list | None) -> bool:
-    return part is not None and part[TEXT] is not None and part[PAGES] >= TEMPLATE_PAGES
+    return part is not None and part[TEXT] is not None and len(part[DIGESTS]) >= TEMPLATE_PAGES
 
 
 def _page_kind(page: Element) -> str:

@@ -99,3 +99,14 @@ def test_template_texts_in_the_article_are_left_out():
     wrapper = _learned(*(page.format(n) for n in range(5)))
     assert H.main_text(page.format(9), wrapper) == "Title 9\nBody 9\nBy 9"
     assert H.main_text("<body><div>Site name</div><p>No article here</p></body>", wrapper) == "No article here"
+
+
+def test_copies_of_a_page_are_no_template():
+    page = "<body><script>t({0})</script><div class=ad>Buy {0}</div><div class=top>Site name</div><div class=body>The only paragraph</div></body>"
+    copies = [page.format(n) for n in range(6)]
+    assert H.main_text(copies[0], _learned(*copies)) == "Site name\nThe only paragraph"
+    assert H.main_text(copies[0], H.merge(_learned(*copies[:3]), _learned(*copies[3:]))) == "Site name\nThe only paragraph"
+    others = [page.format(n).replace("only", f"{n}.") for n in range(3)]
+    assert H.main_text(copies[0], _learned(*copies, *others)) == "The only paragraph"
+    rows = "<body><ul><li>Read on<li>Read on<li>Read on</ul><p>Body {0}</p></body>"  # three times on each of two pages
+    assert H.main_text(rows.format(1), _learned(rows.format(1), rows.format(2))) == "Read on\nRead on\nRead on\nBody 1"
