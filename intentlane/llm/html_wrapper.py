@@ -12,7 +12,8 @@ alignment, in two steps, so that no task holds more of a host than wrappers.
 
 With the host's wrapper a page is read again: menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are left out by element
-and by class, and so are the template's own texts; where the host's wrapper has
+and by class (but not what holds the whole main part, and inside it no heading
+or section for its id), and so are the template's own texts; where the host's wrapper has
 an article (or main) element, only that is read, else all but lists of links.
 
 Nulls: a null html is an empty text, a null url is a host of its own. A page
@@ -64,6 +65,7 @@ _SKIPPED_WORDS = frozenset(
     "navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond cookie cookies consent "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations widget widgets toolbar pagination pager tagcloud skip complementary contentinfo search gdpr".split())
+_ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 _PAGE_HEADER = frozenset(("header", "banner", "masthead"))
 _MAIN_WORDS = frozenset("content article post entry story main".split())
 _NEGATING = frozenset("has with no without".split())
@@ -72,26 +74,30 @@ _NEGATING = frozenset("has with no without".split())
 # ---------------------------------------------------------------------- pages
 
 class Element:
-    __slots__ = ("tag", "key", "kids", "skipped", "main")
+    __slots__ = ("tag", "key", "kids", "skipped", "marked", "main")
 
     def __init__(self, tag: str, attrs: str = "", outer: "Element | None" = None):
         words: list[str] = []
         names = ""
+        inside = outer.main if outer else ""
+        anchors = inside and (tag in _ANCHORED or tag in _INLINE)  # their ids are made from headings
         if attrs and ("=" in attrs):
             for kind, *value in _ATTR.findall(attrs):
                 text = next((v for v in value if v), "")
                 if kind.lower() == "class":
                     names = ".".join(sorted(re.sub(r"\d+", "#", text).split()))
-                words += re.split(r"[^a-z0-9]+", _CAMEL.sub("-", text).lower())
+                if kind.lower() != "id" or not anchors:
+                    words += re.split(r"[^a-z0-9]+", _CAMEL.sub("-", text).lower())
         self.tag = tag
         self.key = ("flow" if tag in _FLOW else tag) + ("." + names if names else "")
         self.kids: list[Element | tuple[str, bool]] = []
         marked = {w for before, w in zip([""] + words, words) if before not in _NEGATING}
-        inside = outer.main if outer else ""
-        self.skipped = (tag in _SKIPPED or (tag == "header" and not inside)
-                        or (bool(marked & _SKIPPED_WORDS) and tag not in ("html", "body", "main", "article")
-                            and not (inside and marked & _SKIPPED_WORDS <= _PAGE_HEADER))
-                        or (bool(marked & _PAGE_HEADER) and not inside and tag not in ("html", "body", "main", "article")))
+        by_tag = tag in _SKIPPED or (tag == "header" and not inside)
+        #: left out for its class or id alone
+        self.marked = not by_tag and tag not in ("html", "body", "main", "article") and (
+            (bool(marked & _SKIPPED_WORDS) and not (inside and marked & _SKIPPED_WORDS <= _PAGE_HEADER))
+            or (bool(marked & _PAGE_HEADER) and not inside))
+        self.skipped = by_tag or self.marked
         self.main = inside
         if not self.skipped:
             if tag == "article" or tag == "main" or "main" in words and "role" in attrs:
@@ -130,7 +136,7 @@ def parse(page: str | None) -> Element:
         if tag is None:
             continue
         tag, closing, attrs = tag.lower(), bool(m["close"]), m["attrs"]
-        if tag in _INLINE and not (attrs and _is_skipped(attrs)):
+        if tag in _INLINE and not (attrs and _is_skipped(attrs, stack[-1])):
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
@@ -169,11 +175,45 @@ def parse(page: str | None) -> Element:
         text.append(page[at:])
         unlinked = True
     flush()
+    _uncover_main(root)
     return root
 
 
-def _is_skipped(attrs: str) -> bool:
-    return "=" in attrs and Element("span", attrs).skipped
+def _is_skipped(attrs: str, outer: Element) -> bool:
+    return "=" in attrs and Element("span", attrs, outer).skipped
+
+
+def _uncover_main(root: Element) -> None:
+    """Where the page's main part is only within elements left out for their
+    class or id, the outermost one with most text in it is read after all."""
+    while True:
+        hidden, todo = [], [root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):
+                continue
+            if x.marked and x.skipped:
+                hidden.append(x)
+            elif not x.skipped:
+                if x.main:
+                    return
+                todo += reversed(x.kids)
+        sizes = [_main_size(x) for x in hidden]
+        if not any(sizes):
+            return
+        hidden[sizes.index(max(sizes))].skipped = False
+
+
+def _main_size(element: Element) -> int:
+    """Characters in article and main elements that are not left out by their tag."""
+    size, todo = 0, [(element, False)]
+    while todo:
+        x, inside = todo.pop()
+        if isinstance(x, tuple):
+            size += len(x[0]) if inside else 0
+        elif x.marked or not x.skipped:
+            todo += [(kid, inside or x.main in ("article", "main")) for kid in x.kids]
+    return size
 
 
 Group = tuple[str, list]   # key, and the neighbours that share it: elements, texts, or runs (lists of groups)

@@ -110,3 +110,15 @@ def test_copies_of_a_page_are_no_template():
     assert H.main_text(copies[0], _learned(*copies, *others)) == "The only paragraph"
     rows = "<body><ul><li>Read on<li>Read on<li>Read on</ul><p>Body {0}</p></body>"  # three times on each of two pages
     assert H.main_text(rows.format(1), _learned(rows.format(1), rows.format(2))) == "Read on\nRead on\nRead on\nBody 1"
+
+
+def test_marked_words_do_not_hide_the_article():
+    article = "<article><h1>Title</h1><p>Body</p></article>"
+    for around in ('class="page right-sidebar"', 'id="wrap" class="layout-sidebar"'):
+        page = f'<body><div {around}><div class=sidebar>Side</div>{article}<div class=related><article>Teaser of another</article></div></div></body>'
+        assert H.main_text(page, None) == "Title\nBody"
+        assert H.main_text(page, _learned(page)) == "Title\nBody"
+    assert H.main_text(f"<body>{article}<div id=comments><article>A longer comment on it all</article></div></body>", None) == "Title\nBody"
+    inside = ('<article><section id="related-work"><h2 id="comment-on-results">Results</h2><p>Text</p></section>'
+              '<section id="search"><h2><span id="search">Search</span></h2></section><div class="related">Other</div></article>')
+    assert H.main_text(inside, None) == "Results\nText\nSearch"
