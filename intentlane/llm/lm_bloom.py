@@ -13,7 +13,7 @@ A block's distinct pairs and rarer words go to their parts by a shuffle, and
 their levels come back to the block by another. Each token's probability depends
 on three levels alone (context, word and pair), so a document is kept as the
 counts of its level triples: pair counts are interpolated with word counts, and
-the weights fitted on a bounded sample, by the context's frequency.
+the weights fitted on all training documents, by the context's frequency.
 
 The exact base score needs exact word counts. Words with a share of HEAD_SHARE
 or more (at most 1 / HEAD_SHARE) go to the workers; the other words of each
@@ -38,14 +38,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from intentlane.llm.common import hash_share, is_rest, materialise, table
+from intentlane.llm.common import is_rest, materialise, table
 from intentlane.llm.simhash import by_group
 
 STEP = 1.5             # ratio of neighbouring levels
 BITS_PER_KEY = 12
 PROBES = 6
 HEAD_SHARE = 2e-6      # words whose exact counts all workers hold
-TUNING_DOCS = 2_000    # documents that the interpolation weights are fitted on
 END = b""              # the end token; no word is empty
 _SHARD_BITS = 22       # bits of one part of a filter, 512 KB
 _FLUSH = 4_000_000     # pairs counted before a task hands them on
@@ -578,10 +577,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     triples = stored(level_triples(blocks_, find_levels(blocks_, words, pairs), (words[1], pairs[1])), "lm-triples")
     model = Model(total, kinds, words[2], pairs[2], np.zeros(1))
     if total:
-        known = triples.where("train")
-        number = known.count()
-        sample = known.where(hash_share("lm", F.col("id")) < F.lit(TUNING_DOCS / max(1, number))).limit(2 * TUNING_DOCS)
-        model.weights = fit_weights(sample, model)
+        model.weights = fit_weights(triples.where("train"), model)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -81,3 +81,15 @@ def test_rare_pairs_count_in_a_large_corpus(spark):
     got = score_documents(filler.unionAll(rows), ~F.col("doc_id").isin(3, 4)).where("doc_id < 10").collect()
     score = {r["doc_id"]: r["score"] for r in got}
     assert score[3] > score[4] + 8
+
+
+def test_weights_come_from_all_training_documents(spark):
+    ship_package(spark)
+    rnd = random.Random(8)
+    rows = [(n, " ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randint(1, 30)))) for n in range(5000)]
+    # each of these documents alone has words of its frequency, always in the same order
+    rows += [(10_000 + t, " ".join(f"x{t}y{i}" for i in range(10)) + " ") for t in range(3)]
+    rows[-3:] = [(d, text * times) for (d, text), times in zip(rows[-3:], (20, 50, 100))]
+    got = score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), F.lit(True)).where("doc_id >= 10000")
+    for r in got.collect():
+        assert r["score"] / r["n_tokens"] > -0.5 > r["base_score"] / r["n_tokens"]
