@@ -9,7 +9,8 @@ are read word by word, and a document's language is the one with the largest sum
 of probabilities over its words; the score is that sum's share.
 
 The model is fitted on a bounded sample of labelled documents. Nulls: a null or
-letterless text is ``und`` with score 0; a null lang is no training row; a null
+letterless text is ``und`` with score 0; more than MAX_LANGUAGES values of lang are
+an error; a null lang is no training row; a null
 doc_id is outside the held-out fold. Without training rows every text with
 letters is ``und`` too. Repeated rows get the same result; other columns are
 ignored. Ties go to the language first in order."""
@@ -30,7 +31,7 @@ from intentlane.llm.common import NON_LETTERS, hash_share, is_rest, table
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 500      # training documents a language
 WORDS_PER_DOC = 90           # consecutive words taken of a training document
-MAX_LANGUAGES = 256          # most frequent label values
+MAX_LANGUAGES = 256          # label values that a model can hold; more are an error
 DIM = 1 << 16                # hashed n-gram features
 NGRAMS = (1, 2, 3, 4)        # bytes, word borders included
 LINE = 30                    # words of a training line
@@ -173,8 +174,10 @@ def training_words(docs: DataFrame, allowed: Column, id_col: str, text_col: str,
     a window of WORDS_PER_DOC words at a hashed place."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed) \
         .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES)
+    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LANGUAGES + 1)
     seen = {r["_lang"]: r["_n"] for r in counts.collect()}
+    if len(seen) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col}: the model holds a weight of each feature for each of them")
     labels = sorted(seen)
     if not labels:
         return [], []

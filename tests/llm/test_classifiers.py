@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from intentlane.llm import langid_crf as L, quality_gbt as Q, toxicity as X
@@ -129,3 +130,12 @@ def test_beginnings_are_judged_by_frequency(spark):
     flagged = X.scores(lexicon, np.array([X.measure(automaton, t) for t, _ in rows])) >= X.THRESHOLD
     assert (flagged == np.array([y == 1 for _, y in rows])).mean() >= 0.98
     assert X.hits(automaton, X.fold("grülf gru")) == []      # a beginning alone is no longer word
+
+
+def test_too_many_languages_are_an_error(spark):
+    ship_package(spark)
+    rows = [(n, f"some text {n}", f"x-{n}") for n in range(L.MAX_LANGUAGES + 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="values of lang"):
+        L.training_words(df, F.lit(True), "doc_id", "text", "lang")
+    assert len(L.training_words(df.where("doc_id > 0"), F.lit(True), "doc_id", "text", "lang")[0]) == L.MAX_LANGUAGES
