@@ -60,7 +60,7 @@ STAGES = [
     ("mix", mix),
 ]
 
-#: Trained classifiers, SimHash fingerprints and tiling have no SQL form; tests hold the rows against brute force.
+#: Trained classifiers, SimHash fingerprints and tiling have no SQL form; a test holds the rows of one planted set against what was planted.
 ORACLE_SQL = None
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import types as T
 
+from __spark_entry__ import queries
 from intentlane.llm.embedding_dedup import embedding_near_duplicates
 from intentlane.session import ship_package
 
@@ -81,3 +82,26 @@ def test_recall_and_exactness(spark):
 def test_empty_table(spark):
     ship_package(spark)
     assert embedding_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_registered_query_finds_links_of_every_cosine_band(spark, tmp_dir):
+    ship_package(spark)
+    rng = np.random.default_rng(21)
+    rows, cosine = [], {}
+    for k in range(600):  # pairs of unequal vectors, half of them at the limit
+        v = rng.normal(size=64)
+        noise = rng.normal(size=64)
+        noise -= noise @ v / (v @ v) * v
+        noise *= np.linalg.norm(v) / np.linalg.norm(noise)
+        want = rng.uniform(0.9801, 0.985) if k % 2 else rng.uniform(0.985, 0.999)
+        pair = [np.float32(x) for x in (v, v + noise * np.sqrt(1 / want**2 - 1))]
+        rows += [(2 * k + i, [float(x) for x in p], 1) for i, p in enumerate(pair)]
+        x, y = (p.astype(np.float64) for p in pair)
+        cosine[2 * k] = x @ y / (np.linalg.norm(x) * np.linalg.norm(y))
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    got = {r["vec_id"]: r["n_links"] for r in queries()["op9_embedding_dedup"](spark, tmp_dir).collect()}
+    links = brute(rows)
+    assert len(got) == len(rows) and links == {(i, i + 1) for i in cosine}
+    for low, high in ((0.98, 0.985), (0.985, 1.0)):
+        found = [got[i] for i, c in cosine.items() if low <= c < high]
+        assert len(found) > 250 and sum(found) >= 0.9 * len(found), (low, sum(found), len(found))
