@@ -12,11 +12,15 @@ from intentlane.llm.embedding_dedup import op9_embedding_dedup
 from intentlane.llm.html_wrapper import op3_html_text
 from intentlane.llm.langid_crf import op1_language_id
 from intentlane.llm.lm_bloom import op6_lm_scores
+from intentlane.llm.merkle import op12_merkle_manifest
 from intentlane.llm.mixing import op5_mix_sources
+from intentlane.llm.oracles import OP11_SQL, OP13_SQL, merkle_sql
 from intentlane.llm.quality_gbt import op4_quality
 from intentlane.llm.simhash import op2_simhash_dedup
+from intentlane.llm.spelling import op13_spelling_variants
 from intentlane.llm.token_counts import op7_token_counts
 from intentlane.llm.toxicity import op8_toxicity
+from intentlane.llm.warc import op11_warc_index
 from intentlane.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -75,9 +79,17 @@ _QUERIES: dict[str, QueryFn] = {
     "op8_toxicity": op8_toxicity,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_warc_index": op11_warc_index,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-_ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
+_ORACLES: dict[str, str] = {
+    "op5_mix_sources": OP5_SQL,
+    "op11_warc_index": OP11_SQL,
+    "op12_merkle_manifest": merkle_sql(),
+    "op13_spelling_variants": OP13_SQL,
+}
 
 
 def _shipped(fn: QueryFn) -> QueryFn:
