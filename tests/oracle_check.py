@@ -28,7 +28,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        # a whole-number column with nulls may come as floats
+        return int(v) if v.is_integer() else round(v, 6)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
