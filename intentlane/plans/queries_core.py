@@ -106,20 +106,21 @@ def q_context_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("high_intent_stream")
 def q_high_intent_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """INT-5: the events table replayed as a file stream (available-now),
-    folded with per-user state, written to a parquet sink under the shared
-    checkpoint folder and read back."""
+    """INT-5: the events table replayed as a file stream (available-now) that
+    ends with a closing row, folded with per-user state in event-time order,
+    written with its side output under the shared folder and read back."""
     from intentlane.session import scratch_path, state_partitions
+    from intentlane.sources.streams import with_closing_row
     from intentlane.sources.tables import table_path
     from intentlane.streaming.intent_stream import detect_high_intent_stream
+    from intentlane.streaming.ordered import read_side_output, write_with_side_output
     # a glob: the file stream source takes a directory or a pattern, not a file
     glob = table_path(sf, "events").replace("/events.parquet", "/[e]vents.parquet")
     src = intent_ops.with_time_us(V.v_behavior(spark, sf, stream_path=glob))
-    out = detect_high_intent_stream(src, P.TEST_INTENT, watermark="30 days")
+    src = with_closing_row(src.select("user_id", "event_id", "t_us", "action", "sku_id", "price"))
+    out = detect_high_intent_stream(src, P.TEST_INTENT)
     base = scratch_path(spark, "high-intent-stream")
     with state_partitions(spark):
-        q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
-             .trigger(availableNow=True).start())
+        q = write_with_side_output(out, f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return read_side_output(spark, f"{base}/out", "main", out.schema)

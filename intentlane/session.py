@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(master: str | None = None, app: str = "intentlane",
                   shuffle_partitions: int | None = None) -> SparkSession:
     """Session used by tests and the bench. On a cluster the submitter's
@@ -25,7 +28,7 @@ def build_session(master: str | None = None, app: str = "intentlane",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+                ROCKSDB)
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions is not None:
@@ -89,14 +92,17 @@ def ship_package(spark: SparkSession) -> None:
 @contextlib.contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None):
     """Start a stateful stream with ``n`` state partitions (default: the
-    cluster's parallelism) without changing the caller's session for good.
-    The stream copies the session configuration when it starts and records
-    the partition count in its checkpoint, so the previous value is restored
-    right after ``start()``."""
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    cluster's parallelism) on the RocksDB state store, which list state and
+    timers need, without changing the caller's session for good. The stream
+    copies the session configuration when it starts and records it in its
+    checkpoint, so the previous values are restored right after ``start()``."""
+    wanted = {"spark.sql.shuffle.partitions": str(n or spark.sparkContext.defaultParallelism),
+              "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    old = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)

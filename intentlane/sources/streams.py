@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from intentlane import params as P
 from intentlane.operators.normalize import decode_intents, normalize_behavior
+from intentlane.session import scratch_path
+
+#: a time after every event, in microseconds: 2200-01-01 00:00:00 UTC
+END_OF_TIME_US = 7_258_118_400_000_000
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str,
@@ -51,3 +55,17 @@ def dedupe_intents(intents: DataFrame, watermark: str = "1 hour",
                 .withWatermark("_ts", watermark)
                 .dropDuplicatesWithinWatermark(list(keys)).drop("_ts"))
     return intents.dropDuplicates(list(keys))
+
+
+def with_closing_row(events: DataFrame, time_col: str = "t_us") -> DataFrame:
+    """A replayed stream that ends: one more row, with the time
+    ``END_OF_TIME_US`` and empty or zero values elsewhere, moves the watermark
+    past all events, so that operators which hold rows until the watermark let
+    all of them go. A live stream needs no such row; its next events move the
+    watermark."""
+    spark = events.sparkSession
+    path = scratch_path(spark, "closing-row")
+    row = [F.lit(END_OF_TIME_US if f.name == time_col else "" if f.dataType.simpleString() == "string" else 0).cast(f.dataType).alias(f.name)
+           for f in events.schema]
+    spark.range(1).select(*row).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(path))

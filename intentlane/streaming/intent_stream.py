@@ -1,27 +1,23 @@
 """INT-5: streaming intent detection with per-user state.
 
-Source rows (user_id, event_id, t_us, action, sku_id, price) are grouped by
-user; ``applyInPandasWithState`` keeps, per user, the event times of the
-last window (to count) and the last fire time (the cooldown). Rows of a
-micro-batch are sorted by (time, arrival) before folding, state is read and
-written once per user per batch, and an event-time timeout drops a user's
-state once both the window and the lock have passed the watermark. With
-each user's rows arriving in time order across batches the output equals
-the batch job (``detect_high_intent``)."""
+Source rows (user_id, event_id, t_us, action, sku_id, price) are held per user
+until the watermark has passed them (``streaming.ordered``), then folded in
+(time, id) order: state keeps the event times of the last window (to count) and
+the last fire time (the cooldown). So rows may arrive in any order within
+the watermark's delay and the output equals the batch job
+(``detect_high_intent``); rows behind the watermark leave by the side output.
+A user's state goes once both the window and the lock have passed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from intentlane import params as P
-from intentlane.session import ship_package
+from intentlane.streaming.ordered import ordered_fold
 
 OUT_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()),
@@ -38,6 +34,13 @@ STATE_SCHEMA = T.StructType([
     T.StructField("times", T.ArrayType(T.LongType())),
     T.StructField("last_fire", T.LongType()),
 ])
+HELD_SCHEMA = T.StructType([
+    T.StructField("t_us", T.LongType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("action", T.StringType()),
+    T.StructField("sku_id", T.StringType()),
+    T.StructField("price", T.DoubleType()),
+])
 
 
 def _fold_sorted(times_prev: np.ndarray, t: np.ndarray, last_fire, p: P.IntentParams):
@@ -60,78 +63,46 @@ def _fold_sorted(times_prev: np.ndarray, t: np.ndarray, last_fire, p: P.IntentPa
     return n, fires, last_fire, all_t[keep_from:]
 
 
-def _fold_rows(times: list, t: np.ndarray, last_fire, p: P.IntentParams):
-    """Row-by-row fold, used when rows arrive older than the retained window."""
-    times = list(times)
-    n_out, fires = [], []
-    for i, tv in enumerate(t.tolist()):
-        times.append(tv)
-        times = [x for x in times if x > tv - p.window_us]
-        n = len(times)
-        n_out.append(n)
-        if n >= p.threshold and (last_fire is None or tv >= last_fire + p.cooldown_us):
-            last_fire = tv
-            fires.append(i)
-    return np.asarray(n_out), fires, last_fire, np.asarray(times, dtype=np.int64)
-
-
-def _processor(p: P.IntentParams):
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            prev, last_fire = state.get
-            prev = np.asarray(prev or [], dtype=np.int64)
-        else:
-            prev, last_fire = np.zeros(0, dtype=np.int64), None
-        parts = list(batches)
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        if pdf.empty:
-            return
-        # numpy first: per-key pandas sorting and frame building dominate otherwise
-        t_raw = pdf["t_us"].to_numpy(dtype=np.int64)
-        order = np.lexsort((pdf["event_id"].to_numpy(dtype=np.int64), t_raw))
-        t = t_raw[order]
-        if len(prev) and t[0] < prev[-1]:
-            n, fires, last_fire, kept = _fold_rows(prev.tolist(), t, last_fire, p)
-        else:
-            n, fires, last_fire, kept = _fold_sorted(prev, t, last_fire, p)
-        state.update((kept.tolist(), last_fire))
-        horizon_us = max(int(kept[-1]) + p.window_us if len(kept) else 0,
-                         (last_fire + p.cooldown_us) if last_fire is not None else 0)
-        state.setTimeoutTimestamp(horizon_us // 1000 + 1)
-        if fires:
-            rows = order[np.asarray(fires)]
-            act = pdf["action"].to_numpy(dtype=object)[rows]
-            sku = pdf["sku_id"].to_numpy(dtype=object)[rows]
-            price = pdf["price"].to_numpy(dtype=np.float64)[rows]
-            yield pd.DataFrame({
-                "user_id": np.full(len(rows), key[0], dtype=object),
-                "event_id": pdf["event_id"].to_numpy(dtype=np.int64)[rows],
-                "event_type": np.full(len(rows), p.event_type, dtype=object),
-                "reason": np.full(len(rows), p.reason, dtype=object),
-                "event_time_us": t_raw[rows],
-                "last_action": np.array([a if isinstance(a, str) else P.CONTEXT_DEFAULT_ACTION
-                                         for a in act], dtype=object),
-                "sku_id": np.array([x if isinstance(x, str) else P.CONTEXT_DEFAULT_SKU
-                                    for x in sku], dtype=object),
-                "price": np.where(np.isnan(price), P.CONTEXT_DEFAULT_PRICE, price),
-                "recent_clicks": np.asarray(n)[np.asarray(fires)].astype(np.int64),
-            })
+def _texts(column: pd.Series, default: str) -> np.ndarray:
+    return np.array([v if isinstance(v, str) else default for v in column], dtype=object)
+
+
+def _promotions(key: tuple, rows: pd.DataFrame, counts, p: P.IntentParams) -> pd.DataFrame:
+    price = rows["price"].to_numpy(dtype=np.float64)
+    return pd.DataFrame({
+        "user_id": np.full(len(rows), key[0], dtype=object),
+        "event_id": rows["event_id"].to_numpy(dtype=np.int64),
+        "event_type": np.full(len(rows), p.event_type, dtype=object),
+        "reason": np.full(len(rows), p.reason, dtype=object),
+        "event_time_us": rows["t_us"].to_numpy(dtype=np.int64),
+        "last_action": _texts(rows["action"], P.CONTEXT_DEFAULT_ACTION),
+        "sku_id": _texts(rows["sku_id"], P.CONTEXT_DEFAULT_SKU),
+        "price": np.where(np.isnan(price), P.CONTEXT_DEFAULT_PRICE, price),
+        "recent_clicks": counts,
+    })
+
+
+def _fold(p: P.IntentParams):
+    def fold(key: tuple, pdf: pd.DataFrame, state: tuple | None):
+        prev, last_fire = state or ([], None)
+        t = pdf["t_us"].to_numpy(dtype=np.int64)
+        n, fires, last_fire, kept = _fold_sorted(np.asarray(prev if prev is not None else [], dtype=np.int64), t, last_fire, p)
+        horizon = max(int(kept[-1]) + p.window_us, last_fire + p.cooldown_us if last_fire is not None else 0)
+        out = _promotions(key, pdf.iloc[fires], n[fires].astype(np.int64), p) if fires else None
+        return out, (kept.tolist(), last_fire), horizon
     return fold
 
 
+def _late(p: P.IntentParams):
+    """Late events as rows of the output: what they were, without a count."""
+    return lambda key, pdf: _promotions(key, pdf, pd.array([None] * len(pdf), dtype="Int64"), p).assign(event_type=None, reason=None)
+
+
 def detect_high_intent_stream(events: DataFrame, p: P.IntentParams = P.IntentParams(),
                               watermark: str = "1 hour") -> DataFrame:
     """Streaming promotions from a stream of (user_id, event_id, t_us,
-    action, sku_id, price). The watermark bounds how late a user's rows may
-    arrive; older rows are not folded."""
-    ship_package(events.sparkSession)
-    src = (events.select("user_id", "event_id", "t_us", "action", "sku_id",
-                         F.col("price").cast("double").alias("price"))
-           .withColumn("event_ts", F.timestamp_micros("t_us"))
-           .withWatermark("event_ts", watermark))
-    return src.groupBy("user_id").applyInPandasWithState(
-        _processor(p), outputStructType=OUT_SCHEMA, stateStructType=STATE_SCHEMA,
-        outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    action, sku_id, price), with ``late`` marking the events that came behind
+    the watermark (they have no event_type, reason and count). The watermark
+    bounds how late a user's rows may arrive and how long they are held."""
+    src = events.withColumn("price", F.col("price").cast("double"))
+    return ordered_fold(src, "user_id", HELD_SCHEMA, STATE_SCHEMA, OUT_SCHEMA, _fold(p), _late(p), watermark)
