@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from intentlane.session import scratch_path
@@ -15,6 +20,31 @@ NON_ALNUM = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(25
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 
+#: text held as Python objects at once, in bytes
+SLICE_BYTES = 2 << 20
+
+
+def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive parts of a string column of about ``most`` bytes each (a
+    longer text is a part of its own), so that a worker's memory does not follow
+    the rows of an Arrow batch. An empty column gives no part."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, first = np.cumsum(sizes), 0
+    while first < len(texts):
+        before = upto[first - 1] if first else 0
+        past = max(first + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield texts.slice(first, past - first)
+        first = past
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,17 +77,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
                     max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, label) of labelled rows outside the held-out fold.
 
-    At most about ``max_rows`` rows, drawn by a hash of the id, so the sample
-    is the same on every run. Rows with a null id, text or label are no
-    training rows; a doc_id with conflicting labels takes the larger one. The
-    sampled ids are broadcast: their number is bounded by ``max_rows``."""
+    At most ``max_rows`` rows, those with the smallest hashes of their id, so
+    the sample is the same on every run. Rows with a null id, text or label are
+    no training rows; a doc_id with conflicting labels takes the larger one, and
+    a doc_id that several documents share gives one row, with the text of the
+    smallest hash, however many they are. The sampled ids are broadcast: their
+    number is bounded by ``max_rows``."""
     rows = (labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()
                          & ~is_rest(F.col(id_col), modulus, held_out))
             .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label")))
-    total = rows.count()
-    share = min(1.0, max_rows / max(total, 1))
-    if share < 1.0:
-        rows = rows.where(hash_share("labelled", F.col("_id")) < F.lit(share)).limit(int(max_rows * 1.1))
-    return (docs.where(F.col(text_col).isNotNull())
-            .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(F.broadcast(rows), "_id"))
+    rows = rows.orderBy(hash_share("labelled", F.col("_id")), "_id").limit(max_rows)
+    found = (docs.where(F.col(text_col).isNotNull())
+             .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+             .join(F.broadcast(rows), "_id"))
+    return found.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.max("label").alias("label"))

@@ -22,21 +22,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from intentlane.llm.common import NON_LETTERS, hash_share, is_rest, table
+from intentlane.llm.common import NON_LETTERS, hash_share, is_rest, table, text_slices
 
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 500      # training documents a language
-WORDS_PER_DOC = 90           # consecutive words taken of a training document
+LINES_PER_DOC = 1.5          # training lines drawn for each training document, from its whole text
 MAX_LANGUAGES = 256          # label values that a model can hold; more are an error
 DIM = 1 << 16                # hashed n-gram features
 NGRAMS = (1, 2, 3, 4)        # bytes, word borders included
 LINE = 30                    # words of a training line
 _CACHE = 200_000             # distinct words whose evidence a task keeps
-_BLOCK = 200_000             # words labelled at once
+_BLOCK_BYTES = 1 << 20       # text labelled at once
 
 
 def line_words(line: str) -> list[bytes]:
@@ -170,11 +169,11 @@ def label_texts(model: Crf, texts: list[str | None], cache: dict) -> tuple[list[
 def training_words(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str,
                    per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], list[tuple[str, list[bytes]]]]:
     """Labels, and (label, consecutive words) of a bounded sample of documents:
-    by a hash of the id, about ``per_language`` a language; of a longer document
-    a window of WORDS_PER_DOC words at a hashed place."""
+    ``per_language`` a language, those with the smallest hashes of their id. An
+    id that several documents share gives one, with the text of the smallest hash."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & allowed) \
         .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LANGUAGES + 1)
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("_n")).limit(MAX_LANGUAGES + 1)
     seen = {r["_lang"]: r["_n"] for r in counts.collect()}
     if len(seen) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col}: the model holds a weight of each feature for each of them")
@@ -182,25 +181,25 @@ def training_words(docs: DataFrame, allowed: Column, id_col: str, text_col: str,
     if not labels:
         return [], []
     shares = rows.sparkSession.createDataFrame(
-        [(x, min(1.0, per_language / n)) for x, n in seen.items()], "_lang string, _share double")
-    place = F.pmod(F.xxhash64(F.lit("window"), "_text"), F.lit(1 << 30))
+        [(x, min(1.0, 1.5 * per_language / max(n, 1))) for x, n in seen.items()], "_lang string, _share double")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, at in zip(batch["_text"], batch["_place"]):
-                words = [w for w in line_words(text.as_py()) if has_letter(w)]
-                first = at.as_py() % max(1, len(words) - WORDS_PER_DOC + 1)
-                out.append([w.decode(errors="replace") for w in words[first:first + WORDS_PER_DOC]])
-            yield pa.RecordBatch.from_arrays([batch["_lang"], batch["_place"], pa.array(out, pa.list_(pa.string()))],
-                                             names=["lang", "place", "words"])
-
-    sample = (rows.join(F.broadcast(shares), "_lang").where(hash_share("langid", F.col("_id")) < F.col("_share"))
-              .limit(2 * per_language * len(labels))
-              .select("_lang", "_text", place.alias("_place"))
-              .mapInArrow(windows, "lang string, place bigint, words array<string>").where("size(words) > 0"))
-    got = sorted((r["lang"], r["place"], [w.encode() for w in r["words"]]) for r in sample.collect())
-    return labels, [(lang, words) for lang, _, words in got]
+            for i in range(batch.num_rows):
+                text = b" ".join(w for w in line_words(batch["_text"][i].as_py()) if has_letter(w))
+                yield pa.RecordBatch.from_arrays([batch["_lang"].slice(i, 1), batch["_hash"].slice(i, 1), pa.array([text], pa.binary())],
+                                                 names=["lang", "hash", "words"])
+
+    drawn = (rows.join(F.broadcast(shares), "_lang").where(hash_share("langid", F.col("_id")) < F.col("_share"))
+             .withColumn("_hash", F.xxhash64("_text"))
+             .groupBy("_id").agg(F.min_by(F.struct("_lang", "_text", "_hash"), F.struct("_hash", "_lang")).alias("d")).select("_id", "d.*"))
+    # about 1.5 times as many rows as are kept stand in a language's window
+    cut = Window.partitionBy("_lang").orderBy(hash_share("langid", F.col("_id")), "_hash")
+    sample = (drawn.withColumn("_nth", F.row_number().over(cut)).where(F.col("_nth") <= per_language)
+              .select("_lang", "_text", "_hash")
+              .mapInArrow(windows, "lang string, hash bigint, words binary").where("length(words) > 0"))
+    got = sorted((r["lang"], r["hash"], bytes(r["words"])) for r in sample.collect())
+    return labels, [(lang, words.split(b" ")) for lang, _, words in got]
 
 
 def fit(labels: list[str], sample: list[tuple[str, list[bytes]]], seed: int = 7, epochs: int = 4) -> Crf:
@@ -215,27 +214,25 @@ def fit(labels: list[str], sample: list[tuple[str, list[bytes]]], seed: int = 7,
     present = [i for i in range(k) if by_label[i]]
     crf.lexicon = _lexicon(by_label)
     vocabulary: dict[bytes, int] = {}
-    docs = [[np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]) for words in ws] for ws in by_label]
-    words = list(vocabulary)
-    feature, owner = ngram_features(words)
-    order = np.argsort(owner, kind="stable")
-    feature, first = feature[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
-    lex = np.array([crf.lexicon.get(w, -1) for w in words])
-
     lines, targets = [], []
-    for _ in range(max(1, sum(map(len, docs)) * WORDS_PER_DOC // (2 * LINE))):
+    for _ in range(max(1, int(sum(map(len, by_label)) * LINES_PER_DOC))):
         line, target = [], []
         lang = int(rng.choice(present))
         while len(line) < LINE:
-            doc = docs[lang][rng.integers(len(docs[lang]))]
+            doc = by_label[lang][rng.integers(len(by_label[lang]))]
             size = int(rng.integers(3, LINE + 1))
             at = int(rng.integers(0, max(1, len(doc) - size + 1)))
             piece = doc[at:at + size][:LINE - len(line)]
-            line.extend(piece)
+            line.extend(vocabulary.setdefault(w, len(vocabulary)) for w in piece)
             target.extend([lang] * len(piece))
             lang = int(rng.choice(present))  # switch inside the line
         lines.append(line)
         targets.append(target)
+    words = list(vocabulary)
+    feature, owner = ngram_features(words)
+    order = np.argsort(owner, kind="stable")
+    feature, first = feature[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+    lex = np.array([crf.lexicon.get(w, -1) for w in words])
     lines_, targets_ = np.array(lines), np.array(targets)
     sums = [np.full_like(x, 1e-3) for x in (crf.weights, crf.transitions, crf.start)]
     rate = (2.0, 0.2, 0.2)
@@ -310,24 +307,19 @@ def predict_language(text: Column, model: Crf) -> Column:
     (DIM weights a language, and a lexicon of the sample's words)."""
     shared = SparkSession.active().sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         crf, cache = shared.value, {}
         for texts in batches:
-            langs, score = [], []
-            held, size = [], 0
-            texts = list(texts)
-            for n, text in enumerate(texts):
-                held.append(text)
-                size += len(text or "") // 6
-                if size >= _BLOCK or n == len(texts) - 1:
-                    if len(cache.get("index", ())) > _CACHE:
-                        cache = {}
-                    x, s = label_texts(crf, held, cache)
-                    langs += x
-                    score.append(s)
-                    held, size = [], 0
-            yield pd.DataFrame({"lang_pred": langs, "score": np.concatenate(score) if score else []})
+            langs, score = [], [np.zeros(0)]
+            for part in text_slices(texts, _BLOCK_BYTES):
+                if len(cache.get("index", ())) > _CACHE:
+                    cache = {}
+                x, s = label_texts(crf, part.to_pylist(), cache)
+                langs += x
+                score.append(s)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(score), pa.float64())],
+                                             names=["lang_pred", "score"])
     return udf(text)
 
 

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from intentlane.llm.common import is_rest, labelled_sample, table
+from intentlane.llm.common import is_rest, labelled_sample, table, text_slices
 
 MAX_TRAINING_ROWS = 20_000   # labelled documents sampled for the trees
 BINS = 64
@@ -68,6 +67,10 @@ def statistics_of(texts: Iterator[str | None]) -> np.ndarray:
     return np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
 
 
+def statistics_by_slice(texts: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros((0, len(FEATURES))), *(statistics_of(t.as_py() for t in part) for part in text_slices(texts))])
+
+
 @dataclass
 class Trees:
     """All trees in flat arrays; a leaf points to itself."""
@@ -157,7 +160,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   max_rows: int = MAX_TRAINING_ROWS) -> Trees:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics_of(batch["_text"].to_pylist())
+            x = statistics_by_slice(batch["_text"])
             yield pa.RecordBatch.from_arrays(
                 [batch["_id"].cast(pa.string()), pa.array(list(x), pa.list_(pa.float64())), batch["label"].cast(pa.int32())],
                 names=["id", "x", "label"])
@@ -171,10 +174,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def quality_score(text: Column, trees: Trees) -> Column:
     """Score between 0 and 1 of a text column."""
-    @F.pandas_udf("double")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(trees.score(statistics_of(texts)))
+            yield pa.array(trees.score(statistics_by_slice(texts)), pa.float64())
     return udf(text)
 
 

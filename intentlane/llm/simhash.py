@@ -24,12 +24,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from intentlane.llm.common import materialise, table
+from intentlane.llm.common import materialise, table, text_slices
 from intentlane.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -86,10 +85,11 @@ def fingerprints(texts: Iterator[str | None], k: int = SHINGLE_WORDS, seed: int
 
 def fingerprint(text: Column, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> Column:
     """The fingerprint of a text column, as a bigint with the same 64 bits."""
-    @F.pandas_udf("bigint")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("bigint")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(fingerprints(texts, shingle_words, seed).view(np.int64))
+            parts = [fingerprints(part.to_pylist(), shingle_words, seed) for part in text_slices(texts)]
+            yield pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))
     return udf(text)
 
 
@@ -244,7 +244,8 @@ def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` with the smallest id (nulls last, then the text's
-    hash) of each component, all columns; of rows equal in id and text, one."""
+    hash) of each component, all columns; of rows equal in id and text, the one
+    that is smallest by all its columns (as JSON)."""
     text_hash = F.xxhash64(F.col(text_col))
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("th"),
                                    fingerprint(F.col(text_col), shingle_words).alias("fp")), "simhash-rows")
@@ -253,9 +254,10 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     by_fp = materialise(rows.groupBy("fp").agg(first.alias("first")), "simhash-first")
     keep = materialise(by_fp.join(components, "fp").groupBy("root").agg(F.min("first").alias("first"))
                        .select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th")), "simhash-keep")
-    marked = docs.withColumn("_th", text_hash)
-    return (marked.join(keep, marked[id_col].eqNullSafe(keep["_id"]) & (marked["_th"] == keep["_th"]), "left_semi")
-            .dropDuplicates([id_col, "_th"]).drop("_th"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), text_hash.alias("th"))
+    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["th"] == keep["_th"]), "left_semi")
+    return (kept.groupBy("doc_id", "th").agg(F.min_by("row", F.to_json("row")).alias("row"))
+            .select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,13 +19,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,7 +34,6 @@ from intentlane.llm.common import NON_LETTERS, is_rest, labelled_sample, materia
 
 THRESHOLD = 0.3
 MAX_TRAINING_ROWS = 20_000   # labelled documents sampled for the lexicon
-MAX_ENTRIES = 5_000          # candidates that reach the driver, the best by likelihood ratio
 STEMS = range(4, 9)          # lengths of word beginnings tried as entries
 FREQUENT = 0.8               # occurrences per hundred words (of 20 more than there are) of a frequent beginning
 
@@ -113,7 +113,11 @@ def hits(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[int, int,
                 skip.append((a, b))
             else:
                 found.append((a, b, weight))
-    return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b in skip)] if skip else found
+    if not skip:
+        return found
+    skip.sort()
+    starts, reach = [a for a, _ in skip], list(accumulate((b for _, b in skip), max))
+    return [h for h in found if not ((k := bisect_right(starts, h[0])) and reach[k - 1] >= h[1])]
 
 
 def measure(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, float]:
@@ -144,7 +148,7 @@ def _entries(text: str) -> dict[str, bool]:
     return dict.fromkeys(words, True) | {stem: n >= enough for stem, n in stems.items()}
 
 
-def _count(rows: DataFrame, things, flush: int = 300_000) -> DataFrame:
+def _count(rows: DataFrame, things, flush: int = 80_000) -> DataFrame:
     """(thing, pos, neg, any_pos, any_neg): labelled documents for which each
     thing is evidence, and in which it stands at all, combined per task before
     the shuffle."""
@@ -176,15 +180,12 @@ def _count(rows: DataFrame, things, flush: int = 300_000) -> DataFrame:
             .groupBy("thing").agg(*(F.sum(n).alias(n) for n in names)))
 
 
-def _ratio(pos: float, neg: float, npos: int, nneg: int) -> float:
-    """Log-likelihood ratio of a thing that goes with the positive label."""
-    rate = npos / (npos + nneg)
-    seen = pos + neg
-    out = 0.0
-    for n, e in ((pos, seen * rate), (neg, seen * (1 - rate))):
-        if n:
-            out += 2 * n * math.log(n / e)
-    return out
+def _ratio(rate: float) -> Column:
+    """Log-likelihood ratio of a thing that goes with the positive label, which a share ``rate`` of the rows has."""
+    seen = F.col("pos") + F.col("neg")
+    terms = [F.when(n > 0, 2 * n * F.log(n / (seen * share))).otherwise(F.lit(0.0))
+             for n, share in ((F.col("pos"), rate), (F.col("neg"), 1 - rate))]
+    return terms[0] + terms[1]
 
 
 def _uncovered(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -197,7 +198,7 @@ def _uncovered(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
     return sample.select("_text", "label").mapInArrow(keep, "_text string, label int") if lexicon.weights else sample
 
 
-def _find_entries(rows: DataFrame, max_entries: int, precision: float) -> dict[str, float]:
+def _find_entries(rows: DataFrame, precision: float) -> dict[str, float]:
     """Entries that go with the label far beyond chance, with log-odds weights."""
     by_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     npos, nneg = by_label.get(1, 0), sum(n for k, n in by_label.items() if k != 1)
@@ -206,14 +207,13 @@ def _find_entries(rows: DataFrame, max_entries: int, precision: float) -> dict[s
     counted = materialise(_count(rows, _entries).where("pos >= 3"), "toxic-entries")
     tried = counted.count()
     rate = npos / (npos + nneg)
-    found = (counted.where(F.col("pos") >= F.lit(precision) * (F.col("pos") + F.col("neg")))
-             .orderBy(F.desc(F.col("pos") - F.col("neg")), "thing").limit(max_entries).collect())
-    ratio = {r["thing"]: _ratio(r["pos"], r["neg"], npos, nneg) for r in found
-             if r["pos"] > rate * (r["pos"] + r["neg"])}
+    seen = F.col("pos") + F.col("neg")
+    found = (counted.where((F.col("pos") >= F.lit(precision) * seen) & (F.col("pos") > F.lit(rate) * seen))
+             .withColumn("ratio", _ratio(rate)))
     # a chance find among so many candidates is unlikely above the first bound; the
     # second leaves weaker entries to the next round, which sees only texts without a hit
-    least = max([2 * math.log(max(tried, 1)) + 6, 0.2 * max(ratio.values(), default=0.0)])
-    kept = {r["thing"]: r for r in found if ratio.get(r["thing"], 0.0) >= least}
+    least = max([2 * math.log(max(tried, 1)) + 6, 0.2 * (found.agg(F.max("ratio")).first()[0] or 0.0)])
+    kept = {r["thing"]: r for r in found.where(F.col("ratio") >= F.lit(least)).orderBy(F.desc("ratio"), "thing").collect()}
     dropped = set()
     for entry, row in kept.items():  # of a chain of beginnings: the longest that still has the chain's documents
         word = entry.rstrip("*")
@@ -226,14 +226,13 @@ def _find_entries(rows: DataFrame, max_entries: int, precision: float) -> dict[s
     return {entry: weight for entry, weight in weights.items() if weight > 0}
 
 
-def learn_lexicon(sample: DataFrame, max_entries: int = MAX_ENTRIES, precision: float = 0.85,
-                  rounds: int = 3) -> Lexicon:
+def learn_lexicon(sample: DataFrame, precision: float = 0.85, rounds: int = 3) -> Lexicon:
     """Lexicon, exceptions and score curve from (_text, label) rows. Each round
     looks for entries in the texts that the rounds before found nothing in, so
     that words which merely stand beside an entry (in copies) are not learned."""
     lexicon = Lexicon()
     for _ in range(rounds):
-        new = _find_entries(_uncovered(sample, lexicon), max_entries, precision)
+        new = _find_entries(_uncovered(sample, lexicon), precision)
         if not new:
             break
         lexicon.weights |= new
@@ -259,7 +258,7 @@ def _learn_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
         return out
 
     rows = (_count(sample, phrases).where("neg >= 3 and pos * 9 <= neg")
-            .orderBy(F.desc("neg"), "thing").limit(1000).collect())
+            .orderBy(F.desc("neg"), "thing").collect())
     return [r["thing"] for r in rows if all(w.isalpha() for w in r["thing"].split(" "))]
 
 
@@ -300,14 +299,14 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def toxicity_score(text: Column, lexicon: Lexicon) -> Column:
-    """Score between 0 and 1 of a text column. The lexicon (at most MAX_ENTRIES
-    entries) goes along with the function."""
-    @F.pandas_udf("double")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Score between 0 and 1 of a text column. The lexicon (what a bounded
+    sample taught) goes along with the function."""
+    @F.arrow_udf("double")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = lexicon.automaton()
         for texts in batches:
-            found = np.array([measure(automaton, t) for t in texts], np.float64).reshape(-1, 2)
-            yield pd.Series(scores(lexicon, found))
+            found = np.array([measure(automaton, t.as_py()) for t in texts], np.float64).reshape(-1, 2)
+            yield pa.array(scores(lexicon, found), pa.float64())
     return udf(text)
 
 

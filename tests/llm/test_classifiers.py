@@ -139,3 +139,37 @@ def test_too_many_languages_are_an_error(spark):
     with pytest.raises(ValueError, match="values of lang"):
         L.training_words(df, F.lit(True), "doc_id", "text", "lang")
     assert len(L.training_words(df.where("doc_id > 0"), F.lit(True), "doc_id", "text", "lang")[0]) == L.MAX_LANGUAGES
+
+
+def test_hot_doc_id_changes_no_sample(spark):
+    """A doc_id that a third of all rows share gives one training row, and the models do not depend on its copies or on the order of rows."""
+    from intentlane.llm.common import labelled_sample
+    ship_package(spark)
+    rows, _ = languages(300)
+    hot = [(7, f"{rows[7][1]} mipa {n}", "aa", None, None) for n in range(150)]
+    marks = spark.createDataFrame([(r[0], r[0] % 2, r[0] % 2, None) for r in rows], LABELS)
+    one = spark.createDataFrame([*rows, *hot], DOCS)
+    two = spark.createDataFrame([*hot, *reversed(rows)], DOCS).repartition(5)
+    a, b = (sorted(map(tuple, labelled_sample(df, marks, "quality", 3, 1, 100).collect())) for df in (one, two))
+    assert a == b and len(a) == 100 and len({r[0] for r in a}) == 100
+    a, b = (L.training_words(df, ~is_rest(F.col("doc_id"), 4, 2), "doc_id", "text", "lang", 40) for df in (one, two))
+    assert a == b and all(sum(x == lang for x, _ in a[1]) <= 40 for lang in a[0])
+    assert max(len(w) for _, w in a[1]) == 48           # whole texts: four lines of twelve words
+
+
+def test_slices_hold_all_rows():
+    import pyarrow as pa
+    from intentlane.llm.common import text_slices
+    texts = [None, "", "a" * 10, "b" * 100, "é" * 7, None, "c"] * 9
+    for most in (1, 12, 50, 10_000):
+        parts = [p.to_pylist() for p in text_slices(pa.array(texts, pa.string()), most)]
+        assert [t for p in parts for t in p] == texts
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= most for p in parts)
+    assert list(text_slices(pa.array([], pa.string()))) == []
+
+
+def test_hits_inside_exceptions_in_a_long_text():
+    lexicon = X.Lexicon({"bad": 1.0}, ["bad luck", "a bad luck day"], (0.0, 1.0, 1.0))
+    machine = lexicon.automaton()
+    text = "a bad luck day, bad luck bad! " * 4000
+    assert [h[0] for h in X.hits(machine, X.fold(text))] == [30 * k + 25 for k in range(4000)]
