@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from intentlane.llm.common import is_rest, materialise, table
+from intentlane.llm.common import free_name, is_rest, materialise, table
 from intentlane.llm.decontaminate import remove_leaks
 from intentlane.llm.langid_crf import UNKNOWN, predict_language, train_langid
 from intentlane.llm.mixing import mix_sources
@@ -29,9 +29,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language (operator 1)."""
     ship_package(spark)
     model = train_langid(docs, ~is_rest(F.col("doc_id"), 4, 2))
-    marked = docs.withColumn("_language", predict_language(F.col("text"), model))
-    return (marked.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= F.lit(MIN_LANGUAGE_SCORE)))
-            .drop("_language"))
+    mark = free_name(docs, "_language")
+    marked = docs.withColumn(mark, predict_language(F.col("text"), model))
+    return (marked.where((F.col(f"{mark}.lang_pred") != UNKNOWN) & (F.col(f"{mark}.score") >= F.lit(MIN_LANGUAGE_SCORE)))
+            .drop(mark))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
