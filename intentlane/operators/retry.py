@@ -17,11 +17,13 @@ def backoff_seconds(attempt: Column, base: float = P.RETRY_BASE_SECONDS,
 
 
 def route_results(results: DataFrame, now_ms: int, max_retries: int = P.MAX_RETRIES,
-                  base: float = P.RETRY_BASE_SECONDS, cap: float = P.RETRY_MAX_SECONDS) -> DataFrame:
+                  base: float = P.RETRY_BASE_SECONDS, cap: float = P.RETRY_MAX_SECONDS,
+                  carry: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """RTY-1 / RTY-4 / RTY-5: one route per result row.
 
     results: user_id (the event), attempt (0 = main topic), success, error and,
-    optionally, last_error of the envelope, kept when the new error is empty.
+    optionally, last_error of the envelope, kept when the new error is empty;
+    the columns ``carry`` go along.
     Routes: invalid (no event: dropped, counted as consumed), done, retry
     (attempt + 1, next_retry_at = now + backoff, source 'main' on the first
     retry), dead_letter (attempt + 1 > max_retries; failed_at = now, source
@@ -37,7 +39,7 @@ def route_results(results: DataFrame, now_ms: int, max_retries: int = P.MAX_RETR
              .when(dead, F.lit("dead_letter")).otherwise(F.lit("retry")))
     delay_ms = (backoff_seconds(new_attempt, base, cap) * 1000).cast("long")
     return results.select(
-        "event_id", "user_id", route.alias("route"),
+        *carry, "user_id", route.alias("route"),
         F.when(invalid | done, attempt).otherwise(new_attempt).alias("attempt"),
         F.when(route == "retry", F.lit(now_ms) + delay_ms).alias("next_retry_at_ms"),
         F.when(route == "dead_letter", F.lit(now_ms)).alias("failed_at_ms"),
@@ -52,6 +54,16 @@ def due(pending: DataFrame, now_ms: int, next_col: str = "next_retry_at_ms") ->
     return pending.withColumn("due", F.coalesce(F.col(next_col), F.lit(0)) <= F.lit(now_ms))
 
 
+def envelope(route: str) -> Column:
+    """SNK-2: the JSON envelope of a routed row whose ``event`` is JSON text,
+    which goes in as it is. ``retry`` or ``dead_letter``."""
+    names = {"retry": ("attempt", "next_retry_at", "last_error", "source"),
+             "dead_letter": ("attempt", "failed_at", "last_error", "source")}[route]
+    source = {"next_retry_at": "next_retry_at_ms", "failed_at": "failed_at_ms"}
+    rest = F.to_json(F.struct(*[F.col(source.get(n, n)).alias(n) for n in names]))
+    return F.concat(F.lit('{"event":'), F.col("event"), F.lit(","), F.substring(rest, 2, 1 << 30))
+
+
 def decode_envelopes(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """RTY-5: retry-topic envelopes from JSON text. ``status`` is 'ok', or
     'invalid' (unparsable JSON, or ``event`` missing / not an object): such
@@ -62,10 +74,11 @@ def decode_envelopes(raw: DataFrame, value_col: str = "value") -> DataFrame:
     ev = F.try_variant_get(v, "$.event", "variant")
     is_obj = F.coalesce(F.schema_of_variant(ev).startswith("OBJECT"), F.lit(False))
     ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & is_obj
+    text = F.from_json(F.col(value_col), "event string")["event"]     # the object as it was written
     others = [c for c in raw.columns if c != value_col]
     return raw.select(
         *others,
-        F.when(ok, F.to_json(ev)).alias("event"),
+        F.when(ok, text).alias("event"),
         F.when(ok, F.coalesce(F.try_variant_get(ev, "$.user_id", "string"),
                               F.try_variant_get(ev, "$.userId", "string"))).alias("user_id"),
         F.when(ok, F.coalesce(F.try_variant_get(v, "$.attempt", "int"), F.lit(0))).alias("attempt"),

@@ -176,6 +176,16 @@ FROM rt""")
 ORACLE["retry_backoff"] = with_views(["v_results"], [], f"""
 SELECT event_id, attempt, {backoff('attempt')} AS backoff_seconds FROM v_results""")
 
+ORACLE["retry_loop"] = f"""
+WITH e AS (SELECT *, CAST(event_id % 6 AS INTEGER) AS fails FROM events)
+SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, value,
+  CASE WHEN fails <= {P.MAX_RETRIES} THEN 'done' ELSE 'dead_letter' END AS route,
+  CAST(CASE WHEN fails <= {P.MAX_RETRIES} THEN fails ELSE {P.MAX_RETRIES} + 1 END AS INTEGER) AS attempt,
+  CASE WHEN fails > {P.MAX_RETRIES} THEN 'boom {P.MAX_RETRIES}' END AS last_error,
+  CASE WHEN fails > {P.MAX_RETRIES} THEN CAST({P.TEST_NOW_MS} + 1000 + 2000 + 4000 AS DOUBLE) END AS failed_at_ms,
+  CASE WHEN fails > {P.MAX_RETRIES} THEN 'retry' END AS source
+FROM e"""
+
 ORACLE["retry_due"] = with_views(["v_results"], [("p", f"""SELECT event_id,
   CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) + CAST({backoff('attempt')} * 1000 AS BIGINT) AS next_retry_at_ms
 FROM v_results""")], f"SELECT event_id, next_retry_at_ms, coalesce(next_retry_at_ms, 0) <= {NOW} AS due FROM p")

@@ -225,6 +225,34 @@ def q_retry_routing_stream(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("failed_at_ms").cast("double").alias("failed_at_ms"), "last_error", "source")
 
 
+@register("retry_loop")
+def q_retry_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """RTY-1..5 closed: the events run as a stream, fail as often as their id
+    says, and come back from their own envelopes until they end. One row per
+    event with its outcome and what its event object still holds."""
+    from intentlane.session import scratch_path
+    from intentlane.sources.tables import read_table_stream
+    from intentlane.streaming.retry_loop import RetryLoop, event_json, start_main_topic
+    ev = read_table_stream(spark, _events_glob(sf), "event_id", "user_id", "event_type", "value")
+    events = ev.select(event_json("event_id", F.col("user_id").cast("string").alias("user_id"), "event_type", "value").alias("event"),
+                       F.col("user_id").cast("string").alias("user_id"))
+
+    def process(df: DataFrame) -> DataFrame:
+        fails = F.get_json_object("event", "$.event_id").cast("bigint") % 6
+        return df.withColumn("success", F.col("attempt") >= fails).withColumn(
+            "error", F.when(F.col("attempt") < fails, F.concat(F.lit("boom "), F.col("attempt").cast("string"))))
+
+    base = scratch_path(spark, "retry-loop")
+    loop = RetryLoop(spark, f"{base}/store", process)
+    start_main_topic(events, loop, f"{base}/checkpoint", P.TEST_NOW_MS).awaitTermination()
+    loop.run_until_empty(P.TEST_NOW_MS)
+    ended = [loop.outcome(route).withColumn("route", F.lit(route)) for route in ("done", "dead_letter", "invalid")]
+    event = lambda name, kind: F.get_json_object("event", f"$.{name}").cast(kind).alias(name)
+    return ended[0].unionByName(ended[1]).unionByName(ended[2]).select(
+        event("event_id", "bigint"), "user_id", event("event_type", "string"), event("value", "double"), "route", "attempt",
+        "last_error", F.col("failed_at_ms").cast("double").alias("failed_at_ms"), "source")
+
+
 @register("cart_abandon_stream")
 def q_cart_abandon_stream(spark: SparkSession, sf: str) -> DataFrame:
     """DOC-2 on the events replayed as a stream: carts are emitted by
