@@ -3,11 +3,13 @@ catalogue -> index sync, script library ingest."""
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from intentlane import params as P
+from intentlane.sources.keyed_table import KeyedTable, last_per_key
 from intentlane.functions.text import (is_blank, java_double_str, merchandising_flags,
                                        price_tier, split_selling_points)
 
@@ -45,7 +47,8 @@ def product_upsert(existing: DataFrame, batch: DataFrame, now_us: int,
             F.coalesce(F.col("price").try_cast("double"), F.lit(0.0)).alias("price"),
             F.coalesce(F.col("stock").try_cast("int"), F.lit(0)).alias("stock"),
         ).alias("_v")).filter(F.col("sku_id").isNotNull())
-    latest = staged.groupBy("sku_id").agg(F.max_by("_v", "_seq").alias("_v"))
+    # rows of one key with the same seq: the largest by content, whatever their order
+    latest = staged.groupBy("sku_id").agg(F.max_by("_v", F.struct("_seq", F.to_json("_v"))).alias("_v"))
     e = existing.alias("e")
     n = latest.alias("n")
     hit = F.col("n._v").isNotNull()
@@ -138,3 +141,48 @@ def ingest_product_knowledge(existing: DataFrame, batch: DataFrame, now_us: int,
     keyed = batch.withColumn("sku_id", key).filter(F.col("sku_id").isNotNull())
     docs = catalog_documents(keyed)
     return table, embed(docs, "document", encoder=encoder)
+
+
+def sync_catalog(products: DataFrame, index: KeyedTable, batch_id: str, encoder=None, seq: Column | None = None) -> dict:
+    """CAT-6 / CAT-7: documents and vectors of a batch of products, upserted
+    into the index by id; only the index's touched buckets are rewritten. A
+    product that stands twice in the batch leaves one row, the last by ``seq``.
+    Returns status (``success``, ``skipped`` for an empty batch, ``error``),
+    message, the products written and the buckets touched. The first batch
+    makes the index, with buckets for its own number of rows."""
+    from intentlane.operators.retrieval import embed
+    try:
+        keyed = products.withColumn("sku_id", F.coalesce(F.col("id").cast("string"), F.col("sku_id")) if "id" in products.columns
+                                    else F.col("sku_id")).where(F.col("sku_id").isNotNull()).drop("id")
+        once = last_per_key(keyed, "sku_id", seq)          # before embedding, which is the dear part
+        count = once.count()
+        if not count:
+            return {"status": "skipped", "message": "no products", "n_products": 0, "buckets": 0}
+        vectors = embed(catalog_for_index(once), "document", encoder=encoder)
+        if not index.exists():
+            index.create(vectors, count)
+        touched = index.upsert(vectors, batch_id)
+        return {"status": "success", "message": "", "n_products": count, "buckets": len(touched)}
+    except PySparkException as failed:
+        return {"status": "error", "message": str(failed).splitlines()[0][:500], "n_products": 0, "buckets": 0}
+
+
+def script_vectors(scripts: DataFrame, encoder=None) -> DataFrame:
+    """CAT-8: (id, document, metadata(scenario, tags), embedding), one row per distinct text."""
+    from intentlane.operators.retrieval import embed
+    docs = last_per_key(script_documents(scripts), "id")
+    rows = docs.select("id", F.col("text").alias("document"), F.struct("scenario", "tags").alias("metadata"))
+    return embed(rows, "document", encoder=encoder)
+
+
+def ingest_scripts(scripts: DataFrame, index: KeyedTable, batch_id: str, encoder=None) -> int:
+    """CAT-8 whole: drop blank scripts, write text and metadata, embed, upsert
+    by id; returns the number of scripts ingested. The id is the hash of the
+    text, so a library that is read again changes nothing."""
+    vectors = script_vectors(scripts, encoder)
+    count = vectors.count()
+    if count:
+        if not index.exists():
+            index.create(vectors, count)
+        index.upsert(vectors, batch_id)
+    return count

@@ -257,12 +257,14 @@ def shape_product_hits(hits: DataFrame, catalog: DataFrame,
 
 
 def shape_script_hits(hits: DataFrame, scripts: DataFrame) -> DataFrame:
-    """RET-5: id, scenario, tags, content."""
-    s = scripts.select(F.col("id").alias("_sid"), F.col("scenario").alias("_scn"), "tags",
-                       F.col("text").alias("content"))
+    """RET-5: id, scenario, tags, content of hits; ``scripts`` holds the indexed
+    documents (id, document, metadata(scenario, tags)). Missing metadata is
+    empty text."""
+    s = scripts.select(F.col("id").alias("_sid"), "document", "metadata")
     return (hits.join(s, hits["id"] == F.col("_sid"), "left")
             .select("query_id", "id", "rank", "distance",
-                    F.coalesce("_scn", "scenario").alias("scenario"), "tags", "content"))
+                    F.coalesce("metadata.scenario", F.lit("")).alias("scenario"),
+                    F.coalesce("metadata.tags", F.lit("")).alias("tags"), F.col("document").alias("content")))
 
 
 # ------------------------------------------------------------------ RET-7/8
@@ -292,9 +294,16 @@ def product_search(queries: DataFrame, index: DataFrame, catalog: DataFrame, k:
 
 
 def script_search(queries: DataFrame, index: DataFrame, k: int = P.SEARCH_K,
-                  scenario_col: str = "scenario") -> DataFrame:
-    """RET-8: the metadata filter on scenario applies only when the query's
-    scenario is non-blank; top-k by cosine; no re-rank."""
+                  scenario_col: str = "scenario", all_have_scenario: bool = False) -> DataFrame:
+    """RET-3 and RET-2 of RET-8: the metadata filter on scenario applies only
+    when the query's scenario is non-blank; top-k by cosine; no re-rank. A
+    caller whose queries all have a scenario says so and saves the search of
+    the whole index."""
+    if all_have_scenario:
+        idx = index.select(F.col("id").alias("_iid"), F.col(scenario_col).alias("scenario"))
+        hits = knn(queries.select("id", "embedding", scenario_col), index.select("id", "embedding", scenario_col), k,
+                   partition_cols=[scenario_col])
+        return hits.join(idx, F.col("id") == F.col("_iid")).drop("_iid")
     filtered = queries.filter(~is_blank(F.col(scenario_col)))
     unfiltered = queries.filter(is_blank(F.col(scenario_col)))
     a = knn(filtered.select("id", "embedding", scenario_col), index.select("id", "embedding", scenario_col),
@@ -304,6 +313,21 @@ def script_search(queries: DataFrame, index: DataFrame, k: int = P.SEARCH_K,
     return a.unionByName(b).join(idx, F.col("id") == F.col("_iid")).drop("_iid")
 
 
+def search_scripts(queries: DataFrame, library: DataFrame, k: int = P.SEARCH_K, encoder: Encoder | None = None) -> DataFrame:
+    """RET-8 whole, for a table of queries (id, query_text, scenario): a blank
+    text finds nothing; a non-blank scenario limits the search to its scripts;
+    the k nearest by cosine, shaped as RET-5 (query_id, rank, id, scenario, tags,
+    content, distance). ``library``: (id, document, metadata(scenario, tags),
+    embedding). Queries that bring an ``embedding`` keep it; else the text is
+    embedded by the library's encoder."""
+    live = queries.filter(~is_blank(F.col("query_text")))
+    if "embedding" not in queries.columns:
+        live = embed(live, "query_text", "embedding", encoder)
+    index = library.select("id", "embedding", F.col("metadata.scenario").alias("scenario"))
+    hits = script_search(live.select("id", "embedding", "scenario"), index, k)
+    return shape_script_hits(hits.drop("scenario"), library)
+
+
 # --------------------------------------------------------------------- RET-9
 def search_text(results: DataFrame, queries: DataFrame) -> DataFrame:
     """RET-9: numbered blocks per query joined by newlines; fallback text

@@ -170,3 +170,31 @@ ORACLE["search_text"] = with_views(["v_queries", "v_index", "v_products"], _PS_C
 SELECT q.id AS query_id,
   coalesce(b.text, {fill_template(P.SEARCH_TEXT_MISSING, "coalesce(q.query_text, 'None')")}) AS text
 FROM qt q LEFT JOIN blocks b ON b.query_id = q.id""")
+
+_CHANGED = "CAST(substr(sku_id, 5) AS BIGINT)"
+ORACLE["catalog_upsert"] = with_views(["v_products"], [
+    ("upserted", f"""SELECT sku_id, CASE WHEN {_CHANGED} % 100 = 7 THEN name || ' v2' ELSE name END AS name, category,
+  CASE WHEN {_CHANGED} % 100 = 7 THEN price + 5 ELSE price END AS price, selling_points, description FROM v_products
+UNION ALL SELECT sku_id || '-b', name, category, price, selling_points, description FROM v_products WHERE {_CHANGED} % 50 = 3""")],
+    f"""SELECT *, CAST(64 AS INTEGER) AS dim FROM ({docs_sql("upserted", f"array_to_string({split_points('selling_points')}, '; ')")})""")
+
+_LIBRARY = f"""SELECT coalesce(scenario, '{P.DEFAULT_SCRIPT_SCENARIO}') AS scenario, coalesce(tags, '') AS tags,
+  {fill_template(P.SCRIPT_DOC_TEMPLATE, f"coalesce(scenario, '{P.DEFAULT_SCRIPT_SCENARIO}')", "content")} AS content
+FROM {{src}} WHERE content IS NOT NULL AND NOT regexp_full_match(content, '\\s*')"""
+ORACLE["script_ingest"] = with_views(["v_scripts"], [
+    ("again", "SELECT scenario, tags, CASE WHEN id % 5 = 0 THEN content || ' (new)' ELSE content END AS content FROM v_scripts"),
+    ("both_", f"{_LIBRARY.format(src='v_scripts')} UNION ALL {_LIBRARY.format(src='again')}"),
+    ("once", "SELECT content, max(scenario) AS scenario, max(tags) AS tags FROM both_ GROUP BY content")],
+    "SELECT sha256(content) AS id, scenario, tags, content, CAST(64 AS INTEGER) AS dim FROM once")
+
+ORACLE["script_hits"] = with_views(["v_queries", "v_index", "v_scripts"], [
+    ("lib", """SELECT s.id, s.content, coalesce(s.scenario, 'none') AS scenario, coalesce(s.tags, '') AS tags, i.embedding
+FROM v_scripts s JOIN v_index i ON i.id = s.id"""),
+    ("sq", """SELECT q.id, q.embedding, CASE q.id % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'cart_abandon' ELSE 'price_drop' END AS scenario
+FROM v_queries q LEFT JOIN documents d ON d.doc_id = q.id
+WHERE q.id % 7 <> 0 AND d.text IS NOT NULL AND NOT regexp_full_match(d.text, '\\s*')"""),
+    ("pairs", """SELECT q.id AS query_id, l.id, l.scenario, l.tags, l.content,
+  1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) AS d
+FROM sq q, lib l WHERE trim(q.scenario) = '' OR q.scenario = l.scenario""")], f"""
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank, id, scenario, tags, content,
+  round(d, 6) + 0.0 AS distance FROM pairs QUALIFY rank <= {P.SEARCH_K}""")

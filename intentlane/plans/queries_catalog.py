@@ -11,6 +11,7 @@ from intentlane.operators import retrieval as ret
 from intentlane.plans.registry import register
 from intentlane.session import scratch_path
 from intentlane.sources import sinks
+from intentlane.sources.keyed_table import KeyedTable
 from intentlane.sources import views as V
 from intentlane.sources.tables import read_table
 
@@ -86,6 +87,40 @@ def q_catalog_sync(spark: SparkSession, sf: str) -> DataFrame:
         F.max(F.size("embedding")).alias("dim"))
 
 
+def _numbered(products: DataFrame, seq: int) -> DataFrame:
+    return products.withColumn("seq", F.lit(seq))
+
+
+@register("catalog_upsert")
+def q_catalog_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-4, CAT-6, CAT-7: the whole catalogue is indexed, then a batch of one
+    product in a hundred (each of them twice) and a batch of new products are
+    upserted; the index is read back."""
+    prods = V.v_products(spark, sf).withColumn("_k", _partkey())
+    index = KeyedTable(spark, scratch_path(spark, "catalog-index"))
+    changed = prods.where("_k % 100 = 7").withColumn("price", F.col("price") + 5)
+    twice = _numbered(changed, 1).unionByName(_numbered(changed.withColumn("name", F.concat("name", F.lit(" v2"))), 2))
+    fresh = prods.where("_k % 50 = 3").withColumn("sku_id", F.concat("sku_id", F.lit("-b")))
+    for n, batch in enumerate((_numbered(prods, 0), twice, _numbered(fresh, 0))):
+        done = cat.sync_catalog(batch.drop("_k"), index, f"batch-{n}", seq=F.col("seq"))
+        if done["status"] != "success":
+            raise ValueError(done["message"])
+    return _flat_docs(index.read()).join(index.read().select("id", F.size("embedding").alias("dim")), "id")
+
+
+@register("script_ingest")
+def q_script_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """CAT-8 whole: the library is ingested, then again with one text in five
+    rewritten; both versions of a rewritten text stay, as their ids differ."""
+    scripts = V.v_scripts(spark, sf)
+    index = KeyedTable(spark, scratch_path(spark, "script-index"))
+    cat.ingest_scripts(scripts, index, "first")
+    again = scripts.withColumn("content", F.when(F.col("id") % 5 == 0, F.concat("content", F.lit(" (new)"))).otherwise(F.col("content")))
+    cat.ingest_scripts(again, index, "second")
+    return index.read().select("id", F.col("metadata.scenario").alias("scenario"), F.col("metadata.tags").alias("tags"),
+                               F.col("document").alias("content"), F.size("embedding").alias("dim"))
+
+
 @register("script_documents")
 def q_script_documents(spark: SparkSession, sf: str) -> DataFrame:
     return cat.script_documents(V.v_scripts(spark, sf))
@@ -132,6 +167,21 @@ def q_script_search(spark: SparkSession, sf: str) -> DataFrame:
                        ret.rounded("distance").alias("distance"))
 
 
+@register("script_hits")
+def q_script_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """RET-8 with RET-5: queries with their text (every third one without a
+    scenario, blank texts find nothing), hits with scenario, tags and content.
+    The library takes the given vectors: script ``item_id`` has vector ``vec_id``."""
+    scripts = V.v_scripts(spark, sf).select("id", F.col("content").alias("document"), F.struct(
+        F.coalesce("scenario", F.lit("none")).alias("scenario"), F.coalesce("tags", F.lit("")).alias("tags")).alias("metadata"))
+    library = scripts.join(V.v_index(spark, sf).select("id", "embedding"), "id")
+    queries = query_table(spark, sf).withColumn("scenario", F.when(F.col("id") % 3 == 0, F.lit(" ")).when(
+        F.col("id") % 3 == 1, F.lit("cart_abandon")).otherwise(F.lit("price_drop")))
+    queries = queries.withColumn("query_text", F.when(F.col("id") % 7 == 0, F.lit(" \t")).otherwise(F.col("query_text")))
+    hits = ret.search_scripts(queries, library)
+    return hits.select("query_id", "rank", "id", "scenario", "tags", "content", ret.rounded("distance").alias("distance"))
+
+
 def query_table(spark: SparkSession, sf: str) -> DataFrame:
     """Queries with their text: the document whose doc_id equals the vector id."""
     docs = read_table(spark, sf, "documents", "doc_id", "text")
