@@ -7,24 +7,58 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intentlane import params as P
 from intentlane.functions.text import parse_tags, parse_user_id
 from intentlane.functions.time import raw_time_range
 from intentlane.operators.asof import next_within
 
 
-def promotion_audit(users: DataFrame, intents: DataFrame, behavior_t: DataFrame) -> DataFrame:
-    """AUD-1: per user, was a promotion emitted, how many, the first one's
-    time, and the latency from the user's first behaviour event to it."""
-    per = intents.groupBy(parse_user_id(F.col("user_id").cast("string")).alias("user_id")).agg(
-        F.count(F.lit(1)).alias("n_intents"), F.min("event_time_us").alias("first_intent_us"))
-    first_seen = behavior_t.groupBy(parse_user_id(F.col("user_id").cast("string")).alias("user_id")).agg(
-        F.min("t_us").alias("first_event_us"))
-    return (users.select(F.col("id").alias("user_id"))
-            .join(per, "user_id", "left").join(first_seen, "user_id", "left")
+def promotion_audit(users: DataFrame, intents: DataFrame, behavior_t: DataFrame, window_us: int = P.WINDOW_US) -> DataFrame:
+    """AUD-1: per user, was a promotion emitted, how many, the first one's type
+    and time, and its latency: the time from the first event that qualified for
+    it, the earliest one in its window (t - W, t]."""
+    uid = parse_user_id(F.col("user_id").cast("string")).alias("user_id")
+    per = intents.groupBy(uid).agg(
+        F.count(F.lit(1)).alias("n_intents"), F.min("event_time_us").alias("first_intent_us"),
+        F.min_by("event_type", F.struct("event_time_us", "event_id")).alias("event_type"))
+    # joined to one row per user, so a user's events are looked at once
+    first = (behavior_t.select(uid, "t_us").join(per.select("user_id", "first_intent_us"), "user_id")
+             .where((F.col("t_us") <= F.col("first_intent_us")) & (F.col("t_us") > F.col("first_intent_us") - F.lit(window_us)))
+             .groupBy("user_id").agg(F.min("t_us").alias("_from")))
+    return _audit_rows(users, per.join(first, "user_id", "left"))
+
+
+def _audit_rows(users: DataFrame, per: DataFrame) -> DataFrame:
+    return (users.select(F.col("id").alias("user_id")).join(per, "user_id", "left")
             .select("user_id", F.col("n_intents").isNotNull().alias("emitted"),
-                    F.coalesce("n_intents", F.lit(0)).alias("n_intents"),
-                    "first_intent_us",
-                    (F.col("first_intent_us") - F.col("first_event_us")).alias("latency_us")))
+                    F.coalesce("n_intents", F.lit(0)).alias("n_intents"), "event_type", "first_intent_us",
+                    (F.col("first_intent_us") - F.col("_from")).alias("latency_us")))
+
+
+def qualified_stream(behavior: DataFrame, intents: DataFrame, window_us: int = P.WINDOW_US, watermark: str = "1 hour") -> DataFrame:
+    """AUD-1 on streams: every behaviour event (user_id, event_id, t_us) with
+    the promotions whose window (t - W, t] it stands in, a left outer interval
+    join. An event that qualified for none leaves with nulls once the watermark
+    has passed the last promotion it could have been part of, so state holds
+    one window (and the delay) of events and promotions."""
+    b = (behavior.select(F.col("user_id").alias("user_id"), F.col("event_id").alias("event_id"), "t_us")
+         .withColumn("b_ts", F.timestamp_micros("t_us")).withWatermark("b_ts", watermark))
+    i = (intents.select(F.col("user_id").alias("i_user"), F.col("event_id").alias("intent_id"), "event_type",
+                        F.col("event_time_us").alias("intent_us"))
+         .withColumn("i_ts", F.timestamp_micros("intent_us")).withWatermark("i_ts", watermark))
+    within = F.expr(f"user_id = i_user AND i_ts >= b_ts AND i_ts < b_ts + INTERVAL {window_us} MICROSECOND")
+    return b.join(i, within, "left_outer").select("user_id", "event_id", "t_us", "intent_id", "event_type", "intent_us")
+
+
+def audit_of_qualified(users: DataFrame, qualified: DataFrame) -> DataFrame:
+    """``promotion_audit`` from what ``qualified_stream`` has written so far."""
+    uid = parse_user_id(F.col("user_id").cast("string")).alias("user_id")
+    each = (qualified.where(F.col("intent_id").isNotNull())
+            .groupBy(uid, "intent_id", "intent_us", "event_type").agg(F.min("t_us").alias("_from")))
+    first = F.struct("intent_us", "intent_id")
+    per = each.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_intents"), F.min("intent_us").alias("first_intent_us"),
+                                      F.min_by("event_type", first).alias("event_type"), F.min_by("_from", first).alias("_from"))
+    return _audit_rows(users, per)
 
 
 def cart_abandon(behavior_t: DataFrame, timeout_us: int, as_of_us: int,

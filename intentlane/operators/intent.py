@@ -69,3 +69,27 @@ def flatten_intents(intents: DataFrame) -> DataFrame:
                           F.col("context.last_action").alias("last_action"),
                           F.col("context.sku_id").alias("sku_id"),
                           F.col("context.price").alias("price"), "recent_clicks")
+
+
+def target_category(intents: DataFrame, behavior_t: DataFrame, products: DataFrame, window_us: int = P.WINDOW_US) -> DataFrame:
+    """DOC-6: the category that the user met most in the window (t - W, t] that
+    led to each intent, as ``target_category``; ties go to the category met last,
+    then to the smallest name; null if no event of the window has a product with a
+    category.
+
+    Events meet intents by user and window-sized time slot (each intent looks
+    at the two slots that its window can touch), so a busy user's events are
+    compared with the intents near them only, and are counted per intent and
+    category before anything is chosen."""
+    slot = lambda t: F.floor(t / F.lit(window_us)).cast("bigint")
+    wanted = intents.select("user_id", "event_id", F.col("event_time_us").alias("_until"))
+    wanted = wanted.withColumn("_slot", F.explode(F.array(slot(F.col("_until")), slot(F.col("_until")) - 1)))
+    category = products.select("sku_id", "category").where(F.col("category").isNotNull())
+    met = (behavior_t.select("user_id", "sku_id", "t_us", slot(F.col("t_us")).alias("_slot"))
+           .join(wanted, ["user_id", "_slot"])
+           .where((F.col("t_us") > F.col("_until") - F.lit(window_us)) & (F.col("t_us") <= F.col("_until")))
+           .join(category, "sku_id")
+           .groupBy("user_id", "event_id", "category").agg(F.count(F.lit(1)).alias("n"), F.max("t_us").alias("last")))
+    best = met.groupBy("user_id", "event_id").agg(
+        F.min_by("category", F.struct((-F.col("n")).alias("n"), (-F.col("last")).alias("last"), "category")).alias("target_category"))
+    return intents.join(best, ["user_id", "event_id"], "left")

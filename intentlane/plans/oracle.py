@@ -134,6 +134,21 @@ SELECT u.id AS user_id, coalesce(a.total_clicks_30d, 0) AS total_clicks_30d,
   coalesce(a.unique_products_viewed_30d, 0) AS unique_products_viewed_30d
 FROM v_users u LEFT JOIN act a ON a.uid = u.id""")
 
+ORACLE["activity_30d_history"] = ORACLE["activity_30d"]
+ORACLE["activity_30d_sketch"] = ORACLE["activity_30d"].replace(_ACT_FROM, "TIMESTAMP '2024-01-23 12:00:00'")
+
+ORACLE["high_intent_category"] = with_views(["v_behavior", "v_products"], high_intent_ctes() + [
+    ("met", f"""SELECT h.user_id, h.event_id, p.category, count(*) AS n, max(b.t_us) AS last FROM hi h
+JOIN b ON b.user_id = h.user_id AND b.t_us <= h.event_time_us AND b.t_us > h.event_time_us - {P.TEST_INTENT.window_us}
+JOIN v_products p ON p.sku_id = b.sku_id WHERE p.category IS NOT NULL GROUP BY ALL"""),
+    ("best", "SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY user_id, event_id ORDER BY n DESC, last DESC, category) = 1")],
+    """SELECT h.user_id, h.event_id, h.event_time_us, h.recent_clicks, m.category AS target_category
+FROM hi h LEFT JOIN best m ON m.user_id = h.user_id AND m.event_id = h.event_id""", recursive=True)
+
+ORACLE["snapshot_lookup"] = with_views(["v_users", "v_profile_requests"], [_PROF], """
+SELECT r.request_id, p.name, p.spending_tier, array_to_string(p.tags, ',') AS identity_tags, p.id IS NOT NULL AS has_cached
+FROM v_profile_requests r LEFT JOIN prof p ON CAST(p.id AS VARCHAR) = r.request_id""")
+
 _PERS = ("pers", f"""SELECT r.request_id, p.id, p.name, p.spending_tier, p.tags,
   CASE WHEN p.id IS NOT NULL THEN coalesce(a.total_clicks_30d, 0) END AS total_clicks_30d,
   CASE WHEN p.id IS NOT NULL THEN coalesce(a.unique_products_viewed_30d, 0) END AS unique_products_viewed_30d,

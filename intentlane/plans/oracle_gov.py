@@ -192,10 +192,13 @@ FROM v_results""")], f"SELECT event_id, next_retry_at_ms, coalesce(next_retry_at
 
 ORACLE["promotion_audit"] = with_views(["v_behavior", "v_users"], high_intent_ctes() + [
     ("per", "SELECT CAST(user_id AS BIGINT) AS uid, count(*) AS n, min(event_time_us) AS first_us FROM hi GROUP BY 1"),
-    ("fs", "SELECT CAST(user_id AS BIGINT) AS uid, min(t_us) AS first_event_us FROM b GROUP BY 1")], """
+    ("fs", f"""SELECT p.uid, min(b.t_us) AS from_us FROM per p JOIN b ON CAST(b.user_id AS BIGINT) = p.uid
+  AND b.t_us <= p.first_us AND b.t_us > p.first_us - {P.TEST_INTENT.window_us} GROUP BY 1""")], f"""
 SELECT u.id AS user_id, p.n IS NOT NULL AS emitted, coalesce(p.n, 0) AS n_intents,
-  CAST(p.first_us AS DOUBLE) AS first_intent_us, CAST(p.first_us - f.first_event_us AS DOUBLE) AS latency_us
+  CASE WHEN p.n IS NOT NULL THEN '{P.TEST_INTENT.event_type}' END AS event_type,
+  CAST(p.first_us AS DOUBLE) AS first_intent_us, CAST(p.first_us - f.from_us AS DOUBLE) AS latency_us
 FROM v_users u LEFT JOIN per p ON p.uid = u.id LEFT JOIN fs f ON f.uid = u.id""", recursive=True)
+ORACLE["promotion_audit_stream"] = ORACLE["promotion_audit"]
 
 TMO, ASOF = P.TEST_CART_TIMEOUT_US, P.TEST_AS_OF_US
 ORACLE["cart_abandon"] = with_views(["v_behavior"], [BT], f"""

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from intentlane import params as P
 from intentlane.operators import intent as intent_ops
 from intentlane.operators import normalize as nrm
 from intentlane.operators import context as ctx_ops
-from pyspark.sql import functions as F
+from intentlane.operators import sketches as sk
 from intentlane.plans.registry import register
+from intentlane.session import scratch_path
 from intentlane.sources import views as V
+from intentlane.sources.tables import read_behavior_history, write_behavior_history, write_bucketed
+
+SNAPSHOT_BUCKETS = 16
 
 
 @register("sliding_click_count")
@@ -54,6 +61,54 @@ def q_activity_30d(spark: SparkSession, sf: str) -> DataFrame:
                                   P.TEST_AS_OF_US, P.TEST_ACTIVITY_LOOKBACK_US)
 
 
+def _history(spark: SparkSession, sf: str) -> str:
+    """The behaviour as date-partitioned history, loaded in two parts; the days
+    of the second week are loaded twice and count once."""
+    path = scratch_path(spark, "history")
+    behavior = V.v_behavior(spark, sf)
+    day = F.dayofmonth("event_time")
+    write_behavior_history(behavior.where((day <= 14) | day.isNull()), path)
+    write_behavior_history(behavior.where(day > 7), path)
+    return path
+
+
+@register("activity_30d_history")
+def q_activity_30d_history(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-7 with CTX-1: the horizon reads only its own days of the history."""
+    since = P.TEST_AS_OF_US - P.TEST_ACTIVITY_LOOKBACK_US
+    history = read_behavior_history(spark, _history(spark, sf), since)
+    return ctx_ops.users_activity(V.v_users(spark, sf), history, P.TEST_AS_OF_US, P.TEST_ACTIVITY_LOOKBACK_US)
+
+
+@register("activity_30d_sketch")
+def q_activity_30d_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """CTX-1 from daily sketches, with a horizon that starts at noon."""
+    history = _history(spark, sf)
+    path = sk.write_daily_sketches(read_behavior_history(spark, history), scratch_path(spark, "sketches"))
+    act = sk.sketched_activity(spark, path, history, P.TEST_AS_OF_US, P.TEST_ACTIVITY_LOOKBACK_US + P.US_PER_DAY // 2)
+    return sk.users_sketched_activity(V.v_users(spark, sf), act)
+
+
+@register("high_intent_category")
+def q_high_intent_category(spark: SparkSession, sf: str) -> DataFrame:
+    """DOC-6: the promotions with the category their window was about."""
+    behavior = V.v_behavior(spark, sf)
+    intents = intent_ops.flatten_intents(intent_ops.detect_high_intent(behavior, P.TEST_INTENT))
+    out = intent_ops.target_category(intents, intent_ops.with_time_us(behavior), V.v_products(spark, sf), P.TEST_INTENT.window_us)
+    return out.select("user_id", "event_id", "event_time_us", "recent_clicks", "target_category")
+
+
+@register("snapshot_lookup")
+def q_snapshot_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """CTX-3, SNK-3, CTX-4: the snapshot is written by key as a bucketed table;
+    requests meet it without a shuffle of its side."""
+    name = f"profile_snapshot_{uuid.uuid4().hex}"
+    write_bucketed(ctx_ops.profile_snapshot(V.v_users(spark, sf)), name, "key", SNAPSHOT_BUCKETS, scratch_path(spark, "snapshot"))
+    found = ctx_ops.snapshot_lookup(V.v_profile_requests(spark, sf), spark.table(name))
+    return found.select("request_id", F.col("cached.name").alias("name"), F.col("cached.spending_tier").alias("spending_tier"),
+                        F.array_join("cached.identity_tags", ",").alias("identity_tags"), F.col("cached").isNotNull().alias("has_cached"))
+
+
 @register("user_profile")
 def q_user_profile(spark: SparkSession, sf: str) -> DataFrame:
     df = ctx_ops.persistent_profiles(V.v_profile_requests(spark, sf), V.v_users(spark, sf),

@@ -146,8 +146,33 @@ def q_retry_due(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("promotion_audit")
 def q_promotion_audit(spark: SparkSession, sf: str) -> DataFrame:
-    a = aud.promotion_audit(V.v_users(spark, sf), _intents(spark, sf), _behavior_t(spark, sf))
-    return a.select("user_id", "emitted", "n_intents",
+    a = aud.promotion_audit(V.v_users(spark, sf), _intents(spark, sf), _behavior_t(spark, sf), P.TEST_INTENT.window_us)
+    return _audit_columns(a)
+
+
+@register("promotion_audit_stream")
+def q_promotion_audit_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """AUD-1 from two streams, the events and the promotions (as their topic
+    would be: a table of their own), joined by interval under watermarks."""
+    from intentlane.session import scratch_path, state_partitions
+    from intentlane.sources.streams import with_closing_row
+    base = scratch_path(spark, "audit-stream")
+    _intents(spark, sf).write.parquet(f"{base}/topic")
+    topic = spark.read.parquet(f"{base}/topic")
+    promoted = with_closing_row(spark.readStream.schema(topic.schema).parquet(f"{base}/topic"), "event_time_us")
+    behavior = with_closing_row(intent_ops.with_time_us(V.v_behavior(spark, sf, stream_path=_events_glob(sf)))
+                                .select("user_id", "event_id", "t_us"))
+    out = aud.qualified_stream(behavior, promoted, P.TEST_INTENT.window_us)
+    with state_partitions(spark):
+        q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    qualified = spark.read.schema(out.schema).parquet(f"{base}/out")
+    return _audit_columns(aud.audit_of_qualified(V.v_users(spark, sf), qualified))
+
+
+def _audit_columns(a: DataFrame) -> DataFrame:
+    return a.select("user_id", "emitted", "n_intents", "event_type",
                     F.col("first_intent_us").cast("double").alias("first_intent_us"),
                     F.col("latency_us").cast("double").alias("latency_us"))
 

@@ -87,14 +87,40 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
 
 def write_behavior_history(behavior: DataFrame, path: str, time_col: str = "event_time") -> str:
     """SRC-7 storage: behaviour history as parquet partitioned by event date,
-    so the activity horizon filter prunes whole partitions."""
+    so the activity horizon filter prunes whole partitions.
+
+    A write holds whole days: it replaces the days it has and leaves the others,
+    so a day that is loaded again does not count twice, and a new day is
+    appended. Rows are dealt to tasks by ranges of day, user and event, so a day
+    (or a user) with most rows is several tasks and files, each with a narrow
+    range of users for row-group pruning. Rows without a time go to the
+    default partition, which no horizon reads."""
     from pyspark.sql import functions as F
-    (behavior.withColumn("event_date", F.to_date(F.col(time_col)))
-     .repartition("event_date").write.mode("errorifexists").partitionBy("event_date").parquet(path))
+    dated = behavior.withColumn("event_date", F.to_date(F.col(time_col)))
+    order = ["event_date", *[c for c in ("user_id", "event_id") if c in behavior.columns]]
+    (dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path))
     return path
 
 
-def read_behavior_history(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7: the partitioned history; filter on ``event_date`` (and on the
-    time column) to prune partitions and row groups."""
-    return spark.read.parquet(path)
+def read_behavior_history(spark: SparkSession, path: str, since_us: int | None = None) -> DataFrame:
+    """SRC-7: the partitioned history; with ``since_us`` only the partitions of
+    that day and later ones."""
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+    history = spark.read.parquet(path)
+    if since_us is None:
+        return history
+    day = datetime.fromtimestamp(since_us // 1_000_000, tz=timezone.utc).date()
+    return history.where(F.col("event_date") >= F.lit(day))
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> str:
+    """A catalogue table bucketed and sorted by ``key``: a join on the key reads
+    it as it lies, without a shuffle of its side. The other side is dealt to the
+    same number of buckets. Choose the buckets for the table's size (about a
+    gigabyte each)."""
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).format("parquet").saveAsTable(table))
+    return table
