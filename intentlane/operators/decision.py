@@ -13,6 +13,7 @@ from intentlane import params as P
 from intentlane.functions.text import is_blank, parse_tags, parse_user_id
 from intentlane.operators.folds import send_rules
 from intentlane.operators.retrieval import product_search, script_search
+from intentlane.sources.tables import materialise
 
 # Our fixed priority of offer segments (the reference states no order).
 SEGMENT_RULES = (("premium", "tier", "HIGH"), ("value", "tag", "price_sensitive"),
@@ -115,37 +116,25 @@ def trigger_scripts(triggers: DataFrame, scripts: DataFrame, script_vectors: Dat
                      F.posexplode(F.array(*[F.lit(s) for s in P.CART_SCRIPT_SCENARIOS]))
                      .alias("_pos", "scenario"))
              .withColumn("id", F.col("id") * n + F.col("_pos")))
-    hits = script_search(asked.select("id", "embedding", "scenario"), index, k=1)
+    hits = script_search(asked.select("id", "embedding", "scenario"), index, k=1, all_have_scenario=True)
     return (hits.join(asked.select(F.col("id").alias("query_id"), "sku_id", "_pos"), "query_id")
             .groupBy("sku_id").agg(F.min_by(hits["id"], F.col("_pos")).alias("script_id")))
 
 
-def campaign_decision(intents: DataFrame, users: DataFrame, products: DataFrame, catalog: DataFrame,
-                      vectors: DataFrame, scripts: DataFrame, script_vectors: DataFrame,
-                      sends: DataFrame, limit_us: int = P.MESSAGE_LIMIT_US,
-                      gap_us: int = P.COMPOUND_GAP_US, window_us: int = P.COMPOUND_WINDOW_US,
-                      max_in_window: int = P.COMPOUND_MAX_IN_WINDOW,
-                      max_chars: int = P.MESSAGE_MAX_CHARS) -> DataFrame:
-    """DEC-5: one action row per intent.
-
-    1. scenario from the event type, refined by the last action (DEC-1);
-       profile, tier and tags by the user id.
-    2. content: for browse and purchase the best offer near the triggering
-       product (RET-7) that is in stock, another product and allowed for the
-       tier (DEC-3; preferred prices first); for cart the closest usable script
-       (RET-8) of cart_abandon, else price_drop. Retrieval runs once per
-       triggering product, not per intent.
-    3. check-then-record: sends of the log and of this job count for the
-       message limit (cart and purchase) and the compound cap (all).
-
-    Reasons in order: no_profile, unrouted_event, limit_reached, no_content,
-    frequency_cap."""
+def prepare_actions(intents: DataFrame, users: DataFrame, products: DataFrame, catalog: DataFrame,
+                    vectors: DataFrame, scripts: DataFrame, script_vectors: DataFrame,
+                    max_chars: int = P.MESSAGE_MAX_CHARS) -> DataFrame:
+    """Steps 1 and 2 of DEC-5, which look at no other intent: event_id, user_id,
+    t_us, scenario, segment, content, early (a reason to skip at once),
+    governed, can_send."""
     prof = users.select(F.col("id").alias("_uid"), "spending_tier",
                         parse_tags(F.col("identity_tags")).alias("_tags"), F.lit(True).alias("_found"))
-    x = (intents.withColumn("scenario", route_intent(F.col("event_type"), F.col("last_action")))
-         .withColumn("_uid", parse_user_id(F.col("user_id"))).join(prof, "_uid", "left")
-         .withColumn("segment", F.coalesce(F.get(segments(F.col("spending_tier"), F.col("_tags")), 0),
-                                           F.lit(DEFAULT_SEGMENT))))
+    x = materialise(
+        intents.withColumn("scenario", route_intent(F.col("event_type"), F.col("last_action")))
+        .withColumn("_uid", parse_user_id(F.col("user_id"))).join(prof, "_uid", "left")
+        .select("event_id", "user_id", "event_time_us", "sku_id", "scenario", "spending_tier", "_found",
+                F.coalesce(F.get(segments(F.col("spending_tier"), F.col("_tags")), 0), F.lit(DEFAULT_SEGMENT)).alias("segment")),
+        "decision-intents")     # read for offers, for scripts and for the actions
     by_product = [s for s, (r, _) in SCENARIO_PLAN.items() if r == "product"]
     by_script = [s for s, (r, _) in SCENARIO_PLAN.items() if r == "script"]
     offers = trigger_offers(x.filter(F.col("scenario").isin(by_product)), products, vectors, catalog)
@@ -164,20 +153,48 @@ def campaign_decision(intents: DataFrame, users: DataFrame, products: DataFrame,
     early = (F.when(F.col("_found").isNull(), F.lit("no_profile"))
              .when(F.col("scenario") == "unrouted", F.lit("unrouted_event")))
     governed = F.col("scenario").isin([s for s, (_, g) in SCENARIO_PLAN.items() if g])
-    items = x.select(
+    return x.select(
         "event_id", "user_id", F.col("event_time_us").alias("t_us"), "scenario", "segment", "content",
-        early.alias("_early"), F.lit(False).alias("is_log"), (governed & early.isNull()).alias("governed"),
+        early.alias("early"), (governed & early.isNull()).alias("governed"),
         (early.isNull() & F.col("content").isNotNull()).alias("can_send"))
-    # only users with an intent need their part of the log
-    log = (sends.join(intents.select("user_id").distinct(), "user_id", "left_semi")
-           .select("user_id", "t_us", F.lit(True).alias("is_log"), F.lit(True).alias("governed"),
-                   F.lit(True).alias("can_send")))
-    judged = send_rules(items.unionByName(log, allowMissingColumns=True), ["user_id"], "t_us", "event_id",
-                        limit_us, gap_us, window_us, max_in_window)
+
+
+def action_rows(judged: DataFrame) -> DataFrame:
+    """Step 3's rows: event_id, user_id, scenario, segment, action, reason, content, success."""
     sent = F.col("verdict") == "sent"
-    reason = F.coalesce(F.col("_early"), F.when(F.col("verdict") == "held", F.lit("no_content"))
+    reason = F.coalesce(F.col("early"), F.when(F.col("verdict") == "held", F.lit("no_content"))
                         .when(~sent, F.col("verdict")))
     return judged.select("event_id", "user_id", "scenario", "segment",
                          F.when(sent, F.lit("SEND")).otherwise(F.lit("SKIP")).alias("action"),
                          reason.alias("reason"), F.when(sent, F.col("content")).alias("content"),
                          F.lit(True).alias("success"))
+
+
+def campaign_decision(intents: DataFrame, users: DataFrame, products: DataFrame, catalog: DataFrame,
+                      vectors: DataFrame, scripts: DataFrame, script_vectors: DataFrame,
+                      sends: DataFrame, limit_us: int = P.MESSAGE_LIMIT_US,
+                      gap_us: int = P.COMPOUND_GAP_US, window_us: int = P.COMPOUND_WINDOW_US,
+                      max_in_window: int = P.COMPOUND_MAX_IN_WINDOW,
+                      max_chars: int = P.MESSAGE_MAX_CHARS) -> DataFrame:
+    """DEC-5: one action row per intent.
+
+    1. scenario from the event type, refined by the last action (DEC-1);
+       profile, tier and tags by the user id.
+    2. content: for browse and purchase the best offer near the triggering
+       product (RET-7) that is in stock, another product and allowed for the
+       tier (DEC-3; preferred prices first); for cart the closest usable script
+       (RET-8) of cart_abandon, else price_drop. Retrieval runs once per
+       triggering product, not per intent.
+    3. check-then-record: sends of the log and of this job count for the
+       message limit (cart and purchase) and the compound cap (all).
+
+    Reasons in order: no_profile, unrouted_event, limit_reached, no_content,
+    frequency_cap."""
+    items = prepare_actions(intents, users, products, catalog, vectors, scripts, script_vectors, max_chars)
+    # only users with an intent need their part of the log
+    log = (sends.join(intents.select("user_id").distinct(), "user_id", "left_semi")
+           .select("user_id", "t_us", F.lit(True).alias("is_log"), F.lit(True).alias("governed"),
+                   F.lit(True).alias("can_send")))
+    judged = send_rules(items.withColumn("is_log", F.lit(False)).unionByName(log, allowMissingColumns=True), ["user_id"],
+                        "t_us", "event_id", limit_us, gap_us, window_us, max_in_window)
+    return action_rows(judged)

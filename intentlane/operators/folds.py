@@ -308,6 +308,39 @@ def compound_cap(req: DataFrame, keys: list[str], t_col: str, tie_col: str,
             .mapInArrow(fold, schema=out_schema))
 
 
+class SendRules:
+    """The two rules over one user's attempts in order, with what they need of
+    the past: when the governed limit and the gap end, and the sends of the window."""
+
+    def __init__(self, limit_us: int, gap_us: int, window_us: int, max_in_window: int):
+        self.limit_us, self.gap_us, self.window_us, self.most = limit_us, gap_us, window_us, max_in_window
+        self.clear()
+
+    def clear(self) -> None:
+        self.governed_until = self.gap_until = np.iinfo(np.int64).min
+        self.sends: deque[int] = deque(maxlen=self.most + 1)
+
+    def restore(self, governed_until: int, gap_until: int, sends: list[int]) -> None:
+        self.governed_until, self.gap_until = governed_until, gap_until
+        self.sends = deque(sends, maxlen=self.most + 1)
+
+    def judge(self, t: int, logged: bool, governed: bool, can_send: bool) -> str:
+        if logged:
+            verdict = "sent"
+        elif governed and t < self.governed_until:
+            verdict = "limit_reached"
+        elif not can_send:
+            verdict = "held"
+        else:
+            capped = t < self.gap_until or (len(self.sends) > self.most and self.sends[0] > t - self.window_us)
+            verdict = "frequency_cap" if capped else "sent"
+        if verdict == "sent":
+            self.sends.append(t)
+            self.gap_until = t + self.gap_us
+            self.governed_until = t + self.limit_us if governed else self.governed_until
+        return verdict
+
+
 def send_rules(items: DataFrame, keys: list[str], t_col: str, tie_col: str, limit_us: int,
                gap_us: int, window_us: int, max_in_window: int) -> DataFrame:
     """Add ``verdict`` to send attempts that two rules govern together, each
@@ -324,9 +357,7 @@ def send_rules(items: DataFrame, keys: list[str], t_col: str, tie_col: str, limi
     group = [*keys, "_stretch"]
 
     def fold(batches):
-        current, governed_until, gap_until = None, None, None
-        sends: deque[int] = deque(maxlen=max_in_window + 1)
-        floor = np.iinfo(np.int64).min
+        current, rules = None, SendRules(limit_us, gap_us, window_us, max_in_window)
         for batch in batches:
             is_log = _numpy(batch, "is_log")
             flags = list(zip(_numpy(batch, t_col).tolist(), is_log, _numpy(batch, "governed"),
@@ -334,22 +365,9 @@ def send_rules(items: DataFrame, keys: list[str], t_col: str, tie_col: str, limi
             verdict: list[str] = []
             for values, s, e in _runs(batch, group):
                 if values != current:
-                    current, governed_until, gap_until = values, floor, floor
-                    sends.clear()
-                for t, logged, governed, can_send in flags[s:e]:
-                    capped = t < gap_until or (len(sends) > max_in_window and sends[0] > t - window_us)
-                    if logged:
-                        verdict.append("sent")
-                    elif governed and t < governed_until:
-                        verdict.append("limit_reached")
-                    elif not can_send:
-                        verdict.append("held")
-                    else:
-                        verdict.append("frequency_cap" if capped else "sent")
-                    if verdict[-1] == "sent":
-                        sends.append(t)
-                        gap_until = t + gap_us
-                        governed_until = t + limit_us if governed else governed_until
+                    current = values
+                    rules.clear()
+                verdict += [rules.judge(*f) for f in flags[s:e]]
             out = batch.select(out_schema.names[:-1]).append_column("verdict", pa.array(verdict, pa.string()))
             yield out.filter(pa.array(~is_log.astype(bool)))
 

@@ -156,6 +156,9 @@ SELECT y.event_id, y.user_id, y.scenario, y.segment, CASE WHEN w.verdict = 'sent
 FROM y JOIN walk w ON w.event_id = y.event_id""", recursive=True)
 
 
+ORACLE["campaign_decision_stream"] = ORACLE["campaign_decision"]
+
+
 def backoff(att: str) -> str:
     return (f"CASE WHEN {att} <= 0 THEN 0.0 ELSE least({P.RETRY_MAX_SECONDS}, "
             f"{P.RETRY_BASE_SECONDS} * pow(2.0, {att} - 1)) END")

@@ -15,9 +15,8 @@ from intentlane.operators import governance as gov
 from intentlane.operators import intent as intent_ops
 from intentlane.operators import retry as rty
 from intentlane.plans.registry import register
-from intentlane.session import ensure_checkpoint_dir
 from intentlane.sources import views as V
-from intentlane.sources.tables import read_table
+from intentlane.sources.tables import materialise, read_table, read_table_stream
 
 PROMOTION_THRESHOLDS = [1000.0, 5000.0, 20000.0, 100000.0, 500000.0]
 
@@ -111,16 +110,44 @@ def q_campaign_decision(spark: SparkSession, sf: str) -> DataFrame:
     products = V.v_products(spark, sf)
     index = V.v_index(spark, sf).select("id", "embedding")
     vectors = index.withColumn("sku_id", F.concat(F.lit("sku_"), F.col("id").cast("string")))
-    # the decision reads the intents several times: they are a table of their
-    # own (a topic, where the detector runs as a stream), computed once
-    ensure_checkpoint_dir(spark)
-    intents = _intents(spark, sf).checkpoint()
+    # the decision reads the intents twice: they are a table of their own (a
+    # topic, where the detector runs as a stream), computed once
+    intents = materialise(_intents(spark, sf), "intents")
     return dec.campaign_decision(
         intents, V.v_users(spark, sf), products, cat.catalog_for_index(products), vectors,
         V.v_scripts(spark, sf), index, sends, P.TEST_MESSAGE_LIMIT_US, P.TEST_COMPOUND_GAP_US,
         P.TEST_COMPOUND_WINDOW_US, P.COMPOUND_MAX_IN_WINDOW, P.TEST_MESSAGE_MAX_CHARS)
 
 
+@register("campaign_decision_stream")
+def q_campaign_decision_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """DEC-5 over the intent topic in four micro-batches, out of order, with the
+    log of sends as a second stream."""
+    from intentlane.session import scratch_path, state_partitions
+    from intentlane.sources.streams import with_closing_row
+    from intentlane.streaming.decision_stream import PREPARED, decide_stream, start_preparation
+    from intentlane.streaming.ordered import read_side_output, write_with_side_output
+    base = scratch_path(spark, "decision-stream")
+    (_intents(spark, sf).withColumn("part", F.col("event_id") % 4).repartition("part").write.partitionBy("part").parquet(f"{base}/topic"))
+    topic = spark.read.parquet(f"{base}/topic").drop("part")
+    products = V.v_products(spark, sf)
+    index = V.v_index(spark, sf).select("id", "embedding")
+    tables = {"users": V.v_users(spark, sf), "products": products, "catalog": cat.catalog_for_index(products),
+              "vectors": index.withColumn("sku_id", F.concat(F.lit("sku_"), F.col("id").cast("string"))),
+              "scripts": V.v_scripts(spark, sf), "script_vectors": index}
+    intents = spark.readStream.schema(topic.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/topic/part=*")
+    start_preparation(intents, f"{base}/prepared", f"{base}/checkpoint-1", tables, P.TEST_MESSAGE_MAX_CHARS) \
+        .trigger(availableNow=True).start().awaitTermination()
+    prepared = with_closing_row(spark.readStream.schema(PREPARED).parquet(f"{base}/prepared/batch=*"))
+    sends = _t(read_table_stream(spark, _events_glob(sf), "user_id", "event_type", "ts").where("event_type = 'purchase'")
+               .withColumn("user_id", F.col("user_id").cast("string"))).select("user_id", "t_us")
+    out = decide_stream(prepared, sends, P.TEST_MESSAGE_LIMIT_US, P.TEST_COMPOUND_GAP_US, P.TEST_COMPOUND_WINDOW_US, P.COMPOUND_MAX_IN_WINDOW)
+    with state_partitions(spark):
+        q = write_with_side_output(out, f"{base}/out", f"{base}/checkpoint-2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return dec.action_rows(read_side_output(spark, f"{base}/out", "main", out.schema))
+
+
 @register("retry_routing")
 def q_retry_routing(spark: SparkSession, sf: str) -> DataFrame:
     r = rty.route_results(V.v_results(spark, sf), P.TEST_NOW_MS)
@@ -214,7 +241,6 @@ def _events_glob(sf: str) -> str:
 def q_send_gate_stream(spark: SparkSession, sf: str) -> DataFrame:
     """GOV-3 on the click events replayed as a file stream (available-now)."""
     from intentlane.session import scratch_path, state_partitions
-    from intentlane.sources.tables import read_table_stream
     from intentlane.streaming.gate_stream import send_gate_stream
     ev = read_table_stream(spark, _events_glob(sf), "event_id", "user_id", "event_type", "ts")
     req = (ev.filter(F.col("event_type") == "click")
@@ -234,7 +260,6 @@ def q_retry_routing_stream(spark: SparkSession, sf: str) -> DataFrame:
     """RTY routing in foreachBatch over the results replayed as a stream;
     the four route outputs are read back together."""
     from intentlane.session import scratch_path
-    from intentlane.sources.tables import read_table_stream
     from intentlane.streaming.retry_stream import start_retry_router
     ev = read_table_stream(spark, _events_glob(sf), "event_id", "user_id", "event_type")
     results = ev.select(
@@ -256,7 +281,6 @@ def q_retry_loop(spark: SparkSession, sf: str) -> DataFrame:
     says, and come back from their own envelopes until they end. One row per
     event with its outcome and what its event object still holds."""
     from intentlane.session import scratch_path
-    from intentlane.sources.tables import read_table_stream
     from intentlane.streaming.retry_loop import RetryLoop, event_json, start_main_topic
     ev = read_table_stream(spark, _events_glob(sf), "event_id", "user_id", "event_type", "value")
     events = ev.select(event_json("event_id", F.col("user_id").cast("string").alias("user_id"), "event_type", "value").alias("event"),
