@@ -239,20 +239,25 @@ def _events_glob(sf: str) -> str:
 
 @register("send_gate_stream")
 def q_send_gate_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """GOV-3 on the click events replayed as a file stream (available-now)."""
-    from intentlane.session import scratch_path, state_partitions
+    """GOV-3 on the click events replayed as a file stream (available-now) that ends with a closing row."""
+    from intentlane.sources.streams import with_closing_row
     from intentlane.streaming.gate_stream import send_gate_stream
     ev = read_table_stream(spark, _events_glob(sf), "event_id", "user_id", "event_type", "ts")
     req = (ev.filter(F.col("event_type") == "click")
            .select("event_id", F.col("user_id").cast("string").alias("user_id"), "ts"))
-    req = _t(req).select("event_id", "user_id", "t_us")
-    out = send_gate_stream(req, P.TEST_MESSAGE_LIMIT_US, watermark="30 days")
-    base = scratch_path(spark, "send-gate-stream")
+    req = with_closing_row(_t(req).select("event_id", "user_id", "t_us"))
+    return _run_fold(spark, send_gate_stream(req, P.TEST_MESSAGE_LIMIT_US), "send-gate-stream")
+
+
+def _run_fold(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    """Run an ordered fold to the end of its input and read what was on time."""
+    from intentlane.session import scratch_path, state_partitions
+    from intentlane.streaming.ordered import read_side_output, write_with_side_output
+    base = scratch_path(spark, name)
     with state_partitions(spark):
-        q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q = write_with_side_output(out, f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return read_side_output(spark, f"{base}/out", "main", out.schema)
 
 
 @register("retry_routing_stream")
@@ -307,13 +312,6 @@ def q_cart_abandon_stream(spark: SparkSession, sf: str) -> DataFrame:
     """DOC-2 on the events replayed as a stream: carts are emitted by
     event-time timers once the watermark (zero delay: the latest event time in
     whole milliseconds) passes their deadline."""
-    from intentlane.session import scratch_path, state_partitions
     from intentlane.streaming.cart_stream import cart_abandon_stream
     src = intent_ops.with_time_us(V.v_behavior(spark, sf, stream_path=_events_glob(sf)))
-    out = cart_abandon_stream(src, P.TEST_CART_TIMEOUT_US)
-    base = scratch_path(spark, "cart-abandon-stream")
-    with state_partitions(spark):
-        q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return _run_fold(spark, cart_abandon_stream(src, P.TEST_CART_TIMEOUT_US), "cart-abandon-stream")

@@ -61,8 +61,9 @@ def with_closing_row(events: DataFrame, time_col: str = "t_us") -> DataFrame:
     """A replayed stream that ends: one more row, with the time
     ``END_OF_TIME_US`` and empty or zero values elsewhere, moves the watermark
     past all events, so that operators which hold rows until the watermark let
-    all of them go. A live stream needs no such row; its next events move the
-    watermark."""
+    all of them go. The replay must be one micro-batch (no limit per trigger),
+    as the row comes with the first one and what came after it would be late. A live
+    stream needs no such row; its next events move the watermark."""
     spark = events.sparkSession
     path = scratch_path(spark, "closing-row")
     row = [F.lit(END_OF_TIME_US if f.name == time_col else "" if f.dataType.simpleString() == "string" else 0).cast(f.dataType).alias(f.name)

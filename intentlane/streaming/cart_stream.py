@@ -1,76 +1,52 @@
 """DOC-2 as a stream: add-to-cart events not followed by a purchase of the
-same user within the timeout, emitted once the watermark passes the
+same user within the timeout, emitted once the watermark has passed the
 deadline (so no later purchase can still cancel them).
 
-State per user is the list of pending carts. Rows of a micro-batch are
-folded in time order: a purchase at p cancels pending carts with
-t < p <= t + timeout. Pending carts whose deadline is at or below the
-watermark are emitted; the event-time timeout is set just below the earliest
-remaining deadline, so a user with no new rows is woken up exactly when the
-watermark passes it (Spark fires timeouts strictly below the watermark)."""
+Rows are taken in event-time order (``streaming.ordered``). State is the
+user's open carts; a purchase at p closes carts with t < p <= t + timeout, found
+by binary search. The key wakes when the watermark passes the earliest
+deadline, with or without new rows. Carts and purchases behind the watermark
+leave as late rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from intentlane.session import ship_package
+from intentlane.streaming.ordered import ordered_fold
 
+HELD = T.StructType([T.StructField("t_us", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("action", T.StringType())])
+STATE = T.StructType([T.StructField("open_t", T.ArrayType(T.LongType())), T.StructField("open_id", T.ArrayType(T.LongType()))])
 OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.StringType()),
                     T.StructField("t_us", T.LongType()), T.StructField("deadline_us", T.LongType())])
-STATE = T.StructType([T.StructField("pend_t", T.ArrayType(T.LongType())),
-                      T.StructField("pend_id", T.ArrayType(T.LongType()))])
 
 
 def cart_abandon_stream(events: DataFrame, timeout_us: int, cart_action: str = "add_to_cart",
                         buy_action: str = "purchase", watermark: str = "0 seconds") -> DataFrame:
-    """events: (event_id, user_id, t_us, action) -> abandoned carts."""
-    ship_package(events.sparkSession)
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pend_t, pend_id = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        if not state.hasTimedOut:
-            pdf = pd.concat(list(batches), ignore_index=True)
-            pdf = pdf.sort_values(["t_us", "event_id"], kind="mergesort")
-            for t, eid, act in zip(pdf["t_us"].tolist(), pdf["event_id"].tolist(), pdf["action"].tolist()):
-                if act == cart_action:
-                    pend_t.append(int(t))
-                    pend_id.append(int(eid))
-                elif act == buy_action:
-                    keep = [(a, b) for a, b in zip(pend_t, pend_id) if not (a < t <= a + timeout_us)]
-                    pend_t, pend_id = [a for a, _ in keep], [b for _, b in keep]
-        wm_ms = state.getCurrentWatermarkMs()
-        out = []
-        if wm_ms is not None and wm_ms > 0:
-            limit_us = wm_ms * 1000
-            rest = []
-            for a, b in zip(pend_t, pend_id):
-                (out if a + timeout_us <= limit_us else rest).append((a, b))
-            pend_t, pend_id = [a for a, _ in rest], [b for _, b in rest]
-        if pend_t:
-            state.update((pend_t, pend_id))
-            first = min(pend_t) + timeout_us
-            state.setTimeoutTimestamp(-(-first // 1000) - 1)   # ceil(ms) - 1: fires once wm*1000 >= deadline
-        else:
-            state.remove()
-        if out:
-            yield pd.DataFrame({"event_id": [b for _, b in out], "user_id": [key[0]] * len(out),
-                                "t_us": [a for a, _ in out],
-                                "deadline_us": [a + timeout_us for a, _ in out]})
-
-    # The watermark must track every event, so the action filter has to stay
-    # above EventTimeWatermark. The optimizer pushes predicates that do not
-    # touch the event-time column below it; the (always false) null test on
-    # event_ts keeps this one above, and it still runs before the shuffle.
-    keep = F.col("action").isin(cart_action, buy_action) | F.col("event_ts").isNull()
-    src = (events.select("event_id", "user_id", "t_us", "action")
-           .withColumn("event_ts", F.timestamp_micros("t_us")).withWatermark("event_ts", watermark)
-           .filter(keep))
-    return src.groupBy("user_id").applyInPandasWithState(
-        fold, outputStructType=OUT, stateStructType=STATE, outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    """events: (event_id, user_id, t_us, action) -> abandoned carts, late."""
+
+    def fold(key: tuple, pdf: pd.DataFrame, state: tuple | None, wm_us: int):
+        before_t, before_id = state if state is not None else ([], [])
+        carts, buys = pdf[pdf["action"] == cart_action], pdf[pdf["action"] == buy_action]
+        t = np.concatenate([np.asarray(before_t, np.int64), carts["t_us"].to_numpy(dtype=np.int64)])
+        ids = np.concatenate([np.asarray(before_id, np.int64), carts["event_id"].to_numpy(dtype=np.int64)])
+        bought = buys["t_us"].to_numpy(dtype=np.int64)
+        after = np.searchsorted(bought, t, "right")         # the first purchase after each cart
+        closed = np.zeros(len(t), bool)
+        some = after < len(bought)
+        closed[some] = bought[after[some]] <= t[some] + timeout_us
+        t, ids = t[~closed], ids[~closed]
+        due = t + timeout_us < wm_us
+        out = pd.DataFrame({"event_id": ids[due], "user_id": key[0], "t_us": t[due], "deadline_us": t[due] + timeout_us})
+        if due.all():
+            return out, None, -1
+        return out, (t[~due].tolist(), ids[~due].tolist()), int(t[~due].min()) + timeout_us
+
+    # other actions only move the watermark
+    watched = events.withColumn("action", F.when(F.col("action").isin(cart_action, buy_action), F.col("action")))
+    return ordered_fold(watched, "user_id", HELD, STATE, OUT, fold,
+                        lambda key, pdf: pdf.assign(user_id=key[0], deadline_us=pdf["t_us"] + timeout_us), watermark,
+                        keep=F.col("action").isNotNull())

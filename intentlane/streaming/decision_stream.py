@@ -44,7 +44,9 @@ def start_preparation(intents: DataFrame, path: str, checkpoint: str, tables: di
 
 
 def _fold(limit_us: int, gap_us: int, window_us: int, max_in_window: int):
-    def fold(key: tuple, pdf: pd.DataFrame, state: tuple | None):
+    def fold(key: tuple, pdf: pd.DataFrame, state: tuple | None, wm_us: int):
+        if pdf.empty:       # no send of the past matters any more
+            return None, None, -1
         rules = SendRules(limit_us, gap_us, window_us, max_in_window)
         if state is not None:
             rules.restore(*state)

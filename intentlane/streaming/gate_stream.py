@@ -1,46 +1,36 @@
 """GOV-3 as a stream: check-then-record per user with keyed state.
 
-State per user is the last send time; an attempt is allowed when no send
-happened in the period before it, and then becomes the new send. Rows of a
-micro-batch are folded in (time, arrival) order; state expires by an
-event-time timeout once the period has passed the watermark."""
+Attempts are judged in event-time order (``streaming.ordered``): one is allowed
+when no send happened in the period before it, and then becomes the new
+send. So an attempt that arrives late, but before the watermark, is judged by
+the sends before it, never by one after it; an attempt behind the watermark
+leaves as a late row without a verdict. State is the last send time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from intentlane import params as P
-from intentlane.session import ship_package
+from intentlane.streaming.ordered import ordered_fold
 
+HELD = T.StructType([T.StructField("t_us", T.LongType()), T.StructField("event_id", T.LongType())])
 STATE = T.StructType([T.StructField("last_send", T.LongType())])
+OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.StringType()),
+                    T.StructField("t_us", T.LongType()), T.StructField("allowed", T.BooleanType())])
 
 
 def send_gate_stream(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US,
                      watermark: str = "1 hour") -> DataFrame:
-    """requests: (event_id, user_id, t_us) -> same + allowed."""
-    ship_package(requests.sparkSession)
-    out_schema = T.StructType([T.StructField("event_id", T.LongType()),
-                               T.StructField("user_id", T.StringType()),
-                               T.StructField("t_us", T.LongType()),
-                               T.StructField("allowed", T.BooleanType())])
-
-    def gate(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        parts = list(batches)
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        eid = pdf["event_id"].to_numpy(dtype=np.int64)
-        order = np.lexsort((eid, pdf["t_us"].to_numpy(dtype=np.int64)))
-        t = pdf["t_us"].to_numpy(dtype=np.int64)[order]
+    """requests: (event_id, user_id, t_us) -> same + allowed, late."""
+
+    def gate(key: tuple, pdf: pd.DataFrame, state: tuple | None, wm_us: int):
+        if pdf.empty:       # the period after the last send has passed
+            return None, None, -1
+        last = state[0] if state is not None else None
+        t = pdf["t_us"].to_numpy(dtype=np.int64)
         allowed = np.zeros(len(t), dtype=bool)
         # jump from send to send with a binary search (the greedy cooldown)
         i = 0 if last is None else int(np.searchsorted(t, last + period_us, "left"))
@@ -48,15 +38,7 @@ def send_gate_stream(requests: DataFrame, period_us: int = P.MESSAGE_LIMIT_US,
             allowed[i] = True
             last = int(t[i])
             i = int(np.searchsorted(t, last + period_us, "left"))
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp((last + period_us) // 1000 + 1)
-        yield pd.DataFrame({"event_id": eid[order],
-                            "user_id": np.full(len(t), key[0], dtype=object),
-                            "t_us": t, "allowed": allowed})
-
-    src = (requests.select("event_id", "user_id", "t_us")
-           .withColumn("event_ts", F.timestamp_micros("t_us")).withWatermark("event_ts", watermark))
-    return src.groupBy("user_id").applyInPandasWithState(
-        gate, outputStructType=out_schema, stateStructType=STATE, outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout)
+        return pdf.assign(user_id=key[0], allowed=allowed), (last,), last + period_us
+
+    return ordered_fold(requests, "user_id", HELD, STATE, OUT, gate,
+                        lambda key, pdf: pdf.assign(user_id=key[0], allowed=None), watermark)

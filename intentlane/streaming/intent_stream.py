@@ -83,7 +83,9 @@ def _promotions(key: tuple, rows: pd.DataFrame, counts, p: P.IntentParams) -> pd
 
 
 def _fold(p: P.IntentParams):
-    def fold(key: tuple, pdf: pd.DataFrame, state: tuple | None):
+    def fold(key: tuple, pdf: pd.DataFrame, state: tuple | None, wm_us: int):
+        if pdf.empty:       # window and lock have passed
+            return None, None, -1
         prev, last_fire = state or ([], None)
         t = pdf["t_us"].to_numpy(dtype=np.int64)
         n, fires, last_fire, kept = _fold_sorted(np.asarray(prev if prev is not None else [], dtype=np.int64), t, last_fire, p)

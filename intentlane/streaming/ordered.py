@@ -9,8 +9,9 @@ writes such rows to a side output instead of losing them.
 
 A key's rows are appended to list state as they come, one element of column
 arrays per Arrow batch; only what is held for one key, the rows of one watermark
-delay, is read back together. State is dropped when the fold says that nothing before a horizon
-can matter any more and the watermark has passed it."""
+delay, is read back together. The fold names a horizon at which its state needs
+another look; when the watermark passes it, the fold drops the state or says
+what has come due."""
 
 from __future__ import annotations
 
@@ -19,13 +20,14 @@ from itertools import chain
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from intentlane.session import ship_package
 
-#: (key, due rows in order, state or None) -> (output frame or None, new state or None, horizon in microseconds)
-Fold = Callable[[tuple, pd.DataFrame, tuple | None], tuple[pd.DataFrame | None, tuple | None, int]]
+#: (key, due rows in order, state or None, watermark) -> (output frame or None, new state or None, horizon); times in microseconds.
+#: A key whose horizon the watermark has passed is folded once more, without rows.
+Fold = Callable[[tuple, pd.DataFrame, tuple | None, int], tuple[pd.DataFrame | None, tuple | None, int]]
 
 
 def _arrays(schema: T.StructType) -> T.StructType:
@@ -71,8 +73,8 @@ class OrderedFold(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
         earliest, horizon = self.wake.get() if self.wake.exists() else (-1, -1)
-        if 0 <= earliest < wm_us:
-            held = [list(chain.from_iterable(c)) for c in zip(*self.held.get())]
+        if 0 <= earliest < wm_us or 0 <= horizon < wm_us:
+            held = [list(chain.from_iterable(c)) for c in zip(*self.held.get())] or [[] for _ in self.names]
             pdf = pd.DataFrame({n: c for n, c in zip(self.names, held)})
             ready = pdf[self.order[0]] < wm_us
             rest = pdf[~ready]
@@ -81,22 +83,22 @@ class OrderedFold(StatefulProcessor):
             else:
                 self.held.clear()
             pdf = pdf[ready].sort_values(self.order, kind="mergesort", ignore_index=True)
-            out, state, horizon = self.fold(key, pdf, self.state.get() if self.state.exists() else None)
+            out, state, horizon = self.fold(key, pdf, self.state.get() if self.state.exists() else None, wm_us)
             if state is None:
                 self.state.clear()
+                horizon = -1
             else:
                 self.state.update(state)
+                self._register(horizon)
             earliest = int(rest[self.order[0]].min()) if len(rest) else -1
             if earliest >= 0:
                 self._register(earliest)
-            elif state is not None:
-                self._register(horizon)
-            self.wake.update((earliest, horizon))
+            if earliest < 0 and state is None:
+                self.wake.clear()
+            else:
+                self.wake.update((earliest, horizon))
             if out is not None and len(out):
                 yield out.assign(late=False)[self.out]
-        if earliest < 0 and horizon < wm_us:
-            self.state.clear()
-            self.wake.clear()
 
     def close(self) -> None:
         pass
@@ -110,17 +112,22 @@ def _plain(column: pd.Series) -> list:
 
 def ordered_fold(events: DataFrame, key: str, held: T.StructType, state: T.StructType, out: T.StructType, fold: Fold,
                  late: Callable[[tuple, pd.DataFrame], pd.DataFrame], watermark: str, time_col: str = "t_us",
-                 id_col: str = "event_id") -> DataFrame:
+                 id_col: str = "event_id", keep: Column | None = None) -> DataFrame:
     """``out`` plus ``late`` for a stream of (key, held columns). Rows without
     a time have no place in the order and are left out (normalisation rejects
     them), rows without an id come first in their instant; other held columns
-    are text or doubles if they can be null. The watermark is taken over all rows; the stateful operator does not see the event-time
+    are text or doubles if they can be null. Only rows that ``keep`` holds for
+    are folded. The watermark is taken over all rows; the stateful operator does not see the event-time
     column itself, so it gets late rows too instead of never hearing of them."""
     ship_package(events.sparkSession)
     names = held.fieldNames()
     src = events.where(F.col(time_col).isNotNull()).withColumn(id_col, F.coalesce(id_col, F.lit(-1)))
-    src = (src.select(key, *names).withColumn("_ts", F.timestamp_micros(time_col)).withWatermark("_ts", watermark)
-           .select(key, *names))
+    src = src.select(key, *names).withColumn("_ts", F.timestamp_micros(time_col)).withWatermark("_ts", watermark)
+    if keep is not None:
+        # rows that are not kept still move the watermark: the (never true) test
+        # of the event time keeps the optimizer from filtering below it
+        src = src.where(keep | F.col("_ts").isNull())
+    src = src.select(key, *names)
     schema = T.StructType([*out.fields, T.StructField("late", T.BooleanType())])
     processor = OrderedFold(fold, held, state, schema.fieldNames(), time_col, id_col, late)
     return src.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="EventTime")

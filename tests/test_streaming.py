@@ -1,14 +1,14 @@
-"""INT-5: stream == batch over several micro-batches, and restart from the
-checkpoint continues the same state."""
+"""Streams against their batch jobs over several micro-batches (INT-5: test_streaming_late.py)."""
 
 import os
 
 from pyspark.sql import functions as F
 
 from intentlane import params as P
-from intentlane.operators.intent import detect_high_intent, flatten_intents, with_time_us
+from intentlane.operators.intent import with_time_us
+from intentlane.session import state_partitions
 from intentlane.sources import views as V
-from intentlane.streaming.intent_stream import detect_high_intent_stream
+from intentlane.streaming.ordered import write_with_side_output
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,40 +20,15 @@ def _split_by_day(spark, out_dir, days):
         part.coalesce(1).write.parquet(os.path.join(out_dir, f"day={d:02d}-files"))
 
 
-def _run(spark, src_glob, base, p):
-    src = with_time_us(V.v_behavior(spark, SF, stream_path=src_glob, max_files_per_trigger=1))
-    out = detect_high_intent_stream(src, p, watermark="30 days")
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
-
-
-def _rows(df):
-    return sorted((r.user_id, r.event_id, r.recent_clicks) for r in df.collect())
-
-
-def test_stream_equals_batch_and_restarts(spark, tmp_dir):
-    p = P.TEST_INTENT
-    src_dir = os.path.join(tmp_dir, "src")
-    base = os.path.join(tmp_dir, "run")
-    _split_by_day(spark, src_dir, range(1, 16))
-    q = _run(spark, f"{src_dir}/*/*.parquet", base, p)
-    assert len(q.recentProgress) >= 2        # really several micro-batches
-    # second half of the month arrives later: restart from the same checkpoint
-    _split_by_day(spark, src_dir, range(16, 32))
-    _run(spark, f"{src_dir}/*/*.parquet", base, p)
-    got = _rows(spark.read.parquet(f"{base}/out"))
-    want = _rows(flatten_intents(detect_high_intent(V.v_behavior(spark, SF), p)))
-    assert got == want
-
-
 def test_gate_stream_equals_batch(spark, tmp_dir):
     from intentlane.operators.governance import send_gate
     from intentlane.streaming.gate_stream import send_gate_stream
     from intentlane.sources.tables import read_table_stream
     src_dir = os.path.join(tmp_dir, "src")
     _split_by_day(spark, src_dir, range(1, 32))
+    last = spark.read.parquet(f"{SF}/events.parquet").limit(1).withColumn("ts", F.lit("2200-01-01").cast("timestamp_ntz")) \
+        .withColumn("event_type", F.lit("click")).withColumn("user_id", F.lit(-1).cast("bigint"))
+    last.coalesce(1).write.parquet(f"{src_dir}/day=99-closing")     # moves the watermark past all days
     ev = read_table_stream(spark, f"{src_dir}/*/*.parquet", "event_id", "user_id", "event_type", "ts",
                            max_files_per_trigger=3)
     req = (ev.filter(F.col("event_type") == "click")
@@ -61,10 +36,10 @@ def test_gate_stream_equals_batch(spark, tmp_dir):
     req = with_time_us(req, "ts").select("event_id", "user_id", "t_us")
     out = send_gate_stream(req, P.TEST_MESSAGE_LIMIT_US, watermark="30 days")
     base = os.path.join(tmp_dir, "gate")
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    with state_partitions(spark, 3):
+        q = write_with_side_output(out, f"{base}/out", f"{base}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = sorted((r.event_id, r.allowed) for r in spark.read.parquet(f"{base}/out").collect())
+    got = sorted((r.event_id, r.allowed) for r in spark.read.parquet(f"{base}/out/main/batch=*").collect())
     breq = with_time_us(V.v_requests(spark, SF), "ts").select("event_id", "user_id", "t_us")
     want = sorted((r.event_id, r.allowed) for r in send_gate(breq, P.TEST_MESSAGE_LIMIT_US).collect())
     assert got == want
@@ -92,31 +67,24 @@ def test_cart_abandon_stream_equals_batch(spark, tmp_dir):
                                     max_files_per_trigger=4))
     out = cart_abandon_stream(src, timeout)
     base = os.path.join(tmp_dir, "cart")
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    with state_partitions(spark, 3):
+        q = write_with_side_output(out, f"{base}/out", f"{base}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(q.recentProgress) >= 4
-    got = sorted(r.event_id for r in spark.read.parquet(f"{base}/out").collect())
+    got = sorted(r.event_id for r in spark.read.parquet(f"{base}/out/main/batch=*").collect())
     b = with_time_us(V.v_behavior(spark, SF))
     wm_us = (b.agg(F.max("t_us")).first()[0] // 1000) * 1000
     want = sorted(r.event_id for r in cart_abandon(b, timeout, wm_us).collect())
     assert got == want and len(got) > 0
 
 
-def test_stream_fold_paths_agree_and_late_rows_fold_in_arrival_order():
+def test_fold_in_parts_equals_the_whole():
     import numpy as np
-    from intentlane.streaming.intent_stream import _fold_rows, _fold_sorted
+    from intentlane.streaming.intent_stream import _fold_sorted
     p = P.IntentParams(window_us=10, threshold=3, cooldown_us=20)
-    first = np.array([0, 2, 4, 6, 8, 30, 31, 32], dtype=np.int64)
-    second = np.array([33, 40, 41, 55, 56, 57], dtype=np.int64)
-    n1, f1, lf1, kept1 = _fold_sorted(np.zeros(0, dtype=np.int64), first, None, p)
-    n2, f2, lf2, kept2 = _fold_rows([], first, None, p)
-    assert list(n1) == list(n2) and f1 == f2 and lf1 == lf2 and list(kept1) == list(kept2)
-    a = _fold_sorted(kept1, second, lf1, p)
-    b = _fold_rows(list(kept1), second, lf1, p)
-    assert list(a[0]) == list(b[0]) and a[1] == b[1] and a[2] == b[2]
-    # a late batch (older than the retained window) is folded row by row in arrival order
-    late = np.array([31, 58], dtype=np.int64)
-    n3, f3, lf3, _ = _fold_rows(list(a[3]), late, a[2], p)
-    window = [x for x in list(a[3]) + [31] if x > 31 - 10]
-    assert n3[0] == len(window)
+    t = np.array([0, 2, 4, 6, 8, 30, 31, 32, 33, 40, 41, 55, 56, 57], dtype=np.int64)
+    n, fires, last, kept = _fold_sorted(np.zeros(0, dtype=np.int64), t, None, p)
+    for cut in range(1, len(t)):
+        n1, f1, l1, k1 = _fold_sorted(np.zeros(0, dtype=np.int64), t[:cut], None, p)
+        n2, f2, l2, k2 = _fold_sorted(k1, t[cut:], l1, p)
+        assert [*n1, *n2] == list(n) and [*f1, *(f + cut for f in f2)] == fires and l2 == last and list(k2) == list(kept)
