@@ -13,8 +13,12 @@ alignment, in two steps, so that no task holds more of a host than wrappers.
 With the host's wrapper a page is read again: menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are left out by element
 and by class (but not what holds the whole main part, and inside it no heading
-or section for its id), and so are the template's own texts; where the host's wrapper has
-an article (or main) element, only that is read, else all but lists of links.
+or section for its id, no running text around a marked word, and no element
+whose class only begins or ends like one, as share-price does). The template's
+own texts are left out too; inside the main part only if they are linked or
+stand outside paragraphs and headings and are no sentence. Where the host's
+wrapper has an article (or main) element, only that is read, by whichever holds
+the page's text, else all but lists of links.
 
 Nulls: a null html is an empty text, a null url is a host of its own. A page
 without the article that its host has elsewhere is read by what it has itself,
@@ -29,7 +33,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -65,6 +69,14 @@ _SKIPPED_WORDS = frozenset(
     "navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond cookie cookies consent "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations widget widgets toolbar pagination pager tagcloud skip complementary contentinfo search gdpr".split())
+#: reader comments: left out wherever they stand
+_COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+#: what a class says besides a skipped word without naming something else
+_GENERIC = frozenset(
+    "a all and bar block blocks body bottom box boxes btn button buttons card cards center col column container content count "
+    "cta custom feed footer form group head header heading holder icon icons image img inline inner item items label left line link "
+    "links list main media message mobile more new news note of on outer page panel post posts right row section site slot "
+    "small stories story sub summary tag tags text this title to tool tools top unit up us view wide with wrap wrapper x".split())
 _ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 _PAGE_HEADER = frozenset(("header", "banner", "masthead"))
 _MAIN_WORDS = frozenset("content article post entry story main".split())
@@ -78,6 +90,7 @@ class Element:
 
     def __init__(self, tag: str, attrs: str = "", outer: "Element | None" = None):
         words: list[str] = []
+        classes: list[str] = []
         names = ""
         inside = outer.main if outer else ""
         anchors = inside and (tag in _ANCHORED or tag in _INLINE)  # their ids are made from headings
@@ -87,6 +100,7 @@ class Element:
                 if kind.lower() == "class":
                     names = ".".join(sorted(re.sub(r"\d+", "#", text).split()))
                 if kind.lower() != "id" or not anchors:
+                    classes += _CAMEL.sub("-", text).lower().split()
                     words += re.split(r"[^a-z0-9]+", _CAMEL.sub("-", text).lower())
         self.tag = tag
         self.key = ("flow" if tag in _FLOW else tag) + ("." + names if names else "")
@@ -94,36 +108,53 @@ class Element:
         marked = {w for before, w in zip([""] + words, words) if before not in _NEGATING}
         by_tag = tag in _SKIPPED or (tag == "header" and not inside)
         #: left out for its class or id alone
+        says = marked & _SKIPPED_WORDS
+        if says and inside and not says & _COMMENT_WORDS and not _all_generic(classes):
+            says = frozenset()      # the class names a thing of its own
         self.marked = not by_tag and tag not in ("html", "body", "main", "article") and (
-            (bool(marked & _SKIPPED_WORDS) and not (inside and marked & _SKIPPED_WORDS <= _PAGE_HEADER))
+            (bool(says) and not (inside and says <= _PAGE_HEADER))
             or (bool(marked & _PAGE_HEADER) and not inside))
         self.skipped = by_tag or self.marked
         self.main = inside
         if not self.skipped:
             if tag == "article" or tag == "main" or "main" in words and "role" in attrs:
-                self.main = "article" if tag == "article" or inside == "article" else "main"
+                if inside in ("article", "main", "both") and inside != tag:
+                    self.main = "both"      # the one in the other
+                else:
+                    self.main = tag if tag in ("article", "main") else "main"
             elif not inside and marked & _MAIN_WORDS and tag not in ("html", "body"):
                 self.main = "class"
 
 
+def _all_generic(classes: list[str]) -> bool:
+    """Whether some class with a skipped word says nothing else."""
+    for one in classes:
+        parts = {w for w in re.split(r"[^a-z]+", one) if w}
+        if parts & _SKIPPED_WORDS and parts <= _SKIPPED_WORDS | _GENERIC:
+            return True
+    return False
+
+
 def parse(page: str | None) -> Element:
     """The element tree of a page; a text is (text, all of it links)."""
     root = Element("html")
     stack = [root]
     text: list[str] = []
+    marks: list[list] = []      # open inline elements with a skipped class: tag, same tags in it, depth of the stack
+    plain = False               # some of the text is outside them
     linked = unlinked = False
     in_link = 0
     at = 0
     page = page or ""
 
     def flush() -> None:
-        nonlocal linked, unlinked
+        nonlocal linked, unlinked, plain
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
-            if whole:
+            if whole and plain:     # a marked element beside plain text is part of it; alone it is left out
                 stack[-1].kids.append((whole, linked and not unlinked))
             text.clear()
-        linked = unlinked = False
+        linked = unlinked = plain = False
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -131,16 +162,24 @@ def parse(page: str | None) -> Element:
             text.append(piece)
             if not piece.isspace():
                 linked, unlinked = linked or in_link > 0, unlinked or in_link == 0
+                plain = plain or not marks
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag, closing, attrs = tag.lower(), bool(m["close"]), m["attrs"]
-        if tag in _INLINE and not (attrs and _is_skipped(attrs, stack[-1])):
+        if tag in _INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
                 in_link = max(0, in_link - 1) if closing else in_link + 1
+            if marks and marks[-1][0] == tag and tag not in _VOID:
+                marks[-1][1] += -1 if closing else 1
+                if marks[-1][1] < 0:
+                    marks.pop()
+            elif not closing and attrs and tag not in _VOID and _is_skipped(attrs, stack[-1]) \
+                    and page.find(f"</{m['tag']}", at) >= 0:
+                marks.append([tag, 0, len(stack)])
             continue
         if closing:
             open_ = next((n for n in range(len(stack) - 1, 0, -1) if stack[n].tag == tag), 0)
@@ -148,6 +187,8 @@ def parse(page: str | None) -> Element:
                 flush()
             if open_:
                 del stack[open_:]
+                while marks and marks[-1][2] > len(stack):      # never closed: no further than what holds it
+                    marks.pop()
             continue
         flush()
         in_link = 0 if tag in _ENDS_P else in_link
@@ -173,7 +214,7 @@ def parse(page: str | None) -> Element:
             stack.append(element)
     if at < len(page):
         text.append(page[at:])
-        unlinked = True
+        unlinked = plain = True
     flush()
     _uncover_main(root)
     return root
@@ -212,7 +253,7 @@ def _main_size(element: Element) -> int:
         if isinstance(x, tuple):
             size += len(x[0]) if inside else 0
         elif x.marked or not x.skipped:
-            todo += [(kid, inside or x.main in ("article", "main")) for kid in x.kids]
+            todo += [(kid, inside or x.main in ("article", "main", "both")) for kid in x.kids]
     return size
 
 
@@ -281,6 +322,55 @@ def _lowest(digests: list[int], others: list[int]) -> list[int]:
     return sorted({*digests, *others})[:TEMPLATE_PAGES]
 
 
+_PLAIN_CELLS = 2_500        # of a table kept as Python lists
+_TABLE_CELLS = 4_000_000    # of a table kept at all; longer lists are cut in halves
+
+
+def _lengths(a: np.ndarray, b: np.ndarray, keep: bool) -> np.ndarray:
+    """Longest common subsequence of every beginning of ``a`` with every
+    beginning of ``b`` (all rows, or the last one): a row follows from the one
+    before by one running maximum."""
+    rows = [np.zeros(len(b) + 1, np.int32)]
+    for x in a:
+        row = np.zeros(len(b) + 1, np.int32)
+        np.maximum.accumulate(np.maximum(rows[-1][1:], rows[-1][:-1] + (b == x)), out=row[1:])
+        if keep:
+            rows.append(row)
+        else:
+            rows[0] = row
+    return np.stack(rows) if keep else rows[0]
+
+
+def _matched_long(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """As ``matched``, in memory linear in the lists: tables that would be too
+    large are cut where the best halves meet."""
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(k, len(codes)) for k in keys], np.int32) for keys in (a, b))
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, p, j, q = todo.pop()
+        if i == p or j == q:
+            continue
+        if (p - i) * (q - j) > _TABLE_CELLS and p - i > 1:
+            middle = (i + p) // 2
+            both = _lengths(x[i:middle], y[j:q], False) + _lengths(x[middle:p][::-1], y[j:q][::-1], False)[::-1]
+            cut = j + int(both.argmax())
+            todo += [(middle, p, cut, q), (i, middle, j, cut)]
+            continue
+        best = _lengths(x[i:p][::-1], y[j:q][::-1], True)[::-1, ::-1]
+        n, m = i, j
+        while n < p and m < q:
+            if x[n] == y[m]:
+                out.append((n, m))
+                n, m = n + 1, m + 1
+            elif best[n + 1 - i, m - j] >= best[n - i, m + 1 - j]:
+                n += 1
+            else:
+                m += 1
+    return out
+
+
 def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """A longest common subsequence of two key lists, as index pairs."""
     n = 0
@@ -290,6 +380,8 @@ def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     a, b = a[n:], b[n:]
     if not a or not b:
         return head
+    if len(a) * len(b) > _PLAIN_CELLS:
+        return head + [(i + n, j + n) for i, j in _matched_long(a, b)]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -366,7 +458,7 @@ def main_kind(wrapper: list) -> str:
         node = todo.pop()
         found.add(node[MAIN])
         todo += node[PARTS]
-    return next((k for k in ("article", "main", "class") if k in found), "")
+    return next((k for k in ("article", "main", "class") if k in found or (k != "class" and "both" in found)), "")
 
 
 def read_page(page: Element, wrapper: list | None, kind: str) -> list[str]:
@@ -382,7 +474,9 @@ def read_page(page: Element, wrapper: list | None, kind: str) -> list[str]:
             for x in items:
                 if isinstance(x, tuple):
                     inside = place[-1]
-                    if _template(part) or (kind and not _within(inside.main, kind)):
+                    if _template(part) and (not inside.main or x[1] or not _running(inside, x[0])):
+                        continue
+                    if kind and not _within(inside.main, kind):
                         continue
                     if not kind and x[1] and inside.tag in ("li", "ul", "ol", "td", "div", "html"):
                         continue
@@ -400,23 +494,51 @@ def read_page(page: Element, wrapper: list | None, kind: str) -> list[str]:
 
 
 def _within(main: str, kind: str) -> bool:
-    return main == "article" if kind == "article" else bool(main) and (main != "class" or kind == "class")
+    return bool(main) if kind == "class" else main in (kind, "both")
 
 
 def _template(part: list | None) -> bool:
     return part is not None and part[TEXT] is not None and len(part[DIGESTS]) >= TEMPLATE_PAGES
 
 
-def _page_kind(page: Element) -> str:
-    wrapper = new_wrapper()
-    learn_page(wrapper, page)
-    return main_kind(wrapper)
+def _running(element: Element, text: str) -> bool:
+    """A paragraph's or heading's text, or a sentence: content even if all pages have it."""
+    return element.tag in _FLOW or (text[-1] in ".!?:;…。" and text.count(" ") >= 4)
+
+
+def _held(page: Element) -> dict[str, int]:
+    """Characters of the page by the kind of main part that would read them."""
+    sizes = dict.fromkeys(("article", "main", "class"), 0)
+    todo: list[Element] = [page]
+    while todo:
+        x = todo.pop()
+        for kid in x.kids:
+            if isinstance(kid, tuple):
+                for kind in sizes:
+                    sizes[kind] += len(kid[0]) if _within(x.main, kind) else 0
+            elif not kid.skipped:
+                todo.append(kid)
+    return sizes
+
+
+def _page_kind(sizes: dict[str, int], wanted: str) -> str:
+    """The kind a page is read by: the host's, unless another main part of the
+    page holds more than twice the text (an article that is only a teaser)."""
+    own = [k for k in ("article", "main", "class") if sizes[k]]
+    if not own:
+        return ""
+    kind = wanted if wanted in own else own[0]
+    for other in own:
+        if sizes[other] > 2 * sizes[kind]:
+            kind = other
+    return kind
 
 
 def main_text(page: str | None, wrapper: list | None) -> str:
     tree = parse(page)
-    own = _page_kind(tree)
-    kind = main_kind(wrapper) if wrapper else own
+    sizes = _held(tree)
+    own = _page_kind(sizes, "")
+    kind = _page_kind(sizes, main_kind(wrapper)) if wrapper else own
     blocks = read_page(tree, wrapper, kind)
     if not blocks and kind != own:  # this page lacks what its host's pages have
         blocks = read_page(tree, wrapper, own)
@@ -448,15 +570,15 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    def merge_all(rows: pd.DataFrame) -> pd.DataFrame:
+    def merge_all(rows: pa.Table) -> pa.Table:
         merged = new_wrapper()
-        for text in sorted(rows["wrapper"]):
+        for text in sorted(rows["wrapper"].to_pylist()):
             merged = merge(merged, json.loads(text))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(merged)]})
+        return pa.table({"host": rows["host"].slice(0, 1), "wrapper": pa.array([json.dumps(merged)], pa.string())})
 
     partial = pages.mapInArrow(learn, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(_SALTS)))
-    return (partial.groupBy("host", "salt").applyInPandas(merge_all, "host string, wrapper string")
-            .groupBy("host").applyInPandas(merge_all, "host string, wrapper string"))
+    return (partial.groupBy("host", "salt").applyInArrow(merge_all, "host string, wrapper string")
+            .groupBy("host").applyInArrow(merge_all, "host string, wrapper string"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

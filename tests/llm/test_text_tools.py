@@ -1,6 +1,7 @@
 """Token attribution and page wrappers."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F, types as T
@@ -122,3 +123,62 @@ def test_marked_words_do_not_hide_the_article():
     inside = ('<article><section id="related-work"><h2 id="comment-on-results">Results</h2><p>Text</p></section>'
               '<section id="search"><h2><span id="search">Search</span></h2></section><div class="related">Other</div></article>')
     assert H.main_text(inside, None) == "Results\nText\nSearch"
+
+
+def test_marked_inline_elements_are_text_beside_text():
+    cases = {'<article><span class="social">Tweet</span><h1>T</h1><p>Body</p></article>': "T\nBody",
+             '<p>It is <span class="alert">not</span> safe.</p>': "It is not safe.",
+             '<article>See <a class="related">this</a> and more text</article>': "See this and more text",
+             '<article><p>a <img class="share-icon"> b</p></article>': "a b",
+             '<article><span class="ad">Buy<span>x</span> now</span><p>Text</p><a class="related"><h3>Other</h3></a><p>More</p></article>': "Text\nMore",
+             '<article><p>One <b class="ad">never closed</p><p>Two</p></article>': "One never closed\nTwo",
+             '<article><div><span class="notice">Hear</div><p>Two <span>x</span></p></article>': "Two x"}
+    for page, want in cases.items():
+        assert H.main_text(page, None) == want, page
+
+
+def test_classes_that_name_something_else_stay_in_the_article():
+    kept = ("share-price", "alert-levels", "social-history", "search-results-table", "promotion-rules")
+    left_out = ("share", "share-buttons", "related-posts", "ad-box", "reply", "comment-thread", "newsletter-signup", "sidebar right")
+    page = "<article>" + "".join(f'<div class="{c}">{c} text</div>' for c in kept + left_out) + "</article>"
+    assert H.main_text(page, None).split("\n") == [f"{c} text" for c in kept]
+
+
+def test_main_part_with_more_text_is_read():
+    page = "<main><h1>Story</h1><p>" + "long text " * 30 + "</p></main><article>Teaser</article>"
+    want = "Story\n" + ("long text " * 30).strip()
+    assert H.main_text(page, None) == want and H.main_text(page, _learned("<article><p>own text of another page</p></article>", page)) == want
+    both = "<main><p>Lead</p><article><p>" + "long text " * 30 + "</p></article></main>"
+    assert H.main_text(both, None) == ("long text " * 30).strip()
+
+
+def test_constant_headings_and_sentences_of_the_article_stay():
+    page = ('<body><div>Site name</div><article><h2 class="sec">Summary</h2><p>Body {0}</p><div>All prices are given in euro here.</div>'
+            '<div class="end">Pass it on</div><p><a href="/all">All articles</a></p></article></body>')
+    wrapper = _learned(*(page.format(n) for n in range(5)))
+    assert H.main_text(page.format(9), wrapper) == "Summary\nBody 9\nAll prices are given in euro here."
+
+
+def test_only_the_alignment_tells_this_boilerplate():
+    """No class, no telling element, no main part: the host's other pages show what is the template's."""
+    page = "<body><div>Top of the site {1}</div><div>{0}</div><div>Written with care in Utrecht</div></body>"
+    stories = [f"Story number {n} is about thing {n * n}." for n in range(6)]
+    wrapper = _learned(*(page.format(s, "") for s in stories))
+    assert H.main_text(page.format(stories[2], ""), wrapper) == stories[2]
+    assert H.main_text(page.format(stories[2], ""), None).count("\n") == 2
+
+
+def test_long_lists_align_in_linear_memory(monkeypatch):
+    rnd = random.Random(1)
+    for cells in (50, 4_000_000):
+        monkeypatch.setattr(H, "_TABLE_CELLS", cells)
+        for _ in range(100):
+            a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(1, 45))] for _ in range(2))
+            got = H._matched_long(a, b)
+            assert got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+            assert len(got) == len(H.matched(a, b)) and all(a[i] == b[j] for i, j in got)
+    mixed = lambda seed: "<article>" + "".join(f"<{t}>{'w' * 110} {i}</{t}>" for i, t in enumerate(
+        random.Random(seed).choices(["p", "div", "section", "ul", "table", "dl"], k=4500))) + "</article>"
+    start = time.process_time()
+    wrapper = _learned(mixed(1), mixed(2))
+    assert H.main_text(mixed(1), wrapper).count("\n") == 4499 and time.process_time() - start < 20
