@@ -7,10 +7,12 @@ level is read back by probing the filter with growing numbers until a probe
 fails; a codebook turns levels into mean counts.
 
 The filters hold all n-grams of the corpus and grow with it, so no worker holds
-one whole: they are cut by the n-gram's hash into parts of 512 KB, which lie in
-the shared folder. The texts are numbered once, in blocks of about _TEXTS bytes.
-A block's distinct pairs and rarer words go to their parts by a shuffle, and
-their levels come back to the block by another. Each token's probability depends
+one whole: they are cut by the n-gram's hash into parts of 512 KB. The texts are
+numbered once, in blocks of about _TEXTS bytes. A block's distinct pairs go to
+their parts with their training counts, by one shuffle: a part's task sums the
+counts, sets the part's bits and probes them for the same pairs, whose levels
+come back to the block by another. The rarer words are read in the parts of
+the word filter. Each token's probability depends
 on three levels alone (context, word and pair), so a document is kept as the
 counts of its level triples: pair counts are interpolated with word counts, and
 the weights fitted on all training documents, by the context's frequency.
@@ -47,12 +49,11 @@ PROBES = 6
 HEAD_SHARE = 2e-6      # words whose exact counts all workers hold
 END = b""              # the end token; no word is empty
 _SHARD_BITS = 22       # bits of one part of a filter, 512 KB
-_FLUSH = 4_000_000     # pairs counted before a task hands them on
 _TEXTS = 1 << 21       # bytes of text scored at once
 _LEVELS = 128          # more than the scale has: STEP ** 127 occurrences
 _CODES = _LEVELS ** 3
 _DOCS = 500            # documents whose level triples are read at once
-_SIZING = 64           # share of the pairs that the number of parts is computed from
+_SPARE_BITS = 12       # of a pair's hash beyond those that number the training pairs
 _GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
 
@@ -64,9 +65,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """48 bits, in the upper bytes: two of 10**10 pairs share a hash far more seldom than a probe is false."""
-    return _mix(left * np.uint64(0x9E3779B97F4A7C15) + right) & ~np.uint64(0xFFFF)
+def unused_bits(total: int) -> int:
+    """Bits of a pair's hash that are not needed: a pair shares its hash with one
+    of the training pairs (at most ``total``) with odds of 1 to 2 ** _SPARE_BITS,
+    far more seldom than a probe of the filter is false."""
+    return max(0, 64 - max(32, total.bit_length() + _SPARE_BITS))
+
+
+def pair_hashes(left: np.ndarray, right: np.ndarray, unused: int = 0) -> np.ndarray:
+    return _mix(left * np.uint64(0x9E3779B97F4A7C15) + right) >> np.uint64(unused) << np.uint64(unused)
 
 
 _CODEC = pa.Codec("zstd", 1)
@@ -84,13 +91,13 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
-def packed_hashes(h: np.ndarray) -> bytes:
-    """Hashes in rising order, as differences."""
-    return packed(np.diff(h, prepend=np.uint64(0)))
+def packed_hashes(h: np.ndarray, unused: int = 0) -> bytes:
+    """Hashes in rising order, as differences; their last ``unused`` bits are zero."""
+    return packed(np.diff(h >> np.uint64(unused), prepend=np.uint64(0)))
 
 
-def unpacked_hashes(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+def unpacked_hashes(blob: bytes, unused: int = 0) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64) << np.uint64(unused)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -266,7 +273,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 # -------------------------------------------------------------------- counting
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(w, h, c) of all tokens, summed per task before the shuffle."""
+    """(w, c) of all tokens, summed per task before the shuffle."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -274,10 +281,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
             words, counts = list(seen), list(seen.values())
             seen.clear()
             for at in range(0, len(words), 100_000):
-                part = words[at:at + 100_000]
-                h = np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(h),
-                                                  pa.array(counts[at:at + 100_000], pa.int64())], names=["w", "h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[at:at + 100_000], pa.binary()),
+                                                  pa.array(counts[at:at + 100_000], pa.int64())], names=["w", "c"])
 
         for batch in batches:
             for text in batch["text"]:
@@ -286,8 +291,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return (texts.mapInArrow(count, "w binary, h bigint, c bigint").repartition("w", "h")
-            .groupBy("w", "h").agg(F.sum("c").alias("c")))
+    return texts.mapInArrow(count, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+
+
+def hashed_words(counted: DataFrame) -> DataFrame:
+    """Adds ``h``, the hash that ``Block.hashes`` gives a word."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.fromiter(map(xxhash.xxh64_intdigest, batch["w"].to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["c"]], names=["h", "c"])
+    return counted.select("w", "c").mapInArrow(add, "h bigint, c bigint")
 
 
 _BLOCK = ("block bigint, id array<{0}>, th array<bigint>, train array<boolean>, sizes binary, ids binary, "
@@ -348,144 +361,115 @@ class Numbered:
         return kinds // len(self.hashes), kinds % len(self.hashes), which
 
 
-def training_pairs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for i in range(batch.num_rows):
-        block = Numbered.of(batch, i)
-        on = np.repeat(np.array(batch["train"][i].as_py(), bool), block.sizes)
-        yield pair_hashes(block.hashes[block.contexts()[on]], block.hashes[block.ids[on]])
-
-
-def _summed(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in rising order, and their counts; sorts ``h`` in place."""
-    if not len(h):
-        return h, np.zeros(0, np.int64)
-    if c is None:
-        h.sort()
-    else:
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    return h[first], np.diff(np.append(first, len(h))) if c is None else np.add.reduceat(c, first)
-
-
-def pair_filter(blocks_: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
-    """As ``filter_parts``, of all pairs of the training documents. Tasks sum
-    their pairs and deal them out by part; a part's counts are summed and its
-    bits set in one go. The number of parts comes from the pairs whose hash is
-    in the lowest 1 / _SIZING; it decides on nothing but the parts' size."""
-    source = blocks_.select("train", "sizes", "ids", "end_id", "hashes")
-
-    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pairs in training_pairs(batch):
-                h, c = _summed(pairs[pairs < np.uint64(2**64 // _SIZING)])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-
-    few = with_levels(source.mapInArrow(lowest, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), 1.0)
-    keys = (few.agg(F.sum("level").alias("n")).first()["n"] or 0) * _SIZING
-    shards = max(1, math.ceil(1.02 * keys * BITS_PER_KEY / (1 << _SHARD_BITS)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            h, c = _summed(np.concatenate(held) if held else np.zeros(0, np.uint64))
-            held.clear()
-            at = 0
-            while at < len(h):
-                shard = int(shard_of(h[at:at + 1], shards)[0])
-                past = int(np.searchsorted(h, np.uint64(-(-(shard + 1 << 32) // shards) << 32))) if shard + 1 < shards else len(h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([packed_hashes(h[at:past])], pa.binary()),
-                     pa.array([packed(c[at:past])], pa.binary())], names=["shard", "h", "c"])
-                at = past
-
-        for batch in batches:
-            for pairs in training_pairs(batch):
-                held.append(pairs)
-                if sum(map(len, held)) > _FLUSH:
-                    yield from out()
-        yield from out()
-
-    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_group(batches, ["shard"]):
-            h, c = _summed(np.concatenate([unpacked_hashes(x) for x in group["h"].to_pylist()]),
-                           np.concatenate([unpacked(x, np.int64) for x in group["c"].to_pylist()]))
-            top = levels_of(c)
-            stats = [np.bincount(top), np.bincount(top, c).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [group["shard"][:1].combine_chunks(), pa.array([bits_of(h, top)]), *[pa.array([x], pa.list_(pa.int64())) for x in stats]],
-                names=["shard", "bits", "n", "c"])
-
-    parts = stored(source.mapInArrow(count, "shard int, h binary, c binary").repartition("shard").sortWithinPartitions("shard")
-                   .mapInArrow(to_bits, "shard int, bits binary, n array<bigint>, c array<bigint>"), "lm-pairs")
-    stats = (parts.select(F.posexplode(F.arrays_zip("n", "c")).alias("level", "x")).groupBy("level")
-             .agg(F.sum("x.n").alias("n"), F.sum("x.c").alias("c")).where("n > 0").collect())  # a few dozen
-    return parts.select("shard", "bits"), shards, codebook_of(stats)
-
-
 # ---------------------------------------------------------------------- levels
 
-def _asked(block: Numbered, known: np.ndarray, a: np.ndarray, b: np.ndarray, shards: tuple[int, int]):
-    """(hashes, shards, order by hash and so by shard) of a block's tail words
-    and of its pairs; the pairs' shards are numbered after the words'."""
-    for h, n, before in ((block.hashes[known < 0], shards[0], 0), (pair_hashes(block.hashes[a], block.hashes[b]), shards[1], shards[0])):
-        yield h, shard_of(h, n) + before, np.argsort(h, kind="stable")
+def _by_shard(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash, and so by part; the parts met; where each begins in that order."""
+    order = np.argsort(h, kind="stable")
+    shard = shard_of(h[order], shards)
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(h) else np.zeros(0, np.int64)
+    return order, shard[first].astype(np.int32), first
 
 
-def find_levels(blocks_: DataFrame, words: tuple[DataFrame, int, np.ndarray], pairs: tuple[DataFrame, int, np.ndarray]) -> DataFrame:
-    """(block, shard, levels): each block's tail words and pairs, read in the parts of the filters that hold them."""
-    shards, tops = (words[1], pairs[1]), (words[2], pairs[2])
+def word_levels(blocks_: DataFrame, words: tuple[DataFrame, int, np.ndarray]) -> DataFrame:
+    """(block, shard, levels): each block's tail words, read in the parts of the word filter."""
+    parts, shards, codebook = words
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Numbered.of(batch, i)
-                a, b, _ = block.pairs()
-                for (h, shard, order), n in zip(_asked(block, np.frombuffer(batch["known"][i].as_py(), np.int8), a, b, shards), shards):
-                    if not n or not len(h):
-                        continue
-                    h, shard = h[order], shard[order]
-                    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(first), batch["block"][i].as_py())), pa.array(shard[first].astype(np.int32)),
-                         pa.array([packed_hashes(x) for x in np.split(h, first[1:])], pa.binary())], names=["block", "shard", "asked"])
+                h = np.frombuffer(batch["hashes"][i].as_py(), np.uint64)[np.frombuffer(batch["known"][i].as_py(), np.int8) < 0]
+                if not shards or not len(h):
+                    continue
+                order, shard, first = _by_shard(h, shards)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), batch["block"][i].as_py())), pa.array(shard),
+                     pa.array([packed_hashes(x) for x in np.split(h[order], first[1:])], pa.binary())], names=["block", "shard", "asked"])
 
     def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
         found: list[bytes] = []
         if asked.num_rows:
             all_ = [unpacked_hashes(x) for x in asked["asked"].to_pylist()]
-            order = int(asked["shard"][0].as_py() >= shards[0])
             bits = np.frombuffer(part["bits"][0].as_py(), np.uint8) if part.num_rows else np.zeros(1 << (_SHARD_BITS - 3), np.uint8)
-            level = Filter(bits, 1, tops[order]).levels(np.concatenate(all_)).astype(np.int8)
+            level = Filter(bits, 1, codebook).levels(np.concatenate(all_)).astype(np.int8)
             found = [packed(x) for x in np.split(level, np.cumsum([len(x) for x in all_])[:-1])]
         return pa.table({"block": asked["block"].cast(pa.int64()), "shard": asked["shard"].cast(pa.int32()),
                          "levels": pa.array(found, pa.binary())})
 
-    parts = words[0].unionAll(pairs[0].withColumn("shard", (F.col("shard") + F.lit(words[1])).cast("int")))
-    asked = (blocks_.select("block", "sizes", "ids", "end_id", "hashes", "known")
-             .mapInArrow(ask, "block bigint, shard int, asked binary"))
+    asked = blocks_.select("block", "hashes", "known").mapInArrow(ask, "block bigint, shard int, asked binary")
     return asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "block bigint, shard int, levels binary")
 
 
-def level_triples(blocks_: DataFrame, answers: DataFrame, shards: tuple[int, int]) -> DataFrame:
+def pair_levels(blocks_: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
+    """(block, shard, levels) of each block's pairs, and the codebook.
+
+    A block's distinct pairs go to their part with the number of their training
+    occurrences. A part is filled by at most 2**_SHARD_BITS / BITS_PER_KEY
+    training tokens' keys, however large the corpus, and asked for as many pairs
+    at most (and those of the other texts)."""
+    shards = max(1, math.ceil(total * BITS_PER_KEY / (1 << _SHARD_BITS)))
+    unused = unused_bits(total)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Numbered.of(batch, i)
+                a, b, which = block.pairs()
+                if not len(a):
+                    continue
+                on = np.repeat(np.array(batch["train"][i].as_py(), bool), block.sizes)
+                n = np.bincount(which[on], minlength=len(a)).astype(np.uint32)
+                h = pair_hashes(block.hashes[a], block.hashes[b], unused)
+                order, shard, first = _by_shard(h, shards)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), batch["block"][i].as_py())), pa.array(shard),
+                     pa.array([packed_hashes(x, unused) for x in np.split(h[order], first[1:])], pa.binary()),
+                     pa.array([packed(x) for x in np.split(n[order], first[1:])], pa.binary())], names=["block", "shard", "asked", "n"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        all_ = [unpacked_hashes(x, unused) for x in asked["asked"].to_pylist()]
+        h, which = np.unique(np.concatenate(all_), return_inverse=True)
+        c = np.bincount(which, np.concatenate([unpacked(x, np.uint32) for x in asked["n"].to_pylist()]), minlength=len(h)).astype(np.int64)
+        top = levels_of(c)
+        bits = np.frombuffer(bits_of(h[top > 0], top[top > 0]) if c.any() else bytes(1 << (_SHARD_BITS - 3)), np.uint8)
+        level = Filter(bits, 1, np.zeros(_LEVELS)).levels(h).astype(np.int8)[which]
+        found = [packed(x) for x in np.split(level, np.cumsum([len(x) for x in all_])[:-1])]
+        some = top > 0
+        stats = [np.bincount(top[some]).tolist(), np.bincount(top[some], c[some]).astype(np.int64).tolist()]
+        once = [[x, *[None] * (asked.num_rows - 1)] for x in stats]     # with the part's first answer
+        return pa.table({"block": asked["block"].cast(pa.int64()), "shard": asked["shard"].cast(pa.int32()), "levels": pa.array(found, pa.binary()),
+                         "n": pa.array(once[0], pa.list_(pa.int64())), "c": pa.array(once[1], pa.list_(pa.int64()))})
+
+    asked = (blocks_.select("block", "train", "sizes", "ids", "end_id", "hashes")
+             .mapInArrow(ask, "block bigint, shard int, asked binary, n binary"))
+    answers = stored(asked.groupBy("shard").applyInArrow(
+        answer, "block bigint, shard int, levels binary, n array<bigint>, c array<bigint>"), "lm-pairs")
+    stats = (answers.where("n is not null").select(F.posexplode(F.arrays_zip("n", "c")).alias("level", "x")).groupBy("level")
+             .agg(F.sum("x.n").alias("n"), F.sum("x.c").alias("c")).where("n > 0").collect())  # a few dozen
+    return answers.select("block", "shard", "levels"), codebook_of(stats)
+
+
+def level_triples(blocks_: DataFrame, words: tuple[DataFrame, int], pairs: DataFrame, total: int) -> DataFrame:
     """(id, th, train, codes, times): for each document, how often each triple
     of levels (context, word, pair; see ``code_of``) occurs."""
     kind = blocks_.schema["id"].dataType.elementType.simpleString()
+    unused = unused_bits(total)
+    found_words, before = words     # the pairs' parts are numbered after the words'
+    answers = found_words.unionAll(pairs.withColumn("shard", (F.col("shard") + F.lit(before)).cast("int")))
 
     def join(part: pa.Table, found: pa.Table) -> pa.Table:
         block = Numbered.of(part, 0)
         a, b, which = block.pairs()
         known = np.frombuffer(part["known"][0].as_py(), np.int8)
         found = found.sort_by("shard")
-        of_pair = found["shard"].to_numpy() >= shards[0]
+        of_pair = found["shard"].to_numpy() >= before
         blobs = found["levels"].to_pylist()
         got = []
-        for (h, _, order), mine in zip(_asked(block, known, a, b, shards), (~of_pair, of_pair)):
+        for h, mine in ((block.hashes[known < 0], ~of_pair), (pair_hashes(block.hashes[a], block.hashes[b], unused), of_pair)):
             level = np.zeros(len(h), np.int64)
             answered = [unpacked(x, np.int8) for x, m in zip(blobs, mine) if m]
-            if answered:
-                level[order] = np.concatenate(answered)
+            if answered:    # in the order of the hashes, part after part
+                level[np.argsort(h, kind="stable")] = np.concatenate(answered)
             got.append(level)
         word = known.astype(np.int64)
         word[known < 0] = got[0]
@@ -573,9 +557,10 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     head = {bytes(r["w"]): r["c"] for r in head_rows}  # at most 1 / HEAD_SHARE words
     blocks_ = stored(number_texts(rows, head, divisor), "lm-blocks")
 
-    words, pairs = filter_parts(with_levels(counted, 1.0)), pair_filter(blocks_)
-    triples = stored(level_triples(blocks_, find_levels(blocks_, words, pairs), (words[1], pairs[1])), "lm-triples")
-    model = Model(total, kinds, words[2], pairs[2], np.zeros(1))
+    words = filter_parts(with_levels(hashed_words(counted), 1.0))
+    pairs, pair_codebook = pair_levels(blocks_, total)
+    triples = stored(level_triples(blocks_, (word_levels(blocks_, words), words[1]), pairs, total), "lm-triples")
+    model = Model(total, kinds, words[2], pair_codebook, np.zeros(1))
     if total:
         model.weights = fit_weights(triples.where("train"), model)
 

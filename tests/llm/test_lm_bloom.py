@@ -93,3 +93,42 @@ def test_weights_come_from_all_training_documents(spark):
     got = score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), F.lit(True)).where("doc_id >= 10000")
     for r in got.collect():
         assert r["score"] / r["n_tokens"] > -0.5 > r["base_score"] / r["n_tokens"]
+
+
+def test_score_equals_a_plain_model(spark):
+    """The same levels, codebooks and weights from exact counters; a false probe may change a few documents."""
+    from intentlane.llm.lm_bloom import _GRID, Model, code_of, levels_of
+    ship_package(spark)
+    rows = data()
+    tokens = lambda t: [w.lower() if w.isascii() else w.replace("W", "w") for w in (t or "").split()] + [None]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    texts = [(d, tokens(t)) for d, t, *_ in rows]
+    pairs_of = lambda ws: list(zip([None, *ws[:-1]], ws))
+    words = Counter(w for d, ws in texts if not held(d) for w in ws)
+    pairs = Counter(p for d, ws in texts if not held(d) for p in pairs_of(ws))
+    level = lambda c: int(levels_of(np.array([c]))[0])
+
+    def codebook(counts):
+        by = {}
+        for c in counts.values():
+            by.setdefault(level(c), []).append(c)
+        out = np.zeros(max(by) + 1)
+        for k in range(1, len(out)):
+            out[k] = np.mean(by[k]) if k in by else out[k - 1] * 1.5
+        return out
+
+    code = lambda p: int(code_of(level(words[p[0]]), level(words[p[1]]), level(pairs[p]) if words[p[0]] and words[p[1]] else 0))
+    model = Model(sum(words.values()), len(words), codebook(words), codebook(pairs), np.zeros(1))
+    seen = Counter(code(p) for d, ws in texts if not held(d) for p in pairs_of(ws))
+    codes, n = np.array(list(seen)), np.array(list(seen.values()))
+    single, pair, of = model.estimates(codes)
+    pair = np.maximum(pair - 1.0 / np.maximum(model.words[of], 1.0), 0.0)
+    gain = np.stack([np.bincount(of, n * np.log(w * pair + (1 - w) * single), minlength=len(model.words)) for w in _GRID], 1)
+    model.weights = _GRID[gain.argmax(1)]
+    model.weights[0] = 0.0
+    got = {}
+    for r in score_documents(spark.createDataFrame(rows, SCHEMA), ~is_rest(F.col("doc_id"), 10, 0)).collect():
+        got[r["doc_id"]] = r["score"]
+    want = {d: float(model.log10(np.array([code(p) for p in pairs_of(ws)])).sum()) for d, ws in texts}
+    equal = [abs(got[d] - want[d]) < 1e-6 * max(1, abs(want[d])) for d in want]
+    assert np.mean(equal) > 0.9 and all(abs(got[d] - want[d]) < 0.05 * abs(want[d]) + 3 for d in want)
