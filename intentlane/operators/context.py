@@ -8,7 +8,7 @@ before the shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intentlane import params as P
@@ -73,6 +73,35 @@ def persistent_profiles(requests: DataFrame, users: DataFrame, behavior: DataFra
     )
 
 
+def user_details(users: DataFrame) -> Column:
+    """CTX-2 ``detailed_info``: what the users table says of a user, with its
+    dates if the table has them (as ISO text)."""
+    dates = [(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if c in users.columns else F.lit(None).cast("string")).alias(c)
+             for c in ("created_at", "updated_at")]
+    return F.struct(F.col("id").cast("bigint").alias("id"), "name", "spending_tier",
+                    parse_tags(F.col("identity_tags")).alias("identity_tags"), *dates)
+
+
+def profile_documents(requests: DataFrame, users: DataFrame, behavior: DataFrame, as_of_us: int,
+                      lookback_us: int = P.ACTIVITY_LOOKBACK_US, request_col: str = "request_id") -> DataFrame:
+    """CTX-2 whole: one row per request with ``profile``, null if there is no
+    such user: id, name, spending_tier, identity_tags, detailed_info,
+    recent_activity(total_clicks_30d, unique_products_viewed_30d)."""
+    req = requests.withColumn("_uid", parse_user_id(F.col(request_col)))
+    info = users.select(F.col("id").alias("_uid"), user_details(users).alias("_info"))
+    act = activity(behavior, as_of_us, lookback_us).withColumnRenamed("user_id", "_uid")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("total_clicks_30d", "unique_products_viewed_30d")]
+    profile = F.struct(*[F.col(f"_info.{c}").alias(c) for c in ("id", "name", "spending_tier", "identity_tags")],
+                       F.col("_info").alias("detailed_info"), F.struct(*zero).alias("recent_activity"))
+    return (req.join(info, "_uid", "left").join(act, "_uid", "left")
+            .select(*requests.columns, F.when(F.col("_info").isNotNull(), profile).alias("profile")))
+
+
+def dated_snapshot(users: DataFrame) -> DataFrame:
+    """CTX-3 with the dates: (key, doc), the document of ``user_details``."""
+    return users.select(F.col("id").cast("string").alias("key"), F.to_json(user_details(users), {"ignoreNullFields": "false"}).alias("doc"))
+
+
 def profile_snapshot(users: DataFrame) -> DataFrame:
     """CTX-3: one JSON document per user (snake_case keys), keyed by the id
     as text: (key, doc)."""

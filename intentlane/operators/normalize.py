@@ -18,8 +18,10 @@ def _first_nonempty(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
-def normalize_behavior(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """NRM-1 -> user_id, action, sku_id, price, event_time_us, status."""
+def normalize_behavior(raw: DataFrame, value_col: str = "value", keep_raw: bool = False) -> DataFrame:
+    """NRM-1 -> user_id, action, sku_id, price, event_time_us, status; with
+    ``keep_raw`` also ``raw``, the message of a rejected row, so that the reject
+    output can be mended and replayed."""
     v = jsonx.parse(F.col(value_col))
     obj = jsonx.is_object(v)
     user = _first_nonempty(jsonx.get(v, "$.user_id"), jsonx.get(v, "$.userId"))
@@ -37,11 +39,14 @@ def normalize_behavior(raw: DataFrame, value_col: str = "value") -> DataFrame:
         F.when(obj, jsonx.get(v, "$.price", "double")).alias("price"),
         F.when(obj, epoch_number_to_us(ts_num)).alias("event_time_us"),
         status.alias("status"),
+        *([F.when(status != "ok", F.col(value_col)).alias("raw")] if keep_raw else []),
     )
 
 
-def decode_intents(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """NRM-2 -> user_id, event_type, timestamp_num, status.
+def decode_intents(raw: DataFrame, value_col: str = "value", keep_payload: bool = False) -> DataFrame:
+    """NRM-2 -> user_id, event_type, timestamp_num, status; with
+    ``keep_payload`` also reason, context (JSON text) and ``payload``, the
+    message itself, of accepted and rejected rows alike.
 
     user_id = first truthy of userId, user_id (stringified); event_type =
     eventType if truthy, else event_type, defaulting to HIGH_INTENT only when
@@ -65,6 +70,9 @@ def decode_intents(raw: DataFrame, value_col: str = "value") -> DataFrame:
         F.when(obj & user.isNotNull(), etype).alias("event_type"),
         F.when(obj & user.isNotNull(), ts).alias("timestamp_num"),
         status.alias("status"),
+        *([F.when(obj, jsonx.get(v, "$.reason")).alias("reason"),
+           F.when(obj, F.get_json_object(value_col, "$.context")).alias("context"),
+           F.col(value_col).alias("payload")] if keep_payload else []),
     )
 
 

@@ -41,15 +41,18 @@ def hashed_ngram_encoder(dim: int = DEFAULT_DIM, n: int = 3) -> Encoder:
 
     def encode(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         txt = F.coalesce(F.col(text_col), F.lit(""))
+        # cut into characters once: a substring per position would walk the text from its start each time
+        chars = F.filter(F.split(txt, ""), lambda c: c != "")
+        df = df.withColumn("_chars", chars)
         grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.char_length(txt) - F.lit(n - 1), F.lit(1))),
-            lambda i: F.substring(txt, i, n))
+            F.sequence(F.lit(1), F.greatest(F.size("_chars") - F.lit(n - 1), F.lit(1))),
+            lambda i: F.concat(*[F.coalesce(F.get("_chars", i + F.lit(k - 1)), F.lit("")) for k in range(n)]))
         staged = df.withColumn("_grams", grams)
         tf = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=dim)
         norm = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0)
         out = norm.transform(tf.transform(staged))
         return (out.withColumn(out_col, vector_to_array("_vec", "float32"))
-                .drop("_grams", "_tf", "_vec"))
+                .drop("_chars", "_grams", "_tf", "_vec"))
 
     return encode
 

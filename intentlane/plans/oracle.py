@@ -88,6 +88,16 @@ ORACLE["normalize_behavior"] = with_views(["v_behavior_json"], _J + [
 FROM n""")
 
 
+ORACLE["normalize_rejects"] = with_views(["v_behavior_json"], _J + [
+    ("n", f"""SELECT j.event_id, j.v, b.value, {_first_nonempty('$.user_id', '$.userId')} AS user_id,
+  TRY_CAST(json_extract(v, '$.timestamp') AS DOUBLE) AS ts_num FROM j JOIN v_behavior_json b ON b.event_id = j.event_id""")],
+    """SELECT event_id, CASE WHEN v IS NULL THEN 'invalid_json' WHEN user_id IS NULL THEN 'missing_user' ELSE 'missing_time' END AS status, value AS raw
+FROM n WHERE v IS NULL OR user_id IS NULL OR ts_num IS NULL""")
+
+ORACLE["intent_topic"] = with_views(["v_behavior"], high_intent_ctes(), """
+SELECT user_id AS key, user_id, event_type, reason, last_action, sku_id, price, event_time_us, 'ok' AS status, TRUE AS payload_kept FROM hi""", recursive=True)
+
+
 def _truthy(path: str) -> str:
     t = f"json_type(v, '{path}')"
     s = f"json_extract_string(v, '{path}')"
@@ -168,6 +178,16 @@ ORACLE["profile_snapshot"] = with_views(["v_users"], [_PROF], """
 SELECT CAST(id AS VARCHAR) AS key, id, name, spending_tier, array_to_string(tags, ',') AS identity_tags
 FROM prof""")
 
+_ISO = "'%Y-%m-%dT%H:%M:%S'"
+ORACLE["profile_document"] = with_views(["v_users", "v_users_dated", "v_behavior", "v_profile_requests"], [_ACT, _PROF, _PERS], f"""
+SELECT p.request_id, CAST(p.id AS DOUBLE) AS id, p.name, p.spending_tier, CASE WHEN has_profile THEN array_to_string(tags, ',') END AS identity_tags,
+  strftime(d.created_at, {_ISO}) AS created_at, strftime(d.updated_at, {_ISO}) AS updated_at,
+  CAST(total_clicks_30d AS DOUBLE) AS total_clicks_30d, CAST(unique_products_viewed_30d AS DOUBLE) AS unique_products_viewed_30d
+FROM pers p LEFT JOIN v_users_dated d ON d.id = p.id""")
+
+ORACLE["snapshot_document"] = with_views(["v_users", "v_users_dated"], [], f"""
+SELECT CAST(id AS VARCHAR) AS key, id, name, strftime(created_at, {_ISO}) AS created_at, strftime(updated_at, {_ISO}) AS updated_at FROM v_users_dated""")
+
 _SNAP = ("snap", """SELECT CAST(id AS VARCHAR) AS key, to_json(struct_pack(id := id, name := name,
   spending_tier := spending_tier, identity_tags := tags)) AS doc, tags, spending_tier
 FROM prof""")

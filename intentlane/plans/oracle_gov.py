@@ -239,3 +239,5 @@ SELECT c.event_id, c.user_id, c.t_us, c.t_us + {TMO} AS deadline_us FROM bt c JO
 WHERE c.action = 'add_to_cart'
   AND NOT EXISTS (SELECT 1 FROM bt p WHERE p.action = 'purchase' AND p.user_id = c.user_id
                   AND p.t_us > c.t_us AND p.t_us <= c.t_us + {TMO})""")
+
+ORACLE["realtime_profile_stream"] = ORACLE["realtime_profile"]

@@ -26,6 +26,8 @@ SELECT c_custkey AS id, c_name AS name,
                  CASE WHEN c_custkey % 5 = 0 THEN ',"vip"' ELSE '' END ||
                  CASE WHEN c_custkey % 7 = 0 THEN ',"new_user"' ELSE '' END || ']' END AS identity_tags
 FROM customer""",
+    "v_users_dated": """
+SELECT *, TIMESTAMP '2020-01-01 00:00:00' + to_hours(id) AS created_at, TIMESTAMP '2020-01-01 00:00:00' + to_hours(id * 2) AS updated_at FROM v_users""",
     "v_products": """
 SELECT 'sku_' || CAST(p_partkey AS VARCHAR) AS sku_id, p_name AS name, p_type AS category,
        CAST(p_partkey % 60 AS DOUBLE) * 10 AS price, CAST(p_size % 3 AS INTEGER) AS stock,

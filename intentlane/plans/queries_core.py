@@ -14,8 +14,9 @@ from intentlane.operators import context as ctx_ops
 from intentlane.operators import sketches as sk
 from intentlane.plans.registry import register
 from intentlane.session import scratch_path
+from intentlane.sources import sinks
 from intentlane.sources import views as V
-from intentlane.sources.tables import read_behavior_history, write_behavior_history, write_bucketed
+from intentlane.sources.tables import materialise, read_behavior_history, write_behavior_history, write_bucketed
 
 SNAPSHOT_BUCKETS = 16
 
@@ -55,6 +56,48 @@ def _joined(col: str, sep: str = ",") -> F.Column:
     return F.array_join(F.col(col), sep)
 
 
+@register("normalize_rejects")
+def q_normalize_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """NRM-1's side output: rejected messages as they came, with the reason."""
+    df = nrm.normalize_behavior(V.v_behavior_json(spark, sf), keep_raw=True)
+    return nrm.rejected(df).select("event_id", "status", "raw")
+
+
+@register("intent_topic")
+def q_intent_topic(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-1, SRC-2, NRM-2: the promotions as the topic's messages, written and
+    decoded again with reason, context and payload."""
+    intents = intent_ops.detect_high_intent(V.v_behavior(spark, sf), P.TEST_INTENT)
+    wire = materialise(sinks.intents_to_wire(intents), "intent-topic")
+    back = nrm.decode_intents(wire, keep_payload=True)
+    field = lambda name: F.get_json_object("context", f"$.{name}")
+    return back.select("key", "user_id", "event_type", "reason", field("last_action").alias("last_action"), field("sku_id").alias("sku_id"),
+                       field("price").cast("double").alias("price"), F.col("timestamp_num").cast("bigint").alias("event_time_us"), "status",
+                       (F.get_json_object("payload", "$.userId") == F.col("user_id")).alias("payload_kept"))
+
+
+@register("profile_document")
+def q_profile_document(spark: SparkSession, sf: str) -> DataFrame:
+    """CTX-2 whole: profile with detailed_info and recent_activity, flattened."""
+    docs = ctx_ops.profile_documents(V.v_profile_requests(spark, sf), V.v_users_dated(spark, sf), V.v_behavior(spark, sf),
+                                     P.TEST_AS_OF_US, P.TEST_ACTIVITY_LOOKBACK_US)
+    p = lambda path: F.col(f"profile.{path}")
+    return docs.select("request_id", p("id").cast("double").alias("id"), p("name").alias("name"), p("detailed_info.spending_tier").alias("spending_tier"),
+                       F.array_join(p("detailed_info.identity_tags"), ",").alias("identity_tags"),
+                       p("detailed_info.created_at").alias("created_at"), p("detailed_info.updated_at").alias("updated_at"),
+                       p("recent_activity.total_clicks_30d").cast("double").alias("total_clicks_30d"),
+                       p("recent_activity.unique_products_viewed_30d").cast("double").alias("unique_products_viewed_30d"))
+
+
+@register("snapshot_document")
+def q_snapshot_document(spark: SparkSession, sf: str) -> DataFrame:
+    """CTX-3 whole: snapshot documents with their dates, read back from the written table."""
+    snap = spark.read.parquet(sinks.write_snapshot(ctx_ops.dated_snapshot(V.v_users_dated(spark, sf)), scratch_path(spark, "snapshot")))
+    field = lambda name: F.get_json_object("doc", f"$.{name}")
+    return snap.select("key", field("id").cast("bigint").alias("id"), field("name").alias("name"), field("created_at").alias("created_at"),
+                       field("updated_at").alias("updated_at"))
+
+
 @register("activity_30d")
 def q_activity_30d(spark: SparkSession, sf: str) -> DataFrame:
     return ctx_ops.users_activity(V.v_users(spark, sf), V.v_behavior(spark, sf),

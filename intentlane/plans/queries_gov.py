@@ -216,6 +216,18 @@ def q_realtime_profile(spark: SparkSession, sf: str) -> DataFrame:
                     "realtime_interest")
 
 
+@register("realtime_profile_stream")
+def q_realtime_profile_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """DOC-3 on the events before ``as_of`` as a stream, which a closing row takes to that watermark."""
+    from intentlane.sources.streams import with_closing_row
+    from intentlane.streaming.profile_stream import profiles_as_of, realtime_profile_stream
+    src = intent_ops.with_time_us(V.v_behavior(spark, sf, stream_path=_events_glob(sf))).where(F.col("t_us") < P.TEST_AS_OF_US)
+    src = src.select("user_id", "event_id", "t_us", "sku_id", F.col("price").cast("double").alias("price"))
+    src = with_closing_row(src, at_us=P.TEST_AS_OF_US + P.US_PER_HOUR)
+    rows = _run_fold(spark, realtime_profile_stream(src, P.TEST_REALTIME_HORIZON_US), "realtime-profile")
+    return profiles_as_of(rows, P.TEST_AS_OF_US).select("user_id", "last_active_us", "n_events_window", "price_sensitive", "realtime_interest")
+
+
 @register("in_stock_offers")
 def q_in_stock_offers(spark: SparkSession, sf: str) -> DataFrame:
     skus = V.v_behavior(spark, sf).select("sku_id")

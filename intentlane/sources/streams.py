@@ -15,14 +15,19 @@ from intentlane.session import scratch_path
 END_OF_TIME_US = 7_258_118_400_000_000
 
 
+#: records that one micro-batch takes from a topic, unless the caller says otherwise
+MAX_OFFSETS_PER_TRIGGER = 5_000_000
+
+
 def kafka_source(spark: SparkSession, servers: str, topic: str,
-                 starting_offsets: str = "earliest") -> DataFrame:
+                 starting_offsets: str = "earliest", max_offsets_per_trigger: int = MAX_OFFSETS_PER_TRIGGER) -> DataFrame:
     """Raw Kafka records (key, value as strings, partition, offset, timestamp);
     offsets are tracked by the query checkpoint instead of manual commits."""
     return (spark.readStream.format("kafka")
             .option("kafka.bootstrap.servers", servers)
             .option("subscribe", topic)
             .option("startingOffsets", starting_offsets)
+            .option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))   # the first batch is not the whole topic
             .load()
             .select(F.col("key").cast("string").alias("key"),
                     F.col("value").cast("string").alias("value"),
@@ -31,12 +36,12 @@ def kafka_source(spark: SparkSession, servers: str, topic: str,
 
 def kafka_behavior(spark: SparkSession, servers: str, topic: str = P.TOPIC_BEHAVIOR) -> DataFrame:
     """SRC-1 + NRM-1: behaviour stream from the earliest offset, normalised."""
-    return normalize_behavior(kafka_source(spark, servers, topic, "earliest"))
+    return normalize_behavior(kafka_source(spark, servers, topic, "earliest"), keep_raw=True)
 
 
 def kafka_intents(spark: SparkSession, servers: str, topic: str = P.TOPIC_INTENT) -> DataFrame:
-    """SRC-2 + NRM-2: intent stream from the latest offset, decoded."""
-    return decode_intents(kafka_source(spark, servers, topic, "latest"))
+    """SRC-2 + NRM-2: intent stream from the latest offset, decoded, with reason, context and the raw payload."""
+    return decode_intents(kafka_source(spark, servers, topic, "latest"), keep_payload=True)
 
 
 def kafka_retries(spark: SparkSession, servers: str, topic: str = P.TOPIC_RETRY) -> DataFrame:
@@ -57,16 +62,15 @@ def dedupe_intents(intents: DataFrame, watermark: str = "1 hour",
     return intents.dropDuplicates(list(keys))
 
 
-def with_closing_row(events: DataFrame, time_col: str = "t_us") -> DataFrame:
-    """A replayed stream that ends: one more row, with the time
-    ``END_OF_TIME_US`` and empty or zero values elsewhere, moves the watermark
+def with_closing_row(events: DataFrame, time_col: str = "t_us", at_us: int = END_OF_TIME_US) -> DataFrame:
+    """A replayed stream that ends: one more row, with the time ``at_us`` and empty or zero values elsewhere, moves the watermark
     past all events, so that operators which hold rows until the watermark let
     all of them go. The replay must be one micro-batch (no limit per trigger),
     as the row comes with the first one and what came after it would be late. A live
     stream needs no such row; its next events move the watermark."""
     spark = events.sparkSession
     path = scratch_path(spark, "closing-row")
-    row = [F.lit(END_OF_TIME_US if f.name == time_col else "" if f.dataType.simpleString() == "string" else 0).cast(f.dataType).alias(f.name)
+    row = [F.lit(at_us if f.name == time_col else "" if f.dataType.simpleString() == "string" else 0).cast(f.dataType).alias(f.name)
            for f in events.schema]
     spark.range(1).select(*row).write.parquet(path)
     return events.unionByName(spark.readStream.schema(events.schema).parquet(path))

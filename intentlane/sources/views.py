@@ -83,6 +83,14 @@ def v_users(spark: SparkSession, sf_dir: str) -> DataFrame:
                     tags.alias("identity_tags"))
 
 
+def v_users_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with registration and update time (hours after 2020, by id)."""
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    hours = lambda h: F.make_dt_interval(hours=h.cast("int"))
+    users = v_users(spark, sf_dir)
+    return users.withColumns({"created_at": start + hours(F.col("id")), "updated_at": start + hours(F.col("id") * 2)})
+
+
 def v_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products: prices 0..590 in steps of 10 hit every tier edge."""
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size")
