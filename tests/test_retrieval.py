@@ -91,3 +91,15 @@ def test_knn_ties_break_by_id(spark):
         want = [int(j) for j in np.lexsort((np.arange(len(ix)), np.round(dist[i], 9)))[:7]]
         have = [r.id for r in sorted((r for r in got if r.query_id == 100 + i), key=lambda r: r.rank)]
         assert have == want
+
+
+def test_ngrams_are_those_of_every_position(spark):
+    """The encoder's vector against counts of all substrings of three characters, hashed alike."""
+    from pyspark.ml.feature import HashingTF
+    texts = ["", "ab", "abc", "light strong", "né\U0001f600x y", "a.b$c|d\\e\n f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: np.array(r.embedding) for r in ret.embed(df, "text").collect()}
+    grams = spark.createDataFrame([(i, [t[k:k + 3] for k in range(max(len(t) - 2, 1))]) for i, t in enumerate(texts)], "id int, g array<string>")
+    for r in HashingTF(inputCol="g", outputCol="v", numFeatures=64).transform(grams).collect():
+        want = r["v"].toArray()
+        assert np.allclose(got[r["id"]], want / np.linalg.norm(want), atol=1e-6)
