@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, records: int = 1_000):
+    """Arrow batches of at most so many rows for the jobs run inside, so that a
+    batch of long texts takes little memory on both sides; the session's own
+    setting is back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def crc_rest(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus`` (null for a null key)."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from intentlane.llm.common import is_rest, materialise, table
+from intentlane.llm.common import is_rest, materialise, small_batches, table
 from intentlane.llm.simhash import by_group
 
 STEP = 1.5             # ratio of neighbouring levels
@@ -263,7 +263,8 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Materialised; the shuffles behind it go once the driver has collected what refers to them."""
-    out = materialise(df, name)
+    with small_batches(df.sparkSession):
+        out = materialise(df, name)
     del df
     gc.collect()
     out.sparkSession._jvm.System.gc()
@@ -287,7 +288,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch["text"]:
                 seen.update(tokens(text.as_py()))
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     yield from out()
         yield from out()
 
