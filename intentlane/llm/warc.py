@@ -34,7 +34,8 @@ from intentlane.session import scratch_path
 
 ARCHIVE_BYTES = 16 << 20
 LEAST_REVISIT = 100
-FIRST_CAPTURE = "2000-01-01"    # of tables without a capture time: so many seconds later as the id says
+FIRST_CAPTURE = "2000-01-01 00:00:00"   # of tables without a capture time: so many seconds later as the id says
+CAPTURE_SPAN = 1_000_000_000            # seconds after which those times begin anew
 # fixed values: names that the format and its revisit profile prescribe
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,19 +117,23 @@ def _pack(archive_bytes: int):
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
                    date: Column | None = None, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write the archives of a page table under ``path``.
+    """Write the archives of a page table under ``path``. ``date`` is the capture
+    time, best as a ``timestamp_ntz`` in UTC; times of type timestamp are written
+    as the session's time zone shows them.
 
     Only payloads that several records share are looked up: their digests and
     first ids are one row per group, broadcast if Spark finds them small."""
     body = F.coalesce(F.col(body_col), F.lit(""))
     ident = F.col(id_col)
     if date is None:
-        seconds = F.xxhash64(ident) % 1_000_000_000 if ident_is_text(pages, id_col) else F.coalesce(ident.cast("bigint"), F.lit(0))
-        date = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE), "yyyy-MM-dd") + seconds)
+        number = F.xxhash64(ident) if ident_is_text(pages, id_col) else F.coalesce(ident.cast("bigint"), F.lit(0))
+        seconds = F.pmod(number, F.lit(CAPTURE_SPAN)).cast("decimal(18,6)")
+        date = F.lit(FIRST_CAPTURE).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    stamp = F.concat(F.substring(F.translate(date.cast("string"), " ", "T"), 1, 19), F.lit("Z"))
     digest = F.sha2(body.cast("binary"), 256)
     shared = (pages.where(F.octet_length(body) >= least).groupBy(digest.alias("_shared"))
               .agg(F.min(ident).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null").drop("_n"))
-    rows = pages.select(ident.alias("id"), F.col(url_col).alias("url"), F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+    rows = pages.select(ident.alias("id"), F.col(url_col).alias("url"), stamp.alias("date"),
                         digest.alias("digest"), body.alias("body"))
     joined = rows.join(materialise(shared, "warc-shared"), F.col("digest") == F.col("_shared"), "left")
     revisits = F.col("_first").isNotNull() & ~F.coalesce(F.col("id") == F.col("_first"), F.lit(False))
