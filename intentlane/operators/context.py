@@ -76,7 +76,8 @@ def persistent_profiles(requests: DataFrame, users: DataFrame, behavior: DataFra
 def user_details(users: DataFrame) -> Column:
     """CTX-2 ``detailed_info``: what the users table says of a user, with its
     dates if the table has them (as ISO text)."""
-    dates = [(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if c in users.columns else F.lit(None).cast("string")).alias(c)
+    # by text, as formatting would pass a timestamp_ntz through the session's time zone
+    dates = [(F.translate(F.col(c).cast("string"), " ", "T") if c in users.columns else F.lit(None).cast("string")).alias(c)
              for c in ("created_at", "updated_at")]
     return F.struct(F.col("id").cast("bigint").alias("id"), "name", "spending_tier",
                     parse_tags(F.col("identity_tags")).alias("identity_tags"), *dates)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from intentlane import params as P
 from intentlane.functions.text import parse_user_id
 from intentlane.functions.time import raw_time_range
-from intentlane.sources.tables import read_behavior_history
+from intentlane.sources.tables import read_behavior_history, utc_day
 
 LG_K = 12       # 4096 registers: 1.6 % standard error
 US_PER_DAY = P.US_PER_DAY
@@ -43,8 +43,7 @@ def sketched_activity(spark: SparkSession, sketches: str, history: str, as_of_us
     whole = read_behavior_history(spark, sketches, since if since == first_day else first_day + US_PER_DAY)
     days = whole.select("user_id", "clicks", "products")
     if since != first_day:      # the horizon starts within this day
-        raw = read_behavior_history(spark, history, since).where(
-            (F.col("event_date") < F.timestamp_micros(F.lit(first_day + US_PER_DAY)).cast("date")))
+        raw = read_behavior_history(spark, history, since).where(F.col("event_date") < F.lit(utc_day(first_day + US_PER_DAY)))
         edge = daily_sketches(raw.where(raw_time_range(raw, time_col, lo_us=since)), time_col)
         days = days.unionByName(edge.select("user_id", "clicks", "products"))
     return days.groupBy("user_id").agg(

@@ -106,14 +106,15 @@ def write_behavior_history(behavior: DataFrame, path: str, time_col: str = "even
 def read_behavior_history(spark: SparkSession, path: str, since_us: int | None = None) -> DataFrame:
     """SRC-7: the partitioned history; with ``since_us`` only the partitions of
     that day and later ones."""
-    from datetime import datetime, timezone
-
     from pyspark.sql import functions as F
     history = spark.read.parquet(path)
-    if since_us is None:
-        return history
-    day = datetime.fromtimestamp(since_us // 1_000_000, tz=timezone.utc).date()
-    return history.where(F.col("event_date") >= F.lit(day))
+    return history if since_us is None else history.where(F.col("event_date") >= F.lit(utc_day(since_us)))
+
+
+def utc_day(t_us: int):
+    """The date of an epoch time, whatever the session's time zone."""
+    from datetime import datetime, timezone
+    return datetime.fromtimestamp(t_us // 1_000_000, tz=timezone.utc).date()
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> str:
