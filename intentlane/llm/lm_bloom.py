@@ -76,6 +76,11 @@ def pair_hashes(left: np.ndarray, right: np.ndarray, unused: int = 0) -> np.ndar
     return _mix(left * np.uint64(0x9E3779B97F4A7C15) + right) >> np.uint64(unused) << np.uint64(unused)
 
 
+def give_back() -> None:
+    """Return what Arrow keeps of freed memory to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+
+
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -149,6 +154,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             part = batch.slice(at, n - at)
             yield part, Block.of(part[column].to_pylist())
             at = n
+        give_back()
 
 
 # ---------------------------------------------------------------------- filter
@@ -281,6 +287,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             words, counts = list(seen), list(seen.values())
             seen.clear()
+            give_back()
             for at in range(0, len(words), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[at:at + 100_000], pa.binary()),
                                                   pa.array(counts[at:at + 100_000], pa.int64())], names=["w", "c"])
@@ -428,6 +435,7 @@ def pair_levels(blocks_: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
                      pa.array([packed(x) for x in np.split(n[order], first[1:])], pa.binary())], names=["block", "shard", "asked", "n"])
 
     def answer(asked: pa.Table) -> pa.Table:
+        give_back()
         all_ = [unpacked_hashes(x, unused) for x in asked["asked"].to_pylist()]
         h, which = np.unique(np.concatenate(all_), return_inverse=True)
         c = np.bincount(which, np.concatenate([unpacked(x, np.uint32) for x in asked["n"].to_pylist()]), minlength=len(h)).astype(np.int64)
@@ -459,6 +467,7 @@ def level_triples(blocks_: DataFrame, words: tuple[DataFrame, int], pairs: DataF
     answers = found_words.unionAll(pairs.withColumn("shard", (F.col("shard") + F.lit(before)).cast("int")))
 
     def join(part: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()
         block = Numbered.of(part, 0)
         a, b, which = block.pairs()
         known = np.frombuffer(part["known"][0].as_py(), np.int8)
