@@ -10,14 +10,14 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-STREAMING = {"high_intent_stream", "send_gate_stream", "retry_routing_stream", "catalog_sync"}
-PY_NODES = ("MapInPandas", "FlatMapCoGroupsInPandas", "ArrowEvalPython", "BatchEvalPython",
+WRITES = {"catalog_sync", "catalog_upsert", "script_ingest", "retry_loop"}     # and every key that ends in _stream
+PY_NODES = ("MapInPandas", "MapInArrow", "FlatMapCoGroupsInPandas", "ArrowEvalPython", "BatchEvalPython",
             "FlatMapGroupsInPandas")
 
 
 def summarize(plan: str) -> dict:
     scans = re.findall(r"FileScan parquet \[[^\]]*\].*?PushedFilters: \[([^\]]*)\].*?"
-                       r"ReadSchema: struct<([^>]*(?:<[^>]*>)?[^>]*)>", plan)
+                       r"ReadSchema: struct<([^>\n]*(?:<[^>\n]*>)?[^>\n]*)>", plan)
     return {
         "exchanges": plan.count("Exchange "),
         "broadcasts": plan.count("BroadcastExchange"),
@@ -29,18 +29,19 @@ def summarize(plan: str) -> dict:
 
 def main(sf_dir: str = "/root/testdata/sf0.01", out: str = "PLANS.md") -> None:
     from intentlane.session import build_session
-    import __spark_entry__ as E
+    from intentlane.plans.registry import all_queries
     spark = build_session("local[8]", shuffle_partitions=8)
     lines = ["# PLANS — physical plan summary per query key", "",
              f"Generated by `python tests/plan_report.py` on `{sf_dir}` (initial adaptive plans: "
              "AQE may still turn shuffle joins into broadcasts and coalesce partitions at run time). "
-             "Streaming keys and the index sync write output and are listed without plans. "
+             "Streaming keys and the index jobs write output and are listed without plans; of keys that "
+             "write an intermediate table first, the plan after it is shown. "
              "Shuffle counts include the plans of scalar subqueries (the k-NN block counts are "
              "single-partition count aggregations over zero-column scans).", "",
              "| key | shuffles | broadcasts | Python stages | nested loop | scans: read schema / pushed filters |",
              "| --- | --- | --- | --- | --- | --- |"]
-    for k, fn in E.queries().items():
-        if k in STREAMING:
+    for k, fn in all_queries().items():
+        if k in WRITES or k.endswith("_stream"):
             lines.append(f"| {k} | (streaming / writes) | | | | |")
             continue
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
