@@ -55,7 +55,7 @@ class OrderedFold(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-        earliest, horizon = self.wake.get() if self.wake.exists() else (-1, -1)
+        earliest, horizon = self.wake.get() or (-1, -1)
         first = earliest
         for pdf in rows:
             behind = pdf[self.order[0]] <= wm_us if wm_us > 0 else pd.Series(False, index=pdf.index)
@@ -72,7 +72,7 @@ class OrderedFold(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-        earliest, horizon = self.wake.get() if self.wake.exists() else (-1, -1)
+        earliest, horizon = self.wake.get() or (-1, -1)
         if 0 <= earliest < wm_us or 0 <= horizon < wm_us:
             held = [list(chain.from_iterable(c)) for c in zip(*self.held.get())] or [[] for _ in self.names]
             pdf = pd.DataFrame({n: c for n, c in zip(self.names, held)})
@@ -83,13 +83,22 @@ class OrderedFold(StatefulProcessor):
             else:
                 self.held.clear()
             pdf = pdf[ready].sort_values(self.order, kind="mergesort", ignore_index=True)
-            out, state, horizon = self.fold(key, pdf, self.state.get() if self.state.exists() else None, wm_us)
-            if state is None:
-                self.state.clear()
-                horizon = -1
-            else:
+            before = self.state.get()
+            out, state, horizon = self.fold(key, pdf, before, wm_us)
+            if out is not None and len(out):
+                yield out.assign(late=False)[self.out]
+            if state is not None and horizon < wm_us and len(pdf):
+                # the watermark has passed the horizon too: no need to wake again for it
+                out, state, horizon = self.fold(key, pdf.iloc[:0], state, wm_us)
+                if out is not None and len(out):
+                    yield out.assign(late=False)[self.out]
+            if state is not None:
                 self.state.update(state)
                 self._register(horizon)
+            else:
+                horizon = -1
+                if before is not None:
+                    self.state.clear()
             earliest = int(rest[self.order[0]].min()) if len(rest) else -1
             if earliest >= 0:
                 self._register(earliest)
@@ -97,8 +106,6 @@ class OrderedFold(StatefulProcessor):
                 self.wake.clear()
             else:
                 self.wake.update((earliest, horizon))
-            if out is not None and len(out):
-                yield out.assign(late=False)[self.out]
 
     def close(self) -> None:
         pass
