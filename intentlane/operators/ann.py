@@ -14,23 +14,27 @@ of a row costs about the square root of the number of cells.
 neighbours are found, and the number of cells to visit is read off the ranks
 of the cells that hold them. Visiting all cells is the exact search.
 
-Index and queries meet in one task per cell; a cell that holds more than
-``block_rows`` rows of either side is cut into blocks, by its own size, so
-neither a dense region nor a popular one is one task, and no other cell is
-copied for it."""
+Index and queries meet by bins: neighbouring cells with about ``block_rows`` index
+rows together. A query goes once to each bin that holds a cell it visits, with one
+bit a cell, however many cells that are, and is compared there with the rows of
+those cells alone. A cell of more rows is a bin of its own and is cut into blocks,
+as are the queries of a bin, so neither a dense region nor a popular one is one
+task, and no other bin is copied for it."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intentlane.operators.retrieval import _local_topk, knn
+from intentlane.operators.retrieval import give_back, knn, nearest_rows, vector_rows
 from intentlane.session import ship_package
 from intentlane.sources.tables import materialise
 
@@ -41,6 +45,9 @@ BEAM = 8                      # coarse centres whose cells are looked at, at lea
 CALIBRATION_QUERIES = 256     # queries whose exact neighbours set the probes
 RECALL = 0.9
 MARGIN = 0.04                 # aim above the wanted recall, as the sample is small
+BIN_CELLS = 1_024             # cells of a bin, at most
+SLICE_ROWS = 1_024            # vectors whose cells are looked for at once, and
+SLICE_CELLS = 1 << 20         # cells that these have together
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -91,12 +98,18 @@ class Cells:
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of a list column that have ``dim`` finite components and a
     direction, and their row numbers."""
-    rows = [i for i, v in enumerate(column) if v.is_valid and len(v) == dim]
-    if not rows:
-        return np.zeros((0, dim)), np.zeros(0, np.int64)
-    vectors = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-    good = np.isfinite(vectors).all(axis=1) & vectors.any(axis=1)
-    return vectors[good], np.array(rows)[good]
+    vectors, rows = vector_rows(column, dim)
+    good = np.isfinite(vectors).all(axis=1)
+    return vectors[good], rows[good]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose rows have ``SLICE_CELLS`` cells together at
+    ``each`` cells a row, so that memory follows neither the batch nor the cells."""
+    step = max(1, min(SLICE_ROWS, SLICE_CELLS // max(1, each)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def fit_cells(index: DataFrame, i_id: str = "id", i_vec: str = "embedding", rows_per_cell: int = ROWS_PER_CELL) -> Cells:
@@ -120,7 +133,7 @@ def assign(df: DataFrame, cells: Cells, id_col: str, vec_col: str, n: int, out:
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, vec_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, max(n, 1 if cells.coarse is not None else len(cells))):
             vectors, rows = _matrix(batch["v"], dim)
             near = sent.value.nearest(vectors, n)
             again = pa.array(np.repeat(rows, [len(c) for c in near]) if near else np.zeros(0, np.int64), pa.int64())
@@ -149,7 +162,7 @@ def choose_probes(queries: DataFrame, index: DataFrame, placed: DataFrame, cells
     dim = cells.centroids.shape[1]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, len(sent.value)):
             vectors, rows = _matrix(batch["embedding"], dim)
             wanted = [batch["homes"][int(i)].as_py() for i in rows]
             for n in tries:
@@ -166,8 +179,89 @@ def choose_probes(queries: DataFrame, index: DataFrame, placed: DataFrame, cells
     return len(cells)
 
 
-def _blocks(cells: DataFrame, name: str, block_rows: int) -> DataFrame:
-    return cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+@dataclass
+class Bins:
+    """Cells put together: the bin of each cell (-1: no index row) and the cell's
+    place in it, and the blocks that a bin's rows are cut into."""
+    of: np.ndarray
+    place: np.ndarray
+    blocks: np.ndarray
+
+    @staticmethod
+    def fit(cells: Cells, sizes: np.ndarray, block_rows: int) -> "Bins":
+        order = np.arange(len(cells)) if cells.coarse is None else np.concatenate(cells.members)
+        of, place, rows, inside = np.full(len(cells), -1, np.int32), np.zeros(len(cells), np.int32), [], 0
+        for c in order[sizes[order] > 0].tolist():
+            if not rows or rows[-1] + sizes[c] > block_rows or inside == BIN_CELLS:
+                rows.append(0)
+                inside = 0
+            of[c], place[c] = len(rows) - 1, inside
+            rows[-1] += int(sizes[c])
+            inside += 1
+        return Bins(of, place, np.array([math.ceil(r / block_rows) for r in rows], np.int32))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(cell, bin, place, _ibs) of the cells with rows, at most one row a centroid."""
+        cell = np.flatnonzero(self.of >= 0)
+        return spark.createDataFrame(pa.table({
+            "cell": pa.array(cell, pa.int32()), "bin": pa.array(self.of[cell], pa.int32()), "place": pa.array(self.place[cell], pa.int32()),
+            "_ibs": pa.array(self.blocks[self.of[cell]], pa.int32())}))
+
+
+def ask(queries: DataFrame, cells: Cells, bins: Bins, id_col: str, vec_col: str, n: int) -> DataFrame:
+    """(_qid, _qv, bin, visits): a row for each bin that holds one of a query's ``n``
+    nearest cells; ``visits`` has a bit for each cell of the bin."""
+    sent = queries.sparkSession.sparkContext.broadcast((cells, bins))
+    dim = cells.centroids.shape[1]
+    kinds = [queries.schema[c].dataType.simpleString() for c in (id_col, vec_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells_, bins_ = sent.value
+        used = np.flatnonzero(bins_.of >= 0)
+        used = used[np.lexsort((bins_.place[used], bins_.of[used]))]
+        column = np.full(len(cells_), len(used))      # cells without rows share the last column
+        column[used] = np.arange(len(used))
+        edges = np.searchsorted(bins_.of[used], np.arange(len(bins_.blocks) + 1))
+        for batch in _slices(batches, len(cells_)):
+            vectors, rows = _matrix(batch["v"], dim)
+            on = np.zeros((len(rows), len(used) + 1), bool)
+            for i, near in enumerate(cells_.nearest(vectors, n)):
+                on[i, column[near]] = True
+            take, which, visits = [], [], []
+            for b, (first, past) in enumerate(zip(edges[:-1], edges[1:])):
+                hit = np.flatnonzero(on[:, first:past].any(axis=1))
+                take.append(rows[hit])
+                which.append(np.full(len(hit), b))
+                visits += [x.tobytes() for x in np.packbits(on[hit, first:past], axis=1)]
+            again = pa.array(np.concatenate([*take, np.zeros(0, np.int64)]), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch["i"].take(again), batch["v"].take(again), pa.array(np.concatenate([*which, np.zeros(0)]).astype(np.int32)),
+                 pa.array(visits, pa.binary())], names=["_qid", "_qv", "bin", "visits"])
+
+    return (queries.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v"))
+            .mapInArrow(run, f"_qid {kinds[0]}, _qv {kinds[1]}, bin int, visits binary"))
+
+
+def _bin_topk(k: int):
+    """Each query's k nearest rows of one block of a bin, among the cells it visits."""
+    def run(q: pa.Table, ix: pa.Table) -> pa.Table:
+        give_back()
+        qm, q_rows = vector_rows(q["_qv"])
+        im, i_rows = vector_rows(ix["_iv"])
+        q_ids, i_ids = q["_qid"].take(pa.array(q_rows)), ix["_iid"].take(pa.array(i_rows))
+        row = at = np.zeros(0, np.int64)
+        dist = np.zeros(0)
+        if len(qm) and len(im):
+            bits = np.frombuffer(b"".join(q["visits"].take(pa.array(q_rows)).to_pylist()), np.uint8).reshape(len(qm), -1)
+            cell = ix["place"].to_numpy()[i_rows]
+            by_id = pc.sort_indices(i_ids).to_numpy()
+            by_cell = by_id[np.argsort(cell[by_id], kind="stable")]
+            of_id = np.empty(len(by_id), np.int64)
+            of_id[by_id] = np.arange(len(by_id))
+            row, at, dist = nearest_rows(qm, im[by_cell], of_id[by_cell], k, np.unpackbits(bits, axis=1).astype(bool), cell[by_cell])
+            at = by_id[at]
+        return pa.table({"_qid": q_ids.take(pa.array(row)), "_iid": i_ids.take(pa.array(at)), "_dist": pa.array(dist, pa.float64())})
+    return run
 
 
 def knn_approx(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i_id: str = "id", q_vec: str = "embedding",
@@ -181,16 +275,23 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i
     placed = materialise(assign(index, cells, i_id, i_vec, 1, ("_iid", "_iv")), "ann-index")
     if probes is None:
         probes = choose_probes(queries, index, placed, cells, k, q_id, i_id, q_vec, i_vec, recall)
-    asked = materialise(assign(queries, cells, q_id, q_vec, probes, ("_qid", "_qv")), "ann-queries")
-    cuts = _blocks(placed, "_ibs", block_rows).join(_blocks(asked, "_qbs", block_rows), "cell")
-    ix = placed.join(cuts, "cell").select("cell", "_iid", "_iv", F.pmod(F.xxhash64("_iid"), F.col("_ibs")).alias("_ib"),
-                                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_qbs") - 1)).alias("_qb"))
-    qs = asked.join(cuts, "cell").select("cell", "_qid", "_qv", F.pmod(F.xxhash64("_qid"), F.col("_qbs")).alias("_qb"),
-                                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ibs") - 1)).alias("_ib"))
+    counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()     # at most one row a centroid
+    sizes = np.zeros(len(cells), np.int64)
+    sizes[[r["cell"] for r in counted]] = [r["n"] for r in counted]
+    bins = Bins.fit(cells, sizes, block_rows)
+    asked = materialise(ask(queries, cells, bins, q_id, q_vec, probes), "ann-queries")
+    cuts = bins.table(queries.sparkSession)
+    q_cuts = asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_qbs"))
+    ix = (placed.join(F.broadcast(cuts), "cell").join(q_cuts, "bin")
+          .select("bin", "place", "_iid", "_iv", F.pmod(F.xxhash64("_iid"), F.col("_ibs")).alias("_ib"),
+                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_qbs") - 1)).alias("_qb")))
+    qs = (asked.join(cuts.select("bin", "_ibs").distinct(), "bin").join(q_cuts, "bin")
+          .select("bin", "visits", "_qid", "_qv", F.pmod(F.xxhash64("_qid"), F.col("_qbs")).alias("_qb"),
+                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ibs") - 1)).alias("_ib")))
     out = T.StructType([T.StructField("_qid", queries.schema[q_id].dataType), T.StructField("_iid", index.schema[i_id].dataType),
                         T.StructField("_dist", T.DoubleType())])
-    keys = ["cell", "_qb", "_ib"]
-    local = qs.groupBy(*keys).cogroup(ix.groupBy(*keys)).applyInPandas(_local_topk(k, q_id, i_id), schema=out)
+    keys = ["bin", "_qb", "_ib"]
+    local = qs.groupBy(*keys).cogroup(ix.groupBy(*keys)).applyInArrow(_bin_topk(k), schema=out)
     order = Window.partitionBy("_qid").orderBy(F.round("_dist", 9), F.col("_iid"))
     return (local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias("query_id"), F.col("_iid").alias("id"), F.col("_dist").alias("distance"), "rank"))

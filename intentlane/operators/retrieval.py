@@ -6,11 +6,11 @@ k-NN plan (RET-2). Exact top-k must score every (query, candidate) pair,
 but pairs are never materialised as rows: queries and index rows are cut
 into blocks of about ``block_rows`` rows (the block counts are scalar
 subqueries over the table sizes, evaluated inside the job), each
-(query block, index block) pair meets in one cogroup task, a NumPy matrix
-product scores it in float64 and only each query's local top-k leaves the
-task; one window per query keeps the global top-k of at most
-``index_blocks * k`` candidates. Every group is bounded by ``block_rows``
-per side, whatever the data size, and no side is broadcast.
+(query block, index block) pair meets in one cogroup task, NumPy matrix
+products score it in float64, a small tile at a time, and only each query's
+local top-k leaves the task; one window per query keeps the global top-k of
+at most ``index_blocks * k`` candidates. Every group is bounded by
+``block_rows`` per side, whatever the data size, and no side is broadcast.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -91,47 +93,129 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding",
 
 
 # --------------------------------------------------------------------- RET-2
-def _local_topk(k: int, q_id: str, i_id: str, sub_rows: int = 256):
-    """Per (query block, index block): float64 cosine distances by one matrix
-    product per slice of ``sub_rows`` queries, then each query's k nearest by
-    (distance rounded to 1e-9, id) -- the key the final window uses. One
-    ``argpartition`` and one ``lexsort`` over the whole slice; only rows with
-    ties at the k-th distance take an exact per-row pass."""
-    def run(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
+SLICE_QUERIES = 256           # queries and
+TILE_ROWS = 2_048             # index rows whose distances are held at once
+
+
+def vector_rows(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column that are not null and not zero, in float64,
+    and their row numbers. With ``dim`` those of that many components, else all
+    must have the same number. Null components are NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(sizes)
+    if len(rows):
+        some = np.logical_or.reduceat(values != 0, (np.cumsum(sizes) - sizes)[rows])
+        if dim is not None:
+            some &= sizes[rows] == dim
+        values, rows = values[np.repeat(some, sizes[rows])], rows[some]
+    if not len(rows):
+        return np.zeros((0, dim or 0)), rows
+    width = int(sizes[rows[0]])
+    if (sizes[rows] != width).any():
+        raise ValueError("vectors have different numbers of components")
+    return values.reshape(-1, width), rows
+
+
+class _Best:
+    """The k nearest rows met so far of some queries, by (distance rounded to
+    1e-9, place of the row)."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.key = np.full((n, k), np.inf)
+        self.place = np.full((n, k), np.iinfo(np.int64).max)
+        self.dist = np.full((n, k), np.nan)
+
+    def add(self, queries: np.ndarray, place: np.ndarray, dist: np.ndarray) -> None:
+        """Distances of the ``queries`` (numbers, one a row of ``dist``) to the rows at
+        ``place``; infinite ones are of rows that the query does not look at."""
+        reach = self.key[queries, -1]
+        if np.isinf(reach).any() and dist.shape[1] > self.k:     # a first bound from the rows at hand
+            reach = np.minimum(reach, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
+        row, column = np.nonzero(dist <= (reach + 1e-9)[:, None])
+        found = dist[row, column]
+        key, at, q = np.round(found, 9), place[column], queries[row]
+        last = self.key[q, -1]
+        better = (key < last) | ((key == last) & (at < self.place[q, -1]))
+        better &= ~np.isposinf(found)
+        if not better.any():
+            return
+        self._merge(q[better], key[better], at[better], found[better])
+
+    def add_without_distance(self, queries: np.ndarray, place: np.ndarray) -> None:
+        """Rows whose distance is not a number come after all others."""
+        q, at = np.repeat(queries, len(place)), np.tile(place, len(queries))
+        self._merge(q, np.full(len(q), np.inf), at, np.full(len(q), np.nan))
+
+    def _merge(self, q: np.ndarray, key: np.ndarray, place: np.ndarray, dist: np.ndarray) -> None:
+        hit = np.unique(q)
+        q = np.concatenate([q, np.repeat(hit, self.k)])
+        key, place, dist = (np.concatenate([new, held[hit].ravel()])
+                            for new, held in ((key, self.key), (place, self.place), (dist, self.dist)))
+        order = np.lexsort((place, key, q))
+        first = np.searchsorted(q[order], hit)      # every query met has k places at least
+        take = order[(first[:, None] + np.arange(self.k)[None, :])]
+        self.key[hit], self.place[hit], self.dist[hit] = key[take], place[take], dist[take]
+
+
+def nearest_rows(qm: np.ndarray, im: np.ndarray, place: np.ndarray, k: int, visits: np.ndarray | None = None,
+                 group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, place, cosine distance) of each query's k nearest rows by
+    (distance rounded to 1e-9, place). Float64 matrix products of SLICE_QUERIES
+    queries and TILE_ROWS rows, so memory does not follow the size of either side.
+
+    With ``visits`` (queries by groups, boolean) and ``group`` (of each row, rising) a
+    query looks at the rows of its groups only."""
+    qn, inn = np.sqrt((qm * qm).sum(axis=1)), np.sqrt((im * im).sum(axis=1))
+    odd = not (np.isfinite(qn).all() and np.isfinite(inn).all())
+    # queries that look at the same groups are near each other
+    turn = np.arange(len(qm)) if visits is None else np.argsort(visits.argmax(axis=1), kind="stable")
+    best = _Best(len(qm), k)
+    for s in range(0, len(turn), SLICE_QUERIES):
+        mine = turn[s:s + SLICE_QUERIES]
+        for t in range(0, len(im), TILE_ROWS):
+            rows, queries, mask = np.arange(t, min(t + TILE_ROWS, len(im))), mine, None
+            if visits is not None:
+                seen = visits[mine, group[t]:group[rows[-1]] + 1]
+                rows = rows[seen.any(axis=0)[group[rows] - group[t]]]
+                queries, seen = mine[seen.any(axis=1)], seen[seen.any(axis=1)]
+                if not len(queries):
+                    continue
+                mask = seen[:, group[rows] - group[t]]
+            dist = qm[queries] @ im[rows].T
+            with np.errstate(invalid="ignore"):
+                dist /= np.outer(qn[queries], inn[rows])
+            np.subtract(1.0, dist, out=dist)
+            if mask is not None and not mask.all():
+                dist[~mask] = np.inf
+            if odd:
+                for i in np.flatnonzero(np.isnan(dist).any(axis=1)).tolist():
+                    best.add_without_distance(queries[i:i + 1], place[rows[np.isnan(dist[i])]])
+                dist[np.isnan(dist)] = np.inf
+            best.add(queries, place[rows], dist)
+    row, column = np.nonzero(best.place < np.iinfo(np.int64).max)
+    return row, best.place[row, column], best.dist[row, column]
+
+
+def give_back() -> None:
+    """Return what Arrow keeps of freed memory to the system: workers live on between groups."""
+    pa.default_memory_pool().release_unused()
+
+
+def _local_topk(k: int):
+    """Each query's k nearest rows of one (query block, index block)."""
+    def run(q: pa.Table, ix: pa.Table) -> pa.Table:
+        give_back()
         # a missing or zero vector has no direction: it is neither found nor finds anything
-        q, ix = (x[x[v].map(lambda a: a is not None and bool(np.any(a))).astype(bool)] for x, v in ((q, "_qv"), (ix, "_iv")))
-        if q.empty or ix.empty:
-            return pd.DataFrame({"_qid": [], "_iid": [], "_dist": []})
-        qm = np.stack(q["_qv"].to_numpy()).astype(np.float64)
-        im = np.stack(ix["_iv"].to_numpy()).astype(np.float64)
-        qn = np.sqrt((qm * qm).sum(axis=1))
-        inn = np.sqrt((im * im).sum(axis=1))
-        iids = ix["_iid"].to_numpy()
-        qids = q["_qid"].to_numpy()
-        n_i = len(iids)
-        kk = min(k, n_i)
-        out_q, out_i, out_d = [], [], []
-        for s in range(0, len(qm), sub_rows):
-            dist = 1.0 - (qm[s:s + sub_rows] @ im.T) / np.outer(qn[s:s + sub_rows], inn)
-            key = np.round(dist, 9)
-            rows = np.arange(dist.shape[0])[:, None]
-            sel = (np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < n_i
-                   else np.tile(np.arange(n_i), (dist.shape[0], 1)))
-            sel_key = key[rows, sel]
-            order = np.lexsort((iids[sel], sel_key), axis=1)
-            sel = np.take_along_axis(sel, order, axis=1)
-            if kk < n_i:
-                # ties at the k-th key: the partition may have kept the wrong ids
-                kth = sel_key.max(axis=1)
-                tied = np.flatnonzero((key <= kth[:, None]).sum(axis=1) > kk)
-                for r in tied.tolist():
-                    cand = np.flatnonzero(key[r] <= kth[r])
-                    sel[r] = cand[np.lexsort((iids[cand], key[r][cand]))[:kk]]
-            out_q.append(np.repeat(qids[s:s + sub_rows], kk))
-            out_i.append(iids[sel].ravel())
-            out_d.append(dist[rows, sel].ravel())
-        return pd.DataFrame({"_qid": np.concatenate(out_q), "_iid": np.concatenate(out_i),
-                             "_dist": np.concatenate(out_d)})
+        qm, q_rows = vector_rows(q["_qv"])
+        im, i_rows = vector_rows(ix["_iv"])
+        q_ids, i_ids = q["_qid"].take(pa.array(q_rows)), ix["_iid"].take(pa.array(i_rows))
+        order = pc.sort_indices(i_ids).to_numpy()      # of equal distances the smallest ids
+        row, at, dist = nearest_rows(qm, im[order], np.arange(len(im)), k) if len(qm) and len(im) else (np.zeros(0, np.int64),) * 3
+        return pa.table({"_qid": q_ids.take(pa.array(row)), "_iid": i_ids.take(pa.array(order[at])), "_dist": pa.array(dist, pa.float64())})
     return run
 
 
@@ -163,7 +247,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i_id: st
         T.StructField("_dist", T.DoubleType())])
     keys = [*pcols, "_qb", "_ib"]
     local = (q.groupBy(*keys).cogroup(ix.groupBy(*keys))
-             .applyInPandas(_local_topk(k, q_id, i_id), schema=out_schema))
+             .applyInArrow(_local_topk(k), schema=out_schema))
     w = Window.partitionBy("_qid").orderBy(F.round("_dist", 9), F.col("_iid"))
     return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("_qid").alias("query_id"), F.col("_iid").alias("id"),

@@ -79,3 +79,24 @@ def test_odd_vectors_and_empty(spark):
     assert got == {(a, b) for a in (1, 5) for b in (1, 5)}
     assert ann.knn_approx(index.limit(0), index, 3).count() == 0
     assert ann.knn_approx(index, index.limit(0), 3).count() == 0
+
+
+def test_a_query_travels_once_a_bin(spark):
+    """Random vectors, so that most of many small cells are visited: what is sent follows the bins, not the cells."""
+    rng = np.random.default_rng(8)
+    index = table(spark, rng.normal(size=(600, 8)))
+    cells = ann.fit_cells(index, rows_per_cell=10)
+    placed = ann.assign(index, cells, "id", "embedding", 1, ("_iid", "_iv"))
+    sizes = np.zeros(len(cells), np.int64)
+    for r in placed.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+    bins = ann.Bins.fit(cells, sizes, 200)
+    rows = np.bincount(bins.of[bins.of >= 0], sizes[bins.of >= 0])
+    assert rows.sum() == 600 and rows.max() <= 200 and len(rows) <= 6
+    asked = ann.ask(index, cells, bins, "id", "embedding", 40).collect()
+    assert len(asked) <= 600 * len(rows)        # 600 * 40 rows before
+    bits = sum(bin(int.from_bytes(r["visits"])).count("1") for r in asked)
+    assert bits == 600 * 40
+    found = ann.knn_approx(index, index, 5, probes=len(cells), rows_per_cell=10, block_rows=150)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"]) for r in df.collect())
+    assert key(found) == key(knn(index, index, 5))
