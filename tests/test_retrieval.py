@@ -103,3 +103,30 @@ def test_ngrams_are_those_of_every_position(spark):
     for r in HashingTF(inputCol="g", outputCol="v", numFeatures=64).transform(grams).collect():
         want = r["v"].toArray()
         assert np.allclose(got[r["id"]], want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_nearest_rows_holds_small_tiles_and_breaks_ties_by_place():
+    import tracemalloc
+    import numpy as np
+    rng = np.random.default_rng(3)
+    index = rng.integers(-1, 2, size=(30_000, 4)).astype(float)     # many equal distances
+    index[~index.any(axis=1), 0] = 1.0
+    queries = index[:600].copy()
+    tracemalloc.start()
+    row, place, dist = ret.nearest_rows(queries, index, np.arange(len(index)), 9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20      # 256 queries by all rows took 300 MB
+    for q in (0, 7, 300, 599):
+        every = np.round(1.0 - index @ queries[q] / (np.linalg.norm(index, axis=1) * np.linalg.norm(queries[q])), 9)
+        assert place[row == q].tolist() == np.lexsort((np.arange(len(index)), every))[:9].tolist()
+
+
+def test_knn_with_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [0.5, 0.5]), (6, []), (None, [1.0, 0.1])]
+    index = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = ret.knn(index.where("id in (1, 5)"), index, 9).collect()
+    found = {(r["query_id"], r["id"]): r["distance"] for r in got}
+    assert set(found) == {(q, i) for q in (1, 5) for i in (1, 4, 5, None)}
+    assert found[1, 4] != found[1, 4] and found[1, 1] == 0.0        # no distance, and last
+    assert max(got, key=lambda r: (r["query_id"], r["rank"]))["id"] == 4
