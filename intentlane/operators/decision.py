@@ -13,7 +13,7 @@ from intentlane import params as P
 from intentlane.functions.text import is_blank, parse_tags, parse_user_id
 from intentlane.operators.folds import send_rules
 from intentlane.operators.retrieval import product_search, script_search
-from intentlane.sources.tables import materialise
+from intentlane.sources.tables import by_key, materialise
 
 # Our fixed priority of offer segments (the reference states no order).
 SEGMENT_RULES = (("premium", "tier", "HIGH"), ("value", "tag", "price_sensitive"),
@@ -86,7 +86,7 @@ def trigger_offers(triggers: DataFrame, products: DataFrame, vectors: DataFrame,
 
     vectors: id, sku_id, embedding. catalog: CAT-4 documents."""
     docs = catalog.select(F.col("id").alias("sku_id"), F.col("document").alias("query_text"))
-    queries = (triggers.select("sku_id").distinct().join(vectors, "sku_id").join(docs, "sku_id")
+    queries = (triggers.select("sku_id").distinct().join(by_key(vectors), "sku_id").join(by_key(docs), "sku_id")
                .select("id", "query_text", "embedding"))
     names = vectors.select(F.col("id").alias("_vid"), "sku_id")
     hits = product_search(queries, vectors.select("id", "embedding"), catalog, k, recall_factor,
@@ -94,8 +94,8 @@ def trigger_offers(triggers: DataFrame, products: DataFrame, vectors: DataFrame,
     stocked = (products.filter(F.col("stock") > 0)
                .select(F.col("sku_id").alias("product_id"),
                        F.coalesce(F.col("price").try_cast("double"), F.lit(0.0)).alias("offer_price")))
-    return (hits.select("query_id", "rank", "product_id").join(stocked, "product_id")
-            .join(names, F.col("query_id") == F.col("_vid"))
+    return (hits.select("query_id", "rank", "product_id").join(by_key(stocked), "product_id")
+            .join(by_key(names), F.col("query_id") == F.col("_vid"))
             .filter(F.col("product_id") != F.col("sku_id"))
             .groupBy("sku_id")
             .agg(F.sort_array(F.collect_list(F.struct(
@@ -109,15 +109,15 @@ def trigger_scripts(triggers: DataFrame, scripts: DataFrame, script_vectors: Dat
     the cart scenarios in their order; only non-blank texts that keep GOV-7."""
     usable = (scripts.filter(F.col("scenario").isin(*P.CART_SCRIPT_SCENARIOS) & ~is_blank(F.col("content"))
                              & (F.char_length("content") <= max_chars)))
-    index = usable.select("id", "scenario").join(script_vectors, "id")
+    index = usable.select("id", "scenario").join(by_key(script_vectors), "id")
     n = len(P.CART_SCRIPT_SCENARIOS)
-    asked = (triggers.select("sku_id").distinct().join(vectors, "sku_id")
+    asked = (triggers.select("sku_id").distinct().join(by_key(vectors), "sku_id")
              .select("id", "sku_id", "embedding",
                      F.posexplode(F.array(*[F.lit(s) for s in P.CART_SCRIPT_SCENARIOS]))
                      .alias("_pos", "scenario"))
              .withColumn("id", F.col("id") * n + F.col("_pos")))
     hits = script_search(asked.select("id", "embedding", "scenario"), index, k=1, all_have_scenario=True)
-    return (hits.join(asked.select(F.col("id").alias("query_id"), "sku_id", "_pos"), "query_id")
+    return (hits.join(by_key(asked.select(F.col("id").alias("query_id"), "sku_id", "_pos")), "query_id")
             .groupBy("sku_id").agg(F.min_by(hits["id"], F.col("_pos")).alias("script_id")))
 
 
@@ -131,7 +131,7 @@ def prepare_actions(intents: DataFrame, users: DataFrame, products: DataFrame, c
                         parse_tags(F.col("identity_tags")).alias("_tags"), F.lit(True).alias("_found"))
     x = materialise(
         intents.withColumn("scenario", route_intent(F.col("event_type"), F.col("last_action")))
-        .withColumn("_uid", parse_user_id(F.col("user_id"))).join(prof, "_uid", "left")
+        .withColumn("_uid", parse_user_id(F.col("user_id"))).join(by_key(prof), "_uid", "left")
         .select("event_id", "user_id", "event_time_us", "sku_id", "scenario", "spending_tier", "_found",
                 F.coalesce(F.get(segments(F.col("spending_tier"), F.col("_tags")), 0), F.lit(DEFAULT_SEGMENT)).alias("segment")),
         "decision-intents")     # read for offers, for scripts and for the actions
@@ -145,7 +145,7 @@ def prepare_actions(intents: DataFrame, users: DataFrame, products: DataFrame, c
         F.filter("offers", lambda o: _eligible(F.col("spending_tier"), o["price"])),
         lambda o: F.struct((~(high & (o["price"] > HIGH_TIER_PREFERRED_PRICE))).alias("later"),
                            o["rank"].alias("rank"), o["sku_id"].alias("sku_id")))
-    x = (x.join(offers, "sku_id", "left").join(chosen, "sku_id", "left")
+    x = (x.join(by_key(offers), "sku_id", "left").join(by_key(chosen), "sku_id", "left")
          .withColumn("content", F.when(F.col("scenario").isin(by_product),
                                        F.concat(F.lit("sku:"), F.array_min(ordered)["sku_id"]))
                      .when(F.col("scenario").isin(by_script),
@@ -192,7 +192,7 @@ def campaign_decision(intents: DataFrame, users: DataFrame, products: DataFrame,
     frequency_cap."""
     items = prepare_actions(intents, users, products, catalog, vectors, scripts, script_vectors, max_chars)
     # only users with an intent need their part of the log
-    log = (sends.join(intents.select("user_id").distinct(), "user_id", "left_semi")
+    log = (sends.join(by_key(intents.select("user_id").distinct()), "user_id", "left_semi")
            .select("user_id", "t_us", F.lit(True).alias("is_log"), F.lit(True).alias("governed"),
                    F.lit(True).alias("can_send")))
     judged = send_rules(items.withColumn("is_log", F.lit(False)).unionByName(log, allowMissingColumns=True), ["user_id"],

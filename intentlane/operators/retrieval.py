@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from intentlane import params as P
 from intentlane.session import ship_package
 from intentlane.functions.text import is_blank, split_selling_points
+from intentlane.sources.tables import by_key
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 DEFAULT_DIM = 64
@@ -332,7 +333,7 @@ def shape_product_hits(hits: DataFrame, catalog: DataFrame,
     extra = list(extra or [])
     cat = catalog.select(F.col("id").alias("_cid"), "document", "metadata", *extra)
     key = hit_key if hit_key is not None else F.col("id").cast("string")
-    return (hits.join(cat, key == F.col("_cid"), "left")
+    return (hits.join(by_key(cat), key == F.col("_cid"), "left")
             .select("query_id", "id", "rank", "distance",
                     F.col("metadata.product_id").alias("product_id"),
                     F.col("metadata.name").alias("name"),
@@ -348,7 +349,7 @@ def shape_script_hits(hits: DataFrame, scripts: DataFrame) -> DataFrame:
     documents (id, document, metadata(scenario, tags)). Missing metadata is
     empty text."""
     s = scripts.select(F.col("id").alias("_sid"), "document", "metadata")
-    return (hits.join(s, hits["id"] == F.col("_sid"), "left")
+    return (hits.join(by_key(s), hits["id"] == F.col("_sid"), "left")
             .select("query_id", "id", "rank", "distance",
                     F.coalesce("metadata.scenario", F.lit("")).alias("scenario"),
                     F.coalesce("metadata.tags", F.lit("")).alias("tags"), F.col("document").alias("content")))
@@ -370,12 +371,12 @@ def product_search(queries: DataFrame, index: DataFrame, catalog: DataFrame, k:
         shaped = shape_product_hits(hits, cat_tok, hit_key, extra=["_dtok"])
         q = live.select(F.col("id").alias("query_id"), "query_text",
                         tokens(F.col("query_text")).alias("_qtok"))
-        with_q = shaped.join(q, "query_id")
+        with_q = shaped.join(by_key(q), "query_id")
         scored = with_q.withColumn("score", token_overlap(F.col("_qtok"), F.col("_dtok")))
         scored = scored.drop("_qtok", "_dtok")
     else:
         shaped = shape_product_hits(hits, catalog, hit_key)
-        with_q = shaped.join(live.select(F.col("id").alias("query_id"), "query_text"), "query_id")
+        with_q = shaped.join(by_key(live.select(F.col("id").alias("query_id"), "query_text")), "query_id")
         scored = with_q.withColumn("score", scorer(F.col("query_text"), F.col("content")))
     return rerank(scored).filter(F.col("rank") <= k)
 
@@ -390,14 +391,14 @@ def script_search(queries: DataFrame, index: DataFrame, k: int = P.SEARCH_K,
         idx = index.select(F.col("id").alias("_iid"), F.col(scenario_col).alias("scenario"))
         hits = knn(queries.select("id", "embedding", scenario_col), index.select("id", "embedding", scenario_col), k,
                    partition_cols=[scenario_col])
-        return hits.join(idx, F.col("id") == F.col("_iid")).drop("_iid")
+        return hits.join(by_key(idx), F.col("id") == F.col("_iid")).drop("_iid")
     filtered = queries.filter(~is_blank(F.col(scenario_col)))
     unfiltered = queries.filter(is_blank(F.col(scenario_col)))
     a = knn(filtered.select("id", "embedding", scenario_col), index.select("id", "embedding", scenario_col),
             k, partition_cols=[scenario_col])
     b = knn(unfiltered.select("id", "embedding"), index.select("id", "embedding"), k)
     idx = index.select(F.col("id").alias("_iid"), F.col(scenario_col).alias("scenario"))
-    return a.unionByName(b).join(idx, F.col("id") == F.col("_iid")).drop("_iid")
+    return a.unionByName(b).join(by_key(idx), F.col("id") == F.col("_iid")).drop("_iid")
 
 
 def search_scripts(queries: DataFrame, library: DataFrame, k: int = P.SEARCH_K, encoder: Encoder | None = None) -> DataFrame:

@@ -58,6 +58,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """The side of a key join that grows with the tables: both sides are dealt by
+    key. Left to its estimate, a pruned, compressed table counts as small, while
+    what the driver collects and every worker holds are its unpacked rows, and a
+    job per micro-batch sends them again each time."""
+    return df.hint("merge")
+
+
 SCRIPT_SCHEMA = "scenario string, content string, tags string"
 
 

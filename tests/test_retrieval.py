@@ -130,3 +130,18 @@ def test_knn_with_odd_vectors(spark):
     assert set(found) == {(q, i) for q in (1, 5) for i in (1, 4, 5, None)}
     assert found[1, 4] != found[1, 4] and found[1, 1] == 0.0        # no distance, and last
     assert max(got, key=lambda r: (r["query_id"], r["rank"]))["id"] == 4
+
+
+def test_product_search_broadcasts_no_table(spark, tmp_dir):
+    """The catalogue and the queries grow with the tables; a micro-batch sent each of them whole to the driver and all workers."""
+    docs = spark.createDataFrame([(i, f"red item {i}", [float(i % 3) + 1.0, 1.0]) for i in range(1, 30)], "id long, document string, embedding array<float>")
+    docs.write.parquet(f"{tmp_dir}/docs")
+    docs = spark.read.parquet(f"{tmp_dir}/docs")
+    meta = F.struct(F.col("id").cast("string").alias("product_id"), F.lit("n").alias("name"), F.lit("c").alias("category"),
+                    F.lit("1.5").alias("price"), F.lit("a;b").alias("selling_points_str"))
+    catalog = docs.select(F.col("id").cast("string").alias("id"), "document", meta.alias("metadata"))
+    queries = docs.select("id", F.col("document").alias("query_text"), "embedding")
+    out = ret.product_search(queries, docs.select("id", "embedding"), catalog)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.where("query_id = 4").orderBy("rank").collect()
+    assert [r["id"] for r in rows] == [4, 1, 7] and rows[0]["price"] == 1.5
