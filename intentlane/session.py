@@ -63,6 +63,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+#: bytes of one Arrow batch between the JVM and a Python worker; Spark's default of 64 MB is held on both sides by every task
+BATCH_BYTES = 4 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of about ``BATCH_BYTES``, so that neither side's memory follows
+    the length of texts; a limit that the submitter has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -72,6 +84,7 @@ def ship_package(spark: SparkSession) -> None:
     the package once per SparkContext and distribute it with ``addPyFile``,
     the same as ``--py-files`` on a cluster."""
     import zipfile
+    limit_batches(spark)
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
