@@ -50,12 +50,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Parquet options for rows of large values: a page, and a row group, which a reader holds whole, ends after a few MB.
+#: Without them the writer first looks at their size after 100 rows, whatever these take.
+SMALL_ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
+
+
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back:
     cuts lineage, survives lost executors, and gives joins a scan whose
-    shuffles adaptive execution can split."""
+    shuffles adaptive execution can split. ``options`` are the writer's."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,8 +18,8 @@ counts of its level triples: pair counts are interpolated with word counts, and
 the weights fitted on all training documents, by the context's frequency.
 
 The exact base score needs exact word counts. Words with a share of HEAD_SHARE
-or more (at most 1 / HEAD_SHARE) go to the workers; the other words of each
-document are joined with the counts table.
+or more (at most 1 / HEAD_SHARE) go to the workers; a block's other words go to
+the parts of the counts table, once each, and their counts come back to the block.
 
 Nulls: a null text has the end token only; a null doc_id is a training document.
 Rows that repeat id and text are scored each. Without training documents all
@@ -40,7 +40,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from intentlane.llm.common import is_rest, materialise, small_batches, table
+from intentlane.functions.memory import give_back
+from intentlane.llm.common import SMALL_ROW_GROUPS, is_rest, materialise, small_batches, table
 from intentlane.llm.simhash import by_group
 
 STEP = 1.5             # ratio of neighbouring levels
@@ -52,6 +53,7 @@ _SHARD_BITS = 22       # bits of one part of a filter, 512 KB
 _TEXTS = 1 << 21       # bytes of text scored at once
 _LEVELS = 128          # more than the scale has: STEP ** 127 occurrences
 _CODES = _LEVELS ** 3
+_ASKED = 1_000_000     # training tokens for each part of the counts table
 _DOCS = 500            # documents whose level triples are read at once
 _SPARE_BITS = 12       # of a pair's hash beyond those that number the training pairs
 _GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
@@ -76,11 +78,6 @@ def pair_hashes(left: np.ndarray, right: np.ndarray, unused: int = 0) -> np.ndar
     return _mix(left * np.uint64(0x9E3779B97F4A7C15) + right) >> np.uint64(unused) << np.uint64(unused)
 
 
-def give_back() -> None:
-    """Return what Arrow keeps of freed memory to the system: workers live on between stages."""
-    pa.default_memory_pool().release_unused()
-
-
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -96,6 +93,18 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
+def packed_words(words: list[bytes]) -> bytes:
+    """The words, which hold no line break, one a line, compressed."""
+    raw = b"\n".join(words)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def unpacked_words(blob: bytes) -> list[bytes]:
+    """At least one word."""
+    size = int.from_bytes(blob[:8], "little")
+    return (_CODEC.decompress(blob[8:], size, asbytes=True) if size else b"").split(b"\n")
+
+
 def packed_hashes(h: np.ndarray, unused: int = 0) -> bytes:
     """Hashes in rising order, as differences; their last ``unused`` bits are zero."""
     return packed(np.diff(h >> np.uint64(unused), prepend=np.uint64(0)))
@@ -197,6 +206,11 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def shard_column(shards: int) -> Column:
+    """``shard_of`` of the column ``h``."""
+    return F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(shards).cast("bigint"), 32).cast("int")
+
+
 def places(key: np.ndarray, probe: int) -> np.ndarray:
     low, high = key & np.uint64(0xFFFFFF), (key >> np.uint64(24)) | np.uint64(1)
     return ((low + np.uint64(probe) * high) & np.uint64((1 << _SHARD_BITS) - 1)).astype(np.int64)
@@ -230,18 +244,14 @@ def filter_parts(grams: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
     codebook = codebook_of(stats)
     shards = math.ceil(keys * BITS_PER_KEY / (1 << _SHARD_BITS))
 
-    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = shard_of(batch["h"].to_numpy().view(np.uint64), shards)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch["h"], batch["level"].cast(pa.int8())],
-                                             names=["shard", "h", "level"])
-
     def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, ["shard"]):
             h, top = group["h"].to_numpy().view(np.uint64), group["level"].to_numpy()
             yield pa.RecordBatch.from_arrays([group["shard"][:1].combine_chunks(), pa.array([bits_of(h, top)])], names=["shard", "bits"])
+        give_back()
 
-    made = (grams.select("h", "level").mapInArrow(to_shards, "shard int, h bigint, level tinyint")
+    # in the JVM: the task's worker for the hashes is the only one
+    made = (grams.select(shard_column(shards).alias("shard"), "h", F.col("level").cast("tinyint"))
             .repartition("shard").sortWithinPartitions("shard").mapInArrow(to_bits, "shard int, bits binary"))
     return made, shards, codebook
 
@@ -268,9 +278,10 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Materialised; the shuffles behind it go once the driver has collected what refers to them."""
+    """Materialised in small row groups; the shuffles behind it go once the driver has
+    collected what refers to them."""
     with small_batches(df.sparkSession):
-        out = materialise(df, name)
+        out = materialise(df, name, **SMALL_ROW_GROUPS)
     del df
     gc.collect()
     out.sparkSession._jvm.System.gc()
@@ -298,6 +309,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 if len(seen) > 200_000:
                     yield from out()
         yield from out()
+        give_back()
 
     return texts.mapInArrow(count, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -307,16 +319,17 @@ def hashed_words(counted: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.fromiter(map(xxhash.xxh64_intdigest, batch["w"].to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["c"]], names=["h", "c"])
-    return counted.select("w", "c").mapInArrow(add, "h bigint, c bigint")
+            yield pa.RecordBatch.from_arrays([batch["w"], pa.array(h.view(np.int64)), batch["c"]], names=["w", "h", "c"])
+        give_back()
+    return counted.select("w", "c").mapInArrow(add, "w binary, h bigint, c bigint")
 
 
-_BLOCK = ("block bigint, id array<{0}>, th array<bigint>, train array<boolean>, sizes binary, ids binary, "
+_BLOCK = ("block bigint, id array<{0}>, train array<boolean>, sizes binary, ids binary, "
           "end_id bigint, hashes binary, known binary, n_head binary, base binary, tail array<binary>")
 
 
 def number_texts(rows: DataFrame, head: dict[bytes, int], divisor: float) -> DataFrame:
-    """A row for each block of (id, th, train, text): its documents, its tokens
+    """A row for each block of (id, train, text): its documents, its tokens
     as numbers, its words' hashes, the levels of the head's words (-1 for other
     words, which are listed in ``tail``) and the documents' sums over the head."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -331,7 +344,7 @@ def number_texts(rows: DataFrame, head: dict[bytes, int], divisor: float) -> Dat
             of_head = exact[block.ids] > 0
             base = np.log10((exact + 0.1) / divisor)
             base = np.bincount(doc[of_head], base[block.ids[of_head]], minlength=len(block.sizes))
-            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch[c]) for c in ("id", "th", "train")]
+            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch[c]) for c in ("id", "train")]
             blobs = [pa.array([x], pa.binary()) for x in (block.sizes.tobytes(), packed(block.ids.astype(np.uint32)))]
             more = [pa.array([x.tobytes()], pa.binary()) for x in (
                 block.hashes(), level, np.bincount(doc[of_head], minlength=len(block.sizes)), base)]
@@ -339,7 +352,7 @@ def number_texts(rows: DataFrame, head: dict[bytes, int], divisor: float) -> Dat
                 [pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists, *blobs,
                  pa.array([block.words.index(END)], pa.int64()), *more,
                  pa.array([[block.words[i] for i in np.flatnonzero(level < 0)]], pa.list_(pa.binary()))],
-                names=["block", "id", "th", "train", "sizes", "ids", "end_id", "hashes", "known", "n_head", "base", "tail"])
+                names=["block", "id", "train", "sizes", "ids", "end_id", "hashes", "known", "n_head", "base", "tail"])
 
     return rows.mapInArrow(number, _BLOCK.format(kind))
 
@@ -408,6 +421,44 @@ def word_levels(blocks_: DataFrame, words: tuple[DataFrame, int, np.ndarray]) ->
     return asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "block bigint, shard int, levels binary")
 
 
+def word_totals(blocks_: DataFrame, counted: DataFrame, total: int) -> DataFrame:
+    """(block, shard, counts): the exact training counts of each block's tail words.
+
+    The words themselves go to the part of the counts table that has their hash,
+    so that two words of one hash keep their own counts. A part is asked for a
+    word once by each block that has it, for _ASKED training tokens at most (and
+    those of the other texts)."""
+    shards = max(1, math.ceil(total / _ASKED))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch["hashes"][i].as_py(), np.uint64)[np.frombuffer(batch["known"][i].as_py(), np.int8) < 0]
+                if not len(h):
+                    continue
+                order, shard, first = _by_shard(h, shards)
+                words = batch["tail"][i].values.take(pa.array(order)).to_pylist()
+                ends = [*first[1:].tolist(), len(words)]
+                asked = [packed_words(words[a:b]) for a, b in zip(first.tolist(), ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch["block"][i].as_py())), pa.array(shard),
+                                                  pa.array(asked, pa.binary())], names=["block", "shard", "asked"])
+        give_back()
+
+    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+        give_back()
+        all_ = [unpacked_words(x) for x in asked["asked"].to_pylist()]
+        known, c = part["w"].combine_chunks(), np.append(part["c"].to_numpy(), 0)     # the last for a word without a count
+        at = pc.index_in(pa.array([w for x in all_ for w in x], pa.binary()), value_set=known)
+        count = c[pc.fill_null(at, len(c) - 1).to_numpy(zero_copy_only=False)].astype(np.int64)
+        found = [packed(x) for x in np.split(count, np.cumsum([len(x) for x in all_])[:-1])] if all_ else []
+        return pa.table({"block": asked["block"].cast(pa.int64()), "shard": asked["shard"].cast(pa.int32()),
+                         "counts": pa.array(found, pa.binary())})
+
+    asked = blocks_.select("block", "hashes", "known", "tail").mapInArrow(ask, "block bigint, shard int, asked binary")
+    parts = hashed_words(counted).select(shard_column(shards).alias("shard"), "w", "c")
+    return asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "block bigint, shard int, counts binary")
+
+
 def pair_levels(blocks_: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
     """(block, shard, levels) of each block's pairs, and the codebook.
 
@@ -458,13 +509,18 @@ def pair_levels(blocks_: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
     return answers.select("block", "shard", "levels"), codebook_of(stats)
 
 
-def level_triples(blocks_: DataFrame, words: tuple[DataFrame, int], pairs: DataFrame, total: int) -> DataFrame:
-    """(id, th, train, codes, times): for each document, how often each triple
-    of levels (context, word, pair; see ``code_of``) occurs."""
+_WORDS, _PAIRS, _TOTALS = 0, 1, 2     # what an answer to a block is about
+
+
+def level_triples(blocks_: DataFrame, words: DataFrame, pairs: DataFrame, totals: DataFrame, total: int, divisor: float) -> DataFrame:
+    """(id, train, n_tokens, n_known, base, codes, times): for each document, its
+    exact sums and how often each triple of levels (context, word, pair; see
+    ``code_of``) occurs."""
     kind = blocks_.schema["id"].dataType.elementType.simpleString()
     unused = unused_bits(total)
-    found_words, before = words     # the pairs' parts are numbered after the words'
-    answers = found_words.unionAll(pairs.withColumn("shard", (F.col("shard") + F.lit(before)).cast("int")))
+    answers = words.select("block", F.lit(_WORDS).alias("about"), "shard", F.col("levels").alias("found"))
+    answers = answers.unionAll(pairs.select("block", F.lit(_PAIRS), "shard", "levels"))
+    answers = answers.unionAll(totals.select("block", F.lit(_TOTALS), "shard", "counts"))
 
     def join(part: pa.Table, found: pa.Table) -> pa.Table:
         give_back()
@@ -472,30 +528,40 @@ def level_triples(blocks_: DataFrame, words: tuple[DataFrame, int], pairs: DataF
         a, b, which = block.pairs()
         known = np.frombuffer(part["known"][0].as_py(), np.int8)
         found = found.sort_by("shard")
-        of_pair = found["shard"].to_numpy() >= before
-        blobs = found["levels"].to_pylist()
-        got = []
-        for h, mine in ((block.hashes[known < 0], ~of_pair), (pair_hashes(block.hashes[a], block.hashes[b], unused), of_pair)):
-            level = np.zeros(len(h), np.int64)
-            answered = [unpacked(x, np.int8) for x, m in zip(blobs, mine) if m]
-            if answered:    # in the order of the hashes, part after part
-                level[np.argsort(h, kind="stable")] = np.concatenate(answered)
-            got.append(level)
+        about, blobs = found["about"].to_numpy(), found["found"]
+
+        def answered(what: int, h: np.ndarray, kind: type) -> np.ndarray:
+            """What the parts found for the hashes; none without training texts."""
+            out = np.zeros(len(h), np.int64)
+            got = [unpacked(blobs[i].as_py(), kind) for i in np.flatnonzero(about == what).tolist()]
+            if got:    # in the order of the hashes, part after part
+                out[np.argsort(h, kind="stable")] = np.concatenate(got)
+            return out
+
+        tail = known < 0
         word = known.astype(np.int64)
-        word[known < 0] = got[0]
+        word[tail] = answered(_WORDS, block.hashes[tail], np.int8)
+        pair = answered(_PAIRS, pair_hashes(block.hashes[a], block.hashes[b], unused), np.int8)
+        count = np.zeros(len(known), np.int64)
+        count[tail] = answered(_TOTALS, block.hashes[tail], np.int64)
         # a pair with a word that never occurs was reached by a false probe
-        code = code_of(word[a], word[b], np.where((word[a] > 0) & (word[b] > 0), got[1], 0))
+        code = code_of(word[a], word[b], np.where((word[a] > 0) & (word[b] > 0), pair, 0))
         doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
         each, times = np.unique(doc * _CODES + code[which], return_counts=True)
         cuts = np.searchsorted(each // _CODES, np.arange(1, len(block.sizes)))
-        lists = [part[c].combine_chunks().flatten() for c in ("id", "th", "train")]
+        lists = [part[c].combine_chunks().flatten() for c in ("id", "train")]
+        on = tail[block.ids]
+        mine, c = doc[on], count[block.ids[on]]
+        sums = [block.sizes, np.frombuffer(part["n_head"][0].as_py(), np.int64) + np.bincount(mine[c > 0], minlength=len(block.sizes)),
+                np.frombuffer(part["base"][0].as_py(), np.float64)
+                + np.bincount(mine, np.log10((c + 0.1) / divisor), minlength=len(block.sizes))]
         codes = [packed(np.diff(x, prepend=np.int32(0))) for x in np.split((each % _CODES).astype(np.int32), cuts)]
-        return pa.table([*lists, pa.array(codes, pa.binary()), pa.array([packed(x) for x in np.split(times.astype(np.int32), cuts)], pa.binary())],
-                        names=["id", "th", "train", "codes", "times"])
+        return pa.table([*lists, *map(pa.array, sums), pa.array(codes, pa.binary()), pa.array([packed(x) for x in np.split(times.astype(np.int32), cuts)], pa.binary())],
+                        names=["id", "train", "n_tokens", "n_known", "base", "codes", "times"])
 
-    return (blocks_.select("block", "id", "th", "train", "sizes", "ids", "end_id", "hashes", "known")
+    return (blocks_.select("block", "id", "train", "sizes", "ids", "end_id", "hashes", "known", "n_head", "base")
             .groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(join, f"id {kind}, th bigint, train boolean, codes binary, times binary"))
+            .applyInArrow(join, f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base double, codes binary, times binary"))
 
 
 def _codes(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
@@ -556,8 +622,7 @@ def fit_weights(triples: DataFrame, model: Model) -> np.ndarray:
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score), one row per input row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
-                       F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     counted = stored(word_counts(rows.where("train").select("text")), "lm-words")
     totals = counted.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -569,38 +634,12 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
 
     words = filter_parts(with_levels(hashed_words(counted), 1.0))
     pairs, pair_codebook = pair_levels(blocks_, total)
-    triples = stored(level_triples(blocks_, (word_levels(blocks_, words), words[1]), pairs, total), "lm-triples")
+    triples = stored(level_triples(blocks_, word_levels(blocks_, words), pairs, word_totals(blocks_, counted, total), total, divisor),
+                     "lm-triples")
     model = Model(total, kinds, words[2], pair_codebook, np.zeros(1))
     if total:
         model.weights = fit_weights(triples.where("train"), model)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = Numbered.of(batch, i)
-                blob = lambda c, t: np.frombuffer(batch[c][i].as_py(), t)  # noqa: E731, B023
-                docs_ = len(block.sizes)
-                doc = np.repeat(np.arange(docs_), block.sizes)
-                place = np.cumsum(blob("known", np.int8) < 0) - 1  # of a word in the list of the tail
-                of_tail = blob("known", np.int8)[block.ids] < 0
-                # the documents' other words, with their numbers
-                tail = batch["tail"][i].values
-                keys, n = np.unique(doc[of_tail] * max(1, len(tail)) + place[block.ids[of_tail]], return_counts=True)
-                tail_doc, tail_word = keys // max(1, len(tail)), keys % max(1, len(tail))
-                take = pa.array(np.concatenate([np.arange(docs_), tail_doc]))
-                th = batch["th"][i].values
-                # a document's own row carries a key with a blank, which is no word, so that the join leaves it alone
-                own = pa.array([b" %d %d" % (t if t is not None else 0, k) for k, t in enumerate(th.to_pylist())], pa.binary())
-                empty, none = np.zeros(len(keys)), np.zeros(docs_)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"][i].values.take(take), th.take(take), pa.concat_arrays([own, tail.take(pa.array(tail_word))]),
-                     pa.array(np.concatenate([none, n]).astype(np.int64)),
-                     pa.array(np.concatenate([np.ones(docs_), empty]).astype(np.int64)),
-                     pa.array(np.concatenate([block.sizes, empty]).astype(np.int64)),
-                     pa.array(np.concatenate([blob("n_head", np.int64), empty]).astype(np.int64)),
-                     pa.array(np.concatenate([blob("base", np.float64), empty]))],
-                    names=["id", "th", "w", "times", "copies", "n_tokens", "n_head", "base"])
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _DOCS):
@@ -609,25 +648,13 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                 doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
                 codes, which = np.unique(np.concatenate(each), return_inverse=True)
                 sums = np.bincount(doc, times * model.log10(codes)[which], minlength=len(each))
-                yield pa.RecordBatch.from_arrays([some["id"], some["th"], pa.array(sums)], names=["id", "th", "score"])
-
-    parts = (blocks_.select("id", "th", "sizes", "ids", "end_id", "hashes", "known", "n_head", "base", "tail")
-             .mapInArrow(split, f"id {kind}, th bigint, w binary, times bigint, copies bigint, n_tokens bigint, n_head bigint, base double"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    parts = (parts.join(counted.select("w", "c"), "w", "left")
-             .withColumn("base", F.col("base") + F.col("times") * F.log10((c + F.lit(0.1)) / F.lit(divisor)))
-             .withColumn("n_known", F.col("n_head") + F.when(c > 0, F.col("times")).otherwise(0))
-             .select("id", "th", "copies", "n_tokens", "n_known", "base", F.lit(0.0).alias("score")))
-    none = F.lit(0).cast("bigint")
-    scored = (triples.select("id", "th", "codes", "times").mapInArrow(score, f"id {kind}, th bigint, score double")
-              .select("id", "th", none.alias("copies"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), "score"))
-    summed = parts.unionAll(scored).groupBy("id", "th").agg(
-        *[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", "score")])
-    each = lambda x: (F.col(x) / F.col("copies"))  # noqa: E731  rows that repeat id and text were summed
-    return (summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-            .select(F.col("id").alias(id_col), each("n_tokens").cast("bigint").alias("n_tokens"),
-                    each("n_known").cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-                    each("base").alias("base_score"), each("score").alias("score")))
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in ("id", "n_tokens", "n_known", "base")), pa.array(sums)],
+                                                 names=["id", "n_tokens", "n_known", "base_score", "score"])
+        give_back()
+
+    scored = triples.drop("train").mapInArrow(score, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
+                         "base_score", "score")
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

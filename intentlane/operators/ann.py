@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intentlane.operators.retrieval import give_back, knn, nearest_rows, vector_rows
+from intentlane.functions.memory import give_back
+from intentlane.operators.retrieval import knn, nearest_rows, vector_rows
 from intentlane.session import ship_package
 from intentlane.sources.tables import materialise
 

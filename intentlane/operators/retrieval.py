@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from intentlane import params as P
 from intentlane.session import ship_package
+from intentlane.functions.memory import give_back
 from intentlane.functions.text import is_blank, split_selling_points
 from intentlane.sources.tables import by_key
 
@@ -201,11 +202,6 @@ def nearest_rows(qm: np.ndarray, im: np.ndarray, place: np.ndarray, k: int, visi
     return row, best.place[row, column], best.dist[row, column]
 
 
-def give_back() -> None:
-    """Return what Arrow keeps of freed memory to the system: workers live on between groups."""
-    pa.default_memory_pool().release_unused()
-
-
 def _local_topk(k: int):
     """Each query's k nearest rows of one (query block, index block)."""
     def run(q: pa.Table, ix: pa.Table) -> pa.Table:

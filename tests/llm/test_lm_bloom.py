@@ -132,3 +132,40 @@ def test_score_equals_a_plain_model(spark):
     want = {d: float(model.log10(np.array([code(p) for p in pairs_of(ws)])).sum()) for d, ws in texts}
     equal = [abs(got[d] - want[d]) < 1e-6 * max(1, abs(want[d])) for d in want]
     assert np.mean(equal) > 0.9 and all(abs(got[d] - want[d]) < 0.05 * abs(want[d]) + 3 for d in want)
+
+
+def test_large_blocks_are_stored_in_small_row_groups(spark, tmp_dir):
+    """A row group, which a task holds whole, had all large rows of a file, and a page a hundred of them."""
+    import glob
+    import pyarrow.parquet as pq
+    from intentlane.llm.lm_bloom import stored
+    rows = spark.range(0, 40, 1, 1).select("id", F.expr("array_join(transform(sequence(1, 15000), i -> uuid()), '')").cast("binary").alias("blob"))
+    out = stored(rows, "lm-test")     # 20 MB
+    (path,) = glob.glob(out.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0] + "/*.parquet")
+    meta = pq.read_metadata(path)
+    assert meta.num_rows == 40 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 8 << 20
+    assert out.count() == 40
+
+
+def test_documents_are_not_dealt_by_word(spark):
+    """Each document's words crossed the disk a row each, with the document's keys, and again as sums."""
+    ship_package(spark)
+    got = score_documents(spark.createDataFrame(data(), SCHEMA), ~is_rest(F.col("doc_id"), 10, 0))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_one_hash_keep_their_counts(spark, monkeypatch):
+    """The base score is exact: words are told apart by themselves, not by their hashes."""
+    from intentlane.llm import lm_bloom
+    from intentlane.llm.lm_bloom import number_texts, packed_words, unpacked, unpacked_words, word_totals
+    ship_package(spark)
+    words = [b"a", b"", b"\xc3\xa9"]
+    assert unpacked_words(packed_words(words)) == words and unpacked_words(packed_words([b""])) == [b""]
+    rows = spark.createDataFrame([(1, True, "x y z x")], "id bigint, train boolean, text string")
+    blocks_ = number_texts(rows, {b"z": 7}, 10.0)
+    one = F.lit(bytes(4 * 8)).alias("hashes")      # all words of the block have the hash 0
+    blocks_ = blocks_.select("block", one, "known", "tail")
+    monkeypatch.setattr(lm_bloom, "hashed_words", lambda c: c.select("w", F.lit(0).cast("bigint").alias("h"), "c"))
+    counted = spark.createDataFrame([(b"x", 2), (b"y", 1), (b"z", 7)], "w binary, c bigint")
+    (r,) = word_totals(blocks_, counted, 10).collect()
+    assert unpacked(r["counts"], np.int64).tolist() == [2, 1, 0]      # x, y and the end token
