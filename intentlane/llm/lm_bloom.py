@@ -11,15 +11,17 @@ one whole: they are cut by the n-gram's hash into parts of 512 KB. The texts are
 numbered once, in blocks of about _TEXTS bytes. A block's distinct pairs go to
 their parts with their training counts, by one shuffle: a part's task sums the
 counts, sets the part's bits and probes them for the same pairs, whose levels
-come back to the block by another. The rarer words are read in the parts of
-the word filter. Each token's probability depends
+come back to the block by another. Each token's probability depends
 on three levels alone (context, word and pair), so a document is kept as the
 counts of its level triples: pair counts are interpolated with word counts, and
 the weights fitted on all training documents, by the context's frequency.
 
 The exact base score needs exact word counts. Words with a share of HEAD_SHARE
 or more (at most 1 / HEAD_SHARE) go to the workers; a block's other words go to
-the parts of the counts table, once each, and their counts come back to the block.
+the parts of the counts table, once each. A part's task sets the bits of its
+part of the word filter and probes them, and a word's count and level come back
+to the block together. A block is kept as its token numbers, the numbers of its
+head words and the text of its other words; hashes are made anew where needed.
 
 Nulls: a null text has the end token only; a null doc_id is a training document.
 Rows that repeat id and text are scored each. Without training documents all
@@ -38,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from intentlane.functions.memory import give_back
@@ -53,7 +56,7 @@ _SHARD_BITS = 22       # bits of one part of a filter, 512 KB
 _TEXTS = 1 << 21       # bytes of text scored at once
 _LEVELS = 128          # more than the scale has: STEP ** 127 occurrences
 _CODES = _LEVELS ** 3
-_ASKED = 1_000_000     # training tokens for each part of the counts table
+_ASKED = 1_000_000     # training tokens outside the head for each part of the counts table
 _DOCS = 500            # documents whose level triples are read at once
 _SPARE_BITS = 12       # of a pair's hash beyond those that number the training pairs
 _GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
@@ -114,6 +117,19 @@ def unpacked_hashes(blob: bytes, unused: int = 0) -> np.ndarray:
     return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64) << np.uint64(unused)
 
 
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 in rising order, as differences."""
+    return packed(np.diff(x, prepend=0).astype(np.uint32))
+
+
+def unpacked_numbers(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint32), dtype=np.int64)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def tokens(text: str | None) -> list[bytes]:
     words = text.encode().lower().split() if text else []
     words.append(END)
@@ -141,9 +157,6 @@ class Block:
         return Block(list(number), np.concatenate(ids) if ids else np.zeros(0, np.int64),
                      np.cumsum(sizes_) - sizes_, sizes_)
 
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-
     def contexts(self) -> np.ndarray:
         """Number of the token before each token; of a text's first token, of the end token."""
         out = np.empty_like(self.ids)
@@ -236,13 +249,17 @@ def bits_of(h: np.ndarray, top: np.ndarray) -> bytes:
     return np.packbits(on, bitorder="little").tobytes()
 
 
-def filter_parts(grams: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
-    """(shard, bits), the number of parts and the codebook, from (h, level, c):
-    the bits are set in parts, one part a group of about 2**_SHARD_BITS / BITS_PER_KEY keys."""
+def filter_size(grams: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of parts and the codebook, from (level, c): a part has about 2**_SHARD_BITS / BITS_PER_KEY keys."""
     stats = grams.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()  # a few dozen
     keys = sum(r["n"] * r["level"] for r in stats)
-    codebook = codebook_of(stats)
-    shards = math.ceil(keys * BITS_PER_KEY / (1 << _SHARD_BITS))
+    return math.ceil(keys * BITS_PER_KEY / (1 << _SHARD_BITS)), codebook_of(stats)
+
+
+def filter_parts(grams: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
+    """(shard, bits), the number of parts and the codebook, from (h, level, c);
+    the bits are set part by part."""
+    shards, codebook = filter_size(grams)
 
     def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, ["shard"]):
@@ -315,60 +332,73 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def hashed_words(counted: DataFrame) -> DataFrame:
-    """Adds ``h``, the hash that ``Block.hashes`` gives a word."""
+    """Adds ``h``, the hash that ``hashes_of`` gives a word."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, batch["w"].to_pylist()), np.uint64, batch.num_rows)
+            h = hashes_of(batch["w"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["w"], pa.array(h.view(np.int64)), batch["c"]], names=["w", "h", "c"])
         give_back()
     return counted.select("w", "c").mapInArrow(add, "w binary, h bigint, c bigint")
 
 
 _BLOCK = ("block bigint, id array<{0}>, train array<boolean>, sizes binary, ids binary, "
-          "end_id bigint, hashes binary, known binary, n_head binary, base binary, tail array<binary>")
+          "end_id bigint, known binary, tail binary, n_head binary, base binary")
 
 
 def number_texts(rows: DataFrame, head: dict[bytes, int], divisor: float) -> DataFrame:
-    """A row for each block of (id, train, text): its documents, its tokens
-    as numbers, its words' hashes, the levels of the head's words (-1 for other
-    words, which are listed in ``tail``) and the documents' sums over the head."""
+    """A row for each block of (id, train, text): its documents, its tokens as
+    numbers, the words they number (``known``: those of the head, by their place
+    in it; after them ``tail``, the others) and the documents' sums over the head."""
     kind = rows.schema["id"].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(head)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        place = {w: i for i, w in enumerate(shared.value)}
+        counts = np.fromiter(shared.value.values(), np.float64, len(place))
         for batch, block in blocks(batches):
-            exact = np.fromiter((known.get(w, 0) for w in block.words), np.float64, len(block.words))
-            level = np.where(exact > 0, levels_of(exact), -1).astype(np.int8)
+            at = np.fromiter((place.get(w, -1) for w in block.words), np.int64, len(block.words))
+            known, tail = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            known = known[np.argsort(at[known])]
+            order = np.concatenate([known, tail])
+            number = np.empty_like(order)
+            number[order] = np.arange(len(order))
+            ids = number[block.ids]
             doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
-            of_head = exact[block.ids] > 0
-            base = np.log10((exact + 0.1) / divisor)
-            base = np.bincount(doc[of_head], base[block.ids[of_head]], minlength=len(block.sizes))
+            of_head = ids < len(known)
+            base = np.log10((counts[at[known]] + 0.1) / divisor)
+            base = np.bincount(doc[of_head], base[ids[of_head]], minlength=len(block.sizes))
             lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch[c]) for c in ("id", "train")]
-            blobs = [pa.array([x], pa.binary()) for x in (block.sizes.tobytes(), packed(block.ids.astype(np.uint32)))]
-            more = [pa.array([x.tobytes()], pa.binary()) for x in (
-                block.hashes(), level, np.bincount(doc[of_head], minlength=len(block.sizes)), base)]
+            blobs = [block.sizes.tobytes(), packed(ids.astype(np.uint32))]
+            more = [packed_numbers(at[known]), packed_words([block.words[i] for i in tail]) if len(tail) else b"",
+                    np.bincount(doc[of_head], minlength=len(block.sizes)).tobytes(), base.tobytes()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists, *blobs,
-                 pa.array([block.words.index(END)], pa.int64()), *more,
-                 pa.array([[block.words[i] for i in np.flatnonzero(level < 0)]], pa.list_(pa.binary()))],
-                names=["block", "id", "train", "sizes", "ids", "end_id", "hashes", "known", "n_head", "base", "tail"])
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists, *(pa.array([x], pa.binary()) for x in blobs),
+                 pa.array([number[block.words.index(END)]], pa.int64()), *(pa.array([x], pa.binary()) for x in more)],
+                names=["block", "id", "train", "sizes", "ids", "end_id", "known", "tail", "n_head", "base"])
 
     return rows.mapInArrow(number, _BLOCK.format(kind))
 
 
+def tail_of(blob: bytes) -> list[bytes]:
+    """The words of a block's ``tail``."""
+    return unpacked_words(blob) if blob else []
+
+
 @dataclass
 class Numbered:
     """The numbers of a stored block."""
     ids: np.ndarray
     sizes: np.ndarray
     end: int
+    known: np.ndarray      # places in the head of the first words
     hashes: np.ndarray
 
     @staticmethod
-    def of(table_: pa.RecordBatch | pa.Table, i: int) -> "Numbered":
+    def of(table_: pa.RecordBatch | pa.Table, i: int, head: np.ndarray) -> "Numbered":
+        """``head``: the hashes of the head's words."""
+        known = unpacked_numbers(table_["known"][i].as_py())
         return Numbered(unpacked(table_["ids"][i].as_py(), np.uint32).astype(np.int64), np.frombuffer(table_["sizes"][i].as_py(), np.int64),
-                        table_["end_id"][i].as_py(), np.frombuffer(table_["hashes"][i].as_py(), np.uint64))
+                        table_["end_id"][i].as_py(), known, np.concatenate([head[known], hashes_of(tail_of(table_["tail"][i].as_py()))]))
 
     def contexts(self) -> np.ndarray:
         out = np.empty_like(self.ids)
@@ -392,52 +422,25 @@ def _by_shard(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, shard[first].astype(np.int32), first
 
 
-def word_levels(blocks_: DataFrame, words: tuple[DataFrame, int, np.ndarray]) -> DataFrame:
-    """(block, shard, levels): each block's tail words, read in the parts of the word filter."""
-    parts, shards, codebook = words
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                h = np.frombuffer(batch["hashes"][i].as_py(), np.uint64)[np.frombuffer(batch["known"][i].as_py(), np.int8) < 0]
-                if not shards or not len(h):
-                    continue
-                order, shard, first = _by_shard(h, shards)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), batch["block"][i].as_py())), pa.array(shard),
-                     pa.array([packed_hashes(x) for x in np.split(h[order], first[1:])], pa.binary())], names=["block", "shard", "asked"])
-
-    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
-        found: list[bytes] = []
-        if asked.num_rows:
-            all_ = [unpacked_hashes(x) for x in asked["asked"].to_pylist()]
-            bits = np.frombuffer(part["bits"][0].as_py(), np.uint8) if part.num_rows else np.zeros(1 << (_SHARD_BITS - 3), np.uint8)
-            level = Filter(bits, 1, codebook).levels(np.concatenate(all_)).astype(np.int8)
-            found = [packed(x) for x in np.split(level, np.cumsum([len(x) for x in all_])[:-1])]
-        return pa.table({"block": asked["block"].cast(pa.int64()), "shard": asked["shard"].cast(pa.int32()),
-                         "levels": pa.array(found, pa.binary())})
-
-    asked = blocks_.select("block", "hashes", "known").mapInArrow(ask, "block bigint, shard int, asked binary")
-    return asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "block bigint, shard int, levels binary")
-
-
-def word_totals(blocks_: DataFrame, counted: DataFrame, total: int) -> DataFrame:
-    """(block, shard, counts): the exact training counts of each block's tail words.
+def word_totals(blocks_: DataFrame, counted: DataFrame, rare: int, parts: int = 1, codebook: np.ndarray = np.zeros(1)) -> DataFrame:
+    """(block, shard, counts, levels): the exact training counts of each block's
+    tail words, and their levels as read in the word filter (of at least ``parts``
+    parts and this codebook).
 
     The words themselves go to the part of the counts table that has their hash,
     so that two words of one hash keep their own counts. A part is asked for a
     word once by each block that has it, for _ASKED training tokens at most (and
-    those of the other texts)."""
-    shards = max(1, math.ceil(total / _ASKED))
+    those of the other texts); ``rare`` is the number of the tail's training tokens."""
+    shards = max(1, parts, math.ceil(rare / _ASKED))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                h = np.frombuffer(batch["hashes"][i].as_py(), np.uint64)[np.frombuffer(batch["known"][i].as_py(), np.int8) < 0]
-                if not len(h):
+                words = tail_of(batch["tail"][i].as_py())
+                if not words:
                     continue
-                order, shard, first = _by_shard(h, shards)
-                words = batch["tail"][i].values.take(pa.array(order)).to_pylist()
+                order, shard, first = _by_shard(hashes_of(words), shards)
+                words = [words[i] for i in order.tolist()]
                 ends = [*first[1:].tolist(), len(words)]
                 asked = [packed_words(words[a:b]) for a, b in zip(first.tolist(), ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch["block"][i].as_py())), pa.array(shard),
@@ -447,20 +450,29 @@ def word_totals(blocks_: DataFrame, counted: DataFrame, total: int) -> DataFrame
     def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
         give_back()
         all_ = [unpacked_words(x) for x in asked["asked"].to_pylist()]
-        known, c = part["w"].combine_chunks(), np.append(part["c"].to_numpy(), 0)     # the last for a word without a count
-        at = pc.index_in(pa.array([w for x in all_ for w in x], pa.binary()), value_set=known)
-        count = c[pc.fill_null(at, len(c) - 1).to_numpy(zero_copy_only=False)].astype(np.int64)
-        found = [packed(x) for x in np.split(count, np.cumsum([len(x) for x in all_])[:-1])] if all_ else []
+        words = [w for x in all_ for w in x]
+        h, c = part["h"].to_numpy().view(np.uint64), part["c"].to_numpy().astype(np.int64)
+        bits = np.frombuffer(bits_of(h, levels_of(c)) if words and len(h) else bytes(1 << (_SHARD_BITS - 3)), np.uint8)
+        filter_ = Filter(bits, 1, codebook)
+        at = pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=part["w"].combine_chunks()), len(h)).to_numpy(zero_copy_only=False)
+        count = np.append(c, 0)[at]                                   # the last for a word without a count
+        level = np.append(filter_.levels(h), 0)[at]
+        new = np.flatnonzero(at == len(h))
+        level[new] = filter_.levels(hashes_of([words[i] for i in new.tolist()]))
+        cuts = np.cumsum([len(x) for x in all_])[:-1]
+        found = [[packed(y) for y in np.split(x, cuts)] if all_ else [] for x in (count, level.astype(np.int8))]
         return pa.table({"block": asked["block"].cast(pa.int64()), "shard": asked["shard"].cast(pa.int32()),
-                         "counts": pa.array(found, pa.binary())})
+                         "counts": pa.array(found[0], pa.binary()), "levels": pa.array(found[1], pa.binary())})
 
-    asked = blocks_.select("block", "hashes", "known", "tail").mapInArrow(ask, "block bigint, shard int, asked binary")
-    parts = hashed_words(counted).select(shard_column(shards).alias("shard"), "w", "c")
-    return asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "block bigint, shard int, counts binary")
+    asked = blocks_.select("block", "tail").mapInArrow(ask, "block bigint, shard int, asked binary")
+    table_ = hashed_words(counted).select(shard_column(shards).alias("shard"), "w", "h", "c")
+    return (asked.groupBy("shard").cogroup(table_.groupBy("shard"))
+            .applyInArrow(answer, "block bigint, shard int, counts binary, levels binary"))
 
 
-def pair_levels(blocks_: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
-    """(block, shard, levels) of each block's pairs, and the codebook.
+def pair_levels(blocks_: DataFrame, total: int, head: Broadcast) -> tuple[DataFrame, np.ndarray]:
+    """(block, shard, levels) of each block's pairs, and the codebook. ``head``:
+    hashes and levels of the head's words.
 
     A block's distinct pairs go to their part with the number of their training
     occurrences. A part is filled by at most 2**_SHARD_BITS / BITS_PER_KEY
@@ -472,7 +484,7 @@ def pair_levels(blocks_: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Numbered.of(batch, i)
+                block = Numbered.of(batch, i, head.value[0])
                 a, b, which = block.pairs()
                 if not len(a):
                     continue
@@ -500,7 +512,7 @@ def pair_levels(blocks_: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
         return pa.table({"block": asked["block"].cast(pa.int64()), "shard": asked["shard"].cast(pa.int32()), "levels": pa.array(found, pa.binary()),
                          "n": pa.array(once[0], pa.list_(pa.int64())), "c": pa.array(once[1], pa.list_(pa.int64()))})
 
-    asked = (blocks_.select("block", "train", "sizes", "ids", "end_id", "hashes")
+    asked = (blocks_.select("block", "train", "sizes", "ids", "end_id", "known", "tail")
              .mapInArrow(ask, "block bigint, shard int, asked binary, n binary"))
     answers = stored(asked.groupBy("shard").applyInArrow(
         answer, "block bigint, shard int, levels binary, n array<bigint>, c array<bigint>"), "lm-pairs")
@@ -509,41 +521,36 @@ def pair_levels(blocks_: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
     return answers.select("block", "shard", "levels"), codebook_of(stats)
 
 
-_WORDS, _PAIRS, _TOTALS = 0, 1, 2     # what an answer to a block is about
-
-
-def level_triples(blocks_: DataFrame, words: DataFrame, pairs: DataFrame, totals: DataFrame, total: int, divisor: float) -> DataFrame:
+def level_triples(blocks_: DataFrame, words: DataFrame, pairs: DataFrame, total: int, divisor: float, head: Broadcast) -> DataFrame:
     """(id, train, n_tokens, n_known, base, codes, times): for each document, its
     exact sums and how often each triple of levels (context, word, pair; see
     ``code_of``) occurs."""
     kind = blocks_.schema["id"].dataType.elementType.simpleString()
     unused = unused_bits(total)
-    answers = words.select("block", F.lit(_WORDS).alias("about"), "shard", F.col("levels").alias("found"))
-    answers = answers.unionAll(pairs.select("block", F.lit(_PAIRS), "shard", "levels"))
-    answers = answers.unionAll(totals.select("block", F.lit(_TOTALS), "shard", "counts"))
+    answers = words.select("block", "shard", "levels", "counts")     # counts are null where an answer is about pairs
+    answers = answers.unionAll(pairs.select("block", "shard", "levels", F.lit(None).cast("binary")))
 
     def join(part: pa.Table, found: pa.Table) -> pa.Table:
         give_back()
-        block = Numbered.of(part, 0)
+        block = Numbered.of(part, 0, head.value[0])
         a, b, which = block.pairs()
-        known = np.frombuffer(part["known"][0].as_py(), np.int8)
         found = found.sort_by("shard")
-        about, blobs = found["about"].to_numpy(), found["found"]
+        of_words = pc.is_valid(found["counts"])
 
-        def answered(what: int, h: np.ndarray, kind: type) -> np.ndarray:
+        def answered(column: str, about: pa.ChunkedArray, h: np.ndarray, kind: type) -> np.ndarray:
             """What the parts found for the hashes; none without training texts."""
             out = np.zeros(len(h), np.int64)
-            got = [unpacked(blobs[i].as_py(), kind) for i in np.flatnonzero(about == what).tolist()]
+            got = [unpacked(x, kind) for x in found[column].filter(about).to_pylist()]
             if got:    # in the order of the hashes, part after part
                 out[np.argsort(h, kind="stable")] = np.concatenate(got)
             return out
 
-        tail = known < 0
-        word = known.astype(np.int64)
-        word[tail] = answered(_WORDS, block.hashes[tail], np.int8)
-        pair = answered(_PAIRS, pair_hashes(block.hashes[a], block.hashes[b], unused), np.int8)
-        count = np.zeros(len(known), np.int64)
-        count[tail] = answered(_TOTALS, block.hashes[tail], np.int64)
+        tail = np.arange(len(block.hashes)) >= len(block.known)
+        word, count = np.zeros(len(tail), np.int64), np.zeros(len(tail), np.int64)
+        word[~tail] = head.value[1][block.known]
+        word[tail] = answered("levels", of_words, block.hashes[tail], np.int8)
+        count[tail] = answered("counts", of_words, block.hashes[tail], np.int64)
+        pair = answered("levels", pc.invert(of_words), pair_hashes(block.hashes[a], block.hashes[b], unused), np.int8)
         # a pair with a word that never occurs was reached by a false probe
         code = code_of(word[a], word[b], np.where((word[a] > 0) & (word[b] > 0), pair, 0))
         doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
@@ -559,7 +566,7 @@ def level_triples(blocks_: DataFrame, words: DataFrame, pairs: DataFrame, totals
         return pa.table([*lists, *map(pa.array, sums), pa.array(codes, pa.binary()), pa.array([packed(x) for x in np.split(times.astype(np.int32), cuts)], pa.binary())],
                         names=["id", "train", "n_tokens", "n_known", "base", "codes", "times"])
 
-    return (blocks_.select("block", "id", "train", "sizes", "ids", "end_id", "hashes", "known", "n_head", "base")
+    return (blocks_.select("block", "id", "train", "sizes", "ids", "end_id", "known", "tail", "n_head", "base")
             .groupBy("block").cogroup(answers.groupBy("block"))
             .applyInArrow(join, f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base double, codes binary, times binary"))
 
@@ -588,6 +595,7 @@ class Model:
         """Per level triple: word estimate, pair estimate, level of the context."""
         level, word, pair = code // _LEVELS**2, code // _LEVELS % _LEVELS, code % _LEVELS
         single = np.where(word > 0, self.words[word], 0.1) / (self.total + 0.1)  # one more kind for the unseen
+        pair = np.minimum(pair, len(self.pairs) - 1)     # a false probe may pass the last level
         return single, np.minimum(self.pairs[pair] / np.maximum(self.words[level], 1e-9), 1.0), level
 
     def log10(self, code: np.ndarray) -> np.ndarray:
@@ -629,14 +637,15 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     total, kinds = totals["n"] or 0, totals["v"]
     divisor = total + 0.1 * (kinds + 1)
     head_rows = counted.where(F.col("c") >= F.lit(max(1.0, HEAD_SHARE * total))).select("w", "c").toLocalIterator()
-    head = {bytes(r["w"]): r["c"] for r in head_rows}  # at most 1 / HEAD_SHARE words
+    head = dict(sorted(((bytes(r["w"]), r["c"]) for r in head_rows), key=lambda x: (-x[1], x[0])))  # at most 1 / HEAD_SHARE words
     blocks_ = stored(number_texts(rows, head, divisor), "lm-blocks")
 
-    words = filter_parts(with_levels(hashed_words(counted), 1.0))
-    pairs, pair_codebook = pair_levels(blocks_, total)
-    triples = stored(level_triples(blocks_, word_levels(blocks_, words), pairs, word_totals(blocks_, counted, total), total, divisor),
-                     "lm-triples")
-    model = Model(total, kinds, words[2], pair_codebook, np.zeros(1))
+    shared = docs.sparkSession.sparkContext.broadcast((hashes_of(list(head)), levels_of(np.array(list(head.values()), np.int64))))
+    parts, codebook = filter_size(with_levels(counted, 1.0))
+    words = stored(word_totals(blocks_, counted, total - sum(head.values()), parts, codebook), "lm-totals")
+    pairs, pair_codebook = pair_levels(blocks_, total, shared)
+    triples = stored(level_triples(blocks_, words, pairs, total, divisor, shared), "lm-triples")
+    model = Model(total, kinds, codebook, pair_codebook, np.zeros(1))
     if total:
         model.weights = fit_weights(triples.where("train"), model)
 

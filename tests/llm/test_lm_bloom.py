@@ -169,3 +169,42 @@ def test_words_of_one_hash_keep_their_counts(spark, monkeypatch):
     counted = spark.createDataFrame([(b"x", 2), (b"y", 1), (b"z", 7)], "w binary, c bigint")
     (r,) = word_totals(blocks_, counted, 10).collect()
     assert unpacked(r["counts"], np.int64).tolist() == [2, 1, 0]      # x, y and the end token
+
+
+def test_blocks_hold_words_once(spark):
+    """A block held eight bytes of hash for each word beside the word, and again in the shuffle of the last join."""
+    from intentlane.llm.lm_bloom import number_texts, tail_of, unpacked, unpacked_numbers
+    ship_package(spark)
+    words = [f"w{i}" for i in range(20_000)]
+    rows = spark.createDataFrame([(1, True, " ".join(words))], "id bigint, train boolean, text string")
+    (r,) = number_texts(rows, {b"w7": 9, b"w3": 5}, 10.0).collect()
+    assert sum(len(x) for x in r if isinstance(x, (bytes, bytearray))) < 8 * len(words)
+    kept = [[b"w7", b"w3"][i] for i in unpacked_numbers(r["known"])] + tail_of(r["tail"])
+    assert [kept[i] for i in unpacked(r["ids"], np.uint32)] == [w.encode() for w in words] + [b""]
+    assert kept[r["end_id"]] == b"" and np.frombuffer(r["n_head"], np.int64).tolist() == [2]
+
+
+def test_count_and_level_of_a_word_come_together(spark):
+    """Two shuffles of each block's rare words, one for the counts and one for the levels, were on disk at once."""
+    from intentlane.llm.lm_bloom import hashes_of, levels_of, number_texts, tail_of, unpacked, word_totals
+    ship_package(spark)
+    counts = {f"w{i}".encode(): 1 + i % 40 for i in range(300)}
+    rows = spark.createDataFrame([(1, True, " ".join(f"w{i}" for i in range(0, 320, 2)))], "id bigint, train boolean, text string")
+    blocks_ = number_texts(rows, {b"w0": 100}, 10.0)
+    tail = tail_of(blocks_.first()["tail"])
+    assert len(tail) == 160 and b"w0" not in tail
+    counted = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "w binary, c bigint")
+    got = word_totals(blocks_, counted, 10, 5, np.ones(20)).orderBy("shard").collect()
+    assert [r["shard"] for r in got] == [0, 1, 2, 3, 4]
+    want = np.array([counts.get(w, 0) for w in tail])[np.argsort(hashes_of(tail))]
+    assert np.concatenate([unpacked(r["counts"], np.int64) for r in got]).tolist() == want.tolist()
+    level = np.concatenate([unpacked(r["levels"], np.int8) for r in got])
+    assert (level >= levels_of(want)).all() and (level == levels_of(want)).mean() > 0.98
+
+
+def test_false_probe_past_the_last_level():
+    """It was read behind the end of the codebook."""
+    from intentlane.llm.lm_bloom import Model, code_of
+    model = Model(10, 3, np.array([0.0, 1.0, 2.0]), np.array([0.0, 1.0]), np.array([0.0, 0.5, 0.5]))
+    got = model.log10(code_of(np.array([2, 2]), np.array([1, 1]), np.array([1, 2])))
+    assert got[0] == got[1]
