@@ -8,7 +8,8 @@ The centroids travel to every worker: their number is limited to
 ``MAX_CENTROID_BYTES`` of vectors (cells get larger beyond that). With many
 cells a vector is first compared with the centroids' own coarse centres and
 then only with the centroids below the nearest of them, so finding the cell
-of a row costs about the square root of the number of cells.
+of a row costs about the square root of the number of cells. The
+cells that a query visits are the nearest of all, found by one matrix product.
 
 ``probes`` follows from the data: for a bounded sample of queries the exact
 neighbours are found, and the number of cells to visit is read off the ranks
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intentlane.functions.memory import give_back
-from intentlane.operators.retrieval import knn, nearest_rows, vector_rows
+from intentlane.operators.retrieval import FEW_BLOCKS, MORE_ROWS, knn, n_blocks, nearest_rows, vector_rows
 from intentlane.session import ship_package
 from intentlane.sources.tables import materialise
 
@@ -46,7 +47,7 @@ BEAM = 8                      # coarse centres whose cells are looked at, at lea
 CALIBRATION_QUERIES = 256     # queries whose exact neighbours set the probes
 RECALL = 0.9
 MARGIN = 0.04                 # aim above the wanted recall, as the sample is small
-BIN_CELLS = 1_024             # cells of a bin, at most
+BIN_CELLS = 2_048             # cells of a bin, at most
 SLICE_ROWS = 1_024            # vectors whose cells are looked for at once, and
 SLICE_CELLS = 1 << 20         # cells that these have together
 
@@ -61,6 +62,7 @@ class Cells:
 
     def __init__(self, centroids: np.ndarray):
         self.centroids = _unit(np.asarray(centroids, np.float32))
+        self.centroids[~np.isfinite(self.centroids).all(axis=1)] = 0
         self.coarse: np.ndarray | None = None
         if len(centroids) > FLAT_CELLS:
             step = int(math.sqrt(len(centroids)))
@@ -68,32 +70,62 @@ class Cells:
             home = np.concatenate([(self.centroids[k:k + 65_536] @ self.coarse.T).argmax(axis=1)
                                    for k in range(0, len(self.centroids), 65_536)])
             order = np.argsort(home, kind="stable")
-            self.members = np.split(order, np.searchsorted(home[order], np.arange(1, len(self.coarse))))
+            used, first = np.unique(home[order], return_index=True)     # of equal centres one has all cells
+            self.coarse, self.members = self.coarse[used], np.split(order, first[1:])
 
     def __len__(self) -> int:
         return len(self.centroids)
 
-    def nearest(self, vectors: np.ndarray, n: int) -> list[np.ndarray]:
-        """The ``n`` nearest cells of each vector, nearest first, fewer if there
-        are fewer. The first one is the cell that the vector belongs to."""
-        n = min(n, len(self))
-        vectors = _unit(np.asarray(vectors, np.float32))
+    def similarity(self, vectors: np.ndarray) -> np.ndarray:
+        """Of each vector to each centroid."""
+        return _unit(vectors).astype(np.float32) @ self.centroids.T
+
+    def home(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell that each vector belongs to: the nearest one, with two levels
+        the nearest below the ``BEAM`` nearest coarse centres."""
         if self.coarse is None:
-            return list(self._best(vectors @ self.centroids.T, n))
+            return self.similarity(vectors).argmax(axis=1)
+        vectors = _unit(vectors).astype(np.float32)
         near = vectors @ self.coarse.T
-        wide = np.argsort(-near, axis=1, kind="stable")
-        sizes = np.array([len(m) for m in self.members])
-        out = []
-        for i, row in enumerate(wide):
-            # as many coarse centres as hold a few times the wanted cells
-            past = int(np.searchsorted(np.cumsum(sizes[row]), 4 * n)) + 1
-            cells = np.concatenate([self.members[c] for c in row[:max(BEAM, past)]])
-            out.append(cells[self._best((self.centroids[cells] @ vectors[i])[None, :], min(n, len(cells)))[0]])
+        beam = min(BEAM, len(self.coarse))
+        wide = np.argpartition(-near, beam - 1, axis=1)[:, :beam]
+        best, out = np.full(len(vectors), -np.inf, np.float32), np.zeros(len(vectors), np.int64)
+        # all vectors that look below a coarse centre are compared with its centroids together
+        by = np.argsort(wide, axis=None, kind="stable")
+        edges = np.searchsorted(wide.ravel()[by], np.arange(len(self.coarse) + 1))
+        for members, first, past in zip(self.members, edges[:-1], edges[1:]):
+            if past > first:
+                rows = by[first:past] // beam
+                found = vectors[rows] @ self.centroids[members].T
+                at = found.argmax(axis=1)
+                found, cell = found[np.arange(len(rows)), at], members[at]
+                better = (found > best[rows]) | ((found == best[rows]) & (cell < out[rows]))
+                best[rows[better]], out[rows[better]] = found[better], cell[better]
         return out
 
-    @staticmethod
-    def _best(similarity: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-similarity, axis=1, kind="stable")[:, :n]
+    def visited(self, vectors: np.ndarray, n: int) -> np.ndarray:
+        """(vectors by cells, boolean) the ``n`` nearest cells of each vector, of equal ones the first."""
+        similar = self.similarity(vectors)
+        if n >= len(self):
+            return np.ones(similar.shape, bool)
+        least = np.partition(similar, len(self) - n, axis=1)[:, len(self) - n]
+        on = similar >= least[:, None]
+        for i in np.flatnonzero(np.count_nonzero(on, axis=1) > n).tolist():
+            on[i, np.flatnonzero(similar[i] == least[i])[n - np.count_nonzero(similar[i] > least[i]):]] = False
+        return on
+
+    def nearest(self, vectors: np.ndarray, n: int) -> list[np.ndarray]:
+        """The ``n`` nearest cells of each vector, nearest first, fewer if there are fewer."""
+        return list(np.argsort(-self.similarity(vectors), axis=1, kind="stable")[:, :n])
+
+    def ranks(self, vectors: np.ndarray, cells: list[list[int]]) -> list[np.ndarray]:
+        """How many cells are visited before each of a vector's ``cells``."""
+        out = []
+        for similar, mine in zip(self.similarity(vectors), cells):
+            turn = np.empty(len(self), np.int64)
+            turn[np.argsort(-similar, kind="stable")] = np.arange(len(self))
+            out.append(turn[np.asarray(mine, np.int64)])
+        return out
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +166,13 @@ def assign(df: DataFrame, cells: Cells, id_col: str, vec_col: str, n: int, out:
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, vec_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, max(n, 1 if cells.coarse is not None else len(cells))):
+        for batch in _slices(batches, 1 if n == 1 and cells.coarse is not None else len(cells)):
             vectors, rows = _matrix(batch["v"], dim)
-            near = sent.value.nearest(vectors, n)
-            again = pa.array(np.repeat(rows, [len(c) for c in near]) if near else np.zeros(0, np.int64), pa.int64())
-            which = np.concatenate(near).astype(np.int32) if near else np.zeros(0, np.int32)
+            if n == 1:
+                again, which = pa.array(rows, pa.int64()), sent.value.home(vectors).astype(np.int32)
+            else:
+                at, which = np.nonzero(sent.value.visited(vectors, n))
+                again, which = pa.array(rows[at], pa.int64()), which.astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["i"].take(again), batch["v"].take(again), pa.array(which)], names=[*out, "cell"])
 
     return (df.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v"))
@@ -166,11 +200,9 @@ def choose_probes(queries: DataFrame, index: DataFrame, placed: DataFrame, cells
         for batch in _slices(batches, len(sent.value)):
             vectors, rows = _matrix(batch["embedding"], dim)
             wanted = [batch["homes"][int(i)].as_py() for i in rows]
-            for n in tries:
-                near = sent.value.nearest(vectors, n)
-                hits = sum(int(np.isin(w, c).sum()) for w, c in zip(wanted, near))
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([hits], pa.int64()),
-                                                  pa.array([sum(map(len, wanted))], pa.int64())], names=["n", "hits", "of"])
+            ranks = np.sort(np.concatenate([*sent.value.ranks(vectors, wanted), np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(tries, pa.int32()), pa.array(np.searchsorted(ranks, tries), pa.int64()),
+                                              pa.array([len(ranks)] * len(tries), pa.int64())], names=["n", "hits", "of"])
 
     joined = sample.join(homes, sample["id"] == homes["query_id"]).select("embedding", "homes")
     sums = joined.mapInArrow(met, "n int, hits bigint, of bigint").groupBy("n").agg(F.sum("hits").alias("hits"), F.sum("of").alias("of"))
@@ -220,24 +252,24 @@ def ask(queries: DataFrame, cells: Cells, bins: Bins, id_col: str, vec_col: str,
         cells_, bins_ = sent.value
         used = np.flatnonzero(bins_.of >= 0)
         used = used[np.lexsort((bins_.place[used], bins_.of[used]))]
-        column = np.full(len(cells_), len(used))      # cells without rows share the last column
-        column[used] = np.arange(len(used))
         edges = np.searchsorted(bins_.of[used], np.arange(len(bins_.blocks) + 1))
         for batch in _slices(batches, len(cells_)):
             vectors, rows = _matrix(batch["v"], dim)
-            on = np.zeros((len(rows), len(used) + 1), bool)
-            for i, near in enumerate(cells_.nearest(vectors, n)):
-                on[i, column[near]] = True
-            take, which, visits = [], [], []
+            on = cells_.visited(vectors, n)[:, used]
+            take, which, visits, sizes = [], [], [], []
             for b, (first, past) in enumerate(zip(edges[:-1], edges[1:])):
-                hit = np.flatnonzero(on[:, first:past].any(axis=1))
+                bits = np.packbits(on[:, first:past], axis=1)
+                hit = np.flatnonzero(bits.any(axis=1))
                 take.append(rows[hit])
-                which.append(np.full(len(hit), b))
-                visits += [x.tobytes() for x in np.packbits(on[hit, first:past], axis=1)]
+                which.append(np.full(len(hit), b, np.int32))
+                visits.append(bits[hit].ravel())
+                sizes.append(np.full(len(hit), bits.shape[1]))
             again = pa.array(np.concatenate([*take, np.zeros(0, np.int64)]), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch["i"].take(again), batch["v"].take(again), pa.array(np.concatenate([*which, np.zeros(0)]).astype(np.int32)),
-                 pa.array(visits, pa.binary())], names=["_qid", "_qv", "bin", "visits"])
+            offsets = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(again), [None, pa.py_buffer(offsets), pa.py_buffer(
+                np.concatenate([*visits, np.zeros(0, np.uint8)]))])
+            yield pa.RecordBatch.from_arrays([batch["i"].take(again), batch["v"].take(again), pa.array(np.concatenate(
+                [*which, np.zeros(0, np.int32)]), pa.int32()), packed], names=["_qid", "_qv", "bin", "visits"])
 
     return (queries.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v"))
             .mapInArrow(run, f"_qid {kinds[0]}, _qv {kinds[1]}, bin int, visits binary"))
@@ -259,7 +291,7 @@ def _bin_topk(k: int):
             by_cell = by_id[np.argsort(cell[by_id], kind="stable")]
             of_id = np.empty(len(by_id), np.int64)
             of_id[by_id] = np.arange(len(by_id))
-            row, at, dist = nearest_rows(qm, im[by_cell], of_id[by_cell], k, np.unpackbits(bits, axis=1).astype(bool), cell[by_cell])
+            row, at, dist = nearest_rows(qm, im[by_cell], of_id[by_cell], k, bits, cell[by_cell])
             at = by_id[at]
         return pa.table({"_qid": q_ids.take(pa.array(row)), "_iid": i_ids.take(pa.array(at)), "_dist": pa.array(dist, pa.float64())})
     return run
@@ -279,10 +311,10 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i
     counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()     # at most one row a centroid
     sizes = np.zeros(len(cells), np.int64)
     sizes[[r["cell"] for r in counted]] = [r["n"] for r in counted]
-    bins = Bins.fit(cells, sizes, block_rows)
+    bins = Bins.fit(cells, sizes, min(MORE_ROWS * block_rows, max(block_rows, math.ceil(sizes.sum() / FEW_BLOCKS))))
     asked = materialise(ask(queries, cells, bins, q_id, q_vec, probes), "ann-queries")
     cuts = bins.table(queries.sparkSession)
-    q_cuts = asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_qbs"))
+    q_cuts = asked.groupBy("bin").agg(n_blocks(F.count(F.lit(1)), block_rows).alias("_qbs"))
     ix = (placed.join(F.broadcast(cuts), "cell").join(q_cuts, "bin")
           .select("bin", "place", "_iid", "_iv", F.pmod(F.xxhash64("_iid"), F.col("_ibs")).alias("_ib"),
                   F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_qbs") - 1)).alias("_qb")))

@@ -4,17 +4,19 @@ rendering, for whole tables of queries.
 
 k-NN plan (RET-2). Exact top-k must score every (query, candidate) pair,
 but pairs are never materialised as rows: queries and index rows are cut
-into blocks of about ``block_rows`` rows (the block counts are scalar
-subqueries over the table sizes, evaluated inside the job), each
-(query block, index block) pair meets in one cogroup task, NumPy matrix
-products score it in float64, a small tile at a time, and only each query's
-local top-k leaves the task; one window per query keeps the global top-k of
-at most ``index_blocks * k`` candidates. Every group is bounded by
-``block_rows`` per side, whatever the data size, and no side is broadcast.
+into blocks of about ``block_rows`` rows, up to three times that in large
+tables (the block counts are scalar subqueries over the table sizes, evaluated
+inside the job), each (query block, index block) pair meets in one cogroup
+task and only each query's local top-k leaves it. Matrix products score a small
+tile at a time in float32; the pairs that their error bound leaves in question
+are scored in float64, which alone decides order and distances. One window per
+query keeps the global top-k of at most ``index_blocks * k`` candidates. Every
+group is bounded whatever the data size, and no side is broadcast.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,23 +98,39 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding",
 
 # --------------------------------------------------------------------- RET-2
 SLICE_QUERIES = 256           # queries and
-TILE_ROWS = 2_048             # index rows whose distances are held at once
+TILE_ROWS = 4_096             # index rows that are compared at once,
+FIRST_ROWS = 512              # at first fewer, which give a bound for the next
+PAIRS = 16_384                # pairs whose exact distances are computed at once
+DENSE = 16                    # a tile with more than one pair in so many to look at is computed exactly as a whole
+FEW_BLOCKS, MORE_ROWS = 8, 3  # beyond so many blocks a side, blocks grow up to so many times ``block_rows``
+
+
+def n_blocks(rows: Column, block_rows: int) -> Column:
+    """The blocks that a table of ``rows`` rows is cut into. Each row of one side
+    is copied once a block of the other, so a large table has fewer and larger ones."""
+    def cut(size: int) -> Column:
+        return F.ceil(rows / F.lit(size)).cast("long")
+    return F.greatest(F.lit(1).cast("long"), F.least(F.lit(FEW_BLOCKS).cast("long"), cut(block_rows)), cut(MORE_ROWS * block_rows))
 
 
 def vector_rows(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of a list column that are not null and not zero, in float64,
-    and their row numbers. With ``dim`` those of that many components, else all
-    must have the same number. Null components are NaN."""
+    """The vectors of a list column that are not null and not zero, in the column's
+    own float type (others in float64), and their row numbers. With ``dim`` those of
+    that many components, else all must have the same number. Null components are NaN."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    if not pa.types.is_float32(values.type):
+        values = values.cast(pa.float64())
+    values = values.to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(sizes)
     if len(rows):
         some = np.logical_or.reduceat(values != 0, (np.cumsum(sizes) - sizes)[rows])
         if dim is not None:
             some &= sizes[rows] == dim
-        values, rows = values[np.repeat(some, sizes[rows])], rows[some]
+        if not some.all():
+            values, rows = values[np.repeat(some, sizes[rows])], rows[some]
     if not len(rows):
         return np.zeros((0, dim or 0)), rows
     width = int(sizes[rows[0]])
@@ -138,9 +156,11 @@ class _Best:
         if np.isinf(reach).any() and dist.shape[1] > self.k:     # a first bound from the rows at hand
             reach = np.minimum(reach, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
         row, column = np.nonzero(dist <= (reach + 1e-9)[:, None])
-        found = dist[row, column]
-        key, at, q = np.round(found, 9), place[column], queries[row]
-        last = self.key[q, -1]
+        self.add_pairs(queries[row], place[column], dist[row, column])
+
+    def add_pairs(self, q: np.ndarray, at: np.ndarray, found: np.ndarray) -> None:
+        """Distances of pairs of a query (its number) and the row at a place."""
+        key, last = np.round(found, 9), self.key[q, -1]
         better = (key < last) | ((key == last) & (at < self.place[q, -1]))
         better &= ~np.isposinf(found)
         if not better.any():
@@ -163,41 +183,172 @@ class _Best:
         self.key[hit], self.place[hit], self.dist[hit] = key[take], place[take], dist[take]
 
 
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    out = np.empty(len(vectors))
+    for s in range(0, len(vectors), TILE_ROWS):
+        part = vectors[s:s + TILE_ROWS].astype(np.float64)
+        out[s:s + TILE_ROWS] = np.sqrt((part * part).sum(axis=1))
+    return out
+
+
+def _units(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    out = np.empty(vectors.shape, np.float32)
+    for s in range(0, len(vectors), TILE_ROWS):
+        np.divide(vectors[s:s + TILE_ROWS], norms[s:s + TILE_ROWS, None], out=out[s:s + TILE_ROWS], casting="same_kind")
+    return out
+
+
+def _kth_largest(near: np.ndarray, k: int) -> np.ndarray:
+    """A value that k of each row's entries reach: the k-th largest of the greatest
+    entries of disjoint sets of columns, or of all entries if they are few."""
+    each = 16 if near.shape[1] >= 64 * k else 1
+    if near.shape[1] < k:
+        return np.full(len(near), -np.inf)
+    sets = near.shape[1] // each
+    if each > 1:
+        near = near[:, :sets * each].reshape(len(near), each, sets).max(axis=1)
+    return np.partition(near, sets - k, axis=1)[:, sets - k].astype(np.float64)
+
+
+class _Pairs:
+    """Vectors of both sides with what nearest_rows has found of them."""
+
+    def __init__(self, qm: np.ndarray, im: np.ndarray, place: np.ndarray, k: int, group: np.ndarray | None):
+        self.qm, self.im, self.place, self.group = qm, im, place, group
+        self.qn, self.inn = _norms(qm), _norms(im)
+        self.odd = not (np.isfinite(self.qn).all() and np.isfinite(self.inn).all())
+        self.best = _Best(len(qm), k)
+
+    def distances(self, q: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Exact distances of pairs of a query and a row."""
+        out = np.empty(len(q))
+        for s in range(0, len(q), PAIRS):
+            a, b = q[s:s + PAIRS], row[s:s + PAIRS]
+            dot = np.einsum("ij,ij->i", self.qm[a].astype(np.float64), self.im[b].astype(np.float64))
+            out[s:s + PAIRS] = 1.0 - dot / (self.qn[a] * self.inn[b])
+        return out
+
+    def all_pairs(self, queries: np.ndarray, rows: np.ndarray, seen: np.ndarray | None) -> None:
+        """Exact distances of all pairs; of each query's groups only with ``seen`` (queries by groups)."""
+        if not len(queries) or not len(rows):
+            return
+        dist = self.qm[queries].astype(np.float64) @ self.im[rows].astype(np.float64).T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dist /= np.outer(self.qn[queries], self.inn[rows])
+        np.subtract(1.0, dist, out=dist)
+        if seen is not None:
+            dist[~seen[:, self.group[rows]]] = np.inf
+        if self.odd:
+            for i in np.flatnonzero(np.isnan(dist).any(axis=1)).tolist():
+                self.best.add_without_distance(queries[i:i + 1], self.place[rows[np.isnan(dist[i])]])
+            dist[np.isnan(dist)] = np.inf
+        self.best.add(queries, self.place[rows], dist)
+
+    def plain_pairs(self, mine: np.ndarray, rows: np.ndarray, unit: np.ndarray, seen: np.ndarray | None) -> None:
+        """The same for rows and queries of finite length by single-precision products of
+        unit vectors (``unit``: those of the rows). Their error has a bound, and only pairs
+        that can be among the k nearest within it get an exact distance."""
+        near = _units(self.qm[mine], self.qn[mine])
+        room = 2 * (near.shape[1] + 4) * 2.0 ** -23 + 2e-9
+        bound = np.full(len(mine), -np.inf)         # each query has met k rows that are as similar
+        sims, above = np.empty(len(mine) * TILE_ROWS, np.float32), np.empty(len(mine) * TILE_ROWS, bool)
+        held, waiting, tiles = [], 0, 0
+
+        def exact() -> None:
+            for q, at, _ in held:
+                self.best.add_pairs(mine[q], self.place[at], self.distances(mine[q], at))
+            held.clear()
+            np.maximum(bound, 1.0 - self.best.key[mine, -1], out=bound)
+
+        edges = [0, *itertools.takewhile(lambda t: t < min(len(rows), TILE_ROWS), (FIRST_ROWS << n for n in itertools.count())),
+                 *range(TILE_ROWS, len(rows), TILE_ROWS), len(rows)]
+        for t, past in zip(edges[:-1], edges[1:]):
+            some, tile, who, looks = rows[t:past], unit[t:past], None, seen
+            if seen is not None:
+                low = self.group[some[0]]
+                part = seen[:, low:self.group[some[-1]] + 1]
+                who, met = np.flatnonzero(part.any(axis=1)), part.any(axis=0)
+                if not len(who):
+                    continue
+                if len(who) == len(mine):
+                    who = None
+                else:
+                    looks = seen[who]
+                if 2 * np.count_nonzero(met) < len(met):
+                    keep = met[self.group[some] - low]
+                    some, tile = some[keep], tile[keep]
+            if not len(some):
+                continue
+            n = len(mine) if who is None else len(who)
+            sim = np.matmul(near if who is None else near[who], tile.T, out=sims[:n * len(some)].reshape(n, -1))
+            least = (bound if who is None else bound[who]) - room
+            new = np.flatnonzero(np.isinf(least))   # queries that have not met k rows
+            if len(new):
+                first = sim if len(new) == n else sim[new]
+                if seen is not None:
+                    first[~looks[new][:, self.group[some]]] = -np.inf
+                    sim[new] = first
+                least[new] = np.maximum(_kth_largest(first, self.best.k) - room, -2.0)
+            hit = np.flatnonzero(np.greater_equal(sim, least.astype(np.float32)[:, None], out=above[:sim.size].reshape(sim.shape)))
+            row, column = np.divmod(hit, len(some))
+            if seen is not None:
+                looked = looks[row, self.group[some[column]]]
+                hit, row, column = hit[looked], row[looked], column[looked]
+            if who is not None:
+                row = who[row]
+            if len(hit) * DENSE > sim.size:
+                self.all_pairs(mine if who is None else mine[who], some, looks)
+                np.maximum(bound, 1.0 - self.best.key[mine, -1], out=bound)
+            else:
+                held.append((row, some[column], sim.ravel()[hit]))
+                waiting += len(hit)
+            tiles += 1
+            if held and (tiles & (tiles - 1) == 0 or waiting > 8 * PAIRS):
+                q, at, found = (np.concatenate(x) for x in zip(*held))
+                order = np.argsort(4.0 * q - found)     # by query, the most similar first
+                q, at, found = q[order], at[order], found[order]
+                kth = np.searchsorted(q, np.arange(len(mine))) + self.best.k - 1
+                full = np.flatnonzero(kth < np.searchsorted(q, np.arange(len(mine)), side="right"))
+                bound[full] = np.maximum(bound[full], found[kth[full]])
+                keep = found >= bound[q] - room
+                held, waiting = [(q[keep], at[keep], found[keep])], np.count_nonzero(keep)
+                if waiting > 8 * PAIRS:
+                    exact()
+                    waiting = 0
+        if held:
+            q, at, found = (np.concatenate(x) for x in zip(*held))
+            keep = found >= bound[q] - room
+            held[:] = [(q[keep], at[keep], found[keep])]
+            exact()
+
+
 def nearest_rows(qm: np.ndarray, im: np.ndarray, place: np.ndarray, k: int, visits: np.ndarray | None = None,
                  group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, place, cosine distance) of each query's k nearest rows by
-    (distance rounded to 1e-9, place). Float64 matrix products of SLICE_QUERIES
-    queries and TILE_ROWS rows, so memory does not follow the size of either side.
-
-    With ``visits`` (queries by groups, boolean) and ``group`` (of each row, rising) a
-    query looks at the rows of its groups only."""
-    qn, inn = np.sqrt((qm * qm).sum(axis=1)), np.sqrt((im * im).sum(axis=1))
-    odd = not (np.isfinite(qn).all() and np.isfinite(inn).all())
-    # queries that look at the same groups are near each other
-    turn = np.arange(len(qm)) if visits is None else np.argsort(visits.argmax(axis=1), kind="stable")
-    best = _Best(len(qm), k)
-    for s in range(0, len(turn), SLICE_QUERIES):
+    (distance rounded to 1e-9, place). Matrix products of SLICE_QUERIES queries and
+    TILE_ROWS rows, so memory does not follow the size of either side. Distances are
+    float64; a single-precision product with a bound on its error rules out most pairs.
+
+    With ``visits`` (a row of packed bits for each query, one bit a group) and ``group``
+    (of each row, rising) a query looks at the rows of its groups only."""
+    pairs = _Pairs(qm, im, place, k, group)
+    plain_q, plain_i = (np.isfinite(n) & (n > 0) for n in (pairs.qn, pairs.inn))
+    turn, rows = np.flatnonzero(plain_q), np.flatnonzero(plain_i)
+    if visits is not None:      # queries that look at the same groups are near each other
+        first = np.concatenate([np.unpackbits(visits[s:s + SLICE_QUERIES], axis=1).argmax(axis=1)
+                                for s in range(0, len(visits), SLICE_QUERIES)] or [turn])
+        turn = turn[np.argsort(first[turn], kind="stable")]
+    unit = _units(im if plain_i.all() else im[rows], pairs.inn[rows])
+    for s in range(0, len(turn), SLICE_QUERIES) if len(rows) else ():
         mine = turn[s:s + SLICE_QUERIES]
-        for t in range(0, len(im), TILE_ROWS):
-            rows, queries, mask = np.arange(t, min(t + TILE_ROWS, len(im))), mine, None
-            if visits is not None:
-                seen = visits[mine, group[t]:group[rows[-1]] + 1]
-                rows = rows[seen.any(axis=0)[group[rows] - group[t]]]
-                queries, seen = mine[seen.any(axis=1)], seen[seen.any(axis=1)]
-                if not len(queries):
-                    continue
-                mask = seen[:, group[rows] - group[t]]
-            dist = qm[queries] @ im[rows].T
-            with np.errstate(invalid="ignore"):
-                dist /= np.outer(qn[queries], inn[rows])
-            np.subtract(1.0, dist, out=dist)
-            if mask is not None and not mask.all():
-                dist[~mask] = np.inf
-            if odd:
-                for i in np.flatnonzero(np.isnan(dist).any(axis=1)).tolist():
-                    best.add_without_distance(queries[i:i + 1], place[rows[np.isnan(dist[i])]])
-                dist[np.isnan(dist)] = np.inf
-            best.add(queries, place[rows], dist)
+        pairs.plain_pairs(mine, rows, unit, None if visits is None else np.unpackbits(visits[mine], axis=1).view(bool))
+    for queries, others in ((np.flatnonzero(~plain_q), np.arange(len(im))), (turn, np.flatnonzero(~plain_i))):
+        for s in range(0, len(queries), SLICE_QUERIES) if len(others) else ():
+            mine = queries[s:s + SLICE_QUERIES]
+            seen = None if visits is None else np.unpackbits(visits[mine], axis=1).view(bool)
+            for t in range(0, len(others), TILE_ROWS):
+                pairs.all_pairs(mine, others[t:t + TILE_ROWS], seen)
+    best = pairs.best
     row, column = np.nonzero(best.place < np.iinfo(np.int64).max)
     return row, best.place[row, column], best.dist[row, column]
 
@@ -227,11 +378,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i_id: st
     pcols = list(partition_cols or [])
     # block counts as scalar subqueries: sized from the data inside the job,
     # no eager count before planning
-    def n_blocks(df: DataFrame) -> Column:
-        return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)))
-                      .cast("long")).scalar()
-    qb_n = n_blocks(queries)
-    ib_n = n_blocks(index)
+    qb_n, ib_n = (df.agg(n_blocks(F.count(F.lit(1)), block_rows)).scalar() for df in (queries, index))
     q = queries.select(*pcols, F.col(q_id).alias("_qid"), F.col(q_vec).alias("_qv"),
                        F.pmod(F.xxhash64(F.col(q_id)), qb_n).alias("_qb"),
                        F.explode(F.sequence(F.lit(0).cast("long"), ib_n - 1)).alias("_ib"))

@@ -72,6 +72,25 @@ def test_two_levels_find_the_cell():
     assert all(len(n) == 20 and len(set(n.tolist())) == 20 for n in near)
 
 
+def test_two_levels_visit_the_nearest_cells():
+    """Below the nearest coarse centres lay only a part of the nearest cells of random vectors."""
+    rng = np.random.default_rng(9)
+    cells = ann.Cells(rng.normal(size=(3000, 16)))
+    vectors = rng.normal(size=(50, 16)).astype(np.float32)
+    turn = np.argsort(-(ann._unit(vectors) @ cells.centroids.T), axis=1, kind="stable")
+    assert [n.tolist() for n in cells.nearest(vectors, 20)] == turn[:, :20].tolist()
+    assert [np.flatnonzero(on).tolist() for on in cells.visited(vectors, 20)] == np.sort(turn[:, :20], axis=1).tolist()
+    assert all((rank == np.arange(3000)).all() for rank in cells.ranks(vectors, turn.tolist()))
+
+
+def test_equal_centroids():
+    """Of equal cells the first holds the rows and is visited first."""
+    cells = ann.Cells(np.tile(np.eye(4)[:2], (1500, 1)))
+    vectors = np.array([[1.0, 0.1, 0.0, 0.0], [0.1, 1.0, 0.0, 0.0]])
+    assert cells.coarse is not None and cells.home(vectors).tolist() == [0, 1]
+    assert [np.flatnonzero(on).tolist() for on in cells.visited(vectors, 2)] == [[0, 2], [1, 3]]
+
+
 def test_odd_vectors_and_empty(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [0.5, 0.5]), (6, [1.0])]
     index = spark.createDataFrame(rows, "id long, embedding array<float>")

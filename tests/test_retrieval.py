@@ -122,6 +122,66 @@ def test_nearest_rows_holds_small_tiles_and_breaks_ties_by_place():
         assert place[row == q].tolist() == np.lexsort((np.arange(len(index)), every))[:9].tolist()
 
 
+def _brute(queries, index, place, k):
+    dist = 1.0 - (queries @ index.T) / np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(index, axis=1))
+    return [place[np.lexsort((place, np.round(d, 9)))[:k]].tolist() for d in dist]
+
+
+def test_nearest_rows_scores_few_pairs_in_double_precision(monkeypatch):
+    """Every pair was scored, divided and compared in float64."""
+    scored, add, pairs = [0], ret._Best.add, getattr(ret._Best, "add_pairs", None)
+
+    def count_add(self, queries, place, dist):
+        scored[0] += dist.size
+        return add(self, queries, place, dist)
+
+    def count_pairs(self, q, at, found):
+        scored[0] += len(q)
+        return pairs(self, q, at, found)
+    monkeypatch.setattr(ret._Best, "add", count_add)
+    if pairs is not None:
+        monkeypatch.setattr(ret._Best, "add_pairs", count_pairs)
+    rng = np.random.default_rng(11)
+    index, queries, place = rng.normal(size=(20_000, 16)), rng.normal(size=(600, 16)), rng.permutation(20_000)
+    row, at, dist = ret.nearest_rows(queries, index, place, 9)
+    assert [at[row == q].tolist() for q in range(600)] == _brute(queries, index, place, 9)
+    assert scored[0] < len(index) * len(queries) / 100
+
+
+def test_nearest_rows_tells_distances_apart_that_single_precision_does_not():
+    rng = np.random.default_rng(12)
+    turn = np.concatenate([[0.0], 1e-3 + 1e-5 * np.arange(5_999)])      # distances 1e-8 apart near 5e-7
+    index = np.stack([np.cos(turn), np.sin(turn), np.zeros(6_000)], axis=1)[rng.permutation(6_000)]
+    index *= rng.uniform(0.5, 2.0, size=(6_000, 1))
+    queries, place = np.array([[1.0, 0.0, 0.0], [2.0, 0.0, 0.0]]), np.arange(6_000)
+    row, at, dist = ret.nearest_rows(queries, index, place, 30)
+    assert [at[row == q].tolist() for q in (0, 1)] == _brute(queries, index, place, 30)
+    assert (np.diff(dist[row == 0]) > 1e-9).all()
+
+
+def test_nearest_rows_of_groups_with_odd_and_equal_vectors():
+    rng = np.random.default_rng(13)
+    index = rng.normal(size=(40, 6))[rng.integers(0, 40, 9_000)]       # every vector a few hundred times
+    index[5_000:] = rng.normal(size=(4_000, 6))
+    group, place = np.sort(rng.integers(0, 30, 9_000)), rng.permutation(9_000)
+    queries, on = index[::15].copy(), rng.random((600, 30)) < 0.2
+    on[7] = False
+    index[::97, 2] = np.nan
+    row, at, dist = ret.nearest_rows(queries, index, place, 9, np.packbits(on, axis=1), group)
+    for q in range(600):
+        rows = np.flatnonzero(on[q][group])
+        far = 1.0 - index[rows] @ queries[q] / (np.linalg.norm(index[rows], axis=1) * np.linalg.norm(queries[q]))
+        far = np.where(np.isnan(far), np.inf, np.round(far, 9))
+        assert at[row == q].tolist() == place[rows][np.lexsort((place[rows], far))[:9]].tolist()
+
+
+def test_blocks_grow_with_a_large_table(spark):
+    """A row is copied once a block of the other side: 30 times for 600,000 rows before."""
+    sizes = spark.createDataFrame([(n,) for n in (0, 1, 20_000, 50_000, 160_000, 400_000, 600_000, 60_000_000)], "n long")
+    got = {r["n"]: r["b"] for r in sizes.select("n", ret.n_blocks(F.col("n"), 20_000).alias("b")).collect()}
+    assert got == {0: 1, 1: 1, 20_000: 1, 50_000: 3, 160_000: 8, 400_000: 8, 600_000: 10, 60_000_000: 1_000}
+
+
 def test_knn_with_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [0.5, 0.5]), (6, []), (None, [1.0, 0.1])]
     index = spark.createDataFrame(rows, "id long, embedding array<float>")
