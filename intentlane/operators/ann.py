@@ -18,7 +18,7 @@ of the cells that hold them. Visiting all cells is the exact search.
 Index and queries meet by bins: neighbouring cells with about ``block_rows`` index
 rows together. A query goes once to each bin that holds a cell it visits, with one
 bit a cell, however many cells that are, and is compared there with the rows of
-those cells alone. A cell of more rows is a bin of its own and is cut into blocks,
+those cells alone, cell by cell if that is less than half of them. A cell of more rows is a bin of its own and is cut into blocks,
 as are the queries of a bin, so neither a dense region nor a popular one is one
 task, and no other bin is copied for it."""
 

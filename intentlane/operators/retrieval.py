@@ -101,6 +101,8 @@ SLICE_QUERIES = 256           # queries and
 TILE_ROWS = 4_096             # index rows that are compared at once,
 FIRST_ROWS = 512              # at first fewer, which give a bound for the next
 PAIRS = 16_384                # pairs whose exact distances are computed at once
+SPARSE = 0.5                  # queries that look at a smaller share of the groups are compared group by group,
+GROUP_QUERIES = 8_192         # so many at a time
 DENSE = 16                    # a tile with more than one pair in so many to look at is computed exactly as a whole
 FEW_BLOCKS, MORE_ROWS = 8, 3  # beyond so many blocks a side, blocks grow up to so many times ``block_rows``
 
@@ -244,15 +246,17 @@ class _Pairs:
             dist[np.isnan(dist)] = np.inf
         self.best.add(queries, self.place[rows], dist)
 
-    def plain_pairs(self, mine: np.ndarray, rows: np.ndarray, unit: np.ndarray, seen: np.ndarray | None) -> None:
+    def plain_pairs(self, mine: np.ndarray, rows: np.ndarray, unit: np.ndarray, seen: np.ndarray | None, by_group: bool = False) -> None:
         """The same for rows and queries of finite length by single-precision products of
         unit vectors (``unit``: those of the rows). Their error has a bound, and only pairs
-        that can be among the k nearest within it get an exact distance."""
+        that can be among the k nearest within it get an exact distance. ``by_group`` takes
+        a group at a time with the queries that look at it, for queries that look at few."""
         near = _units(self.qm[mine], self.qn[mine])
         room = 2 * (near.shape[1] + 4) * 2.0 ** -23 + 2e-9
         bound = np.full(len(mine), -np.inf)         # each query has met k rows that are as similar
-        sims, above = np.empty(len(mine) * TILE_ROWS, np.float32), np.empty(len(mine) * TILE_ROWS, bool)
-        held, waiting, tiles = [], 0, 0
+        most = SLICE_QUERIES * TILE_ROWS            # pairs compared at once
+        sims, above = np.empty(most, np.float32), np.empty(most, bool)
+        held, waiting, tiles, wait = [], 0, 0, max(8 * PAIRS, 32 * len(mine))
 
         def exact() -> None:
             for q, at, _ in held:
@@ -260,50 +264,53 @@ class _Pairs:
             held.clear()
             np.maximum(bound, 1.0 - self.best.key[mine, -1], out=bound)
 
-        edges = [0, *itertools.takewhile(lambda t: t < min(len(rows), TILE_ROWS), (FIRST_ROWS << n for n in itertools.count())),
-                 *range(TILE_ROWS, len(rows), TILE_ROWS), len(rows)]
-        for t, past in zip(edges[:-1], edges[1:]):
-            some, tile, who, looks = rows[t:past], unit[t:past], None, seen
-            if seen is not None:
-                low = self.group[some[0]]
-                part = seen[:, low:self.group[some[-1]] + 1]
-                who, met = np.flatnonzero(part.any(axis=1)), part.any(axis=0)
-                if not len(who):
-                    continue
-                if len(who) == len(mine):
-                    who = None
+        def tiles_of() -> Iterator[tuple]:
+            """(rows, their unit vectors, queries that look at some of them or None for all, whether they look at all of them)"""
+            cuts = np.array([0, *itertools.takewhile(lambda t: t < min(len(rows), TILE_ROWS), (FIRST_ROWS << n for n in itertools.count())),
+                             *range(TILE_ROWS, len(rows), TILE_ROWS), len(rows)])
+            if by_group:
+                cuts = np.unique(np.concatenate([cuts[cuts % TILE_ROWS == 0], [len(rows)], np.flatnonzero(np.diff(self.group[rows])) + 1]))
+            for t, past in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                some, tile, who = rows[t:past], unit[t:past], None
+                if seen is not None:
+                    low = self.group[some[0]]
+                    part = seen[:, low:self.group[some[-1]] + 1]
+                    who = np.flatnonzero(part[:, 0] if by_group else part.any(axis=1))
+                    if not by_group and 2 * np.count_nonzero(met := part.any(axis=0)) < len(met):
+                        keep = met[self.group[some] - low]
+                        some, tile = some[keep], tile[keep]
+                    for c in range(0, len(who) if len(some) else 0, step := most // max(1, len(some))):
+                        yield some, tile, None if len(who) == len(mine) <= step else who[c:c + step], by_group
                 else:
-                    looks = seen[who]
-                if 2 * np.count_nonzero(met) < len(met):
-                    keep = met[self.group[some] - low]
-                    some, tile = some[keep], tile[keep]
-            if not len(some):
-                continue
+                    yield some, tile, None, True
+
+        for some, tile, who, whole in tiles_of():
+            looks = None if whole else seen if who is None else seen[who]
             n = len(mine) if who is None else len(who)
             sim = np.matmul(near if who is None else near[who], tile.T, out=sims[:n * len(some)].reshape(n, -1))
             least = (bound if who is None else bound[who]) - room
             new = np.flatnonzero(np.isinf(least))   # queries that have not met k rows
             if len(new):
                 first = sim if len(new) == n else sim[new]
-                if seen is not None:
+                if looks is not None:
                     first[~looks[new][:, self.group[some]]] = -np.inf
                     sim[new] = first
                 least[new] = np.maximum(_kth_largest(first, self.best.k) - room, -2.0)
             hit = np.flatnonzero(np.greater_equal(sim, least.astype(np.float32)[:, None], out=above[:sim.size].reshape(sim.shape)))
             row, column = np.divmod(hit, len(some))
-            if seen is not None:
+            if looks is not None:
                 looked = looks[row, self.group[some[column]]]
                 hit, row, column = hit[looked], row[looked], column[looked]
             if who is not None:
                 row = who[row]
-            if len(hit) * DENSE > sim.size:
+            if len(hit) > max(sim.size // DENSE, 2 * n * self.best.k):
                 self.all_pairs(mine if who is None else mine[who], some, looks)
                 np.maximum(bound, 1.0 - self.best.key[mine, -1], out=bound)
             else:
                 held.append((row, some[column], sim.ravel()[hit]))
                 waiting += len(hit)
             tiles += 1
-            if held and (tiles & (tiles - 1) == 0 or waiting > 8 * PAIRS):
+            if held and (tiles & (tiles - 1) == 0 or waiting > wait):
                 q, at, found = (np.concatenate(x) for x in zip(*held))
                 order = np.argsort(4.0 * q - found)     # by query, the most similar first
                 q, at, found = q[order], at[order], found[order]
@@ -312,7 +319,7 @@ class _Pairs:
                 bound[full] = np.maximum(bound[full], found[kth[full]])
                 keep = found >= bound[q] - room
                 held, waiting = [(q[keep], at[keep], found[keep])], np.count_nonzero(keep)
-                if waiting > 8 * PAIRS:
+                if waiting > wait:
                     exact()
                     waiting = 0
         if held:
@@ -334,14 +341,19 @@ def nearest_rows(qm: np.ndarray, im: np.ndarray, place: np.ndarray, k: int, visi
     pairs = _Pairs(qm, im, place, k, group)
     plain_q, plain_i = (np.isfinite(n) & (n > 0) for n in (pairs.qn, pairs.inn))
     turn, rows = np.flatnonzero(plain_q), np.flatnonzero(plain_i)
+    size, by_group = SLICE_QUERIES, False
     if visits is not None:      # queries that look at the same groups are near each other
         first = np.concatenate([np.unpackbits(visits[s:s + SLICE_QUERIES], axis=1).argmax(axis=1)
                                 for s in range(0, len(visits), SLICE_QUERIES)] or [turn])
         turn = turn[np.argsort(first[turn], kind="stable")]
+        looked = np.bitwise_count(visits).sum(dtype=np.int64) / max(1, len(visits) * (group.max(initial=-1) + 1))
+        if looked < SPARSE:
+            size, by_group = GROUP_QUERIES, True
     unit = _units(im if plain_i.all() else im[rows], pairs.inn[rows])
-    for s in range(0, len(turn), SLICE_QUERIES) if len(rows) else ():
-        mine = turn[s:s + SLICE_QUERIES]
-        pairs.plain_pairs(mine, rows, unit, None if visits is None else np.unpackbits(visits[mine], axis=1).view(bool))
+    for s in range(0, len(turn), size) if len(rows) else ():
+        mine = turn[s:s + size]
+        seen = None if visits is None else np.unpackbits(visits[mine], axis=1).view(bool)
+        pairs.plain_pairs(mine, rows, unit, np.asfortranarray(seen) if by_group else seen, by_group)
     for queries, others in ((np.flatnonzero(~plain_q), np.arange(len(im))), (turn, np.flatnonzero(~plain_i))):
         for s in range(0, len(queries), SLICE_QUERIES) if len(others) else ():
             mine = queries[s:s + SLICE_QUERIES]

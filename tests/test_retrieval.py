@@ -1,6 +1,7 @@
 """RET-1 unit norm, RET-2 against brute force, RET-6 fallback, RET-8 filter."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from intentlane.operators import retrieval as ret
@@ -159,12 +160,13 @@ def test_nearest_rows_tells_distances_apart_that_single_precision_does_not():
     assert (np.diff(dist[row == 0]) > 1e-9).all()
 
 
-def test_nearest_rows_of_groups_with_odd_and_equal_vectors():
+@pytest.mark.parametrize("share", [0.02, 0.2, 0.8])
+def test_nearest_rows_of_groups_with_odd_and_equal_vectors(share):
     rng = np.random.default_rng(13)
     index = rng.normal(size=(40, 6))[rng.integers(0, 40, 9_000)]       # every vector a few hundred times
     index[5_000:] = rng.normal(size=(4_000, 6))
     group, place = np.sort(rng.integers(0, 30, 9_000)), rng.permutation(9_000)
-    queries, on = index[::15].copy(), rng.random((600, 30)) < 0.2
+    queries, on = index[::15].copy(), rng.random((600, 30)) < share
     on[7] = False
     index[::97, 2] = np.nan
     row, at, dist = ret.nearest_rows(queries, index, place, 9, np.packbits(on, axis=1), group)
